@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, token_histogram
+from . import bpe, decontaminate, exact_dedup, language_id, license_scan, ngram_join, quality, substring_dedup, suffix_dedup, token_histogram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,19 +37,90 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenised(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    start, base = F.col("phrase_places.start"), F.array_sort(F.array_distinct("phrase_places.label"))
+    chained = F.filter("notice_spans", lambda x: x["cover"] >= license_scan.MIN_COVER)["label"]
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("phrase_places").cast("long").alias("n_base"),
+        F.array_min(start).alias("first_word"),
+        F.array_max(start).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, chained)), ",").alias("labels"),
+        F.when(F.size("phrase_places") > 0, 1.0).otherwise(F.coalesce(F.array_max("notice_spans.cover"), F.lit(0.0))).alias("score"),
+    )
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    held_out = F.coalesce(crc % 4 == 2, F.lit(False))
+    model = language_id.train(docs.where(~held_out), "lang", "text", F.xxhash64("doc_id"))
+    return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = _vocabulary()
     counted = bpe.count(table(spark, sf_dir, "documents").select("text"), path, pattern)
     return token_histogram.suffix_sums(token_histogram.histogram(counted.select("n_tokens")))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), length=50)
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), window=20)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
+    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+def acceptable(labels: DataFrame) -> DataFrame:
+    """A document is good where it is labelled as of quality and not as toxic; null where quality is."""
+    return labels.select("doc_id", F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).when(F.col("quality").isNotNull(), 0).alias("good"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, acceptable(table(spark, sf_dir, "labels")))
+    return quality.classify(docs, model).drop("text", "lang", "source", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_ngram_jaccard": op2_ngram_jaccard,
+        "op3_license_scan": op3_license_scan,
+        "op4_language_id": op4_language_id,
         "op5_token_counts": op5_token_counts,
+        "op6_suffix_dedup": op6_suffix_dedup,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_decontaminate": op9_decontaminate,
+        "op10_quality": op10_quality,
     }
