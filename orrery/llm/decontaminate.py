@@ -56,16 +56,7 @@ class Windows:
 def fingerprints(h: np.ndarray, words: tk.Words, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the k-grams that are least in some w consecutive ones of a document."""
     grams = tk.windows(h, k)
-    if not len(grams):
-        return np.zeros(0, np.int64), grams
-    low = tk.sliding(grams, w, np.minimum)
-    if not len(low):
-        return np.zeros(0, np.int64), grams[:0]
-    # windows that leave their document guarantee nothing
-    whole = words.doc[: len(low)] == words.doc[k + w - 2 : k + w - 2 + len(low)]
-    low = np.where(whole, low, 0)
-    padded = np.r_[np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)]
-    at = np.flatnonzero(tk.sliding(padded, w, np.maximum)[: len(grams)] == grams)
+    _, at = tk.window_minima(grams, words.doc, k, w)
     return at, grams[at]
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,8 +13,27 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS, BATCH_BYTES = "2000", str(32 << 20)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application: they needn't have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    if root.is_dir():  # else it comes from an archive that was sent
+        to = Path(tempfile.mkdtemp(prefix="orrery-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(to, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(to))
+    _shipped.add(sc.applicationId)
+
+
 def tune(spark: SparkSession) -> None:
-    """Bound Arrow batches, unless the session's owner has chosen other bounds."""
+    """Ship the package, and bound Arrow batches unless the session's owner has chosen other bounds."""
+    ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864") in ("67108864", "268435456", "2147483647"):

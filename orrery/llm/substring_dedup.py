@@ -1,7 +1,9 @@
 """Removal of repeated windows of words, with a count-min prefilter.
 
-1. Each input task sketches the hashes of its windows; merging adds the
-   partitions' sketches. An estimate is never below the true count.
+1. Each input task sketches its windows; merging adds the partitions' sketches. The
+   key of a window in the sketch is its least gram of half its length, and each place of such a gram counts
+   once: equal windows have equal keys, so an estimate is never below the true count,
+   and neighbours that share a gram are one entry.
 2. A second pass keeps the windows estimated repeated: none that repeats is lost.
    Of equal ones in a task only the first goes on; the others are known repeats.
 3. Owners of hash ranges group the windows exactly by 80 bits of hash and keep
@@ -31,22 +33,18 @@ FLUSH = 1_500_000
 
 
 def _windows(part: pa.RecordBatch, k: int) -> tuple[tk.Words, np.ndarray, np.ndarray]:
+    """Words, their hashes, and the words at which windows start."""
     data, off = tk.column(part, "text")
     words = tk.Words(data, off, tk.NOT_SPACE)
     at = words.runs(k)
     return words, words.hashes() if len(at) else np.zeros(0, np.uint64), at
 
 
-def _pack(h: np.ndarray) -> tuple:
-    """The upper 48 bits of sorted hashes."""
-    top = h >> np.uint64(16)
-    d = np.diff(top)
-    return (int(top[0]), d.astype(np.uint32)) if not len(d) or int(d.max()) < 1 << 32 else (None, top)
-
-
-def _unpack(packed: tuple) -> np.ndarray:
-    base, rest = packed
-    return rest if base is None else np.cumsum(np.r_[np.uint64(base), rest.astype(np.uint64)])
+def _grams(h: np.ndarray, words: tk.Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of grams of half a window, the key of each window, and the places of the keys' grams."""
+    half = max(1, k // 2)
+    grams = tk.windows(h, half)
+    return grams, *tk.window_minima(grams, words.doc, half, k - half + 1)
 
 
 def _ties(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,12 +62,16 @@ def _ties(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def repeated_spans(docs: DataFrame, k: int, flush: int = FLUSH, max_bits: int = sketch.MAX_BITS) -> DataFrame:
     """Word spans (spans.SPANS) of windows whose words also start earlier."""
     n_ranges = partitions(docs.sparkSession)
-    bits = sketch.bits_for(sketch.text_bytes(docs, "text") // 6, max_bits=max_bits)
+    # about a gram for each quarter of a window, of words of 6 bytes
+    bits = sketch.bits_for(sketch.text_bytes(docs, "text") * 4 // (6 * max(4, k)), max_bits=max_bits)
     slices = lambda batches: tk.chunks(batches, "text")
 
     def hashes(part: pa.RecordBatch) -> np.ndarray:
-        _, h, at = _windows(part, k)
-        return tk.windows(h, k)[at] if len(at) else np.zeros(0, np.uint64)
+        words, h, at = _windows(part, k)
+        if not len(at):
+            return np.zeros(0, np.uint64)
+        grams, _, places = _grams(h, words, k)
+        return grams[places]
 
     repeated = sketch.Repeated(sketch.build(docs, hashes, slices, bits), bits)
 
@@ -90,7 +92,7 @@ def repeated_spans(docs: DataFrame, k: int, flush: int = FLUSH, max_bits: int =
                 used, index = np.unique(doc[own], return_inverse=True)
                 narrow = np.uint16 if len(used) < 65536 else np.uint32
                 place = pos[own].astype(np.uint16 if int(pos[own].max()) < 65536 else np.uint32)
-                rows.append((r, pickle.dumps(("open", _pack(h[own]), chk[own], ids[used], ths[used], index.astype(narrow), place), protocol=5)))
+                rows.append((r, pickle.dumps(("open", spans.pack_hashes(h[own]), chk[own], ids[used], ths[used], index.astype(narrow), place), protocol=5)))
         for r, blob in rows:
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([blob], pa.binary())], names=["owner", "windows"])
 
@@ -104,9 +106,9 @@ def repeated_spans(docs: DataFrame, k: int, flush: int = FLUSH, max_bits: int =
             if not turn:
                 turn = int(ths[0][0] & 0x7FFFFFFF)  # where a task begins to deal is as good as random
             if len(at):
-                keys = tk.windows(h, k)[at]
-                some = np.flatnonzero(repeated.maybe(keys) & valid[words.doc[at]])
-                p, keys = at[some], keys[some]
+                _, keys, _ = _grams(h, words, k)
+                p = at[repeated.maybe(keys[at]) & valid[words.doc[at]]]
+                keys = tk.windows(h, k)[p]
                 d = words.doc[p]
                 check = (tk.windows(h, k, seed=1)[p] >> np.uint64(32)).astype(np.uint32)
                 held.append((keys, check, (d + docs_n).astype(np.int32), (p - words.first[d]).astype(np.uint32)))
@@ -123,9 +125,9 @@ def repeated_spans(docs: DataFrame, k: int, flush: int = FLUSH, max_bits: int =
         for blob in blobs:
             kind, *x = pickle.loads(blob)
             if kind == "done":
-                yield spans.span_rows(x[0], x[1], x[2].astype(np.int64), x[3].astype(np.int64), x[4].astype(np.int64))
+                yield spans.sent(x[0], x[1], x[2].astype(np.int64), x[3].astype(np.int64), x[4].astype(np.int64), n_ranges)
                 continue
-            h.append(_unpack(x[0]))
+            h.append(spans.unpack_hashes(x[0]))
             chk.append(x[1])
             ids.append(x[2])
             ths.append(x[3])
@@ -138,8 +140,7 @@ def repeated_spans(docs: DataFrame, k: int, flush: int = FLUSH, max_bits: int =
         order, first = _ties([h, chk, ids[doc], pos])
         rest = order[~first]
         if len(rest):
-            key, row = np.unique(np.stack([ids[doc[rest]], ths[doc[rest]]]), axis=1, return_inverse=True)
-            yield spans.span_rows(key[0], key[1], row.ravel(), pos[rest], pos[rest] + k)
+            yield spans.sent(ids, ths, doc[rest], pos[rest], pos[rest] + k, n_ranges)
 
     def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
@@ -154,7 +155,7 @@ def repeated_spans(docs: DataFrame, k: int, flush: int = FLUSH, max_bits: int =
             yield from group(blobs)
 
     sent = docs.mapInArrow(candidates, "owner int, windows binary")
-    return sent.repartitionById(n_ranges, F.col("owner")).mapInArrow(owners, spans.SPANS)
+    return spans.collected(sent.repartitionById(n_ranges, F.col("owner")).mapInArrow(owners, spans.SENT), n_ranges)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, max_bits: int = sketch.MAX_BITS, flush: int = FLUSH) -> DataFrame:

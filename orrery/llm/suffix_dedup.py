@@ -6,8 +6,8 @@ their first `length` bytes with a suffix of another document are.
 1. Anchors. In each window of `length` bytes, the q-gram of least hash is its anchor
    (q = 20). Equal windows have equal anchors at equal offsets, so a window repeats only
    where its anchor does. A merged sketch of the anchors tells those that occur once.
-2. The initial buckets: an anchor that may repeat is sent, with the bytes around it,
-   to the owner of its q-gram. Of equal surroundings in a task only that of the
+2. The initial buckets: an anchor that may repeat is sent, as its hash and the bytes around
+   it, to the owner of its q-gram. Of equal surroundings in a task only that of the
    smallest id goes on; the others are known repeats in whole.
 3. Refinement. The owner has the suffixes that begin in each surrounding. They are
    in buckets by their first 8 bytes. Each round sorts on the pair of a suffix's bucket and the bucket
@@ -33,7 +33,7 @@ from .shared import partitions, tune
 #: Bytes of an anchor, and anchors that a task holds before it sends them.
 Q, FLUSH = 20, 200_000
 #: Surroundings that are refined at once; more are split by the anchor's hash.
-REFINED = 60_000
+REFINED = 20_000
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,10 +57,19 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, q: int = Q) -> t
     return at, h[at], doc
 
 
-def surroundings(data: np.ndarray, at: np.ndarray, reach: int, width: int) -> np.ndarray:
-    """A row of bytes for each anchor: `reach` before it up to `width` in all."""
-    padded = np.r_[np.zeros(reach, np.uint8), data, np.zeros(width, np.uint8)]
-    return np.lib.stride_tricks.sliding_window_view(padded, width)[at]
+def surroundings(data: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
+    """A row of bytes for each anchor: `reach` before it and `reach` after it."""
+    padded = np.r_[np.zeros(reach, np.uint8), data, np.zeros(reach, np.uint8)]
+    view = np.lib.stride_tricks.sliding_window_view(padded, reach)
+    return np.concatenate([view[at], view[at + reach + Q]], axis=1)
+
+
+def with_anchor(rows: np.ndarray, h: np.ndarray, reach: int) -> np.ndarray:
+    """Surroundings with the anchor between their halves: its hash stands for its bytes."""
+    out = np.zeros((len(rows), 2 * reach + Q), np.uint8)
+    out[:, :reach], out[:, reach + Q :] = rows[:, :reach], rows[:, reach:]
+    out[:, reach : reach + 8] = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)
+    return out
 
 
 _VEC = tk.powers(0x2545F4914F6CDD1D, 4096)
@@ -113,23 +122,22 @@ def refine(rows: np.ndarray, length: int) -> np.ndarray:
     return bucket
 
 
-def _merge_equal(rows: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _merge_equal(anchor: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by (surrounding, id) and, in that order, the index of the leader of each equal surrounding."""
-    h = _row_hash(rows) + left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = _row_hash(rows) + tk.mix(anchor) + left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     order = np.lexsort((ids, h))
     s = h[order]
     fresh = np.r_[True, s[1:] != s[:-1]]
     lead = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-    same = (rows[order] == rows[lead]).all(axis=1) & (left[order] == left[lead]) & (right[order] == right[lead])
+    same = (anchor[order] == anchor[lead]) & (rows[order] == rows[lead]).all(axis=1) & (left[order] == left[lead]) & (right[order] == right[lead])
     return order, np.where(same, lead, order)  # hashes that collide lead themselves
 
 
 def repeated_spans(docs: DataFrame, length: int, max_bits: int = sketch.MAX_BITS, flush: int = FLUSH, refined: int = REFINED) -> DataFrame:
     """Byte spans (spans.SPANS) of the strings that also start in a document of a smaller id."""
     reach = length - Q
-    width = 2 * length - Q
     n_ranges = partitions(docs.sparkSession)
-    bits = sketch.bits_for(sketch.text_bytes(docs, "text") * 2 // (reach + 2), max_bits=max_bits)
+    bits = sketch.bits_for(sketch.text_bytes(docs, "text") * 2 // (reach + 2), load=0.5, max_bits=max_bits)
     slices = lambda batches: tk.chunks(batches, "text")
 
     def hashes(part: pa.RecordBatch) -> np.ndarray:
@@ -149,7 +157,7 @@ def repeated_spans(docs: DataFrame, length: int, max_bits: int = sketch.MAX_BITS
 
     def send(held: list[tuple], ids: np.ndarray, ths: np.ndarray, turn: int) -> Iterator[pa.RecordBatch]:
         h, rows, left, right, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, lead = _merge_equal(rows, left, right, ids[doc])
+        order, lead = _merge_equal(h, rows, left, right, ids[doc])
         after = ids[doc[order]] > ids[doc[lead]]
         rest = order[after]
         out = []
@@ -159,15 +167,16 @@ def repeated_spans(docs: DataFrame, length: int, max_bits: int = sketch.MAX_BITS
             out.append((turn % n_ranges, pickle.dumps(("done", ids, ths, row.astype(np.int32), start.astype(np.int32), end.astype(np.int32)), protocol=5)))
         # leaders, and places of the leader's own document
         at = order[~after]
+        at = at[np.argsort(h[at], kind="stable")]
         owner = (h[at] >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)
-        by = np.argsort(owner, kind="stable")
-        at, owner = at[by], owner[by]
         cuts = np.searchsorted(owner, np.arange(n_ranges + 1, dtype=np.uint64))
         for r, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if j > i:
                 own = at[i:j]
                 used, index = np.unique(doc[own], return_inverse=True)
-                x = ((h[own]).astype(np.uint32), rows[own], left[own], right[own], ids[used], ths[used], index.astype(np.uint16 if len(used) < 65536 else np.uint32), pos[own])
+                narrow = np.uint16 if len(used) < 65536 else np.uint32
+                text = pa.compress(rows[own].tobytes(), codec="zstd", asbytes=True)
+                x = (spans.pack_hashes(h[own]), text, left[own], right[own], ids[used], ths[used], index.astype(narrow), pos[own])
                 out.append((r, pickle.dumps(("open", *x), protocol=5)))
         for r, blob in out:
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([blob], pa.binary())], names=["owner", "anchors"])
@@ -187,11 +196,11 @@ def repeated_spans(docs: DataFrame, length: int, max_bits: int = sketch.MAX_BITS
                 at, h, doc = at[some], h[some], doc[some]
                 left = np.minimum(at - off[doc], reach).astype(np.uint8 if reach < 256 else np.uint32)
                 right = np.minimum(off[doc + 1] - at - Q, reach).astype(left.dtype)
-                rows = surroundings(data, at, reach, width).copy()
+                rows = surroundings(data, at, reach)
                 # bytes of neighbouring documents are no part of a surrounding
-                col = np.arange(width)
+                col = np.arange(2 * reach)
                 odd = np.flatnonzero((left < reach) | (right < reach))
-                rows[odd] *= (col >= (reach - left[odd].astype(np.int64))[:, None]) & (col < (reach + Q + right[odd].astype(np.int64))[:, None])
+                rows[odd] *= (col >= (reach - left[odd].astype(np.int64))[:, None]) & (col < (reach + right[odd].astype(np.int64))[:, None])
                 held.append((h, rows, left, right, (doc + docs_n).astype(np.int32), (at - off[doc]).astype(np.uint32)))
                 n += len(at)
             docs_n += part.num_rows
@@ -201,9 +210,9 @@ def repeated_spans(docs: DataFrame, length: int, max_bits: int = sketch.MAX_BITS
         if n:
             yield from send(held, np.concatenate(ids), np.concatenate(ths), turn)
 
-    def resolve(rows, left, right, ids) -> np.ndarray:
+    def resolve(h, rows, left, right, ids) -> np.ndarray:
         """For each surrounding the places (columns) at which a removed string starts."""
-        bucket = refine(rows, length)
+        bucket = refine(with_anchor(rows, h, reach), length)
         n = bucket.shape[1]
         # column c starts reach - c bytes before the anchor and ends length - that after
         col = np.arange(n)
@@ -231,16 +240,15 @@ def repeated_spans(docs: DataFrame, length: int, max_bits: int = sketch.MAX_BITS
         if not len(some):
             return
         h, rows, left, right, doc, pos = (x[some] for x in (h, rows, left, right, doc, pos.astype(np.int64)))
-        order, lead = _merge_equal(rows, left, right, ids[doc])
+        order, lead = _merge_equal(h, rows, left, right, ids[doc])
         after = ids[doc[order]] > ids[doc[lead]]
         rest = order[after]
         if len(rest):
             start, end = whole(pos[rest], left[rest].astype(np.int64), right[rest].astype(np.int64))
-            key, row = np.unique(doc[rest], return_inverse=True)
-            yield spans.span_rows(ids[key], ths[key], row, start, end)
+            yield spans.sent(ids, ths, doc[rest], start, end, n_ranges)
         # what is left: one surrounding of each kind, and places in the leader's own document
         own = np.unique(lead)
-        mark = resolve(rows[own], left[own], right[own], ids[doc[own]])
+        mark = resolve(h[own], rows[own], left[own], right[own], ids[doc[own]])
         back = np.full(len(rows), -1, np.int64)
         back[own] = np.arange(len(own))
         mine = order[~after]
@@ -248,8 +256,7 @@ def repeated_spans(docs: DataFrame, length: int, max_bits: int = sketch.MAX_BITS
         r, c = np.nonzero(m)
         if len(r):
             start = pos[mine[r]] - reach + c
-            key, row = np.unique(doc[mine[r]], return_inverse=True)
-            yield spans.span_rows(ids[key], ths[key], row, start, start + length)
+            yield spans.sent(ids, ths, doc[mine[r]], start, start + length, n_ranges)
 
     def group(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         cols: list[list[np.ndarray]] = [[] for _ in range(8)]
@@ -257,9 +264,11 @@ def repeated_spans(docs: DataFrame, length: int, max_bits: int = sketch.MAX_BITS
         for blob in blobs:
             kind, *x = pickle.loads(blob)
             if kind == "done":
-                yield spans.span_rows(x[0], x[1], x[2].astype(np.int64), x[3].astype(np.int64), x[4].astype(np.int64))
+                yield spans.sent(x[0], x[1], x[2].astype(np.int64), x[3].astype(np.int64), x[4].astype(np.int64), n_ranges)
                 continue
-            h, rows, left, right, ids, ths, doc, pos = x
+            packed, text, left, right, ids, ths, doc, pos = x
+            h = spans.unpack_hashes(packed)
+            rows = np.frombuffer(pa.decompress(text, decompressed_size=len(h) * 2 * reach, codec="zstd"), np.uint8).reshape(len(h), 2 * reach)
             for held, new in zip(cols, (h, rows, left, right, doc.astype(np.int64) + base, pos, ids, ths), strict=True):
                 held.append(new)
             base += len(ids)
@@ -286,7 +295,7 @@ def repeated_spans(docs: DataFrame, length: int, max_bits: int = sketch.MAX_BITS
             yield from group(blobs)
 
     sent = docs.mapInArrow(candidates, "owner int, anchors binary")
-    return sent.repartitionById(n_ranges, F.col("owner")).mapInArrow(owners, spans.SPANS)
+    return spans.collected(sent.repartitionById(n_ranges, F.col("owner")).mapInArrow(owners, spans.SENT), n_ranges)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, max_bits: int = sketch.MAX_BITS, flush: int = FLUSH, refined: int = REFINED) -> DataFrame:

@@ -192,6 +192,18 @@ def sliding(x: np.ndarray, w: int, op) -> np.ndarray:
     return op(cur[:n], cur[w - size : w - size + n])
 
 
+def window_minima(grams: np.ndarray, doc: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of k-gram hashes: the least of each w consecutive ones, as keys of windows of k + w - 1 units, and the
+    places of the grams that are least in some window. Equal windows have equal keys at equal offsets.
+
+    doc: document of each unit. Keys are for all places, of windows that leave their document too."""
+    low = sliding(grams, w, np.minimum)
+    whole = doc[: len(low)] == doc[k + w - 2 : k + w - 2 + len(low)]
+    padded = np.r_[np.zeros(w - 1, np.uint64), np.where(whole, low, np.uint64(0)), np.zeros(w - 1, np.uint64)]
+    at = np.flatnonzero(sliding(padded, w, np.maximum)[: len(grams)] == grams) if len(low) else np.zeros(0, np.int64)
+    return low, at
+
+
 def merged(start: np.ndarray, end: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Union of half-open intervals in each group, as maximal runs sorted by group and start."""
     if not len(start):
