@@ -51,32 +51,33 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         tree[i] = a if a < b else b
     end = list(range(1, n + 1))  # a live token at i covers piece[i:end[i]]
     left = list(range(-1, n))  # the live token before the one that starts at i
-
-    def put(i: int, value: int) -> None:
-        i += size
-        tree[i] = value
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            low = a if a < b else b
-            if tree[i] == low:
-                break
-            tree[i] = low
-            i >>= 1
-
+    mask = size - 1
     while tree[1] < _NONE:
-        i = tree[1] & (size - 1)
+        i = tree[1] & mask
         gone = end[i]
         stop = end[gone]
         end[i] = stop
         left[stop] = i
-        put(gone, _NONE)
+        # point updates: the pair that is gone, the one that begins here, the one before
+        updates = [(gone, _NONE)]
         r = get(piece[i : end[stop]]) if stop < n else None
-        put(i, _NONE if r is None else r * size + i)
+        updates.append((i, _NONE if r is None else r * size + i))
         before = left[i]
         if before >= 0:
             r = get(piece[before:stop])
-            put(before, _NONE if r is None else r * size + before)
+            updates.append((before, _NONE if r is None else r * size + before))
+        for at, value in updates:
+            at += size
+            if tree[at] != value:
+                tree[at] = value
+                while at > 1:
+                    other = tree[at ^ 1]
+                    at >>= 1
+                    if other < value:
+                        value = other
+                    if tree[at] == value:
+                        break
+                    tree[at] = value
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -87,24 +88,28 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder:
     """Encodes texts as the rank file's own library does without special tokens."""
 
-    def __init__(self, path: str, pattern: str, remember: int = 200_000, longest: int = 64):
+    def __init__(self, path: str, pattern: str, remember: int = 250_000, longest: int = 64):
         import regex
 
         self.ranks, self.split, self.remember, self.longest = load_ranks(path), regex.compile(pattern).findall, remember, longest
+        # two generations: what the older one is asked for moves to the younger
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def piece(self, match: str) -> tuple[int, ...]:
-        raw = match.encode()
-        whole = self.ranks.get(raw)
-        ids = (whole,) if whole is not None else tuple(merge(raw, self.ranks))
+        ids = self.older.get(match)
+        if ids is None:
+            raw = match.encode()
+            whole = self.ranks.get(raw)
+            ids = (whole,) if whole is not None else tuple(merge(raw, self.ranks))
         if len(match) <= self.longest:
-            if len(self.known) >= self.remember:
-                self.known.clear()
             self.known[match] = ids
         return ids
 
     def encode(self, text: str, out: array) -> None:
         """Append the ids of `text` to `out`."""
+        if len(self.known) >= self.remember:
+            self.known, self.older = {}, self.known
         get, piece, extend = self.known.get, self.piece, out.extend
         for match in self.split(text):
             extend(get(match) or piece(match))
@@ -131,6 +136,32 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind, False)])
 
 
+def _ids(enc: Encoder, texts: pa.Array) -> pa.ListArray:
+    flat, ends = array("i"), [0]
+    for text in texts.to_pylist():
+        if text:
+            enc.encode(text, flat)
+        ends.append(len(flat))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+
+
+def _id_bytes(path: str) -> pa.Array:
+    """The bytes of each id, in order."""
+    by_id = {b: a for a, b in load_ranks(path).items()}
+    if set(by_id) != set(range(len(by_id))):
+        raise ValueError("ids of the rank file are not 0..n-1")
+    return pa.array([by_id[i] for i in range(len(by_id))], pa.binary())
+
+
+def _bytes(table: pa.Array, lists: pa.ListArray) -> pa.Array:
+    """The ids' bytes, one after the other, of each list."""
+    counts = np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))].astype(np.int64)
+    taken = table.take(lists.flatten())
+    off = np.frombuffer(taken.buffers()[1], np.int32)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int32)
+    data = taken.buffers()[2] if len(taken) else pa.py_buffer(b"")
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(off[counts].astype(np.int32).tobytes()), data])
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
     """`docs` with the ids of each whole text as array<int>. Null and empty texts have no ids.
 
@@ -141,13 +172,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         for part in tk.chunks(batches, text_col):
-            flat, ends = array("i"), [0]
-            for text in part.column(text_col).to_pylist():
-                if text:
-                    enc.encode(text, flat)
-                ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
-            yield _appended(part, out_col, ids)
+            yield _appended(part, out_col, _ids(enc, part.column(text_col)))
 
     return docs.mapInArrow(run, _with(docs, out_col, T.ArrayType(T.IntegerType(), False)))
 
@@ -157,25 +182,32 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "token_ids", out_col: st
     tune(tokens.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = {b: a for a, b in load_ranks(path).items()}
-        if set(by_id) != set(range(len(by_id))):
-            raise ValueError("ids of the rank file are not 0..n-1")
-        table = pa.array([by_id[i] for i in range(len(by_id))], pa.binary())
+        table = _id_bytes(path)
         for batch in batches:
-            step = 256
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                lists = part.column(ids_col)
-                counts = np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))].astype(np.int64)
-                taken = table.take(lists.flatten())
-                off = np.frombuffer(taken.buffers()[1], np.int32)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int32)
-                data = taken.buffers()[2] if len(taken) else pa.py_buffer(b"")
-                out = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(off[counts].astype(np.int32).tobytes()), data])
-                yield _appended(part, out_col, out)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield _appended(part, out_col, _bytes(table, part.column(ids_col)))
 
     return tokens.mapInArrow(run, _with(tokens, out_col, T.BinaryType()))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
+    """decode(encode(docs)) in one pass, without `text_col`: the ids leave the worker once."""
+    tune(docs.sparkSession)
+    rest = [f for f in docs.schema.fields if f.name != text_col]
+    if {ids_col, out_col} & {f.name for f in rest}:
+        raise ValueError("a column of the result exists already")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, table = encoder(path, pattern), _id_bytes(path)
+        for part in tk.chunks(batches, text_col):
+            ids = _ids(enc, part.column(text_col))
+            keep = [(f.name, c) for f, c in zip(part.schema, part.columns, strict=True) if f.name != text_col]
+            yield pa.RecordBatch.from_arrays([*(c for _, c in keep), ids, _bytes(table, ids)], names=[*(n for n, _ in keep), ids_col, out_col])
+
+    return docs.mapInArrow(run, T.StructType([*rest, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False), T.StructField(out_col, T.BinaryType(), False)]))
+
+
 def count(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
     """`docs` with the number of ids of each whole text, without shipping the ids."""
     tune(docs.sparkSession)

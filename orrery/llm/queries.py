@@ -23,7 +23,7 @@ def _vocabulary() -> tuple[str, str]:
 def tokenised(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and digests of ids and decoded bytes; the ids are decoded again."""
     path, pattern = _vocabulary()
-    coded = bpe.decode(bpe.encode(docs, path, pattern, text_col).drop(text_col), path)
+    coded = bpe.round_trip(docs, path, pattern, text_col)
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     return coded.select(
         *rest,
