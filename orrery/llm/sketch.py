@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel as tk
 from .shared import partitions
 
 #: 2 rows of 2**29 cells: 128 MiB of bits, the most that is ever broadcast.
@@ -34,7 +35,8 @@ def bits_for(expected: int, load: float = 0.25, max_bits: int = MAX_BITS) -> int
 
 
 def cell(h: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (h * _ROW_MULT[row]) >> np.uint64(64 - bits)
+    """Keys are often least hashes, which are small; mixed again, they spread evenly."""
+    return tk.mix(h * _ROW_MULT[row]) >> np.uint64(64 - bits)
 
 
 def pack_sorted(a: np.ndarray, base: int) -> bytes:
