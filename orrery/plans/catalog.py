@@ -66,12 +66,12 @@ def find_similar_euclidean(spark, sf_dir):
 
 @query
 def search_by_domain(spark, sf_dir):
-    return search.search_by_domain(fx.points(spark, sf_dir), "api", 10)
+    return search.search_by_domain(fx.points(spark, sf_dir), "api", 10).drop("created_at")
 
 
 @query
 def list_code_points(spark, sf_dir):
-    return search.list_points(fx.points(spark, sf_dir), 50, 25)
+    return search.list_points(fx.points(spark, sf_dir), 50, 25).drop("created_at")
 
 
 @query
@@ -319,7 +319,7 @@ def graph_degrees(spark, sf_dir):
 
 @query
 def graph_pagerank(spark, sf_dir):
-    return rounded(graph.pagerank(*_graph(spark, sf_dir)))
+    return rounded(graph.pagerank(*_graph(spark, sf_dir), most=60, tolerance=0.0))
 
 
 @query
