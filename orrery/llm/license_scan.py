@@ -127,8 +127,16 @@ class Scanner:
         self.automaton = Automaton.of([[self.vocabulary[w] for w in words] for words in every])
         n = len(self.phrase_words)
         a = self.automaton
-        # phrases that end in a state, as suffixes of its runs: (phrase, words)
-        self.ends = [[(t, e) for t, e in p if t < n and e == len(self.phrase_words[t])] for p in a.places]
+        # phrases that are suffixes of a state's runs, as (phrase, words): those of its link, and its own
+        own: dict[int, list[tuple[int, int]]] = {}
+        for t, words in enumerate(self.phrase_words):
+            state = 0
+            for w in words:
+                state = a.next[state][self.vocabulary[w]]
+            own.setdefault(state, []).append((t, len(words)))
+        self.ends: list[list[tuple[int, int]]] = [[] for _ in a.next]
+        for s in sorted(range(1, len(a.next)), key=a.length.__getitem__):
+            self.ends[s] = self.ends[a.link[s]] + own.get(s, [])
         self.spans = [[(t - n, e) for t, e in p if t >= n] for p in a.places]
         self.min_match = min_match
         self.shortest = min([*(len(p) for p in self.phrase_words), min_match])
@@ -151,7 +159,7 @@ class Scanner:
             length = length + 1 if state else 0
             if had >= self.min_match and length != had + 1:
                 matches.append((i - had, had, before))
-            # phrases no longer than the match; those of links are among `ends` by construction
+            # a state's shorter runs may lack the phrase's first words
             phrases.extend((t, i + 1 - e) for t, e in self.ends[state] if e <= length)
         if length >= self.min_match:
             matches.append((len(words) - length, length, state))

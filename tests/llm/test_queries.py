@@ -1,0 +1,54 @@
+"""The corpus queries against their SQL, and the pipeline's decisions, on the smallest tables."""
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from orrery.llm import oracle, queries
+
+TABLES = ["documents", "benchmark", "labels"]
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
+def test_query_equals_sql(spark, duck, sf_dir, name):
+    want, got = duck.execute(oracle.oracle_sql()[name]).df(), queries.queries()[name](spark, sf_dir).toPandas()
+    cols = sorted(want.columns)
+    order = lambda d: d[cols].sort_values(cols).reset_index(drop=True)
+    assert cols == sorted(got.columns) and len(want) == len(got)
+    assert (order(want) == order(got)).all().all()
+
+
+def test_language_is_right_on_held_out_documents(spark, sf_dir):
+    got = queries.op4_language_id(spark, sf_dir).toPandas().merge(queries.table(spark, sf_dir, "documents").select("doc_id", "lang").toPandas(), on="doc_id")
+    held = got[got.held_out]
+    assert (held.lang == held.lang_pred).mean() > 0.95
+
+
+def test_quality_agrees_with_labels(spark, sf_dir):
+    got = queries.op10_quality(spark, sf_dir).toPandas().merge(queries.acceptable(queries.table(spark, sf_dir, "labels")).toPandas(), on="doc_id")
+    assert (got[got.good == 1].quality_keep).mean() > 0.95
+
+
+def test_pipeline_stages(spark, sf_dir):
+    docs = queries.table(spark, sf_dir, "documents")
+    columns, left = docs.columns, docs.count()
+    assert len(corpus_pipeline.STAGES) == 5
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = corpus_pipeline.shared_table(stage(spark, docs, sf_dir), "test")
+        assert docs.columns == columns, name
+        assert docs.join(before, "doc_id", "left_anti").count() == 0
+        assert docs.count() <= left
+        left = docs.count()
+        again = stage(spark, docs, sf_dir).count() if name != "quality classifier" else left
+        assert again == left, name  # nothing is left for a second run
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert last.count() == left and "n_tokens" in last.columns
