@@ -324,7 +324,7 @@ def graph_pagerank(spark, sf_dir):
 
 @query
 def graph_hits(spark, sf_dir):
-    return rounded(graph.hits(*_graph(spark, sf_dir), most=20, tolerance=0.0))
+    return rounded(graph.hits(*_graph(spark, sf_dir), tolerance=0.0))
 
 
 @query
@@ -340,7 +340,8 @@ def analyze_graph(spark, sf_dir):
 @query
 def graph_top(spark, sf_dir):
     p, e = _graph(spark, sf_dir)
-    return rounded(graph.top(graph.centralities(p, e), 10))
+    m = graph.pagerank(p, e, most=60, tolerance=0.0).join(graph.hits(p, e, tolerance=0.0), "id").join(graph.betweenness(p, e), "id")
+    return rounded(graph.top(m, 10))
 
 
 @query

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from orrery.functions import lexical, semantic, structural
-from orrery.operators import clones, contracts, surface
+from orrery.operators import changes, clones, contracts, surface
 
 POINTS = """points AS (
   SELECT id, '/src/' || dominant_domain || '/v' || id || ['.py', '.js', '.ts', '.go'][id % 4 + 1] AS file_path, p, p[1:48] AS lexical, p[49:60] AS structural,
@@ -159,6 +159,14 @@ pr(turn, id, r) AS (
     SELECT pr.turn + 1 AS turn, l.d AS id, pr.r * l.w AS m FROM pr JOIN links l ON l.s = pr.id WHERE pr.turn < 60
     UNION ALL SELECT pr.turn + 1, pr.id, 0::DOUBLE FROM pr WHERE pr.turn < 60) GROUP BY turn, id),
 ranks AS (SELECT id, r / sum(r) OVER () AS pagerank FROM pr WHERE turn = 60)"""
+HITS = """hits(turn, id, kind, x) AS (
+  SELECT 0, id, kind, 1.0::DOUBLE FROM points, (VALUES ('h'), ('a')) k(kind)
+  UNION ALL
+  SELECT turn, id, kind, x / sqrt(sum(x * x) OVER (PARTITION BY kind)) FROM (SELECT turn, id, kind, sum(m) AS x FROM (
+    SELECT s.turn + 1 AS turn, CASE WHEN s.kind = 'h' THEN c.callee_id ELSE c.caller_id END AS id, CASE WHEN s.kind = 'h' THEN 'a' ELSE 'h' END AS kind, s.x AS m
+    FROM hits s JOIN contracts c ON CASE WHEN s.kind = 'h' THEN c.caller_id ELSE c.callee_id END = s.id WHERE s.turn < 100
+    UNION ALL SELECT turn + 1, id, kind, 0::DOUBLE FROM hits WHERE turn < 100) GROUP BY turn, id, kind)),
+scores AS (SELECT h.id, h.x AS hub_score, a.x AS authority_score FROM hits h JOIN hits a ON a.id = h.id AND a.turn = 100 AND a.kind = 'a' WHERE h.turn = 100 AND h.kind = 'h')"""
 TENSE = "tense AS (SELECT callee_id AS id, count(*) AS n FROM tensions WHERE status = 'detected' GROUP BY callee_id)"
 DRIFTS = """sd AS (SELECT a.file_path AS fa, b.file_path AS fb, 1 - list_cosine_similarity(a.p[1:60], b.p[1:60]) AS d FROM points a JOIN points b ON a.dominant_domain = b.dominant_domain AND a.file_path < b.file_path),
 semantic AS (SELECT 'semantic' AS drift_type, CASE WHEN d - 0.4::DOUBLE > 0.3::DOUBLE THEN 'high' WHEN d - 0.4::DOUBLE > 0.15::DOUBLE THEN 'medium' ELSE 'low' END AS severity, fa AS file_a, fb AS file_b, d AS current_distance, 0.4::DOUBLE AS expected_distance, d - 0.4::DOUBLE AS drift_amount FROM sd WHERE d > 0.4::DOUBLE),
@@ -196,6 +204,27 @@ def _wave(ids: str) -> str:
     return ", ".join(levels) + f", wave AS (SELECT *, (i < 0.05::DOUBLE OR id NOT IN (SELECT callee_id FROM contracts)) AS is_boundary FROM ({every}))"
 
 
+def _paths(levels: int = 14) -> str:
+    """Shortest paths (s, v, d, p = their number) level by level, and betweenness from them."""
+    out = ["b0 AS (SELECT id AS s, id AS v, 0 AS d, 1.0::DOUBLE AS p FROM points)"]
+    for n in range(1, levels):
+        seen = " UNION ALL ".join(f"SELECT s, v FROM b{m}" for m in range(n))
+        out.append(f"b{n} AS (SELECT x.s, x.v, {n} AS d, sum(x.p) AS p FROM (SELECT l.s, c.callee_id AS v, l.p FROM b{n - 1} l JOIN contracts c ON c.caller_id = l.v) x ANTI JOIN ({seen}) o ON o.s = x.s AND o.v = x.v GROUP BY ALL)")
+    every = " UNION ALL ".join(f"SELECT * FROM b{n}" for n in range(levels))
+    return (
+        ", ".join(out)
+        + f""", sp AS ({every}), through AS (SELECT a.v AS id, sum(a.p * b.p / c.p) AS b FROM sp a JOIN sp b ON b.s = a.v JOIN sp c ON c.s = a.s AND c.v = b.v AND c.d = a.d + b.d WHERE a.s <> a.v AND b.s <> b.v GROUP BY a.v),
+btw AS (SELECT p.id, coalesce(t.b, 0) / ((SELECT count(*) FROM points) - 1) / ((SELECT count(*) FROM points) - 2) AS betweenness FROM points p LEFT JOIN through t ON t.id = p.id)"""
+    )
+
+
+def _snippets() -> str:
+    trimmed = "[regexp_replace(x, '^\\s+|\\s+$', '', 'g') FOR x IN ln]"
+    kinds = ", ".join(f"len(list_filter(t, lambda x: regexp_matches(x, '{_q('|'.join(f'(?:{p})' for p in patterns))}')))::INTEGER AS n_{k}" for k, patterns in changes.SNIPPETS.items())
+    return f"""l AS (SELECT file_path, content, string_split(content, chr(10)) AS ln FROM files), lt AS (SELECT *, {trimmed} AS t FROM l)
+SELECT file_path, len(ln)::INTEGER AS total_lines, {kinds}, len(ln) <= 50 AS complete, md5(CASE WHEN len(ln) <= 50 THEN content ELSE array_to_string(ln[1:50], chr(10)) || chr(10) || '... (' || (len(ln) - 50) || ' more lines)' END) AS content_md5 FROM lt"""
+
+
 def _debt() -> str:
     return (
         f"WITH {CONTRACTS}, {DELTAS}, {COMMITS}, {TENSIONS}, {FILES}, {_structural()}, {_clones()}, {TENSE}, "
@@ -246,6 +275,9 @@ SELECT file_a, file_b, round(1 - s, 6) AS total_distance, round(s, 6) AS similar
         "resolve_imports": f"{f}, {_imports()} SELECT caller, target, callee FROM resolved",
         "detect_contracts": f"""{f}, {_imports()}, {_lexical()}, {_structural()}, {_semantic()}, pos AS (SELECT l.file_path, substr(md5(l.file_path), 1, 12) AS id, l.v || s.v || m.v AS p FROM lex l JOIN struct s ON s.file_path = l.file_path JOIN sem m ON m.file_path = l.file_path)
 SELECT substr(md5(a.id || ':' || b.id), 1, 12) AS id, a.id AS caller_id, b.id AS callee_id, 'import' AS contract_type, round(list_distance(a.p, b.p), 6) AS baseline_distance FROM (SELECT DISTINCT caller, callee FROM resolved WHERE caller <> callee) r JOIN pos a ON a.file_path = r.caller JOIN pos b ON b.file_path = r.callee""",
+        "extract_snippets": f"{f}, {_snippets()}",
+        "suggest_fix": f"""{c}, {DELTAS}, last AS (SELECT * FROM deltas WHERE code_point_id = 7 ORDER BY created_at DESC, id::VARCHAR DESC LIMIT 1)
+SELECT caller_path, callee_path, round(baseline_distance, 6) AS baseline_distance, dominant_change AS change_type, CASE WHEN movement_magnitude > 1 THEN 'high' WHEN movement_magnitude > 0.5 THEN 'medium' ELSE 'low' END AS severity, 1::INTEGER AS caller_imports, 1::INTEGER AS callee_functions FROM contracts LEFT JOIN last ON true WHERE callee_id = 7""",
         "get_contracts": f"{c} SELECT id, caller_path, callee_path, contract_type, round(baseline_distance, 6) AS baseline_distance FROM contracts WHERE caller_id = 7 OR callee_id = 7",
         "get_contract_stats": f"{c} SELECT contract_type, count(*) AS contracts, round(avg(baseline_distance), 6) AS avg_baseline, round(min(baseline_distance), 6) AS min_baseline, round(max(baseline_distance), 6) AS max_baseline FROM contracts GROUP BY contract_type",
         "analyze_impact": f"{c} SELECT caller_path, round(baseline_distance, 6) AS baseline_distance, round(1 - list_cosine_similarity(pa, pb), 6) AS current_distance, round(1 - list_cosine_similarity(pa, pb) - baseline_distance, 6) AS distance_delta FROM contracts WHERE callee_id = 7",
@@ -269,6 +301,10 @@ SELECT substr(md5(contract_id || ':' || delta_id), 1, 12) AS id, contract_id, de
         "stale_files": f"{h} SELECT file_path, round(days_since_change, 6) AS days_since_change FROM temporal WHERE days_since_change <= 0.2::DOUBLE",
         "graph_degrees": f"{c}, {DEGREES} SELECT id, in_degree, out_degree FROM deg",
         "graph_pagerank": f"WITH RECURSIVE {CONTRACTS}, {PAGERANK} SELECT id, round(pagerank, 6) AS pagerank FROM ranks",
+        "graph_hits": f"WITH RECURSIVE {CONTRACTS}, {HITS} SELECT id, round(hub_score, 6) AS hub_score, round(authority_score, 6) AS authority_score FROM scores",
+        "graph_betweenness": f"{c}, {_paths()} SELECT id, round(betweenness, 6) AS betweenness FROM btw",
+        "graph_top": f"""WITH RECURSIVE {CONTRACTS}, {PAGERANK}, {HITS}, {_paths()}, long AS (SELECT 'pagerank' AS metric, id, pagerank AS score FROM ranks UNION ALL SELECT 'hub_score', id, hub_score FROM scores UNION ALL SELECT 'authority_score', id, authority_score FROM scores UNION ALL SELECT 'betweenness', id, betweenness FROM btw),
+r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY score DESC, id) AS rank FROM long) SELECT metric, rank::INTEGER AS rank, id, round(score, 6) AS score FROM r WHERE rank <= 10""",
         "analyze_graph": f"{c}, k AS (SELECT (SELECT count(*) FROM points) AS n_nodes, (SELECT count(*) FROM contracts) AS n_edges) SELECT n_nodes, n_edges, round(n_edges / n_nodes::DOUBLE, 6) AS avg_degree, round(n_edges / (n_nodes * (n_nodes - 1))::DOUBLE, 6) AS density FROM k",
         "simulate_wave": f"{c}, {w1} SELECT id, distance::INTEGER AS distance, round(i, 6) AS wave_intensity, (distance + 1)::INTEGER AS hops, is_boundary, domain, (row_number() OVER (PARTITION BY source ORDER BY i DESC, distance, id))::INTEGER AS priority FROM wave",
         "multi_wave": f"{c}, {w3} SELECT id, round(max(i), 6) AS max_intensity, min(distance)::INTEGER AS min_distance, count(DISTINCT source) AS n_waves FROM wave GROUP BY id",
