@@ -6,16 +6,20 @@ different sets.
 
 1. Documents with equal sets are one node: a copy group moves as one row.
 2. Tokens have one order for all: those that are frequent in some task come last, the
-   others by hash. Two sets that link share a token among the first n - ceil(t n) + 1 of
-   each (prefix filter). A merged sketch drops prefix tokens that occur once.
+   others by hash. Two sets that link share l tokens among the first n - ceil(t n) + l of
+   each (prefix filter); l grows with the smaller set. A merged sketch drops prefix tokens
+   that occur once, and documents that share too few tokens with sets near in size go.
 3. Stars: each token's documents are compared with one of them. What links is joined
    into components; two turns, the second with other centres.
-4. Groups: each component's documents are split into groups of a bounded number, which
-   thus hold similar documents. The matrix has a row for each token and group. Only what
-   stars left open is asked: a document against groups of other components, by the tokens
-   they share. The overlap with a group's token union bounds that with each of its members; a group is opened
-   only where the bound reaches t times the document's tokens.
-5. Members of opened groups are compared exactly, and the components are final.
+4. Groups: documents that are still open are split into groups of a bounded number of
+   documents and tokens: those of a large component, else those that share their most
+   frequent open token and are near in size. The matrix has a column of bits for each group:
+   the union of its members' tokens, hashed to BITS rows. Only what stars left open is asked:
+   a group's documents against the groups with which it shares l prefix tokens. Tokens whose
+   bit the group lacks are in none of its members, so the others bound the overlap; a group is
+   opened only where the bound reaches t times the document's tokens.
+5. Members of opened groups are compared, by the same bound on their own bits and then exactly,
+   and the components are final.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sketch
@@ -32,10 +36,14 @@ from . import textkernel as tk
 from .components import components
 from .shared import shared_table, tune
 
-#: Documents of a group at most, about.
-GROUP = 16
+#: Documents and tokens of a group, about.
+GROUP, GROUP_TOKENS = 64, 2048
 #: Rows of the table of frequent tokens at most (16 MiB). It sets the order of tokens only.
 FREQUENT = 1 << 20
+#: Ids that are broadcast at most; beyond, texts are shuffled to them.
+IDS = 1 << 20
+#: Bits of a column of the matrix.
+BITS = 2048
 
 
 def shingles(part: pa.RecordBatch, n: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,6 +98,12 @@ def frequent_tokens(docs: DataFrame, n: int, lower: bool, flush: int = 2_000_000
     return docs.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def depth(n, percent: int):
+    """Tokens that two prefixes must share, for the smaller set's size (a number, an array or a Column)."""
+    extra = n * (100 - percent) / 200
+    return 1 + (F.floor(extra) if isinstance(n, Column) else np.floor(extra).astype(np.int64))
+
+
 def prefixes(docs: DataFrame, n: int, percent: int, lower: bool, frequent: DataFrame) -> DataFrame:
     """_id, n_shingles, sig_a, sig_b (of the set), prefix array<bigint>."""
     rows = frequent.orderBy(F.col("n").desc(), "token").limit(FREQUENT).select("token", "n").toArrow()
@@ -107,7 +121,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, lower: bool, frequent: DataF
                 at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                 weight = np.where(known[at] == keys, often[at], 0).astype(np.uint32)
             order = np.lexsort((keys, weight, docs_))
-            take = size - -(-percent * size // 100) + (size > 0)
+            take = np.minimum(size, size - -(-percent * size // 100) + depth(size, percent))
             place = np.arange(len(keys)) - np.repeat(first[:-1], size)
             prefix = keys[order][place < np.repeat(take, size)]
             sig = []
@@ -120,7 +134,22 @@ def prefixes(docs: DataFrame, n: int, percent: int, lower: bool, frequent: DataF
     return docs.mapInArrow(run, "_id bigint, n_shingles bigint, sig_a bigint, sig_b bigint, prefix array<bigint>")
 
 
-def _sets(docs: DataFrame, n: int, lower: bool) -> DataFrame:
+def _bits(docs: DataFrame, n: int, lower: bool) -> DataFrame:
+    """doc, n, and the bits of its tokens as BITS / 64 longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            keys, docs_, first = shingles(part, n, lower)
+            bit = (keys >> np.uint64(32)) % np.uint64(BITS)
+            bits = np.zeros((part.num_rows, BITS // 64), np.uint64)
+            np.bitwise_or.at(bits, (docs_, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * (BITS // 64), pa.int32()), pa.array(bits.ravel().view(np.int64), pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(np.diff(first), pa.int64()), rows], names=["doc", "n", "bits"])
+
+    return docs.mapInArrow(run, "doc bigint, n bigint, bits array<bigint>")
+
+
+def _tokens(docs: DataFrame, n: int, lower: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
             keys, _, first = shingles(part, n, lower)
@@ -130,6 +159,16 @@ def _sets(docs: DataFrame, n: int, lower: bool) -> DataFrame:
     return docs.mapInArrow(run, "doc bigint, tokens array<bigint>")
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `docs` whose _id is in the written table `ids`: broadcast if it is small, else a shuffle."""
+    return docs.join(F.broadcast(ids) if ids.count() <= IDS else ids, "_id", "left_semi")
+
+
+def _missing(a: Column, b: Column) -> Column:
+    """Bits of a that b lacks: so many of a's tokens, at least, b hasn't."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
+
+
 def _maybe_repeated(reps: DataFrame, max_bits: int) -> DataFrame:
     """token, doc, n: prefix tokens that may occur in several sets."""
     total = reps.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
@@ -149,12 +188,30 @@ def _maybe_repeated(reps: DataFrame, max_bits: int) -> DataFrame:
     return reps.mapInArrow(run, "token bigint, doc bigint, n bigint")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of which the sets link."""
+def _hope(n: Column, a: Column, m: Column, b: Column, percent: int) -> Column:
+    """False only where sets of n and m tokens with bits a and b can't link."""
+    most = F.least(n - _missing(a, b), m - _missing(b, a))
+    return 100 * most >= percent * (n + m - most)
+
+
+def _links(pairs: DataFrame, bits: DataFrame, rows: DataFrame, n: int, percent: int, lower: bool) -> DataFrame:
+    """Pairs (u, v) of which the sets link: first by the bound of their bits, then exactly."""
+    a = bits.select(F.col("doc").alias("u"), "n", F.col("bits").alias("a"))
+    b = bits.select(F.col("doc").alias("v"), F.col("n").alias("m"), F.col("bits").alias("b"))
+    hope = pairs.join(a, "u").join(b, "v").where(_hope(F.col("n"), F.col("a"), F.col("m"), F.col("b"), percent))
+    return _exact(hope.select("u", "v"), rows, n, percent, lower)
+
+
+def _exact(hope: DataFrame, rows: DataFrame, n: int, percent: int, lower: bool) -> DataFrame:
+    """Pairs (u, v) of which the sets of `rows`' texts link."""
+    hope = shared_table(hope, "hopeful")
+    ends = shared_table(hope.select(F.explode(F.array("u", "v")).alias("_id")).distinct(), "ends")
+    sets = shared_table(_tokens(_only(rows, ends), n, lower), "tokens")
     a = sets.select(F.col("doc").alias("u"), F.col("tokens").alias("a"))
     b = sets.select(F.col("doc").alias("v"), F.col("tokens").alias("b"))
     both = F.size(F.array_intersect("a", "b")).cast("long")
-    return pairs.join(a, "u").join(b, "v").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v")
+    found = hope.join(a, "u").join(b, "v").where(100 * both >= percent * (F.size("a") + F.size("b") - both))
+    return shared_table(found.select("u", "v"), "links")
 
 
 def _sizes_fit(a: Column, low: Column, high: Column, percent: int) -> Column:
@@ -183,50 +240,69 @@ def jaccard_components(
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     table = shared_table(prefixes(rows, n, percent, lower, frequent_tokens(rows, n, lower)), "prefixes")
     equal = shared_table(table.where("n_shingles > 0").groupBy("sig_a", "sig_b").agg(F.min("_id").alias("doc"), F.min("n_shingles").alias("n")), "sets")
-    lead = equal.where("doc is not null").select("sig_a", "sig_b", "doc", "n")
-    own = table.where("n_shingles > 0").select(F.col("_id").alias("doc"), "sig_a", "sig_b", "prefix")
-    reps = own.join(lead, ["doc", "sig_a", "sig_b"]).select("doc", "n", "prefix")
-    postings = _maybe_repeated(shared_table(reps, "leaders"), max_bits)
-    several = postings.groupBy("token").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last")
-    shared = shared_table(shared_table(postings, "postings").join(several, "token").select("token", "doc", "n", "first"), "shared")
-    asked = shared.select("doc").distinct()
-    sets = rows.join(asked.withColumnRenamed("doc", "_id"), "_id", "left_semi")
-    sets = shared_table(_sets(sets, n, lower), "tokens")
+    lead = equal.where("doc is not null")  # copies are dropped from the postings, which are few by then
+    own = table.where("n_shingles > 0 and _id is not null").select(F.col("_id").alias("doc"), F.col("n_shingles").alias("n"), "prefix")
+    postings = shared_table(_maybe_repeated(own, max_bits).join(lead.select("doc").distinct(), "doc", "left_semi"), "postings")
+    # a document stays with a token if the next smaller or larger set that has it is near enough in size
+    by_size = Window.partitionBy("token").orderBy("n", "doc")
+    near = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
+    shared = shared_table(postings.withColumn("near", near).where("near").drop("near"), "near")
+    least = depth(F.ceil(percent * F.col("n") / 100), percent)
+    enough = shared.groupBy("doc", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("doc")
+    shared = shared_table(shared.join(enough, "doc", "left_semi"), "shared")
+    asked = shared_table(shared.select(F.col("doc").alias("_id")).distinct(), "asked")
+    bits = shared_table(_bits(_only(rows, asked), n, lower), "bits")
 
     # stars: all documents of a token against one
-    star = shared.where((F.col("doc") != F.col("first"))).select(F.col("first").alias("u"), F.col("doc").alias("v")).distinct()
-    links = shared_table(_links(star, sets, percent), "links")
+    fits = _sizes_fit(F.col("n"), F.col("m"), F.col("m"), percent)
+    firsts = shared.groupBy("token").agg(F.min("doc").alias("u"), F.min_by("n", "doc").alias("m"))
+    half = F.col("c") * 2 >= depth(F.least("n", "m"), percent)  # a token may have another star
+    star = shared.join(firsts, "token").where((F.col("doc") != F.col("u")) & fits)
+    star = star.groupBy("u", F.col("doc").alias("v"), "n", "m").agg(F.count("*").alias("c")).where(half).select("u", "v")
+    links = _links(star, bits, rows, n, percent, lower)
     comp = shared_table(components(links), "components")
 
     def labelled() -> DataFrame:
         c = shared.select("token", "doc", "n").join(comp.withColumnRenamed("node", "doc"), "doc", "left")
         c = c.withColumn("component", F.coalesce("component", "doc"))
-        still = c.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min_by("doc", F.xxhash64("doc", "token")).alias("centre"))
-        return shared_table(c.join(still.where("c0 <> c1").select("token", "centre"), "token"), "open")
+        centre = F.min_by(F.struct("doc", "n", "component"), F.xxhash64("doc", F.lit(7))).alias("centre")
+        still = c.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("often"), centre)
+        return shared_table(c.join(still.where("c0 <> c1").select("token", "often", "centre"), "token"), "open")
 
     still = labelled()
-    at = comp.select(F.col("node").alias("centre"), F.col("component").alias("cc"))
-    star = still.join(at, "centre", "left").where(F.coalesce("cc", "centre") != F.col("component")).select(F.col("centre").alias("u"), F.col("doc").alias("v")).distinct()
-    links = links.unionByName(shared_table(_links(star, sets, percent), "links"))
+    star = still.withColumn("m", F.col("centre.n")).where((F.col("centre.component") != F.col("component")) & fits)
+    star = star.groupBy(F.col("centre.doc").alias("u"), F.col("doc").alias("v"), "n", "m").agg(F.count("*").alias("c")).where(half).select("u", "v")
+    links = links.unionByName(_links(star, bits, rows, n, percent, lower))
     comp = shared_table(components(links), "components")
 
     # the matrix of what is open: token x group
     still = labelled()
-    docs_open = still.select("doc", "n", "component").distinct()
-    many = docs_open.groupBy("component").agg(F.ceil(F.count("*") / group).alias("k"))
-    groups = shared_table(docs_open.join(many, "component").select("doc", "n", "component", F.xxhash64("component", F.pmod(F.xxhash64("doc"), F.col("k"))).alias("grp")), "groups")
-    extent = groups.groupBy("grp", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    docs_open = still.groupBy("doc", "n", "component").agg(F.max_by("token", F.struct("often", "token")).alias("dense"))
+    sized = docs_open.groupBy("component").agg(F.count("*").alias("size"))
+    alike = F.xxhash64(F.lit(1), "dense", F.floor(F.log("n") / F.log(F.lit(100.0 / percent))))
+    key = F.when(F.col("size") >= group, F.xxhash64(F.lit(0), "component")).otherwise(alike)
+    docs_open = shared_table(docs_open.join(sized, "component").select("doc", "n", "component", key.alias("key")), "grouped")
+    many = docs_open.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("k"))
+    part = F.xxhash64("key", F.pmod(F.xxhash64("doc"), F.col("k")))
+    groups = shared_table(docs_open.join(many, "key").select("doc", "n", "component", part.alias("grp")), "groups")
+    extent = groups.groupBy("grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     matrix = still.select("token", "doc").join(groups.select("doc", "grp"), "doc").select("token", "grp").distinct().join(extent, "grp")
-    query = still.select("token", "doc", "n", F.col("component").alias("own"))
-    met = query.join(matrix, "token").where((F.col("own") < F.col("component")) & _sizes_fit(F.col("n"), F.col("low"), F.col("high"), percent))
-    met = shared_table(met.select("doc", "n", "grp").distinct(), "met")
-    members = groups.join(met.select("grp").distinct(), "grp", "left_semi").join(sets, "doc")
-    union = members.groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))  # `group` sets
-    bound = F.size(F.array_intersect("tokens", "union"))
-    opened = met.join(sets, "doc").join(union, "grp").where(100 * bound >= percent * F.col("n")).select("doc", "n", "grp")
-    inside = groups.select("grp", F.col("doc").alias("v"), F.col("n").alias("m"))
-    pairs = opened.join(inside, "grp").where(_sizes_fit(F.col("n"), F.col("m"), F.col("m"), percent)).select(F.col("doc").alias("u"), "v")
-    links = links.unionByName(shared_table(_links(pairs, sets, percent), "links"))
+    # groups that share enough tokens; pairs are asked for from the smaller component
+    asks = matrix.select("token", *[F.col(c).alias(f"q_{c}") for c in ("grp", "low", "high", "c0")])
+    sizes = (100 * F.col("q_high") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("q_low"))
+    met = asks.join(matrix, "token").where((F.col("q_c0") < F.col("c1")) & sizes).groupBy("q_grp", "grp", "q_low", "low", "high", "c1").agg(F.count("*").alias("c"))
+    met = shared_table(met.where(F.col("c") >= depth(F.least("q_low", "low"), percent)).drop("c", "q_low"), "met")
+    # a document against the group's union; members are looked at only where that bound is reached
+    own = groups.join(bits.select("doc", "bits"), "doc")
+    union = F.aggregate(F.collect_list("bits"), F.array_repeat(F.lit(0).cast("long"), BITS // 64), lambda s, x: F.zip_with(s, x, lambda p, q: p.bitwiseOR(q)))
+    column = own.groupBy("grp").agg(union.alias("union"), F.collect_list(F.struct("doc", "n", "component", "bits")).alias("members"))  # of a bounded group
+    query = own.select(F.col("grp").alias("q_grp"), "doc", "n", "component", "bits").join(met, "q_grp")
+    query = query.where((F.col("component") < F.col("c1")) & _sizes_fit(F.col("n"), F.col("low"), F.col("high"), percent)).select("doc", "n", "component", "bits", "grp")
+    opened = query.join(column, "grp").where(100 * (F.col("n") - _missing(F.col("bits"), F.col("union"))) >= percent * F.col("n"))
+    fits = lambda x: (F.col("component") < x["component"]) & _sizes_fit(F.col("n"), x["n"], x["n"], percent)
+    hope = lambda x: fits(x) & _hope(F.col("n"), F.col("bits"), x["n"], x["bits"], percent)
+    pairs = opened.select(F.col("doc").alias("u"), F.explode(F.transform(F.filter("members", hope), lambda x: x["doc"])).alias("v"))
+    links = links.unionByName(_exact(pairs, rows, n, percent, lower))
     comp = shared_table(components(links), "components")
 
     found = equal.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("sig_a", "sig_b", F.coalesce("component", "doc").alias("component"))
