@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,9 @@ def kept(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="orrery-")
+        own = tempfile.mkdtemp(prefix="orrery-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = f"file://{own}"
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/orrery-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
