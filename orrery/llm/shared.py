@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -23,7 +25,9 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parents[1]
     if root.is_dir():  # else it comes from an archive that was sent
-        to = Path(tempfile.mkdtemp(prefix="orrery-")) / f"{root.name}.zip"
+        own = tempfile.mkdtemp(prefix="orrery-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        to = Path(own) / f"{root.name}.zip"
         with zipfile.ZipFile(to, "w") as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent))
@@ -44,7 +48,9 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a folder of our own only where none is set, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="orrery-")
+        own = tempfile.mkdtemp(prefix="orrery-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = f"file://{own}"
         spark.sparkContext.setCheckpointDir(path)
     return path
 
