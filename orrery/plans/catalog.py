@@ -378,11 +378,14 @@ def predict_impact(spark, sf_dir):
 # ---- smells, clones, drift, debt, surface
 
 
+def _measures(p: DataFrame, e: DataFrame, complexity: Column) -> DataFrame:
+    m = p.join(graph.degrees(p, e), "id").join(graph.pagerank(p, e), "id").join(graph.simple_scores(p, e).select("id", "hub_score"), "id")
+    return m.withColumn("complexity", complexity)
+
+
 def _measured(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     p, e = _graph(spark, sf_dir)
-    complexity = F.abs(F.element_at("structural", 7)) * 4
-    m = p.join(graph.degrees(p, e), "id").join(graph.pagerank(p, e), "id").join(graph.simple_scores(p, e).select("id", "hub_score"), "id")
-    return m.withColumn("complexity", complexity), e
+    return _measures(p, e, F.abs(F.element_at("structural", 7)) * 4), e
 
 
 @query
@@ -438,16 +441,30 @@ def detect_drift(spark, sf_dir):
     return drift.summary(drift.detect(fx.contracts(spark, sf_dir), fx.points(spark, sf_dir), fx.commits(spark, sf_dir), fx.now()))
 
 
+def _imports(files: DataFrame) -> DataFrame:
+    """(caller_id, callee_id) of the imports among `files`."""
+    found = files.select(F.col("file_path").alias("caller"), F.explode(contracts.imports(F.col("content"), F.col("file_path"))).alias("target"))
+    e = contracts.resolve(found, files).where("caller <> callee").select("caller", "callee").distinct()
+    return e.select(index.point_id(F.col("caller")).alias("caller_id"), index.point_id(F.col("callee")).alias("callee_id"))
+
+
+def _file_smells(files: DataFrame, p: DataFrame, past: DataFrame) -> DataFrame:
+    """Smells of the code files (points `p`) by their own imports and commits."""
+    e = kept(graph.edges_of(_imports(files), p), "edges")
+    m = kept(_measures(p.select("id", "file_path", "line_count", "structural"), e, F.coalesce(F.get("structural", F.lit(6)), F.lit(0.0))), "measured")
+    return smells.detect(m, e, past, fx.now())
+
+
 def _debts(spark, sf_dir) -> DataFrame:
-    """Debt of the code files: clones of their texts, history and tensions of the points of equal number."""
+    """Debt of the code files: clones of their texts, smells of their imports, history and tensions of the points of equal number."""
     files = fx.files(spark, sf_dir)
-    p = index.code_points(files, fx.now()).join(files.select("file_path", "k"), "file_path")
+    by_k = files.select("file_path", "k")
+    p = kept(index.code_points(files, fx.now()).join(by_k, "file_path"), "points")
     t = fx.tensions(spark, sf_dir).where("status = 'detected'").select("contract_id").join(fx.contracts(spark, sf_dir).select(F.col("id").alias("contract_id"), "callee_id"), "contract_id")
     tense = t.groupBy(F.col("callee_id").alias("k")).agg(F.count("*").alias("tensions"))
-    by_k = files.select("file_path", "k")
-    history = temporal.features(fx.commits(spark, sf_dir), fx.now()).withColumn("k", F.regexp_extract("file_path", r"v(\d+)\.", 1).cast("long")).drop("file_path").join(by_k, "k")
-    none = files.select("file_path", F.lit(0).alias("smells")).limit(0)
-    return debt.files(p, clones.file_clone_counts(files), none, tense.join(by_k, "k").select("file_path", "tensions"), history)
+    past = fx.commits(spark, sf_dir).withColumn("k", F.regexp_extract("file_path", r"v(\d+)\.", 1).cast("long")).drop("file_path").join(by_k, "k").drop("k")
+    found = smells.counts(_file_smells(files, p, past))
+    return debt.files(p, clones.file_clone_counts(files), found, tense.join(by_k, "k").select("file_path", "tensions"), temporal.features(past, fx.now()))
 
 
 @query
@@ -463,10 +480,7 @@ def debt_summary(spark, sf_dir):
 def _surface(spark, sf_dir) -> DataFrame:
     files = fx.files(spark, sf_dir)
     p = files.select("file_path", index.point_id(F.col("file_path")).alias("id"))
-    found = files.select(F.col("file_path").alias("caller"), F.explode(contracts.imports(F.col("content"), F.col("file_path"))).alias("target"))
-    e = contracts.resolve(found, files).where("caller <> callee").select("caller", "callee").distinct()
-    c = e.select(index.point_id(F.col("caller")).alias("caller_id"), index.point_id(F.col("callee")).alias("callee_id"))
-    return surface.analyze(files, c, p)
+    return surface.analyze(files, _imports(files), p)
 
 
 @query
