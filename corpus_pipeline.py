@@ -18,7 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the co-trained classifier rejects."""
-    model = quality.train(docs, queries.acceptable(queries.table(spark, sf_dir, "labels")))
+    model = quality.train(docs, queries.judged(queries.table(spark, sf_dir, "labels")))
     return quality.classify(docs, model).where("quality_keep").select(*docs.columns)
 
 

@@ -6,6 +6,10 @@ each round a view labels pool documents on which its calibrated probability is
 near 0 or 1, and these pseudo-labels join the other view's training rows. Then both views are calibrated on
 labelled rows kept aside, combined there, and every document is scored.
 
+Quality and freedom of toxicity are two targets, each with models, score and limit of its own. A limit
+is where the shares of both classes that are judged wrongly have the least sum, over all labelled rows
+outside of the fit.
+
 Models are fitted on bounded samples: `labelled` labelled and `pool` other rows, the
 least by a hash of the id. All documents are scored, over whole texts.
 """
@@ -126,9 +130,9 @@ class Model:
         self.vocabulary, self.edges = np.sort(vocabulary), edges
         self.width = len(vocabulary) + len(SHAPE) * (edges.shape[1] + 1)
 
-    def text_columns(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """(document, column) of the text view's features that are present."""
-        h, doc, shape = features(part)
+    def text_columns(self, part: pa.RecordBatch, found: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(document, column) of the text view's features that are present; `found` are the features if known."""
+        h, doc, shape = features(part) if found is None else found
         row, col = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(h) and len(self.vocabulary):
             at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
@@ -144,13 +148,28 @@ class Model:
         lists = part.column("_meta")
         return np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def views(self, part: pa.RecordBatch) -> list[np.ndarray]:
+    def views(self, part: pa.RecordBatch, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[np.ndarray]:
         """Raw scores of both views."""
         out = []
-        for (row, col), (b, c) in zip((self.text_columns(part), self.meta_columns(part)), self.fitted, strict=True):
+        for (row, col), (b, c) in zip((self.text_columns(part, found), self.meta_columns(part)), self.fitted, strict=True):
             out.append(np.bincount(row, weights=b[col], minlength=part.num_rows) + c)
         return out
 
+    def scores(self, part: pa.RecordBatch, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        """Calibrated scores of the text view, the metadata view and both."""
+        raw = [s * r + c for (s, c), r in zip(self.scale, self.views(part, found), strict=True)]
+        return [_prob(raw[0]), _prob(raw[1]), _prob(np.stack(raw, axis=1) @ self.both[0] + self.both[1])]
+
+
+#: What is judged: 1 is right for both. A target without rows of both classes has no model.
+TARGETS = ["good", "clean"]
+#: Bins of a score from 0 to 1, for limits.
+BINS = 1 << 16
+#: Rows of a class from which a limit is set at least.
+FEW = 100
+#: Labelled ids that are broadcast at most.
+NARROW = 1 << 20
+
 
 def _meta(docs: DataFrame, columns: list[str]):
     """array<int> of hashed metadata: each column's value, and the length's power of two for numbers."""
@@ -176,24 +195,40 @@ def train(
     rounds: int = 4,
     confident: float = 0.97,
     ridge: float = 2e-4,
-    max_lost: float = 0.005,
-) -> Model | None:
-    """A model from `labels` (id, good 0/1); None unless both classes are labelled.
+) -> dict[str, Model] | None:
+    """Models by target from `labels` (id, good 0/1, and toxic 0/1 if known); None unless both classes of one are labelled.
 
-    Labels of one id are combined: it is good if all say so. Ids that `docs` lacks, and null labels, don't count.
+    Labels of one id are combined: it is good, or not toxic, if all say so. Ids that `docs` lacks, and null labels, don't count.
     """
     spark = docs.sparkSession
     tune(spark)
     meta_cols = [c for c in meta_cols if c in docs.columns]
     key = F.col(f"`{id_col}`").cast("long")
-    known = labels.where("good is not null").groupBy(key.alias("_id")).agg(F.min("good").cast("int").alias("good")).where("_id is not null")
+    toxic = F.col("toxic") if "toxic" in labels.columns else F.lit(None).cast("int")
+    known = labels.groupBy(key.alias("_id")).agg(F.min("good").cast("int").alias("good"), (1 - F.max(toxic)).cast("int").alias("clean")).where("_id is not null and (good is not null or clean is not null)")
     ids = docs.select(key.alias("_id")).where("_id is not null")
     rank = F.xxhash64("_id", F.lit(77))
-    marked = ids.join(known, "_id", "left").select("_id", "good", rank.alias("rank"))
-    some = marked.where("good is not null").orderBy("rank", "_id").limit(labelled).unionByName(marked.where("good is null").orderBy("rank", "_id").limit(pool))
+    marked = ids.join(known, "_id", "left").select("_id", *TARGETS, rank.alias("rank"))
+    told = F.coalesce(*TARGETS).isNotNull()
+    some = marked.where(told).orderBy("rank", "_id").limit(labelled).unionByName(marked.where(~told).orderBy("rank", "_id").limit(pool))
     chosen = F.broadcast(shared_table(some.dropDuplicates(["_id"]), "sample"))  # labelled + pool rows at most
     text = docs.select(key.alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), _meta(docs, meta_cols).alias("_meta"))
     sample = shared_table(text.join(chosen, "_id"), "sample")
+    models, taken = {}, set()
+    for target in TARGETS:
+        found = _fitted(sample.select("_id", "text", "_meta", F.col(target).alias("good")), words, rounds, confident, ridge)
+        if found is not None:
+            models[target] = found[0]
+            taken |= found[1]
+    if not models:
+        return None
+    _set_limits(models, text, known, taken)
+    return models
+
+
+def _fitted(sample: DataFrame, words: int, rounds: int, confident: float, ridge: float) -> tuple[Model, set[int]] | None:
+    """A model of one target from `sample` (_id, text, _meta, good), and the ids it is fitted on; None without both classes."""
+    spark = sample.sparkSession
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tk.chunks(batches, "text"):
@@ -238,10 +273,55 @@ def train(
     kept, fit, free = np.flatnonzero(~np.isnan(good) & fold), np.flatnonzero(~np.isnan(good) & ~fold), np.flatnonzero(np.isnan(good))
     if min(len(set(good[kept])), len(set(good[fit]))) < 2:
         kept = fit = np.flatnonzero(~np.isnan(good))
-    return cotrain(model, x, good, fit, kept, free, rounds, confident, ridge, max_lost)
+    return cotrain(model, x, good, fit, kept, free, rounds, confident, ridge), set(got["_id"].to_numpy()[fit].tolist())
+
 
+def _set_limits(models: dict[str, Model], text: DataFrame, known: DataFrame, taken: set[int]) -> None:
+    """Limits from all labelled rows that are not `taken` for a fit.
 
-def cotrain(model: Model, x: list[np.ndarray], good: np.ndarray, fit: np.ndarray, kept: np.ndarray, free: np.ndarray, rounds: int, confident: float, ridge: float, max_lost: float) -> Model:
+    Each class weighs the same, as in the fit, so neither is traded for the other. With under FEW rows
+    of a class the limit is 0.5, which is that point of a calibrated score.
+    """
+    spark = text.sparkSession
+    used = F.broadcast(spark.createDataFrame([(i,) for i in sorted(taken)], "_id bigint"))
+    outside = known.join(used, "_id", "left_anti").select("_id", *TARGETS)
+    shared = spark.sparkContext.broadcast(pickle.dumps(models))
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: dict[str, Model] = pickle.loads(shared.value)
+        for part in tk.chunks(batches, "text"):
+            found = features(part)
+            at = [np.minimum(BINS - 1, m[t].scores(part, found)[2] * BINS).astype(np.int32) for t in m]
+            yield pa.RecordBatch.from_arrays([part.column("_id"), *map(pa.array, at)], names=["_id", *[f"at_{t}" for t in m]])
+
+    schema = "_id bigint, " + ", ".join(f"at_{t} int" for t in models)
+    if outside.limit(NARROW + 1).count() <= NARROW:
+        ids = F.broadcast(outside.select("_id"))
+        scored = text.join(ids, "_id", "left_semi").mapInArrow(bins, schema).join(F.broadcast(outside), "_id")
+    else:  # scores travel, texts don't
+        scored = text.where("_id is not null").mapInArrow(bins, schema).join(outside, "_id")
+    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"at_{t}").alias("at"), F.col(t).alias("label")) for t in models])).alias("x")
+    counts = scored.select(pairs).where("x.label is not null").groupBy("x.target", "x.label", "x.at").agg(F.count("*").alias("n")).collect()
+    for target, model in models.items():
+        n = np.zeros((2, BINS), np.int64)
+        for r in counts:
+            if r["target"] == target:
+                n[r["label"], r["at"]] = r["n"]
+        model.limit = _limit(n)
+
+
+def _limit(n: np.ndarray) -> float:
+    """Limit from the numbers of wrong (row 0) and right rows in each bin of the score."""
+    total = n.sum(axis=1)
+    if total.min() < FEW:
+        return 0.5
+    below = np.c_[np.zeros((2, 1), np.int64), np.cumsum(n, axis=1)] / total[:, None]
+    errors = below[1] + 1 - below[0]
+    best = np.flatnonzero(errors <= errors.min() + 1e-12)
+    return float(best[np.argmin(np.abs(best - BINS / 2))]) / BINS  # of equal ones the nearest to 0.5
+
+
+def cotrain(model: Model, x: list[np.ndarray], good: np.ndarray, fit: np.ndarray, kept: np.ndarray, free: np.ndarray, rounds: int, confident: float, ridge: float) -> Model:
     """Rounds of pseudo-labels between the views, then calibration on `kept` rows."""
     pseudo = [{}, {}]  # of each view's training set: row -> label, from the other view
     for turn in range(rounds + 1):
@@ -266,20 +346,17 @@ def cotrain(model: Model, x: list[np.ndarray], good: np.ndarray, fit: np.ndarray
     both = np.stack([scale[v][0] * raw[v] + scale[v][1] for v in (0, 1)], axis=1)
     b, c = logistic(both[kept], good[kept], np.ones(len(kept)), 1e-4)
     model.fitted, model.scale, model.both = fitted, scale, (b, c)
-    score = _prob(both[kept] @ b + c)
-    # of the limits that lose at most `max_lost` of good rows, the highest
-    clean = np.sort(score[good[kept] > 0.5])
-    model.limit = float(min(0.5, clean[int(max_lost * len(clean))]))
     return model
 
 
-def classify(docs: DataFrame, model: Model | None, text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang", "n_chars")) -> DataFrame:
-    """`docs` with text_score, meta_score (calibrated, 0 to 1), quality_score and quality_keep.
+def classify(docs: DataFrame, model: dict[str, Model] | None, text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang", "n_chars")) -> DataFrame:
+    """`docs` with text_score, meta_score (calibrated, 0 to 1), quality_score, toxic_score and quality_keep.
 
-    A null text counts as empty and null metadata as a value of its own. Without a model all scores are 1.
+    A document is kept if its quality reaches the limit and its freedom of toxicity (1 - toxic_score) the other limit.
+    A null text counts as empty and null metadata as a value of its own. Without a model scores are 1, and toxic_score 0.
     Nothing is shuffled.
     """
-    new = ["text_score", "meta_score", "quality_score", "quality_keep"]
+    new = ["text_score", "meta_score", "quality_score", "toxic_score", "quality_keep"]
     if set(new) & set(docs.columns):
         raise ValueError("a column of the result exists already")
     spark = docs.sparkSession
@@ -290,18 +367,18 @@ def classify(docs: DataFrame, model: Model | None, text_col: str = "text", meta_
     inner = docs.select(*[F.col(f"`{c}`") for c in names], _meta(docs, meta_cols).alias("_meta"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model | None = pickle.loads(shared.value)
+        m: dict[str, Model] = pickle.loads(shared.value) or {}
         for part in tk.chunks(batches, text_col):
             n = part.num_rows
-            if m is None:
-                cols = [np.ones(n), np.ones(n), np.ones(n)]
-                keep = np.ones(n, bool)
-            else:
+            keep, got = np.ones(n, bool), {t: [np.ones(n)] * 3 for t in TARGETS}
+            if m:
                 view = pa.RecordBatch.from_arrays([part.column(text_col), part.column("_meta")], names=["text", "_meta"])
-                raw = [s * r + c for (s, c), r in zip(m.scale, m.views(view), strict=True)]
-                both = _prob(np.stack(raw, axis=1) @ m.both[0] + m.both[1])
-                cols, keep = [_prob(raw[0]), _prob(raw[1]), both], both >= m.limit
+                found = features(view)
+                for t, one in m.items():
+                    got[t] = one.scores(view, found)
+                    keep &= got[t][2] >= one.limit
+            cols = [*got["good"], 1 - got["clean"][2]]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(c, pa.float64()) for c in cols), pa.array(keep, pa.bool_())], names=[*names, *new])
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in new[:3]), T.StructField(new[3], T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in new[:-1]), T.StructField(new[-1], T.BooleanType())])
     return inner.mapInArrow(run, schema)

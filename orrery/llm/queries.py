@@ -105,9 +105,14 @@ def acceptable(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).when(F.col("quality").isNotNull(), 0).alias("good"))
 
 
+def judged(labels: DataFrame) -> DataFrame:
+    """Labels of both targets of the quality classifier: good (of quality) and toxic."""
+    return labels.select("doc_id", F.col("quality").alias("good"), "toxic")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality.train(docs, acceptable(table(spark, sf_dir, "labels")))
+    model = quality.train(docs, judged(table(spark, sf_dir, "labels")))
     return quality.classify(docs, model).drop("text", "lang", "source", "n_chars")
 
 
