@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_table
+from .shared import dropped, shared_table
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -24,7 +24,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = shared_table(small.select("x.u", "x.v").where("u <> v").distinct(), "edges")
+        last, e = e, shared_table(small.select("x.u", "x.v").where("u <> v").distinct(), "edges")
+        dropped(last)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break

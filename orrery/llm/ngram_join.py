@@ -7,19 +7,16 @@ different sets.
 1. Documents with equal sets are one node: a copy group moves as one row.
 2. Tokens have one order for all: those that are frequent in some task come last, the
    others by hash. Two sets that link share l tokens among the first n - ceil(t n) + l of
-   each (prefix filter); l grows with the smaller set. A merged sketch drops prefix tokens
-   that occur once, and documents that share too few tokens with sets near in size go.
-3. Stars: each token's documents are compared with one of them. What links is joined
-   into components; two turns, the second with other centres.
-4. Groups: documents that are still open are split into groups of a bounded number of
-   documents and tokens: those of a large component, else those that share their most
-   frequent open token and are near in size. The matrix has a column of bits for each group:
-   the union of its members' tokens, hashed to BITS rows. Only what stars left open is asked:
-   a group's documents against the groups with which it shares l prefix tokens. Tokens whose
-   bit the group lacks are in none of its members, so the others bound the overlap; a group is
-   opened only where the bound reaches t times the document's tokens.
-5. Members of opened groups are compared, by the same bound on their own bits and then exactly,
-   and the components are final.
+   each (prefix filter); l grows with the smaller set. A merged sketch of prefix tokens and sizes drops
+   what no other set of a near size shares, and documents that are left with too few tokens.
+3. Similar documents are partitioned into groups by their least hashed prefix token that others share. A group is
+   opened for its own members first, each against one of them, which takes a step a document however large
+   a group of near copies is. Two partitions, with two hashes; what links is joined into components.
+4. The matrix: documents that still share tokens with other components are dealt into bounded groups of similar ones.
+   The matrix has a column for each group, the union of its members' tokens, as large as that is. A document is a query of the
+   groups of other components with which its own group shares l prefix tokens. The tokens it shares
+   with a column bound its overlap with each member; only groups that reach the least overlap are opened.
+5. Members of opened groups are compared, by sizes and prefixes and then exactly, and the components are final.
 """
 
 from __future__ import annotations
@@ -28,13 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
 from . import textkernel as tk
 from .components import components
-from .shared import shared_table, tune
+from .shared import dropped, shared_table, tune
 
 #: Documents and tokens of a group, about.
 GROUP, GROUP_TOKENS = 64, 2048
@@ -42,8 +39,8 @@ GROUP, GROUP_TOKENS = 64, 2048
 FREQUENT = 1 << 20
 #: Ids that are broadcast at most; beyond, texts are shuffled to them.
 IDS = 1 << 20
-#: Bits of a column of the matrix.
-BITS = 2048
+#: Seeds of the two partitions into groups of similar documents.
+SEEDS = (11, 12)
 
 
 def shingles(part: pa.RecordBatch, n: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +70,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return tk.chunks(batches, "text")
 
 
-def frequent_tokens(docs: DataFrame, n: int, lower: bool, flush: int = 2_000_000, share: float = 0.002, least: int = 8) -> DataFrame:
+def frequent_tokens(docs: DataFrame, n: int, lower: bool, flush: int = 500_000, share: float = 0.002, least: int = 8) -> DataFrame:
     """(token, n): tokens that at least `least` documents and a `share` of them have, where so many
     tokens are looked at together. There are at most 1 / share times the mean set size of them in one look."""
 
@@ -134,21 +131,6 @@ def prefixes(docs: DataFrame, n: int, percent: int, lower: bool, frequent: DataF
     return docs.mapInArrow(run, "_id bigint, n_shingles bigint, sig_a bigint, sig_b bigint, prefix array<bigint>")
 
 
-def _bits(docs: DataFrame, n: int, lower: bool) -> DataFrame:
-    """doc, n, and the bits of its tokens as BITS / 64 longs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
-            keys, docs_, first = shingles(part, n, lower)
-            bit = (keys >> np.uint64(32)) % np.uint64(BITS)
-            bits = np.zeros((part.num_rows, BITS // 64), np.uint64)
-            np.bitwise_or.at(bits, (docs_, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
-            rows = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * (BITS // 64), pa.int32()), pa.array(bits.ravel().view(np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(np.diff(first), pa.int64()), rows], names=["doc", "n", "bits"])
-
-    return docs.mapInArrow(run, "doc bigint, n bigint, bits array<bigint>")
-
-
 def _tokens(docs: DataFrame, n: int, lower: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
@@ -164,59 +146,126 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= IDS else ids, "_id", "left_semi")
 
 
-def _missing(a: Column, b: Column) -> Column:
-    """Bits of a that b lacks: so many of a's tokens, at least, b hasn't."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
+def _classes(n: np.ndarray, percent: int) -> np.ndarray:
+    """Classes of sizes: sets that link are of one class or of neighbouring ones."""
+    return np.floor(np.log(np.maximum(1, n)) / (np.log(100.0 / percent) * 1.001)).astype(np.int64) if percent < 100 else n.astype(np.int64)
+
+
+def open_documents(own: DataFrame, percent: int, max_bits: int) -> DataFrame:
+    """doc, n, prefix: of the rows of `own`, those that may share enough prefix tokens with a set of a near size,
+    and of their prefix tokens those that such a set may have."""
+    total = own.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    bits = sketch.bits_for(2 * total, load=0.5, max_bits=max_bits)
+
+    def keys(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row of each token, and its keys with its class and the one below, and with its class and the one above."""
+        lists = part.column("prefix")
+        size = lists.value_lengths().to_numpy(zero_copy_only=False)
+        token = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        level = np.repeat(_classes(part.column("n").to_numpy(zero_copy_only=False), percent), size).astype(np.uint64)
+        key = lambda c: tk.mix(token + (c + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+        return np.repeat(np.arange(part.num_rows), size), key(level), key(level + np.uint64(1))
 
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from (b for b in batches if b.num_rows)
+        finally:
+            tk.released()
 
-def _maybe_repeated(reps: DataFrame, max_bits: int) -> DataFrame:
-    """token, doc, n: prefix tokens that may occur in several sets."""
-    total = reps.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
-    bits = sketch.bits_for(total, max_bits=max_bits)
-    flat = lambda part: part.column("prefix").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    slices = lambda batches: (b for b in batches if b.num_rows)
-    repeated = sketch.Repeated(sketch.build(reps, flat, slices, bits), bits)
+    repeated = sketch.Repeated(sketch.build(own, lambda part: np.concatenate(keys(part)[1:]), slices, bits), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            keys = flat(part)
-            row = np.repeat(np.arange(part.num_rows), part.column("prefix").value_lengths().to_numpy(zero_copy_only=False))
-            some = np.flatnonzero(repeated.maybe(keys))
-            ids, size = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "n"))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64), pa.int64()), pa.array(ids[row[some]], pa.int64()), pa.array(size[row[some]], pa.int64())], names=["token", "doc", "n"])
+            row, below, above = keys(part)
+            some = repeated.maybe(below) | repeated.maybe(above)
+            count = np.bincount(row[some], minlength=part.num_rows)
+            n = part.column("n").to_numpy(zero_copy_only=False)
+            stay = count >= depth(-(-percent * n // 100), percent)
+            some &= stay[row]
+            token = part.column("prefix").flatten().filter(pa.array(some))
+            rows = part.filter(pa.array(stay))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count[stay])].astype(np.int32), pa.int32()), token)
+            yield pa.RecordBatch.from_arrays([rows.column("doc"), rows.column("n"), lists], names=["doc", "n", "prefix"])
 
-    return reps.mapInArrow(run, "token bigint, doc bigint, n bigint")
+    return own.mapInArrow(run, "doc bigint, n bigint, prefix array<bigint>")
 
 
-def _hope(n: Column, a: Column, m: Column, b: Column, percent: int) -> Column:
-    """False only where sets of n and m tokens with bits a and b can't link."""
-    most = F.least(n - _missing(a, b), m - _missing(b, a))
-    return 100 * most >= percent * (n + m - most)
+def _sizes_fit(a: Column, low: Column, high: Column, percent: int) -> Column:
+    """A set of size a can link with one of a size from low to high."""
+    return (100 * a >= percent * low) & (100 * high >= percent * a)
 
 
-def _links(pairs: DataFrame, bits: DataFrame, rows: DataFrame, n: int, percent: int, lower: bool) -> DataFrame:
-    """Pairs (u, v) of which the sets link: first by the bound of their bits, then exactly."""
-    a = bits.select(F.col("doc").alias("u"), "n", F.col("bits").alias("a"))
-    b = bits.select(F.col("doc").alias("v"), F.col("n").alias("m"), F.col("bits").alias("b"))
-    hope = pairs.join(a, "u").join(b, "v").where(_hope(F.col("n"), F.col("a"), F.col("m"), F.col("b"), percent))
-    return _exact(hope.select("u", "v"), rows, n, percent, lower)
+def _shared(a: Column, b: Column) -> Column:
+    return F.size(F.array_intersect(a, b)).cast("long")
 
 
-def _exact(hope: DataFrame, rows: DataFrame, n: int, percent: int, lower: bool) -> DataFrame:
-    """Pairs (u, v) of which the sets of `rows`' texts link."""
-    hope = shared_table(hope, "hopeful")
-    ends = shared_table(hope.select(F.explode(F.array("u", "v")).alias("_id")).distinct(), "ends")
-    sets = shared_table(_tokens(_only(rows, ends), n, lower), "tokens")
+def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (u, v), those of which the sets link."""
     a = sets.select(F.col("doc").alias("u"), F.col("tokens").alias("a"))
     b = sets.select(F.col("doc").alias("v"), F.col("tokens").alias("b"))
-    both = F.size(F.array_intersect("a", "b")).cast("long")
-    found = hope.join(a, "u").join(b, "v").where(100 * both >= percent * (F.size("a") + F.size("b") - both))
+    both = _shared(F.col("a"), F.col("b"))
+    found = pairs.join(a, "u").join(b, "v").where(100 * both >= percent * (F.size("a") + F.size("b") - both))
     return shared_table(found.select("u", "v"), "links")
 
 
-def _sizes_fit(a: Column, low: Column, high: Column, percent: int) -> Column:
-    """A set of size a can link with one of a size from low to high."""
-    return (100 * a >= percent * low) & (100 * high >= percent * a)
+def own_group_links(rows: DataFrame, sets: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Links (u, v) of the documents `rows` (doc, n, prefix, component) to one member of their group of similar ones."""
+    key = F.array_min(F.transform("prefix", lambda x: F.xxhash64(x, F.lit(seed))))
+    member = rows.select("doc", "n", "prefix", "component", key.alias("key"))
+    one = F.min_by(F.struct("doc", "n", "prefix", "component"), F.xxhash64("doc", F.lit(seed)))
+    centre = member.groupBy("key").agg(one.alias("c"), F.count("*").alias("size")).where("size > 1").select("key", "c")
+    c = F.col("c")
+    fits = (F.col("component") != c["component"]) & _sizes_fit(F.col("n"), c["n"], c["n"], percent)
+    enough = _shared(F.col("prefix"), c["prefix"]) >= depth(F.least("n", c["n"]), percent)
+    return _exact(member.join(centre, "key").where(fits & enough).select(c["doc"].alias("u"), F.col("doc").alias("v")), sets, percent)
+
+
+def still_open(rows: DataFrame, percent: int) -> DataFrame:
+    """Of `rows` (doc, n, prefix, component), those that share enough prefix tokens with other components; only such tokens stay."""
+    flat = rows.select("doc", "n", "component", F.explode("prefix").alias("token"))
+    between = flat.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
+    kept = flat.join(between, "token").groupBy("doc", "n", "component").agg(F.collect_list("token").alias("prefix"))  # of one document
+    return kept.where(F.size("prefix") >= depth(F.ceil(percent * F.col("n") / 100), percent))
+
+
+def grouped(rows: DataFrame, percent: int, group: int = GROUP) -> DataFrame:
+    """`rows` (doc, n, prefix, component) with grp: groups of about `group` documents and GROUP_TOKENS tokens. Members of a large
+    component are together; others by the least hash of their open tokens, and by size."""
+    sized = rows.groupBy("component").agg(F.count("*").alias("size"))
+    alike = F.xxhash64(F.lit(1), F.array_min(F.transform("prefix", lambda x: F.xxhash64(x))), F.floor(F.log("n") / F.log(F.lit(100.0 / percent))) if percent < 100 else F.col("n"))
+    key = F.when(F.col("size") >= group, F.xxhash64(F.lit(0), "component")).otherwise(alike)
+    keyed = rows.join(sized, "component").select("doc", "n", "prefix", "component", key.alias("key"))
+    many = keyed.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("k"))
+    return keyed.join(many, "key").select("doc", "n", "prefix", "component", F.xxhash64("key", F.pmod(F.xxhash64("doc"), F.col("k"))).alias("grp"))
+
+
+def met_groups(groups: DataFrame, percent: int) -> DataFrame:
+    """(q_grp, grp, low, high, c1): pairs of groups that share enough prefix tokens and are near in size. A pair of
+    components is asked about from the smaller one's side."""
+    extent = groups.groupBy("grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    matrix = groups.select("grp", F.explode("prefix").alias("token")).distinct().join(extent, "grp")
+    asks = matrix.select("token", *[F.col(c).alias(f"q_{c}") for c in ("grp", "low", "high", "c0")])
+    sizes = (100 * F.col("q_high") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("q_low"))
+    met = asks.join(matrix, "token").where((F.col("q_c0") < F.col("c1")) & sizes).groupBy("q_grp", "grp", "q_low", "low", "high", "c1").agg(F.count("*").alias("c"))
+    return met.where(F.col("c") >= depth(F.least("q_low", "low"), percent)).select("q_grp", "grp", "low", "high", "c1")
+
+
+def matrix(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(grp, column): the distinct tokens of each group's members, in order."""
+    tokens = groups.select("doc", "grp").distinct().join(sets.select("doc", "tokens"), "doc")
+    return tokens.groupBy("grp").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("column"))  # of a bounded group
+
+
+def opened(groups: DataFrame, met: DataFrame, columns: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(doc, n, prefix, component, grp): queries and the groups they open, where the bound of the overlap reaches
+    what a link with the group's smallest member that is near in size takes."""
+    asked = groups.select(F.col("grp").alias("q_grp"), "doc", "n", "prefix", "component").join(met, "q_grp")
+    asked = asked.where((F.col("component") < F.col("c1")) & _sizes_fit(F.col("n"), F.col("low"), F.col("high"), percent))
+    asked = asked.select("doc", "n", "prefix", "component", "grp", "low")
+    bound = _shared(F.col("tokens"), F.col("column"))
+    least = percent * (F.col("n") + F.greatest("low", F.ceil(percent * F.col("n") / 100)))
+    held = asked.join(columns, "grp").join(sets.select("doc", F.size("tokens").cast("long").alias("n"), "tokens"), ["doc", "n"])
+    return held.where((100 + percent) * bound >= least).select("doc", "n", "prefix", "component", "grp")
 
 
 def jaccard_components(
@@ -233,91 +282,76 @@ def jaccard_components(
 
     Two documents link when 100 * |A & B| >= percent * |A | B| for their sets of n-word shingles; a document of
     fewer words has its whole sequence as one shingle. Null and empty texts have no shingle and link with
-    nothing. component_id is the smallest id reachable; a null id has the component of its links,
-    else null. Rows that repeat an id are one document, with the links of all its texts.
+    nothing. component_id is the smallest id reachable; a row without an id has the component of the equal
+    sets with an id, else null. Rows that repeat an id are one document, with the links of all its texts.
+    Other columns of `docs` aren't read.
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     table = shared_table(prefixes(rows, n, percent, lower, frequent_tokens(rows, n, lower)), "prefixes")
-    equal = shared_table(table.where("n_shingles > 0").groupBy("sig_a", "sig_b").agg(F.min("_id").alias("doc"), F.min("n_shingles").alias("n")), "sets")
-    lead = equal.where("doc is not null")  # copies are dropped from the postings, which are few by then
+    equal = shared_table(table.where("n_shingles > 0").groupBy("sig_a", "sig_b").agg(F.min("_id").alias("doc")), "sets")
+    lead = equal.where("doc is not null").select("doc").distinct()
     own = table.where("n_shingles > 0 and _id is not null").select(F.col("_id").alias("doc"), F.col("n_shingles").alias("n"), "prefix")
-    postings = shared_table(_maybe_repeated(own, max_bits).join(lead.select("doc").distinct(), "doc", "left_semi"), "postings")
-    # a document stays with a token if the next smaller or larger set that has it is near enough in size
-    by_size = Window.partitionBy("token").orderBy("n", "doc")
-    near = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
-    shared = shared_table(postings.withColumn("near", near).where("near").drop("near"), "near")
-    least = depth(F.ceil(percent * F.col("n") / 100), percent)
-    enough = shared.groupBy("doc", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("doc")
-    shared = shared_table(shared.join(enough, "doc", "left_semi"), "shared")
-    asked = shared_table(shared.select(F.col("doc").alias("_id")).distinct(), "asked")
-    bits = shared_table(_bits(_only(rows, asked), n, lower), "bits")
-
-    # stars: all documents of a token against one
-    fits = _sizes_fit(F.col("n"), F.col("m"), F.col("m"), percent)
-    firsts = shared.groupBy("token").agg(F.min("doc").alias("u"), F.min_by("n", "doc").alias("m"))
-    half = F.col("c") * 2 >= depth(F.least("n", "m"), percent)  # a token may have another star
-    star = shared.join(firsts, "token").where((F.col("doc") != F.col("u")) & fits)
-    star = star.groupBy("u", F.col("doc").alias("v"), "n", "m").agg(F.count("*").alias("c")).where(half).select("u", "v")
-    links = _links(star, bits, rows, n, percent, lower)
-    comp = shared_table(components(links), "components")
-
-    def labelled() -> DataFrame:
-        c = shared.select("token", "doc", "n").join(comp.withColumnRenamed("node", "doc"), "doc", "left")
-        c = c.withColumn("component", F.coalesce("component", "doc"))
-        centre = F.min_by(F.struct("doc", "n", "component"), F.xxhash64("doc", F.lit(7))).alias("centre")
-        still = c.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("often"), centre)
-        return shared_table(c.join(still.where("c0 <> c1").select("token", "often", "centre"), "token"), "open")
-
-    still = labelled()
-    star = still.withColumn("m", F.col("centre.n")).where((F.col("centre.component") != F.col("component")) & fits)
-    star = star.groupBy(F.col("centre.doc").alias("u"), F.col("doc").alias("v"), "n", "m").agg(F.count("*").alias("c")).where(half).select("u", "v")
-    links = links.unionByName(_links(star, bits, rows, n, percent, lower))
-    comp = shared_table(components(links), "components")
-
-    # the matrix of what is open: token x group
-    still = labelled()
-    docs_open = still.groupBy("doc", "n", "component").agg(F.max_by("token", F.struct("often", "token")).alias("dense"))
-    sized = docs_open.groupBy("component").agg(F.count("*").alias("size"))
-    alike = F.xxhash64(F.lit(1), "dense", F.floor(F.log("n") / F.log(F.lit(100.0 / percent))))
-    key = F.when(F.col("size") >= group, F.xxhash64(F.lit(0), "component")).otherwise(alike)
-    docs_open = shared_table(docs_open.join(sized, "component").select("doc", "n", "component", key.alias("key")), "grouped")
-    many = docs_open.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("k"))
-    part = F.xxhash64("key", F.pmod(F.xxhash64("doc"), F.col("k")))
-    groups = shared_table(docs_open.join(many, "key").select("doc", "n", "component", part.alias("grp")), "groups")
-    extent = groups.groupBy("grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    matrix = still.select("token", "doc").join(groups.select("doc", "grp"), "doc").select("token", "grp").distinct().join(extent, "grp")
-    # groups that share enough tokens; pairs are asked for from the smaller component
-    asks = matrix.select("token", *[F.col(c).alias(f"q_{c}") for c in ("grp", "low", "high", "c0")])
-    sizes = (100 * F.col("q_high") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("q_low"))
-    met = asks.join(matrix, "token").where((F.col("q_c0") < F.col("c1")) & sizes).groupBy("q_grp", "grp", "q_low", "low", "high", "c1").agg(F.count("*").alias("c"))
-    met = shared_table(met.where(F.col("c") >= depth(F.least("q_low", "low"), percent)).drop("c", "q_low"), "met")
-    # a document against the group's union; members are looked at only where that bound is reached
-    own = groups.join(bits.select("doc", "bits"), "doc")
-    union = F.aggregate(F.collect_list("bits"), F.array_repeat(F.lit(0).cast("long"), BITS // 64), lambda s, x: F.zip_with(s, x, lambda p, q: p.bitwiseOR(q)))
-    column = own.groupBy("grp").agg(union.alias("union"), F.collect_list(F.struct("doc", "n", "component", "bits")).alias("members"))  # of a bounded group
-    query = own.select(F.col("grp").alias("q_grp"), "doc", "n", "component", "bits").join(met, "q_grp")
-    query = query.where((F.col("component") < F.col("c1")) & _sizes_fit(F.col("n"), F.col("low"), F.col("high"), percent)).select("doc", "n", "component", "bits", "grp")
-    opened = query.join(column, "grp").where(100 * (F.col("n") - _missing(F.col("bits"), F.col("union"))) >= percent * F.col("n"))
-    fits = lambda x: (F.col("component") < x["component"]) & _sizes_fit(F.col("n"), x["n"], x["n"], percent)
-    hope = lambda x: fits(x) & _hope(F.col("n"), F.col("bits"), x["n"], x["bits"], percent)
-    pairs = opened.select(F.col("doc").alias("u"), F.explode(F.transform(F.filter("members", hope), lambda x: x["doc"])).alias("v"))
-    links = links.unionByName(_exact(pairs, rows, n, percent, lower))
-    comp = shared_table(components(links), "components")
-
-    found = equal.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("sig_a", "sig_b", F.coalesce("component", "doc").alias("component"))
-    out = table.select("_id", "n_shingles", "sig_a", "sig_b").join(found, ["sig_a", "sig_b"], "left")
+    own = shared_table(own.join(lead, "doc", "left_semi"), "own")
+    some = shared_table(open_documents(own, percent, max_bits), "open")
+    asked = shared_table(some.select(F.col("doc").alias("_id")).distinct(), "asked")
+    sets = shared_table(_tokens(_only(rows, asked), n, lower), "tokens")
+    dropped(own, asked)
+
+    # a group's own members, in two partitions
+    links, comp, done = None, None, []
+    for seed in SEEDS:
+        held = _labelled(some, comp)
+        if comp is not None:
+            held = shared_table(still_open(held, percent), "open")
+            done.append(held)
+        found = own_group_links(held, sets, percent, seed)
+        done.append(found)
+        links = found if links is None else links.unionByName(found)
+        comp = shared_table(components(links), "components")
+        done.append(comp)
+
+    # the matrix of what is open
+    groups = shared_table(grouped(still_open(_labelled(some, comp), percent), percent, group), "groups")
+    met = shared_table(met_groups(groups, percent), "met")
+    columns = shared_table(matrix(groups, sets), "matrix")
+    query = opened(groups, met, columns, sets, percent)
+    member = groups.select("grp", F.col("doc").alias("v"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("prefix").alias("p"))
+    fits = (F.col("component") < F.col("c")) & _sizes_fit(F.col("n"), F.col("m"), F.col("m"), percent)
+    enough = _shared(F.col("prefix"), F.col("p")) >= depth(F.least("n", "m"), percent)
+    pairs = query.join(member, "grp").where(fits & enough).select(F.col("doc").alias("u"), "v")
+    found = _exact(pairs, sets, percent)
+    comp = shared_table(components(links.unionByName(found).unionByName(_same_id(table, equal))), "components")
+    dropped(some, sets, groups, met, columns, found, *done)
+
+    # copies of a set follow their node
+    named = equal.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("sig_a", "sig_b", F.coalesce("component", "doc").alias("component"))
+    out = table.select("_id", "n_shingles", "sig_a", "sig_b").join(named, ["sig_a", "sig_b"], "left")
     alone = F.col("n_shingles") == 0
     return out.select(F.col("_id").alias(id_col), "n_shingles", F.when(alone, F.col("_id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def _same_id(table: DataFrame, equal: DataFrame) -> DataFrame:
+    """(u, v): an id that repeats with other sets, and the nodes of these sets."""
+    sigs = [f(s) for s in ("sig_a", "sig_b") for f in (F.min, F.max)]
+    ids = table.where("n_shingles > 0 and _id is not null").groupBy("_id").agg(*[c.alias(f"s{i}") for i, c in enumerate(sigs)]).where("s0 <> s1 or s2 <> s3").select("_id")
+    return table.select("_id", "sig_a", "sig_b").join(ids, "_id").join(equal, ["sig_a", "sig_b"]).select(F.col("_id").alias("u"), F.col("doc").alias("v"))
+
+
+def _labelled(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """`rows` with the component of each doc: itself where it has no link."""
+    if comp is None:
+        return rows.withColumn("component", F.col("doc"))
+    return rows.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` with one document of each component; columns as before. Documents without a shingle stay.
 
-    The one that stays is of the component's smallest id; of rows that repeat it, all stay.
+    The one that stays is of the component's smallest id; of rows that repeat it, all stay. Rows without an id stay.
     """
     found = jaccard_components(docs, id_col, text_col, **options)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")).alias("_rid")).distinct()
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select(*names, F.coalesce(F.col(f"`{id_col}`").cast("long").cast("string"), F.lit("\0")).alias("_rid"))
-    return keyed.join(stay, "_rid", "left_semi").select(*names)
+    gone = shared_table(found.where(F.col(id_col) != F.col("component_id")).select(F.struct(F.col(id_col).cast("long").alias("x")).alias("id")).distinct(), "gone")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(F.col(f"`{id_col}`").cast("long").alias("x")).alias("id"))
+    few = gone.count() <= IDS
+    return whole.join(F.broadcast(gone) if few else gone, "id", "left_anti").select("row.*")

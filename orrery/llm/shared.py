@@ -11,8 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Upper bounds of what one Arrow batch carries to a Python worker.
-BATCH_ROWS, BATCH_BYTES = "2000", str(32 << 20)
+#: Bounds of what one Arrow batch carries to a Python worker, where the session's owner sets none.
+LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 _shipped: set[str] = set()
@@ -36,18 +36,21 @@ def ship(spark: SparkSession) -> None:
 
 
 def tune(spark: SparkSession) -> None:
-    """Ship the package, and bound Arrow batches unless the session's owner has chosen other bounds."""
+    """Ship the package, and bound Arrow batches; bounds that the session's owner has set stay."""
     ship(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864") in ("67108864", "268435456", "2147483647"):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    own = spark._jsparkSession.sessionState().conf()
+    for key, value in LIMITS.items():
+        if not own.contains(key):
+            spark.conf.set(key, value)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where none is set, as in tests."""
+    """spark.checkpoint.dir of the session. A folder of our own only where none is set and one machine
+    does all, as in tests; on a cluster that is an error, since executors don't share local folders."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="orrery-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         path = f"file://{own}"
@@ -56,11 +59,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write `df` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The table goes with dropped(), or at the application's end.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/orrery-{name}-{uuid.uuid4().hex}"
+    where, fs = _file_system(spark, path)
+    fs.deleteOnExit(where)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._orrery_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of shared_table() that nothing will read any more."""
+    for t in tables:
+        where, fs = _file_system(t.sparkSession, t._orrery_path)
+        fs.delete(where, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def partitions(spark: SparkSession) -> int:

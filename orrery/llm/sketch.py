@@ -1,9 +1,11 @@
 """A count-min sketch of 64-bit hashes, built in parts and merged.
 
-Only "once" and "more than once" matter, so a cell saturates at two. Each input
-task sends the cells it saw as sorted, delta-coded ids (a byte or so each) by
-blocks of cells; a merging task owns whole blocks and leaves one bit a cell. The
-merged bits overestimate: a hash that occurs twice always counts as repeated.
+Each input task counts the cells of its hashes and sends them by blocks of cells:
+a byte for the low bits of each cell, and the number of cells of each 256. A merging
+task owns whole blocks and adds the parts' counts, up to 255. The merged counts
+overestimate: the least count of a hash's cells is never below its number of
+occurrences (or 255). For a prefilter, only whether a count reaches a limit is
+needed, and that is one bit a cell.
 
 The sketch's size follows the input up to `max_bits`; beyond, more hashes pass
 as repeated, and what relies on it works more but loses nothing.
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .shared import partitions
 
-#: 2 rows of 2**29 cells: 128 MiB of bits, the most that is ever broadcast.
-MAX_BITS, ROWS = 29, 2
+#: 2 rows of 2**28 cells: 64 MiB of bits, the most that is ever broadcast.
+MAX_BITS, ROWS = 28, 2
 _BLOCK_BITS = 22
 _ROW_MULT = [np.uint64(1), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)]
 _PART = "block int, cells binary"
@@ -39,36 +41,42 @@ def cell(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return tk.mix(h * _ROW_MULT[row]) >> np.uint64(64 - bits)
 
 
-def pack_sorted(a: np.ndarray, base: int) -> bytes:
-    """Sorted uint64 values as differences of 1, 2 or 4 bytes and a list of exceptions."""
-    d = np.diff(a, prepend=np.uint64(base)).astype(np.uint64)
-    cost = {w: len(d) * w + 8 * int((d >> np.uint64(8 * w) > 0).sum()) for w in (1, 2, 4)}
-    w = min(cost, key=cost.get)
-    low = d.astype({1: np.uint8, 2: np.uint16, 4: np.uint32}[w])
-    big = np.flatnonzero(d >> np.uint64(8 * w)).astype(np.uint32)
-    return pickle.dumps((base, low, big, d[big]), protocol=5)
+def pack_cells(cells: np.ndarray, block_bits: int) -> bytes:
+    """Sorted cells of a block, with repeats: each different one and its number."""
+    fresh = np.r_[True, cells[1:] != cells[:-1]]
+    at = np.flatnonzero(fresh)
+    number = np.diff(np.r_[at, len(cells)])
+    several = np.flatnonzero(number > 1).astype(np.uint32)
+    cells = cells[at] & np.uint64((1 << block_bits) - 1)
+    per = np.bincount((cells >> np.uint64(8)).astype(np.int64), minlength=1 << (block_bits - 8))
+    per = per.astype(np.uint8 if per.max() < 256 else np.uint16)
+    return pickle.dumps((cells.astype(np.uint8), per, several, np.minimum(number[several], 255).astype(np.uint8)), protocol=5)
 
 
-def unpack_sorted(blob: bytes) -> np.ndarray:
-    base, low, big, value = pickle.loads(blob)
-    d = low.astype(np.uint64)
-    d[big] = value
-    return np.cumsum(d) + np.uint64(base)
+def unpack_cells(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Different cells of a block and their numbers."""
+    low, per, several, number = pickle.loads(blob)
+    cells = np.repeat(np.arange(len(per), dtype=np.int64) << 8, per) | low
+    count = np.ones(len(cells), np.uint16)
+    count[several] = number
+    return cells, count
 
 
-def build(docs: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], slices: Callable, bits: int, flush: int = 4_000_000) -> DataFrame:
-    """Merged blocks (block, bits) of the hashes that `hashes` yields for the slices of `docs`."""
+def build(docs: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], slices: Callable, bits: int, flush: int = 1_500_000, least: int | None = 2) -> DataFrame:
+    """Merged blocks (block, cells) of the hashes that `hashes` yields for the slices of `docs`.
+
+    cells: a byte for the count of each cell, or, with `least`, a bit for each cell that counts so many.
+    """
     block_bits = min(bits, _BLOCK_BITS)
     blocks = 1 << (bits - block_bits)
 
     def parts(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h = np.concatenate(held)
         for row in range(ROWS):
-            c = np.sort(cell(h, row, bits))
-            if len(c) > 2:  # a third equal one tells nothing new
-                c = c[np.r_[True, True, c[2:] != c[:-2]]]
+            c = cell(h, row, bits)
+            c.sort()
             cuts = np.searchsorted(c, np.arange(blocks + 1, dtype=np.uint64) << np.uint64(block_bits))
-            rows = [(b, pack_sorted(c[i:j], b << block_bits)) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+            rows = [(b, pack_cells(c[i:j], block_bits)) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
             yield pa.RecordBatch.from_arrays([pa.array([row * blocks + b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "cells"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,32 +92,30 @@ def build(docs: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], slice
             yield from parts(held)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, once, twice = -1, np.zeros(0, bool), np.zeros(0, bool)
+        now, counts = -1, np.zeros(0, np.uint8)
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], names=["block", "cells"])
+            cells = counts if least is None else np.packbits(counts >= least)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([cells.tobytes()], pa.binary())], names=["block", "cells"])
 
         for batch in batches:
             for b, blob in zip(batch.column("block").to_pylist(), batch.column("cells"), strict=True):
                 if b != now:
                     if now >= 0:
                         yield out()
-                    now, once, twice = b, np.zeros(1 << block_bits, bool), np.zeros(1 << block_bits, bool)
-                c = (unpack_sorted(blob.as_py()) & np.uint64((1 << block_bits) - 1)).astype(np.int64)
-                again = np.r_[False, c[1:] == c[:-1]]
-                twice[c[again]] = True
-                c = c[~again]
-                twice[c[once[c]]] = True
-                once[c] = True
+                    now, counts = b, np.zeros(1 << block_bits, np.uint8)
+                at, number = unpack_cells(blob.as_py())
+                counts[at] = np.minimum(counts[at] + number, 255)
         if now >= 0:
             yield out()
 
     sent = docs.mapInArrow(run, _PART)
-    return sent.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block").mapInArrow(merge, _PART)
+    n = min(partitions(docs.sparkSession), ROWS * blocks)
+    return sent.repartition(n, "block").sortWithinPartitions("block").mapInArrow(merge, _PART)
 
 
 class Repeated:
-    """The merged sketch; at most ROWS * 2**MAX_BITS bits, so it is broadcast."""
+    """The merged sketch's bits; at most ROWS * 2**MAX_BITS, so they are broadcast."""
 
     def __init__(self, merged: DataFrame, bits: int):
         self.bits = bits
@@ -124,7 +130,7 @@ class Repeated:
         return {"bits": self.bits, "table": self.table}
 
     def maybe(self, h: np.ndarray) -> np.ndarray:
-        """False only where a hash occurs once in all."""
+        """Hashes whose estimated number reaches the limit: all that do, and some others."""
         table = np.frombuffer(self.table.value, np.uint8)
         out = np.ones(len(h), bool)
         at = np.arange(len(h))

@@ -7,6 +7,7 @@ the bytes, so they agree between executors and between runs.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,8 +78,23 @@ def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def released() -> None:
+    """Give freed memory back to the system: workers outlive their task and are used again."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], name: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about `limit` bytes of text each."""
+    try:
+        yield from _slices(batches, name, limit)
+    finally:
+        released()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], name: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows == 0:
             continue

@@ -146,6 +146,51 @@ def test_jaccard_join_of_mutants(spark, seed):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == brute_components(rows, 4, 85)
 
 
+def near_groups(spark):
+    """Documents of two components each that share a passage, so that only the matrix can tell them apart."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for b in range(30):
+        common = [f"c{b}_{i}" for i in range(40)]
+        for v in range(6):  # overlap of about 0.6 between the two halves, 0.95 within each
+            base = common + [f"v{b}_{v % 2}_{i}" for i in range(20)]
+            base[45 + v] = f"x{rng.integers(0, 10**6)}"
+            rows.append((len(rows) + 1, " ".join(base)))
+    return rows
+
+
+def test_groups_are_skipped_by_the_bound_and_links_come_from_opened_ones(spark):
+    rows = near_groups(spark)
+    texts_ = spark.createDataFrame([(i, t) for i, t in rows], "_id bigint, text string")
+    tokens = ngram_join.shared_table(ngram_join._tokens(texts_, 4, True), "tokens")
+    own = tokens.select("doc", F.size("tokens").cast("long").alias("n"), F.col("tokens").alias("prefix"))
+    open_ = ngram_join.still_open(ngram_join._labelled(own, None), 85)  # no group has been opened for its own members
+    groups = ngram_join.shared_table(ngram_join.grouped(open_, 85, group=2), "groups")
+    met = ngram_join.met_groups(groups, 85)
+    found = ngram_join.opened(groups, met, ngram_join.matrix(groups, tokens), tokens, 85).select("doc", "grp")
+    asked = groups.select(F.col("grp").alias("q_grp"), "doc").join(met, "q_grp").select("doc", "grp").distinct()
+    assert 0 < found.distinct().count() < asked.count()  # the bound leaves some closed
+    member = groups.select("grp", F.col("doc").alias("v"))
+    pairs = {tuple(sorted(p)) for p in found.join(member, "grp").select("doc", "v").where("doc <> v").toPandas().itertuples(index=False, name=None)}
+    sets = {i: shingle_set(t, 4) for i, t in rows}
+    group_of = dict(groups.select("doc", "grp").toPandas().itertuples(index=False, name=None))
+    links = {(a, b) for a in sets for b in sets if a < b and group_of[a] != group_of[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert links and links <= pairs
+
+
+def test_jaccard_join_of_halves_and_of_ids_that_repeat(spark):
+    rows = near_groups(spark)
+    rows += [(500, rows[0][1]), (500, rows[40][1]), (None, rows[0][1]), (None, "a b c d e f g")]  # one id, texts of two components
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = ngram_join.jaccard_components(df, n=4, percent=85)
+    want = brute_components([r for r in rows if r[0] is not None], 4, 85)
+    assert {r["doc_id"]: r["component_id"] for r in got.where("doc_id is not null").collect()} == want
+    assert {r["component_id"] for r in got.where("doc_id is null").collect()} == {1, None}
+    kept = ngram_join.drop_near_copies(df.withColumnsRenamed({}).withColumn("_rid", F.lit(1)).withColumn("row", F.lit(2)), n=4, percent=85)
+    assert kept.columns == ["doc_id", "text", "_rid", "row"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [i for i, c in want.items() if i == c] + [None, None]))
+
+
 def test_components_of_a_long_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101)], "u bigint, v bigint")
     got = {r["node"]: r["component"] for r in components.components(e).collect()}
