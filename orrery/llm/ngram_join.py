@@ -101,49 +101,52 @@ def depth(n, percent: int):
     return 1 + (F.floor(extra) if isinstance(n, Column) else np.floor(extra).astype(np.int64))
 
 
-def prefixes(docs: DataFrame, n: int, percent: int, lower: bool, frequent: DataFrame) -> DataFrame:
+class Order:
+    """The order of tokens: frequent ones last, the others by hash; and the prefixes that it gives."""
+
+    def __init__(self, frequent: DataFrame):
+        rows = frequent.orderBy(F.col("n").desc(), "token").limit(FREQUENT).select("token", "n").toArrow()
+        token = rows["token"].to_numpy().view(np.uint64)
+        order = np.argsort(token)
+        self.shared = frequent.sparkSession.sparkContext.broadcast((token[order].tobytes(), rows["n"].to_numpy()[order].astype(np.uint32).tobytes()))
+
+    def prefixes(self, keys: np.ndarray, docs: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of each document's prefix, and their number."""
+        known, often = np.frombuffer(self.shared.value[0], np.uint64), np.frombuffer(self.shared.value[1], np.uint32)
+        size = np.diff(first)
+        weight = np.zeros(len(keys), np.uint32)
+        if len(known) and len(keys):
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            weight = np.where(known[at] == keys, often[at], 0).astype(np.uint32)
+        order = np.lexsort((keys, weight, docs))
+        take = np.minimum(size, size - -(-percent * size // 100) + depth(size, percent))
+        place = np.arange(len(keys)) - np.repeat(first[:-1], size)
+        return keys[order][place < np.repeat(take, size)], take
+
+
+def _lists(values: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32), pa.int32()), pa.array(values.view(np.int64), pa.int64()))
+
+
+def prefixes(docs: DataFrame, n: int, percent: int, lower: bool, tokens: Order) -> DataFrame:
     """_id, n_shingles, sig_a, sig_b (of the set), prefix array<bigint>."""
-    rows = frequent.orderBy(F.col("n").desc(), "token").limit(FREQUENT).select("token", "n").toArrow()
-    token = rows["token"].to_numpy().view(np.uint64)
-    order = np.argsort(token)
-    shared = docs.sparkSession.sparkContext.broadcast((token[order].tobytes(), rows["n"].to_numpy()[order].astype(np.uint32).tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = np.frombuffer(shared.value[0], np.uint64), np.frombuffer(shared.value[1], np.uint32)
         for part in _slices(batches):
             keys, docs_, first = shingles(part, n, lower)
-            size = np.diff(first)
-            weight = np.zeros(len(keys), np.uint32)
-            if len(known) and len(keys):
-                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                weight = np.where(known[at] == keys, often[at], 0).astype(np.uint32)
-            order = np.lexsort((keys, weight, docs_))
-            take = np.minimum(size, size - -(-percent * size // 100) + depth(size, percent))
-            place = np.arange(len(keys)) - np.repeat(first[:-1], size)
-            prefix = keys[order][place < np.repeat(take, size)]
+            prefix, take = tokens.prefixes(keys, docs_, first, percent)
             sig = []
             for seed in (np.uint64(0x517CC1B727220A95), np.uint64(0xA0761D6478BD642F)):
                 s = np.r_[np.uint64(0), np.cumsum(tk.mix(keys ^ seed))]
                 sig.append(pa.array((s[first[1:]] - s[first[:-1]]).view(np.int64), pa.int64()))
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(take)].astype(np.int32), pa.int32()), pa.array(prefix.view(np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(size, pa.int64()), *sig, lists], names=["_id", "n_shingles", "sig_a", "sig_b", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(np.diff(first), pa.int64()), *sig, _lists(prefix, take)], names=["_id", "n_shingles", "sig_a", "sig_b", "prefix"])
 
     return docs.mapInArrow(run, "_id bigint, n_shingles bigint, sig_a bigint, sig_b bigint, prefix array<bigint>")
 
 
-def _tokens(docs: DataFrame, n: int, lower: bool) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
-            keys, _, first = shingles(part, n, lower)
-            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32), pa.int32()), pa.array(keys.view(np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("_id"), lists], names=["doc", "tokens"])
-
-    return docs.mapInArrow(run, "doc bigint, tokens array<bigint>")
-
-
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of `docs` whose _id is in the written table `ids`: broadcast if it is small, else a shuffle."""
-    return docs.join(F.broadcast(ids) if ids.count() <= IDS else ids, "_id", "left_semi")
+    """Rows of `docs` whose doc is in the written table `ids`: broadcast if it is small, else a shuffle."""
+    return docs.join(F.broadcast(ids) if ids.count() <= IDS else ids, "doc", "left_semi")
 
 
 def _classes(n: np.ndarray, percent: int) -> np.ndarray:
@@ -151,20 +154,21 @@ def _classes(n: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(np.log(np.maximum(1, n)) / (np.log(100.0 / percent) * 1.001)).astype(np.int64) if percent < 100 else n.astype(np.int64)
 
 
-def open_documents(own: DataFrame, percent: int, max_bits: int) -> DataFrame:
-    """doc, n, prefix: of the rows of `own`, those that may share enough prefix tokens with a set of a near size,
-    and of their prefix tokens those that such a set may have."""
+def _pair_keys(token: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of tokens with their set's class of size and the one below, and with it and the one above."""
+    key = lambda c: tk.mix(token + (c + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return key(level), key(level + np.uint64(1))
+
+
+def shared_tokens(own: DataFrame, percent: int, max_bits: int) -> sketch.Repeated:
+    """Sketch of the prefix tokens of the sets `own` (n, prefix), by classes of size."""
     total = own.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     bits = sketch.bits_for(2 * total, load=0.5, max_bits=max_bits)
 
-    def keys(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row of each token, and its keys with its class and the one below, and with its class and the one above."""
+    def keys(part: pa.RecordBatch) -> np.ndarray:
         lists = part.column("prefix")
-        size = lists.value_lengths().to_numpy(zero_copy_only=False)
-        token = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        level = np.repeat(_classes(part.column("n").to_numpy(zero_copy_only=False), percent), size).astype(np.uint64)
-        key = lambda c: tk.mix(token + (c + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
-        return np.repeat(np.arange(part.num_rows), size), key(level), key(level + np.uint64(1))
+        level = np.repeat(_classes(part.column("n").to_numpy(zero_copy_only=False), percent), lists.value_lengths().to_numpy(zero_copy_only=False))
+        return np.concatenate(_pair_keys(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), level.astype(np.uint64)))
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -172,22 +176,28 @@ def open_documents(own: DataFrame, percent: int, max_bits: int) -> DataFrame:
         finally:
             tk.released()
 
-    repeated = sketch.Repeated(sketch.build(own, lambda part: np.concatenate(keys(part)[1:]), slices, bits), bits)
+    return sketch.Repeated(sketch.build(own, keys, slices, bits), bits)
+
+
+def open_documents(docs: DataFrame, n: int, percent: int, lower: bool, tokens: Order, repeated: sketch.Repeated) -> DataFrame:
+    """doc, n, prefix, tokens (the set): of the rows of `docs`, those that may share enough prefix tokens with a set of a
+    near size, and of their prefix tokens those that such a set may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            row, below, above = keys(part)
+        for part in _slices(batches):
+            keys, docs_, first = shingles(part, n, lower)
+            size = np.diff(first)
+            prefix, take = tokens.prefixes(keys, docs_, first, percent)
+            row = np.repeat(np.arange(part.num_rows), take)
+            below, above = _pair_keys(prefix, _classes(size, percent)[row].astype(np.uint64))
             some = repeated.maybe(below) | repeated.maybe(above)
             count = np.bincount(row[some], minlength=part.num_rows)
-            n = part.column("n").to_numpy(zero_copy_only=False)
-            stay = count >= depth(-(-percent * n // 100), percent)
-            some &= stay[row]
-            token = part.column("prefix").flatten().filter(pa.array(some))
-            rows = part.filter(pa.array(stay))
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count[stay])].astype(np.int32), pa.int32()), token)
-            yield pa.RecordBatch.from_arrays([rows.column("doc"), rows.column("n"), lists], names=["doc", "n", "prefix"])
+            stay = (count >= depth(-(-percent * size // 100), percent)) & (size > 0) & part.column("_id").is_valid().to_numpy(zero_copy_only=False)
+            ids = part.column("_id").filter(pa.array(stay))
+            lists = [_lists(prefix[some & stay[row]], count[stay]), _lists(keys[stay[docs_]], size[stay])]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size[stay], pa.int64()), *lists], names=["doc", "n", "prefix", "tokens"])
 
-    return own.mapInArrow(run, "doc bigint, n bigint, prefix array<bigint>")
+    return docs.mapInArrow(run, "doc bigint, n bigint, prefix array<bigint>, tokens array<bigint>")
 
 
 def _sizes_fit(a: Column, low: Column, high: Column, percent: int) -> Column:
@@ -199,25 +209,48 @@ def _shared(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)).cast("long")
 
 
+def _linked(a: Column, b: Column, percent: int) -> Column:
+    both = _shared(a, b)
+    return 100 * both >= percent * (F.size(a) + F.size(b) - both)
+
+
 def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (u, v), those of which the sets link."""
-    a = sets.select(F.col("doc").alias("u"), F.col("tokens").alias("a"))
-    b = sets.select(F.col("doc").alias("v"), F.col("tokens").alias("b"))
-    both = _shared(F.col("a"), F.col("b"))
-    found = pairs.join(a, "u").join(b, "v").where(100 * both >= percent * (F.size("a") + F.size("b") - both))
+    pairs = shared_table(pairs.distinct(), "pairs")
+    side = lambda c, name: _only(sets, shared_table(pairs.select(F.col(c).alias("doc")).distinct(), "ends")).select(F.col("doc").alias(c), F.col("tokens").alias(name))
+    found = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").where(_linked(F.col("a"), F.col("b"), percent))
     return shared_table(found.select("u", "v"), "links")
 
 
-def own_group_links(rows: DataFrame, sets: DataFrame, percent: int, seed: int) -> DataFrame:
-    """Links (u, v) of the documents `rows` (doc, n, prefix, component) to one member of their group of similar ones."""
-    key = F.array_min(F.transform("prefix", lambda x: F.xxhash64(x, F.lit(seed))))
-    member = rows.select("doc", "n", "prefix", "component", key.alias("key"))
-    one = F.min_by(F.struct("doc", "n", "prefix", "component"), F.xxhash64("doc", F.lit(seed)))
-    centre = member.groupBy("key").agg(one.alias("c"), F.count("*").alias("size")).where("size > 1").select("key", "c")
-    c = F.col("c")
-    fits = (F.col("component") != c["component"]) & _sizes_fit(F.col("n"), c["n"], c["n"], percent)
-    enough = _shared(F.col("prefix"), c["prefix"]) >= depth(F.least("n", c["n"]), percent)
-    return _exact(member.join(centre, "key").where(fits & enough).select(c["doc"].alias("u"), F.col("doc").alias("v")), sets, percent)
+def _key(seed: int) -> Column:
+    """A document's group: its least hashed open token."""
+    return F.array_min(F.transform("prefix", lambda x: F.xxhash64(x, F.lit(seed))))
+
+
+def _centres(member: DataFrame, seed: int) -> DataFrame:
+    """key, doc, n, component of one member of each group of several."""
+    least = F.min(F.struct(F.xxhash64("doc", F.lit(seed)).alias("h"), "doc", "n", "component")).alias("c")
+    light = member.select("key", "doc", "n", "component").groupBy("key").agg(least, F.count("*").alias("size"))
+    return light.where("size > 1").select("key", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("doc", "n", "component")])
+
+
+def own_group_links(sets: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Links (u, v) of the documents `sets` (doc, n, prefix, tokens) to one member of their group. Sets are shuffled once."""
+    member = sets.select("*", F.col("doc").alias("component"), _key(seed).alias("key"))
+    centre = member.join(_centres(member, seed), "key").where("doc = c_doc and n = c_n").select("key", "c_doc", "c_n", F.col("prefix").alias("p"), F.col("tokens").alias("t"))
+    fits = (F.col("doc") != F.col("c_doc")) & _sizes_fit(F.col("n"), F.col("c_n"), F.col("c_n"), percent)
+    enough = _shared(F.col("prefix"), F.col("p")) >= depth(F.least("n", "c_n"), percent)
+    found = member.join(centre, "key").where(fits & enough & _linked(F.col("tokens"), F.col("t"), percent))
+    return shared_table(found.select(F.col("c_doc").alias("u"), F.col("doc").alias("v")).distinct(), "links")
+
+
+def other_group_links(rows: DataFrame, sets: DataFrame, percent: int, seed: int) -> DataFrame:
+    """As own_group_links(), for another partition into groups: of `rows` (doc, n, prefix, component), only documents
+    whose component isn't that of their group's member."""
+    member = rows.select("doc", "n", "prefix", "component", _key(seed).alias("key"))
+    fits = (F.col("component") != F.col("c_component")) & _sizes_fit(F.col("n"), F.col("c_n"), F.col("c_n"), percent)
+    pairs = member.join(_centres(member, seed), "key").where(fits)
+    return _exact(pairs.select(F.col("c_doc").alias("u"), F.col("doc").alias("v")), sets, percent)
 
 
 def still_open(rows: DataFrame, percent: int) -> DataFrame:
@@ -264,7 +297,7 @@ def opened(groups: DataFrame, met: DataFrame, columns: DataFrame, sets: DataFram
     asked = asked.select("doc", "n", "prefix", "component", "grp", "low")
     bound = _shared(F.col("tokens"), F.col("column"))
     least = percent * (F.col("n") + F.greatest("low", F.ceil(percent * F.col("n") / 100)))
-    held = asked.join(columns, "grp").join(sets.select("doc", F.size("tokens").cast("long").alias("n"), "tokens"), ["doc", "n"])
+    held = asked.join(columns, "grp").join(sets.select("doc", "n", "tokens"), ["doc", "n"])
     return held.where((100 + percent) * bound >= least).select("doc", "n", "prefix", "component", "grp")
 
 
@@ -288,41 +321,36 @@ def jaccard_components(
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    table = shared_table(prefixes(rows, n, percent, lower, frequent_tokens(rows, n, lower)), "prefixes")
+    tokens = Order(frequent_tokens(rows, n, lower))
+    table = shared_table(prefixes(rows, n, percent, lower, tokens), "prefixes")
     equal = shared_table(table.where("n_shingles > 0").groupBy("sig_a", "sig_b").agg(F.min("_id").alias("doc")), "sets")
     lead = equal.where("doc is not null").select("doc").distinct()
-    own = table.where("n_shingles > 0 and _id is not null").select(F.col("_id").alias("doc"), F.col("n_shingles").alias("n"), "prefix")
-    own = shared_table(own.join(lead, "doc", "left_semi"), "own")
-    some = shared_table(open_documents(own, percent, max_bits), "open")
-    asked = shared_table(some.select(F.col("doc").alias("_id")).distinct(), "asked")
-    sets = shared_table(_tokens(_only(rows, asked), n, lower), "tokens")
-    dropped(own, asked)
+    own = shared_table(table.where("n_shingles > 0 and _id is not null").select(F.col("_id").alias("doc"), F.col("n_shingles").alias("n"), "prefix").join(lead, "doc", "left_semi"), "own")
+    repeated = shared_tokens(own, percent, max_bits)
+    sets = shared_table(open_documents(rows, n, percent, lower, tokens, repeated).join(lead, "doc", "left_semi"), "open")
+    dropped(own)
 
     # a group's own members, in two partitions
-    links, comp, done = None, None, []
-    for seed in SEEDS:
-        held = _labelled(some, comp)
-        if comp is not None:
-            held = shared_table(still_open(held, percent), "open")
-            done.append(held)
-        found = own_group_links(held, sets, percent, seed)
-        done.append(found)
-        links = found if links is None else links.unionByName(found)
-        comp = shared_table(components(links), "components")
-        done.append(comp)
+    links = own_group_links(sets, percent, SEEDS[0])
+    comp = shared_table(components(links), "components")
+    some = sets.drop("tokens")
+    more = other_group_links(_labelled(some, comp), sets, percent, SEEDS[1])
+    links = links.unionByName(more)
+    comp = shared_table(components(links), "components")
 
     # the matrix of what is open
     groups = shared_table(grouped(still_open(_labelled(some, comp), percent), percent, group), "groups")
+    held = shared_table(_only(sets.select("doc", "n", "tokens"), shared_table(groups.select("doc").distinct(), "asked")), "held")
     met = shared_table(met_groups(groups, percent), "met")
-    columns = shared_table(matrix(groups, sets), "matrix")
-    query = opened(groups, met, columns, sets, percent)
+    columns = shared_table(matrix(groups, held), "matrix")
+    query = opened(groups, met, columns, held, percent)
     member = groups.select("grp", F.col("doc").alias("v"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("prefix").alias("p"))
     fits = (F.col("component") < F.col("c")) & _sizes_fit(F.col("n"), F.col("m"), F.col("m"), percent)
     enough = _shared(F.col("prefix"), F.col("p")) >= depth(F.least("n", "m"), percent)
     pairs = query.join(member, "grp").where(fits & enough).select(F.col("doc").alias("u"), "v")
-    found = _exact(pairs, sets, percent)
+    found = _exact(pairs, held, percent)
     comp = shared_table(components(links.unionByName(found).unionByName(_same_id(table, equal))), "components")
-    dropped(some, sets, groups, met, columns, found, *done)
+    dropped(sets, groups, held, met, columns)
 
     # copies of a set follow their node
     named = equal.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("sig_a", "sig_b", F.coalesce("component", "doc").alias("component"))
@@ -338,10 +366,8 @@ def _same_id(table: DataFrame, equal: DataFrame) -> DataFrame:
     return table.select("_id", "sig_a", "sig_b").join(ids, "_id").join(equal, ["sig_a", "sig_b"]).select(F.col("_id").alias("u"), F.col("doc").alias("v"))
 
 
-def _labelled(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
     """`rows` with the component of each doc: itself where it has no link."""
-    if comp is None:
-        return rows.withColumn("component", F.col("doc"))
     return rows.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
 

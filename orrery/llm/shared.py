@@ -74,10 +74,11 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete tables of shared_table() that nothing will read any more."""
+    """Delete tables of shared_table() that nothing will read any more, and let Spark delete shuffles that nothing refers to."""
     for t in tables:
         where, fs = _file_system(t.sparkSession, t._orrery_path)
         fs.delete(where, True)
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def _file_system(spark: SparkSession, path: str):

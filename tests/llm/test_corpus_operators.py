@@ -151,10 +151,10 @@ def near_groups(spark):
     rng = np.random.default_rng(5)
     rows = []
     for b in range(30):
-        common = [f"c{b}_{i}" for i in range(40)]
-        for v in range(6):  # overlap of about 0.6 between the two halves, 0.95 within each
-            base = common + [f"v{b}_{v % 2}_{i}" for i in range(20)]
-            base[45 + v] = f"x{rng.integers(0, 10**6)}"
+        common = [f"c{b}_{i}" for i in range(160)]
+        for v in range(6):  # similarity of about 0.5 between the two halves, 0.9 within each
+            base = common + [f"v{b}_{v % 2}_{i}" for i in range(80)]
+            base[165 + 9 * v] = f"x{rng.integers(0, 10**6)}"
             rows.append((len(rows) + 1, " ".join(base)))
     return rows
 
@@ -162,9 +162,10 @@ def near_groups(spark):
 def test_groups_are_skipped_by_the_bound_and_links_come_from_opened_ones(spark):
     rows = near_groups(spark)
     texts_ = spark.createDataFrame([(i, t) for i, t in rows], "_id bigint, text string")
-    tokens = ngram_join.shared_table(ngram_join._tokens(texts_, 4, True), "tokens")
-    own = tokens.select("doc", F.size("tokens").cast("long").alias("n"), F.col("tokens").alias("prefix"))
-    open_ = ngram_join.still_open(ngram_join._labelled(own, None), 85)  # no group has been opened for its own members
+    order = ngram_join.Order(ngram_join.frequent_tokens(texts_, 4, True))
+    table = ngram_join.prefixes(texts_, 4, 85, True, order).select(F.col("n_shingles").alias("n"), "prefix")
+    tokens = ngram_join.shared_table(ngram_join.open_documents(texts_, 4, 85, True, order, ngram_join.shared_tokens(table, 85, 20)), "tokens")
+    open_ = ngram_join.still_open(tokens.drop("tokens").withColumn("component", F.col("doc")), 85)  # no group has been opened for its own members
     groups = ngram_join.shared_table(ngram_join.grouped(open_, 85, group=2), "groups")
     met = ngram_join.met_groups(groups, 85)
     found = ngram_join.opened(groups, met, ngram_join.matrix(groups, tokens), tokens, 85).select("doc", "grp")
@@ -186,7 +187,7 @@ def test_jaccard_join_of_halves_and_of_ids_that_repeat(spark):
     want = brute_components([r for r in rows if r[0] is not None], 4, 85)
     assert {r["doc_id"]: r["component_id"] for r in got.where("doc_id is not null").collect()} == want
     assert {r["component_id"] for r in got.where("doc_id is null").collect()} == {1, None}
-    kept = ngram_join.drop_near_copies(df.withColumnsRenamed({}).withColumn("_rid", F.lit(1)).withColumn("row", F.lit(2)), n=4, percent=85)
+    kept = ngram_join.drop_near_copies(df.withColumn("_rid", F.lit(1)).withColumn("row", F.lit(2)), n=4, percent=85)
     assert kept.columns == ["doc_id", "text", "_rid", "row"]
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [i for i, c in want.items() if i == c] + [None, None]))
 
