@@ -1,17 +1,20 @@
 """Exact deduplication by an extendible-hash index on shared files.
 
 Only DataFrame functions are used. The index maps a 64-bit key of the
-normalised text to chains of texts:
-
-1. Texts are aggregated by (key, normalised text): Spark compares the bytes
-   themselves, so texts that collide in the key stay apart. Copies collapse on
-   the map side, so a hot group moves as one row a task.
-2. The directory starts at depth 0. While a bucket holds more than
-   `bucket_capacity` distinct texts it is split, which doubles the directory by
-   one bit of the key. Only bucket counts are looked at, in the cluster.
-3. Owner tasks write the index to the shared folder, ordered by key range and
-   bucket. In a bucket, texts with one key form a chain.
-4. Each document looks its text up by key and digest.
+normalised text to chains of rows:
+
+1. Entries (row number, id, key, normalised text) are written to the shared folder, and their keys are counted.
+2. The directory starts with one bucket. While a bucket has more keys than its capacity it is split
+   in two by the next bit of the key, which doubles the directory. This is done on a histogram of
+   the keys, so that each text goes to its last bucket at once. The capacity grows with the number of
+   keys beyond SLOTS buckets of the least one, so that the directory is bounded.
+3. The directory's slot of an entry's key gives its bucket, and the bucket's place in the key space its owner. An owner
+   task has a range of keys. It sorts each bucket by key and text: texts of one key are compared byte by byte and form
+   the links of the key's chain. Each row of the index has its bucket, link, the link's first row and number of rows.
+4. A key with more rows than a bucket's capacity can't be split. Such rows are first aggregated by key and text, in part before
+   they are shuffled, and look their link up.
+
+What no slot leads to isn't found: the result's rows are those of the index.
 """
 
 from __future__ import annotations
@@ -19,10 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shared_table
+from .shared import dropped, partitions, shared_table
 
-#: Bits of the key that a directory may use at most.
-MAX_DEPTH = 24
+#: Bits of the key that a directory may use at most, and buckets that it is made for at most.
+MAX_DEPTH, SLOTS = 20, 1 << 16
+#: Keys or links that are broadcast at most.
+NARROW = 1 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -38,56 +43,66 @@ def directory(keys: DataFrame, bucket_capacity: int, max_depth: int = MAX_DEPTH)
     """Buckets (depth, prefix, n) such that none holds more than `bucket_capacity` rows of `keys`
     (column `_key`), unless `max_depth` bits can't tell them apart. They partition the key space that is used."""
     hist = shared_table(keys.groupBy(_prefix(F.col("_key"), max_depth).alias("p")).agg(F.count("*").alias("n")), "histogram")
-    full = hist.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"), "n")
-    done, depth, most = None, 0, full.first()["n"]
-    # one doubling a turn; the number of turns is at most max_depth
-    while most > bucket_capacity and depth < max_depth:
-        depth += 1
-        cells = hist.groupBy(F.shiftrightunsigned("p", max_depth - depth).alias("prefix")).agg(F.sum("n").alias("n"))
-        most = cells.agg(F.max("n")).first()[0]
-    sizes = [
-        hist.groupBy(F.shiftrightunsigned("p", max_depth - d).alias("prefix")).agg(F.sum("n").alias("n")).select(F.lit(d).alias("depth"), "prefix", "n")
-        if d
-        else full
-        for d in range(depth + 1)
-    ]
-    for d, here in enumerate(sizes):
-        fits = here if d == depth else here.where(F.col("n") <= bucket_capacity)
-        if d:  # the parent was overfull, or this isn't a bucket
-            parent = sizes[d - 1].where(F.col("n") > bucket_capacity).select(F.col("prefix").alias("up"))
-            fits = fits.join(parent, F.shiftrightunsigned(fits["prefix"], 1) == parent["up"], "left_semi")
+    cells = lambda d: hist.groupBy(F.shiftrightunsigned("p", max_depth - d).alias("prefix")).agg(F.sum("n").alias("n")).select(F.lit(d).alias("depth"), "prefix", "n")
+    whole = hist.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"), "n")
+    levels, most = [whole], whole.first()["n"]
+    while most > bucket_capacity and len(levels) <= max_depth:  # one doubling a turn
+        levels.append(cells(len(levels)))
+        most = levels[-1].agg(F.max("n")).first()[0]
+    done = None
+    for d, here in enumerate(levels):
+        fits = here if d == len(levels) - 1 else here.where(F.col("n") <= bucket_capacity)
+        if d:  # the parent was overfull, else this is a part of a bucket
+            parent = levels[d - 1].where(F.col("n") > bucket_capacity).select(F.col("prefix").alias("up"))
+            fits = fits.join(F.broadcast(parent), F.shiftrightunsigned(fits["prefix"], 1) == parent["up"], "left_semi")  # at most 2**max_depth
         done = fits if done is None else done.unionByName(fits)
     return done
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_capacity: int = 4096, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The index: a row for each distinct text with depth and prefix of its bucket, its key, its
-    place in the key's chain, digest, smallest id and number of copies."""
-    norm = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_norm"))
-    texts = (
-        norm.select("_id", "_norm", F.xxhash64("_norm").alias("_key"))
-        .groupBy("_key", "_norm")
-        .agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("_key", "keep_id", "group_size", F.sha2(F.col("_norm"), 256).alias("text_sha256"))
-    )
-    texts = shared_table(texts, "texts")
-    buckets = shared_table(directory(texts.select("_key"), bucket_capacity, max_depth), "directory")
-    depths = [r["depth"] for r in buckets.select("depth").distinct().collect()]  # at most max_depth + 1 numbers
-    prefix = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.col("_key"), d).alias("prefix")) for d in sorted(depths)])
-    found = (
-        texts.withColumn("_at", F.explode(prefix))
-        .select("*", "_at.depth", "_at.prefix")
-        .drop("_at")
-        .join(buckets.select("depth", "prefix"), ["depth", "prefix"])
-        if len(depths) > 1
-        else texts.select("*", F.lit(depths[0]).alias("depth"), _prefix(F.col("_key"), depths[0]).alias("prefix"))
-        if depths
-        else texts.select("*", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"))
-    )
-    chain = Window.partitionBy("depth", "prefix", "_key").orderBy(F.col("keep_id").asc_nulls_last(), "text_sha256")
-    index = found.withColumn("chain", F.row_number().over(chain))
-    owned = index.repartitionByRange(F.shiftrightunsigned("_key", 1), "prefix").sortWithinPartitions("prefix", "_key", "chain")
-    return shared_table(owned, "index")
+def _entries(docs: DataFrame, id_col: str, text_col: str, *others: Column) -> DataFrame:
+    norm = docs.select(F.col(f"`{id_col}`").alias("_id"), normalised(F.col(f"`{text_col}`")).alias("_norm"), *others)
+    return shared_table(norm.select("*", F.xxhash64("_norm").alias("_key"), F.monotonically_increasing_id().alias("_row")), "entries")
+
+
+def _narrow(df: DataFrame) -> DataFrame:
+    """Broadcast a written table if it is small, else leave the join to a shuffle."""
+    return F.broadcast(df) if df.count() <= NARROW else df
+
+
+def build_index(entries: DataFrame, bucket_capacity: int = 4096, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """The index of `entries`, a row for each: depth and prefix of its bucket, _key, link (its text's place in the key's
+    chain), _row, _id, first (_id and _row of the link's first row), group_size and text_sha256."""
+    spark = entries.sparkSession
+    keys = shared_table(entries.groupBy("_key").agg(F.count("*").alias("n")), "keys")
+    capacity = max(bucket_capacity, -(-keys.count() // SLOTS))
+    buckets = shared_table(directory(keys.select("_key"), capacity, max_depth), "directory")
+    depth = buckets.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+    start = F.expr(f"shiftleft(prefix, {depth} - depth)")
+    slots = buckets.select("depth", "prefix", start.alias("start"), F.explode(F.sequence(start, F.expr(f"shiftleft(prefix + 1, {depth} - depth) - 1"))).alias("slot"))
+    addressed = entries.join(F.broadcast(slots), _prefix(F.col("_key"), depth) == F.col("slot")).drop("slot")  # at most 2**max_depth slots
+    where = ["depth", "prefix", "_key"]
+    first = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_row")
+
+    hot = shared_table(keys.where(F.col("n") > capacity).select("_key"), "hot")
+    several = hot.count()
+    cold = addressed.join(_narrow(hot), "_key", "left_anti") if several else addressed
+    n = partitions(spark)
+    owned = cold.withColumn("owner", F.floor(F.col("start") * n / (1 << depth)).cast("int")).repartitionById(n, F.col("owner"))
+    chain = Window.partitionBy("owner", *where).orderBy("_norm")
+    link = Window.partitionBy("owner", *where, "_norm").orderBy(first).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    columns = [*where, "link", "_row", "_id", "first", "group_size", "text_sha256"]
+    out = owned.select("*", F.first(first).over(link).alias("first"), F.count("*").over(link).alias("group_size"), F.dense_rank().over(chain).alias("link"))
+    out = out.withColumn("text_sha256", F.sha2("_norm", 256)).select(*columns)
+    if several:
+        rows = addressed.join(_narrow(hot), "_key", "left_semi")
+        links = rows.groupBy(*where, "_norm").agg(F.min(first).alias("first"), F.count("*").alias("group_size"))
+        links = links.withColumn("link", F.dense_rank().over(Window.partitionBy(*where).orderBy("_norm")))  # different texts of one key
+        links = shared_table(links.select(*where, "link", "first", "group_size", F.sha2("_norm", 256).alias("text_sha256")), "links")
+        looked = rows.select("*", F.sha2("_norm", 256).alias("text_sha256")).drop("_norm").join(_narrow(links), [*where, "text_sha256"])
+        out = out.unionByName(looked.select(*columns))
+    index = shared_table(out, "index")
+    dropped(keys, buckets, hot)
+    return index
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_capacity: int = 4096) -> DataFrame:
@@ -98,34 +113,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the kept id with an equal text, one is marked kept. No row is dropped; an empty table gives none.
     Columns of `docs` other than the two named are not read, whatever their names.
     """
-    index = build_index(docs, id_col, text_col, bucket_capacity)
-    copies = index.where(F.col("group_size") > 1).select("_key", "text_sha256", "keep_id", "group_size")
-    norm = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_norm"))
-    rows = norm.select("_id", F.xxhash64("_norm").alias("_key"), F.sha2(F.col("_norm"), 256).alias("text_sha256"))
-    again = Window.partitionBy("_id", "text_sha256").orderBy("_key")
-    rows = rows.withColumn("_again", F.row_number().over(again))
-    looked = rows.join(copies, ["_key", "text_sha256"], "left")
-    alone = F.col("group_size").isNull()
-    keep = F.when(alone, F.col("_id")).otherwise(F.col("keep_id"))
-    return looked.select(
-        F.col("_id").alias(id_col),
-        keep.alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("_id").eqNullSafe(keep) & (F.col("_again") == 1)).alias("kept"),
-        "text_sha256",
+    entries = _entries(docs, id_col, text_col)
+    index = build_index(entries, bucket_capacity)
+    dropped(entries)
+    return index.select(
+        F.col("_id").alias(id_col), F.col("first._id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), (F.col("_row") == F.col("first._row")).alias("kept"), "text_sha256"
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows whose text equals that of a kept row; columns as before.
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_capacity: int = 4096) -> DataFrame:
+    """`docs` without the rows whose text equals that of a kept row; columns as before, whatever their names.
 
-    Rows are matched on the id and on the text's digest, so an id that repeats with other texts is
-    safe; of rows that repeat both, one stays.
+    One row of each text stays, also of rows that repeat id and text.
     """
-    rid = lambda c: F.coalesce(c.cast("string"), F.lit("\0"))  # noqa: E731  null is an id of its own
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(rid(F.col(id_col)).alias("_rid"), F.col("text_sha256").alias("_sha"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select(*names, rid(F.col(f"`{id_col}`")).alias("_rid"), F.sha2(normalised(F.col(f"`{text_col}`")), 256).alias("_sha"))
-    found = keyed.join(kept, ["_rid", "_sha"], "left_semi")
-    again = Window.partitionBy("_rid", "_sha").orderBy(F.lit(0))
-    return found.withColumn("_again", F.row_number().over(again)).where("_again = 1").select(*names)
+    entries = _entries(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"))
+    index = build_index(entries.drop("_whole"), bucket_capacity)
+    gone = shared_table(index.where(F.col("_row") != F.col("first._row")).select("_row"), "gone")
+    return entries.join(_narrow(gone), "_row", "left_anti").select("_whole.*")

@@ -365,6 +365,25 @@ def test_exact_dedup(docs, empty):
     assert kept.columns == docs.columns and kept.count() == len({t for _, t in rows})
 
 
+def test_drop_copies_keeps_columns_of_clashing_names(spark):
+    rows = [(1, "a b", "keepme", 1), (2, "a  b", "x", 2), (None, "a b", "y", 3), (3, None, "z", 4), (3, "", "u", 5), (None, "only", "v", 6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _again string, _row int")
+    wide = df.withColumns({c: F.lit(c) for c in ("_rid", "_sha", "_id", "_key", "_norm", "_whole", "first", "owner", "link")})
+    for capacity in (4096, 1):
+        kept = exact_dedup.drop_copies(wide, bucket_capacity=capacity)
+        assert kept.columns == wide.columns
+        got = {r["_row"]: r["_again"] for r in kept.collect()}
+        assert got[1] == "keepme" and got[6] == "v" and len(got) == 3 and (4 in got) != (5 in got)
+
+
+def test_rows_come_from_the_directory(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"t{i % 40}") for i in range(120)], "doc_id bigint, text string")
+    assert exact_dedup.exact_dedup(df, bucket_capacity=4).count() == 120
+    whole = exact_dedup.directory
+    monkeypatch.setattr(exact_dedup, "directory", lambda *a: (d := whole(*a)).join(d.select(F.max("prefix").alias("prefix")), "prefix", "left_anti").select(d.columns))
+    assert exact_dedup.exact_dedup(df, bucket_capacity=4).count() < 120  # a bucket that the directory lacks
+
+
 def test_directory_splits_overfull_buckets(spark):
     keys = spark.range(1000).select(F.xxhash64("id").alias("_key"))
     d = exact_dedup.directory(keys, 50).collect()
