@@ -89,9 +89,9 @@ def build_index(entries: DataFrame, bucket_capacity: int = 4096, max_depth: int
     n = partitions(spark)
     owned = cold.withColumn("owner", F.floor(F.col("start") * n / (1 << depth)).cast("int")).repartitionById(n, F.col("owner"))
     chain = Window.partitionBy("owner", *where).orderBy("_norm")
-    link = Window.partitionBy("owner", *where, "_norm").orderBy(first).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    link = Window.partitionBy("owner", *where, "_norm")
     columns = [*where, "link", "_row", "_id", "first", "group_size", "text_sha256"]
-    out = owned.select("*", F.first(first).over(link).alias("first"), F.count("*").over(link).alias("group_size"), F.dense_rank().over(chain).alias("link"))
+    out = owned.select("*", F.min(first).over(link).alias("first"), F.count("*").over(link).alias("group_size"), F.dense_rank().over(chain).alias("link"))  # one sort
     out = out.withColumn("text_sha256", F.sha2("_norm", 256)).select(*columns)
     if several:
         rows = addressed.join(_narrow(hot), "_key", "left_semi")
