@@ -421,17 +421,37 @@ def brute_hits(rows, items, window=10):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("table_bytes", [8 << 20, 120])
-def test_decontaminate(spark, docs, empty, table_bytes):
-    items = [(1, " ".join(f"w{i}" for i in range(12, 40))), (2, None), (3, ""), (4, "two words"), (5, "v3 V4 v5, v6"), (6, "w50 w51 w52 w53 w54 w55 w56 w57 w58 w59"), (7, " ".join(f"w{i}" for i in range(12, 22))), (8, "mit-license")]
+def test_decontaminate(spark, docs, empty):
+    items = [(1, " ".join(f"w{i}" for i in range(12, 40))), (2, None), (3, ""), (4, "two words"), (5, "v3 V4 v5, v6"), (6, "w50 w51 w52 w53 w54 w55 w56 w57 w58 w59"), (7, " ".join(f"w{i}" for i in range(12, 22))), (8, "mit-license"), (9, "v3 v4 v5 v6 v7"), (None, "w1 w2")]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id bigint, text string, n_words string")
-    got = decontaminate.decontaminate(docs, bench, table_bytes=table_bytes).collect()
-    found = sorted(((r["doc_id"], r["n_words"], sum(x["end"] - x["start"] for x in r["hit_spans"]), list(r["hit_items"])) for r in got), key=str)
-    assert found == brute_hits(texts(docs), items)
+    wide = docs.withColumns({c: F.lit(1) for c in ("_text", "_id", "_th", "item", "spans", "fp")})
+    got = decontaminate.decontaminate(wide, bench)
+    assert got.columns[: len(wide.columns)] == wide.columns
+    found = sorted(((r["doc_id"], r["n_words"], sum(x["end"] - x["start"] for x in r["hit_spans"]), list(r["hit_items"])) for r in got.collect()), key=str)
+    assert found == brute_hits(texts(docs), items[:-1])
     assert decontaminate.decontaminate(empty, bench).count() == 0
     assert all(not r["hit_items"] for r in decontaminate.decontaminate(docs, bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_decontaminate_pasted_passages(spark, seed):
+    """Few different words, so that windows, fingerprints and their surroundings often agree in part."""
+    rng = np.random.default_rng(seed)
+    items = [(i, " ".join(f"w{rng.integers(0, 12)}" for _ in range(int(rng.integers(0, 40))))) for i in range(25)]
+    rows = []
+    for i in range(60):
+        w = []
+        for _ in range(int(rng.integers(0, 5))):
+            x = items[int(rng.integers(0, len(items)))][1].split()
+            a = int(rng.integers(0, len(x) + 1))
+            w += x[a : a + int(rng.integers(1, 25))] + [f"w{rng.integers(0, 12)}" for _ in range(int(rng.integers(0, 6)))]
+        rows.append((i if i % 11 else None, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = decontaminate.decontaminate(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    found = sorted(((r["doc_id"], r["n_words"], sum(x["end"] - x["start"] for x in r["hit_spans"]), list(r["hit_items"])) for r in got), key=str)
+    assert found == brute_hits(rows, items)
+
+
 # ---- op 10
 
 
