@@ -1,12 +1,10 @@
 """Removal of repeated windows of words, with a count-min prefilter.
 
-1. Each input task sketches its windows; merging adds the partitions' sketches. The
-   key of a window in the sketch is its least gram of half its length, and each place of such a gram counts
-   once: equal windows have equal keys, so an estimate is never below the true count,
-   and neighbours that share a gram are one entry.
+1. Each input task sketches its windows' hashes with their counts; merging adds the partitions' sketches, so
+   that an estimate is never below the true count.
 2. A second pass keeps the windows estimated repeated: none that repeats is lost.
    Of equal ones in a task only the first goes on; the others are known repeats.
-3. Owners of hash ranges group the windows exactly by 80 bits of hash and keep
+3. Owners of hash ranges group the windows by 128 bits of hash of their words and keep
    the first by (document, place); each other one is removed.
 4. Removed windows go back to their documents, where their words are cut.
 
@@ -29,7 +27,7 @@ from . import textkernel as tk
 from .shared import partitions, tune
 
 #: Windows that a task holds before it sends them.
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 
 
 def _windows(part: pa.RecordBatch, k: int) -> tuple[tk.Words, np.ndarray, np.ndarray]:
@@ -40,13 +38,6 @@ def _windows(part: pa.RecordBatch, k: int) -> tuple[tk.Words, np.ndarray, np.nda
     return words, words.hashes() if len(at) else np.zeros(0, np.uint64), at
 
 
-def _grams(h: np.ndarray, words: tk.Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of grams of half a window, the key of each window, and the places of the keys' grams."""
-    half = max(1, k // 2)
-    grams = tk.windows(h, half)
-    return grams, *tk.window_minima(grams, words.doc, half, k - half + 1)
-
-
 def _ties(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """keys: hash, check, id, place. Their order, and in that order a mask of the earliest of each (hash, check):
     one, or several rows that repeat an id and a place and so are no earlier than each other."""
@@ -62,16 +53,12 @@ def _ties(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def repeated_spans(docs: DataFrame, k: int, flush: int = FLUSH, max_bits: int = sketch.MAX_BITS) -> DataFrame:
     """Word spans (spans.SPANS) of windows whose words also start earlier."""
     n_ranges = partitions(docs.sparkSession)
-    # about a gram for each quarter of a window, of words of 6 bytes
-    bits = sketch.bits_for(sketch.text_bytes(docs, "text") * 4 // (6 * max(4, k)), max_bits=max_bits)
+    bits = sketch.bits_for(sketch.text_bytes(docs, "text") // 6, max_bits=max_bits)  # words of 6 bytes
     slices = lambda batches: tk.chunks(batches, "text")
 
     def hashes(part: pa.RecordBatch) -> np.ndarray:
-        words, h, at = _windows(part, k)
-        if not len(at):
-            return np.zeros(0, np.uint64)
-        grams, _, places = _grams(h, words, k)
-        return grams[places]
+        _, h, at = _windows(part, k)
+        return tk.windows(h, k)[at] if len(at) else np.zeros(0, np.uint64)
 
     repeated = sketch.Repeated(sketch.build(docs, hashes, slices, bits), bits)
 
@@ -92,7 +79,8 @@ def repeated_spans(docs: DataFrame, k: int, flush: int = FLUSH, max_bits: int =
                 used, index = np.unique(doc[own], return_inverse=True)
                 narrow = np.uint16 if len(used) < 65536 else np.uint32
                 place = pos[own].astype(np.uint16 if int(pos[own].max()) < 65536 else np.uint32)
-                rows.append((r, pickle.dumps(("open", spans.pack_hashes(h[own]), chk[own], ids[used], ths[used], index.astype(narrow), place), protocol=5)))
+                hashes_ = (spans.pack_hashes(h[own]), h[own].astype(np.uint16), chk[own])
+                rows.append((r, pickle.dumps(("open", *hashes_, ids[used], ths[used], index.astype(narrow), place), protocol=5)))
         for r, blob in rows:
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([blob], pa.binary())], names=["owner", "windows"])
 
@@ -106,12 +94,11 @@ def repeated_spans(docs: DataFrame, k: int, flush: int = FLUSH, max_bits: int =
             if not turn:
                 turn = int(ths[0][0] & 0x7FFFFFFF)  # where a task begins to deal is as good as random
             if len(at):
-                _, keys, _ = _grams(h, words, k)
-                p = at[repeated.maybe(keys[at]) & valid[words.doc[at]]]
-                keys = tk.windows(h, k)[p]
+                keys = tk.windows(h, k)[at]
+                some = repeated.maybe(keys) & valid[words.doc[at]]
+                p, keys = at[some], keys[some]
                 d = words.doc[p]
-                check = (tk.windows(h, k, seed=1)[p] >> np.uint64(32)).astype(np.uint32)
-                held.append((keys, check, (d + docs_n).astype(np.int32), (p - words.first[d]).astype(np.uint32)))
+                held.append((keys, tk.windows(words.hashes(seed=1), k, seed=1)[p], (d + docs_n).astype(np.int32), (p - words.first[d]).astype(np.uint32)))
                 n += len(p)
             docs_n += part.num_rows
             if n >= flush:
@@ -127,20 +114,21 @@ def repeated_spans(docs: DataFrame, k: int, flush: int = FLUSH, max_bits: int =
             if kind == "done":
                 yield spans.sent(x[0], x[1], x[2].astype(np.int64), x[3].astype(np.int64), x[4].astype(np.int64), n_ranges)
                 continue
-            h.append(spans.unpack_hashes(x[0]))
-            chk.append(x[1])
-            ids.append(x[2])
-            ths.append(x[3])
-            doc.append(x[4].astype(np.int64) + base)
-            pos.append(x[5].astype(np.int64))
-            base += len(x[2])
+            h.append(spans.unpack_hashes(x[0]) << np.uint64(16) | x[1])
+            chk.append(x[2])
+            ids.append(x[3])
+            ths.append(x[4])
+            doc.append(x[5].astype(np.int32) + np.int32(base))
+            pos.append(x[6].astype(np.int32))
+            base += len(x[3])
         if not h:
             return
         h, chk, ids, ths, doc, pos = (np.concatenate(x) for x in (h, chk, ids, ths, doc, pos))
         order, first = _ties([h, chk, ids[doc], pos])
         rest = order[~first]
         if len(rest):
-            yield spans.sent(ids, ths, doc[rest], pos[rest], pos[rest] + k, n_ranges)
+            start = pos[rest].astype(np.int64)
+            yield spans.sent(ids, ths, doc[rest].astype(np.int64), start, start + k, n_ranges)
 
     def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []

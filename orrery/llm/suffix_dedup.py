@@ -6,14 +6,14 @@ their first `length` bytes with a suffix of another document are.
 1. Anchors. In each window of `length` bytes, the q-gram of least hash is its anchor
    (q = 20). Equal windows have equal anchors at equal offsets, so a window repeats only
    where its anchor does. A merged sketch of the anchors tells those that occur once.
-2. The initial buckets: an anchor that may repeat is sent, as its hash and the bytes around
-   it, to the owner of its q-gram. Of equal surroundings in a task only that of the
-   smallest id goes on; the others are known repeats in whole.
-3. Refinement. The owner has the suffixes that begin in each surrounding. They are
-   in buckets by their first 8 bytes. Each round sorts on the pair of a suffix's bucket and the bucket
-   of the suffix that begins at the current depth: depth 8, 16, 32, then `length`. Identifiers of a round are
-   reused by the next one, and a bucket of one suffix is finished.
-4. A suffix in whose last bucket a smaller id is, starts a removed string.
+2. An anchor that may repeat is sent, with the bytes around it, to the owner of its hash. Of equal surroundings, byte
+   by byte, in a task only that of the smallest id goes on; the others are known repeats in whole.
+3. The owner sorts the suffixes that begin at each place of its surroundings. Their initial buckets are by
+   their first 8 bytes. A bucket of several suffixes is refined by sorting on the bucket pointers of the suffixes that begin 8
+   bytes later. Places are taken from the last one to the first, so those pointers are refined already, and a
+   sort on them sorts by all bytes that follow. A bucket of one suffix is finished.
+4. Neighbours in this order that share their first `length` bytes, compared byte by byte, are equal strings. One that starts
+   in a document of a larger id than another one is removed.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ from .shared import partitions, tune
 
 #: Bytes of an anchor, and anchors that a task holds before it sends them.
 Q, FLUSH = 20, 200_000
-#: Surroundings that are refined at once; more are split by the anchor's hash.
-REFINED = 20_000
+#: Surroundings that are refined at once; more are split by the anchor's hash. One anchor's are together: some 200 bytes each.
+REFINED = 100_000
+#: Bytes of the initial buckets.
+FIRST = 8
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,18 +60,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, q: int = Q) -> t
 
 
 def surroundings(data: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
-    """A row of bytes for each anchor: `reach` before it and `reach` after it."""
+    """A row of bytes for each anchor: `reach` before it, its own, and `reach` after it."""
     padded = np.r_[np.zeros(reach, np.uint8), data, np.zeros(reach, np.uint8)]
-    view = np.lib.stride_tricks.sliding_window_view(padded, reach)
-    return np.concatenate([view[at], view[at + reach + Q]], axis=1)
-
-
-def with_anchor(rows: np.ndarray, h: np.ndarray, reach: int) -> np.ndarray:
-    """Surroundings with the anchor between their halves: its hash stands for its bytes."""
-    out = np.zeros((len(rows), 2 * reach + Q), np.uint8)
-    out[:, :reach], out[:, reach + Q :] = rows[:, :reach], rows[:, reach:]
-    out[:, reach : reach + 8] = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)
-    return out
+    return np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + Q)[at]
 
 
 _VEC = tk.powers(0x2545F4914F6CDD1D, 4096)
@@ -86,40 +79,44 @@ def _row_hash(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ranks(*keys: np.ndarray) -> np.ndarray:
-    """Bucket identifiers of equal keys; -1 where a key occurs once."""
-    key = keys[0].astype(np.uint64)
-    if len(keys) > 1:
-        key = key * np.uint64(int(keys[1].max(initial=0)) + 1) + keys[1].astype(np.uint64)
+def _buckets(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys, and in that order a mask of each bucket's first."""
     order = np.argsort(key, kind="stable")
     s = key[order]
-    fresh = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
-    alone = fresh & np.r_[fresh[1:], True] if len(s) else fresh
-    out = np.empty(len(key), np.int64)
-    out[order] = np.where(alone, -1, np.cumsum(fresh) - 1)
-    return out
+    return order, np.r_[True, s[1:] != s[:-1]]
 
 
-def refine(rows: np.ndarray, length: int) -> np.ndarray:
-    """Buckets of the suffixes that begin at each place of each row, by their first `length` bytes.
+def refine(rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each place, from the last to the first, the order of the suffixes that begin there, by all bytes to the row's end.
 
-    rows: m surroundings of equal width. Result: m x (width - length + 1) identifiers; -1: alone.
+    rows: surroundings of equal width. A suffix's bucket pointer is the last place of its bucket in that order.
     """
     m, width = rows.shape
-    depth = 8
-    first = np.lib.stride_tricks.sliding_window_view(rows, 8, axis=1)
-    grams = np.ascontiguousarray(first).reshape(-1, 8).view(">u8").ravel()
-    bucket = _ranks(grams).reshape(m, width - 7)
-    while depth < length:
-        step = min(depth, length - depth)
-        n = width - depth - step + 1
-        here, later = bucket[:, :n], bucket[:, step : step + n]
-        open_ = (here >= 0) & (later >= 0)  # a bucket of one is finished
-        nxt = np.full((m, n), -1, np.int64)
-        if open_.any():
-            nxt[open_] = _ranks(here[open_], later[open_])
-        bucket, depth = nxt, depth + step
-    return bucket
+    last = width - FIRST
+    pointers: dict[int, np.ndarray] = {}
+    for c in range(last, -1, -1):
+        gram = np.ascontiguousarray(rows[:, c : c + FIRST]).view(">u8").ravel().astype(np.uint64)
+        order, fresh = _buckets(gram)
+        start = np.flatnonzero(fresh)
+        size = np.diff(np.r_[start, m])
+        bucket = np.repeat(np.arange(len(start)), size)
+        later = pointers.get(min(c + FIRST, last))
+        if later is not None:  # refine the buckets of several suffixes
+            several = np.flatnonzero((size > 1)[bucket])
+            if len(several):
+                here = order[several]
+                by = np.argsort(bucket[several].astype(np.int64) * m + later[here], kind="stable")
+                order[several] = here[by]
+                tail = later[order]
+                fresh |= np.r_[True, tail[1:] != tail[:-1]]
+                start = np.flatnonzero(fresh)
+                size = np.diff(np.r_[start, m])
+        pointer = np.empty(m, np.int64)
+        pointer[order] = np.repeat(start + size - 1, size)
+        pointers[c] = pointer  # used at once by the places before
+        if c + FIRST < last:
+            pointers.pop(c + FIRST, None)
+        yield c, order
 
 
 def _merge_equal(anchor: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +172,7 @@ def repeated_spans(docs: DataFrame, length: int, max_bits: int = sketch.MAX_BITS
                 own = at[i:j]
                 used, index = np.unique(doc[own], return_inverse=True)
                 narrow = np.uint16 if len(used) < 65536 else np.uint32
-                text = pa.compress(rows[own].tobytes(), codec="zstd", asbytes=True)
+                text = pa.Codec("zstd", compression_level=3).compress(rows[own].tobytes(), asbytes=True)
                 x = (spans.pack_hashes(h[own]), text, left[own], right[own], ids[used], ths[used], index.astype(narrow), pos[own])
                 out.append((r, pickle.dumps(("open", *x), protocol=5)))
         for r, blob in out:
@@ -198,9 +195,9 @@ def repeated_spans(docs: DataFrame, length: int, max_bits: int = sketch.MAX_BITS
                 right = np.minimum(off[doc + 1] - at - Q, reach).astype(left.dtype)
                 rows = surroundings(data, at, reach)
                 # bytes of neighbouring documents are no part of a surrounding
-                col = np.arange(2 * reach)
+                col = np.arange(2 * reach + Q)
                 odd = np.flatnonzero((left < reach) | (right < reach))
-                rows[odd] *= (col >= (reach - left[odd].astype(np.int64))[:, None]) & (col < (reach + right[odd].astype(np.int64))[:, None])
+                rows[odd] *= (col >= (reach - left[odd].astype(np.int64))[:, None]) & (col < (reach + Q + right[odd].astype(np.int64))[:, None])
                 held.append((h, rows, left, right, (doc + docs_n).astype(np.int32), (at - off[doc]).astype(np.uint32)))
                 n += len(at)
             docs_n += part.num_rows
@@ -210,23 +207,20 @@ def repeated_spans(docs: DataFrame, length: int, max_bits: int = sketch.MAX_BITS
         if n:
             yield from send(held, np.concatenate(ids), np.concatenate(ths), turn)
 
-    def resolve(h, rows, left, right, ids) -> np.ndarray:
+    def resolve(rows, left, right, ids) -> np.ndarray:
         """For each surrounding the places (columns) at which a removed string starts."""
-        bucket = refine(with_anchor(rows, h, reach), length)
-        n = bucket.shape[1]
-        # column c starts reach - c bytes before the anchor and ends length - that after
-        col = np.arange(n)
-        valid = (col >= (reach - left.astype(np.int64))[:, None]) & (col <= right.astype(np.int64)[:, None]) & (bucket >= 0)
-        r, c = np.nonzero(valid)
-        out = np.zeros((len(rows), n), bool)
-        if len(r):
-            b = bucket[r, c]
-            order = np.lexsort((ids[r], b))
-            s = b[order]
-            fresh = np.r_[True, s[1:] != s[:-1]]
-            least = ids[r[order]][np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-            more = ids[r[order]] > least
-            out[r[order][more], c[order][more]] = True
+        m, n = len(rows), reach + 1
+        out = np.zeros((m, n), bool)
+        none = np.iinfo(np.int64).max
+        for c, order in refine(rows):
+            if c >= n:
+                continue
+            # a string at c starts reach - c bytes before the anchor and ends length - that after
+            here = np.ascontiguousarray(rows[order, c : c + length])
+            fresh = np.r_[True, (here[1:] != here[:-1]).any(axis=1)]
+            inside = (c >= reach - left[order].astype(np.int64)) & (c <= right[order])
+            least = np.minimum.reduceat(np.where(inside, ids[order], none), np.flatnonzero(fresh))
+            out[order, c] = inside & (ids[order] > least[np.cumsum(fresh) - 1])
         return out
 
     def solve(h, rows, left, right, doc, pos, ids, ths) -> Iterator[pa.RecordBatch]:
@@ -248,7 +242,7 @@ def repeated_spans(docs: DataFrame, length: int, max_bits: int = sketch.MAX_BITS
             yield spans.sent(ids, ths, doc[rest], start, end, n_ranges)
         # what is left: one surrounding of each kind, and places in the leader's own document
         own = np.unique(lead)
-        mark = resolve(h[own], rows[own], left[own], right[own], ids[doc[own]])
+        mark = resolve(rows[own], left[own], right[own], ids[doc[own]])
         back = np.full(len(rows), -1, np.int64)
         back[own] = np.arange(len(own))
         mine = order[~after]
@@ -268,7 +262,7 @@ def repeated_spans(docs: DataFrame, length: int, max_bits: int = sketch.MAX_BITS
                 continue
             packed, text, left, right, ids, ths, doc, pos = x
             h = spans.unpack_hashes(packed)
-            rows = np.frombuffer(pa.decompress(text, decompressed_size=len(h) * 2 * reach, codec="zstd"), np.uint8).reshape(len(h), 2 * reach)
+            rows = np.frombuffer(pa.decompress(text, decompressed_size=len(h) * (2 * reach + Q), codec="zstd"), np.uint8).reshape(len(h), 2 * reach + Q)
             for held, new in zip(cols, (h, rows, left, right, doc.astype(np.int64) + base, pos, ids, ths), strict=True):
                 held.append(new)
             base += len(ids)
@@ -306,8 +300,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lose nothing and make no other row lose anything; rows that repeat an id are one document's.
     Other columns of `docs` aren't read.
     """
-    if length < Q + 8:
-        raise ValueError(f"length must be {Q + 8} or more")
+    if length < Q + FIRST:
+        raise ValueError(f"length must be {Q + FIRST} or more")
     tune(docs.sparkSession)
     rows = spans.keyed(docs, id_col, text_col)
     full = spans.gathered(rows, repeated_spans(rows, length, max_bits, flush, refined))

@@ -17,7 +17,7 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240601))
-_BYTE = _RNG.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES = [_RNG.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
 _BASE = 0x9E3779B97F4A7C15 | 5
 _BASE_INV = pow(_BASE, -1, 2**64)
 _A = np.uint64(0xD6E8FEB86659FD93)
@@ -140,11 +140,11 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; hashes of two seeds are independent."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
-        s = prefix_sums(self.data)
+        s = prefix_sums(self.data, seed)
         inv = powers(_BASE_INV, len(self.data) + 1)
         h = (s[self.end] - s[self.start]) * inv[self.start]
         return mix(h + (self.end - self.start).astype(np.uint64) * _A)
@@ -157,10 +157,10 @@ class Words:
         return np.flatnonzero(self.doc[:n] == self.doc[k - 1 :])
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray, seed: int = 0) -> np.ndarray:
     s = np.empty(len(data) + 1, np.uint64)
     s[0] = 0
-    np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=s[1:])
+    np.cumsum(_BYTES[seed][data] * powers(_BASE, len(data)), out=s[1:])
     return s
 
 

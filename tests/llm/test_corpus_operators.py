@@ -498,3 +498,22 @@ def test_words(items):
     for a, b, d in zip(w.start, w.end, w.doc):
         got[d].append(w.data[a:b].tobytes())
     assert got == [r.split() for r in raw]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="ab\0", min_size=30, max_size=30), min_size=1, max_size=25))
+def test_refined_order_of_suffixes(items):
+    rows = np.frombuffer("".join(items).encode(), np.uint8).reshape(len(items), 30)
+    for c, order in suffix_dedup.refine(rows):
+        tails = [bytes(rows[i, c:]) for i in order]
+        assert tails == sorted(tails) and sorted(order.tolist()) == list(range(len(items)))
+
+
+def test_surroundings_are_told_apart_by_bytes(monkeypatch):
+    """Rows whose hashes are all equal: each follows only an equal row."""
+    monkeypatch.setattr(suffix_dedup, "_row_hash", lambda rows: np.zeros(len(rows), np.uint64))
+    rng = np.random.default_rng(9)
+    rows = rng.integers(0, 2, (60, 4)).astype(np.uint8)
+    same = np.zeros(60, np.uint8)
+    order, lead = suffix_dedup._merge_equal(same.astype(np.uint64), rows, same, same, rng.integers(0, 9, 60))
+    assert (rows[order] == rows[lead]).all()
