@@ -2,16 +2,17 @@
 
 Two views of a document: its text (words that tell, and the text's shape) and the
 page's metadata (source, language, stated length). Each view has a logistic model. In
-each round a view labels pool documents on which its calibrated probability is
-near 0 or 1, and these pseudo-labels join the other view's training rows. Then both views are calibrated on
-labelled rows kept aside, combined there, and every document is scored.
+each round both views score the whole unlabelled table; rows on which a view's calibrated probability is
+near 0 or 1 are pseudo-labelled by it, and the other view is fitted again on its labelled rows and a sample of these.
+Then both views are calibrated on labelled rows kept aside, combined there, and every document is scored.
 
 Quality and freedom of toxicity are two targets, each with models, score and limit of its own. A limit
 is where the shares of both classes that are judged wrongly have the least sum, over all labelled rows
 outside of the fit.
 
-Models are fitted on bounded samples: `labelled` labelled and `pool` other rows, the
-least by a hash of the id. All documents are scored, over whole texts.
+Words are counted over all labelled rows and shapes over all documents, in the cluster. Only the fits are on bounded samples of
+labelled rows: `labelled` of the given labels, and `pool` pseudo-labelled rows for each view, class and round, the
+least by a hash of the id.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as tk
-from .shared import shared_table, tune
+from .shared import dropped, shared_table, tune
 
 #: Shape features, in order.
 SHAPE = ["upper", "digit", "symbol", "distinct_words", "same_word_next", "word_length", "distinct_lines", "pipes", "words", "lower_start"]
@@ -85,10 +86,10 @@ def _bins(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.stack([np.searchsorted(e, v, "right") + i * (len(e) + 1) for i, (e, v) in enumerate(zip(edges, values.T, strict=True))], axis=1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float, turns: int = 300) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float, turns: int = 150) -> tuple[np.ndarray, float]:
     """Weights and bias by accelerated gradient steps; each class weighs the same."""
     w = w * np.where(y > 0.5, 0.5 / max(1e-9, (w * (y > 0.5)).sum()), 0.5 / max(1e-9, (w * (y <= 0.5)).sum()))
-    lip = 0.25 * float((w[:, None] * (x * x)).sum()) + 0.25 + ridge
+    lip = 0.25 * float(w @ np.einsum("ij,ij->i", x, x)) + 0.25 + ridge
     step = 1 / min(lip, 0.25 * _top(x, w) + 0.25 + ridge)
     b, c, pb, pc, t = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0, 1.0
     for _ in range(turns):
@@ -121,18 +122,18 @@ def _prob(s: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
-class Model:
-    """Vocabulary and bins of the text view, hashed places of the metadata view, weights, calibration."""
+class Frame:
+    """Columns of both views: words and bins of the shape; hashed places of the metadata."""
 
-    META = 256
+    META = 1024
 
     def __init__(self, vocabulary: np.ndarray, edges: np.ndarray):
         self.vocabulary, self.edges = np.sort(vocabulary), edges
-        self.width = len(vocabulary) + len(SHAPE) * (edges.shape[1] + 1)
+        self.widths = (len(vocabulary) + len(SHAPE) * (edges.shape[1] + 1), self.META)
 
-    def text_columns(self, part: pa.RecordBatch, found: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(document, column) of the text view's features that are present; `found` are the features if known."""
-        h, doc, shape = features(part) if found is None else found
+    def text_columns(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(document, column) of the text view's features that are present."""
+        h, doc, shape = features(part)
         row, col = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(h) and len(self.vocabulary):
             at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
@@ -140,25 +141,40 @@ class Model:
             pair = np.unique(doc[hit] * len(self.vocabulary) + at[hit])
             row, col = pair // len(self.vocabulary), pair % len(self.vocabulary)
         bins = _bins(shape, self.edges) + len(self.vocabulary)
-        n = part.num_rows
-        return np.r_[row, np.repeat(np.arange(n), bins.shape[1])], np.r_[col, bins.ravel()]
+        return np.r_[row, np.repeat(np.arange(part.num_rows), bins.shape[1])], np.r_[col, bins.ravel()]
+
+    def columns(self, part: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(document, column) of both views; the metadata arrive as hashed places."""
+        lists = part.column("meta")
+        places = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        return [self.text_columns(part), places]
+
+
+class Model:
+    """Weights, calibration and limit of one target."""
+
+    def __init__(self, fitted: list, scale: list, both: tuple):
+        self.fitted, self.scale, self.both, self.limit = fitted, scale, both, 0.5
+
+    def scores(self, raw: list[np.ndarray]) -> list[np.ndarray]:
+        """Calibrated scores of the text view, the metadata view and both, from raw scores."""
+        at = [s * r + c for (s, c), r in zip(self.scale, raw, strict=True)]
+        return [_prob(at[0]), _prob(at[1]), _prob(np.stack(at, axis=1) @ self.both[0] + self.both[1])]
+
+    def of_columns(self, found: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[np.ndarray]:
+        # metadata columns may hash to one place, which counts once
+        found = [found[0], tuple(np.unique(np.stack(found[1]), axis=1))]
+        return self.scores([np.bincount(row, weights=b[col], minlength=n) + c for (row, col), (b, c) in zip(found, self.fitted, strict=True)])
+
+    def of_rows(self, x: list[np.ndarray]) -> list[np.ndarray]:
+        return self.scores([v @ b + c for v, (b, c) in zip(x, self.fitted, strict=True)])
 
-    def meta_columns(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """The metadata arrive as hashed places."""
-        lists = part.column("_meta")
-        return np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def views(self, part: pa.RecordBatch, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[np.ndarray]:
-        """Raw scores of both views."""
-        out = []
-        for (row, col), (b, c) in zip((self.text_columns(part, found), self.meta_columns(part)), self.fitted, strict=True):
-            out.append(np.bincount(row, weights=b[col], minlength=part.num_rows) + c)
-        return out
+class Quality:
+    """The frame and a model for each target that has one."""
 
-    def scores(self, part: pa.RecordBatch, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[np.ndarray]:
-        """Calibrated scores of the text view, the metadata view and both."""
-        raw = [s * r + c for (s, c), r in zip(self.scale, self.views(part, found), strict=True)]
-        return [_prob(raw[0]), _prob(raw[1]), _prob(np.stack(raw, axis=1) @ self.both[0] + self.both[1])]
+    def __init__(self, frame: Frame, models: dict[str, Model]):
+        self.frame, self.models = frame, models
 
 
 #: What is judged: 1 is right for both. A target without rows of both classes has no model.
@@ -167,7 +183,7 @@ TARGETS = ["good", "clean"]
 BINS = 1 << 16
 #: Rows of a class from which a limit is set at least.
 FEW = 100
-#: Labelled ids that are broadcast at most.
+#: Labelled ids that are broadcast at most; beyond, texts are shuffled to them.
 NARROW = 1 << 20
 
 
@@ -179,10 +195,118 @@ def _meta(docs: DataFrame, columns: list[str]):
         v = F.col(f"`{c}`")
         if kinds[c] in ("bigint", "int", "smallint", "double", "float"):
             v = F.floor(F.log2(F.greatest(v.cast("double"), F.lit(0.0)) + 1))
-        out.append(F.pmod(F.xxhash64(F.lit(c), F.coalesce(v.cast("string"), F.lit("\0"))), F.lit(Model.META)).cast("int"))
+        out.append(F.pmod(F.xxhash64(F.lit(c), F.coalesce(v.cast("string"), F.lit("\0"))), F.lit(Frame.META)).cast("int"))
     return F.array(*out) if out else F.expr("cast(array() as array<int>)")
 
 
+def _known(labels: DataFrame, id_col: str) -> DataFrame:
+    """_id, good and clean (0/1 or null), a row an id."""
+    toxic = F.col("toxic") if "toxic" in labels.columns else F.lit(None).cast("int")
+    rows = labels.groupBy(F.col(f"`{id_col}`").cast("long").alias("_id")).agg(F.min("good").cast("int").alias("good"), (1 - F.max(toxic)).cast("int").alias("clean"))
+    return rows.where("_id is not null and (good is not null or clean is not null)")
+
+
+def statistics(rows: DataFrame, flush: int = 500_000) -> DataFrame:
+    """Counts over `rows` (text, good, clean), as kind, key and n1..n4. Kind 0: labelled documents that have a word (key), by
+    good 1 and 0, clean 1 and 0. Kind 1: documents in a cell of a shape feature (key: feature * 2**16 + cell). Kind 2: all labelled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, total = [], 0, np.zeros(4, np.int64)
+        cells = np.zeros((len(SHAPE), 1 << 16), np.int64)
+
+        def out(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind), pa.int32()), pa.array(key, pa.int64()), *(pa.array(c, pa.int64()) for c in n)], names=["kind", "key", "n1", "n2", "n3", "n4"])
+
+        def words() -> pa.RecordBatch:
+            h, marks = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, at = np.unique(h, return_inverse=True)
+            return out(0, key.view(np.int64), [np.bincount(at, weights=marks >> i & 1, minlength=len(key)).astype(np.int64) for i in range(4)])
+
+        for part in tk.chunks(batches, "text"):
+            h, doc, shape = features(part)
+            for i, v in enumerate(shape.T):
+                cells[i] += np.bincount(_cell(v), minlength=1 << 16)
+            mark = np.zeros(part.num_rows, np.uint8)
+            for i, (target, value) in enumerate((t, v) for t in TARGETS for v in (1, 0)):
+                mark |= (part.column(target).fill_null(-1).to_numpy(zero_copy_only=False) == value).astype(np.uint8) << i
+            total += [int((mark >> i & 1).sum()) for i in range(4)]
+            some = mark[doc] > 0 if len(h) else np.zeros(0, bool)
+            if some.any():
+                order = np.lexsort((h[some], doc[some]))
+                hs, ds = h[some][order], doc[some][order]
+                fresh = np.r_[True, (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])]
+                held.append((hs[fresh], mark[ds[fresh]]))
+                size += int(fresh.sum())
+            if size >= flush:
+                yield words()
+                held, size = [], 0
+        if size:
+            yield words()
+        feature, cell = np.nonzero(cells)
+        yield out(1, feature.astype(np.int64) << 16 | cell, [cells[feature, cell]] + [np.zeros(len(cell), np.int64)] * 3)
+        yield out(2, np.zeros(1, np.int64), total[:, None])
+
+    sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(1, 5)]
+    return rows.mapInArrow(run, "kind int, key bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint").groupBy("kind", "key").agg(*sums)
+
+
+def _cell(v: np.ndarray) -> np.ndarray:
+    """The upper half of a float of 32 bits: in order for values from 0."""
+    return (np.maximum(v, 0).astype(np.float32).view(np.uint32) >> 16).astype(np.int64)
+
+
+def _frame(counts: DataFrame, words: int) -> Frame | None:
+    """The words with the surest odds of each target, and edges at even shares of all documents' shapes."""
+    total = counts.where("kind = 2").first()
+    if total is None:
+        return None
+    chosen = []
+    for a, b in (("n1", "n2"), ("n3", "n4")):
+        if min(total[a], total[b]) == 0:
+            continue
+        odds = lambda c: F.log((F.col(c) + 0.5) / (total[c] - F.col(c) + 0.5))  # noqa: E731, B023
+        z = F.abs(odds(a) - odds(b)) / F.sqrt(1 / (F.col(a) + 0.5) + 1 / (F.col(b) + 0.5))
+        tell = counts.where(f"kind = 0 and {a} + {b} >= 3").select("key", z.alias("z")).where("z > 2")
+        chosen.append(tell.orderBy(F.desc("z"), "key").limit(words).toArrow()["key"].to_numpy().view(np.uint64))
+    shape = counts.where("kind = 1").select("key", "n1").toArrow().sort_by("key")  # at most 2**16 cells a feature
+    key, n = shape["key"].to_numpy(), shape["n1"].to_numpy()
+    edges = np.zeros((len(SHAPE), 25))
+    for i in range(len(SHAPE)):
+        mine = key >> 16 == i
+        value = ((key[mine] & 0xFFFF).astype(np.uint32) << 16).view(np.float32)
+        share = np.cumsum(n[mine]) / max(1, n[mine].sum())
+        edges[i] = value[np.minimum(np.searchsorted(share, np.linspace(0.02, 0.98, 25)), len(value) - 1)] if len(value) else 0
+    return Frame(np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.uint64), edges)
+
+
+def _unpacked(batch: pa.RecordBatch | pa.Table, widths: tuple[int, int]) -> list[np.ndarray]:
+    """The rows' features in both views, as float32 matrices."""
+    out = []
+    for name, width in zip(("x0", "x1"), widths, strict=True):
+        rows = batch[name].to_pylist()
+        packed = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -(-width // 8))
+        out.append(np.unpackbits(packed, axis=1)[:, :width].astype(np.float32))
+    return out
+
+
+def feature_rows(rows: DataFrame, frame: Frame) -> DataFrame:
+    """_id, x0, x1: the packed features of `rows` (_id, text, meta), one row an id; rows without one are left out."""
+    shared = rows.sparkSession.sparkContext.broadcast(pickle.dumps(frame))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fr: Frame = pickle.loads(shared.value)
+        for part in tk.chunks(batches, "text"):
+            out = [part.column("_id")]
+            for (row, col), width in zip(fr.columns(part), fr.widths, strict=True):
+                x = np.zeros((part.num_rows, width), bool)
+                x[row, col] = True
+                out.append(pa.array([r.tobytes() for r in np.packbits(x, axis=1)], pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, names=["_id", "x0", "x1"])
+
+    made = rows.where("_id is not null").mapInArrow(run, "_id bigint, x0 binary, x1 binary")
+    return made.groupBy("_id").agg(F.min(F.struct("x0", "x1")).alias("x")).select("_id", "x.x0", "x.x1")
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -190,118 +314,115 @@ def train(
     text_col: str = "text",
     meta_cols: tuple[str, ...] = ("source", "lang", "n_chars"),
     labelled: int = 5000,
-    pool: int = 3000,
-    words: int = 2048,
-    rounds: int = 4,
+    pool: int = 1000,
+    words: int = 1024,
+    rounds: int = 2,
     confident: float = 0.97,
     ridge: float = 2e-4,
-) -> dict[str, Model] | None:
+) -> Quality | None:
     """Models by target from `labels` (id, good 0/1, and toxic 0/1 if known); None unless both classes of one are labelled.
 
     Labels of one id are combined: it is good, or not toxic, if all say so. Ids that `docs` lacks, and null labels, don't count.
+    Of rows that repeat an id, all count in the statistics and one in the fits. Texts may be null, empty or of any length.
     """
     spark = docs.sparkSession
     tune(spark)
-    meta_cols = [c for c in meta_cols if c in docs.columns]
-    key = F.col(f"`{id_col}`").cast("long")
-    toxic = F.col("toxic") if "toxic" in labels.columns else F.lit(None).cast("int")
-    known = labels.groupBy(key.alias("_id")).agg(F.min("good").cast("int").alias("good"), (1 - F.max(toxic)).cast("int").alias("clean")).where("_id is not null and (good is not null or clean is not null)")
-    ids = docs.select(key.alias("_id")).where("_id is not null")
-    rank = F.xxhash64("_id", F.lit(77))
-    marked = ids.join(known, "_id", "left").select("_id", *TARGETS, rank.alias("rank"))
-    told = F.coalesce(*TARGETS).isNotNull()
-    some = marked.where(told).orderBy("rank", "_id").limit(labelled).unionByName(marked.where(~told).orderBy("rank", "_id").limit(pool))
-    chosen = F.broadcast(shared_table(some.dropDuplicates(["_id"]), "sample"))  # labelled + pool rows at most
-    text = docs.select(key.alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), _meta(docs, meta_cols).alias("_meta"))
-    sample = shared_table(text.join(chosen, "_id"), "sample")
+    known = shared_table(_known(labels, id_col), "labels")
+    told = F.broadcast(known) if known.count() <= NARROW else known
+    text = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), _meta(docs, [c for c in meta_cols if c in docs.columns]).alias("meta")
+    )
+    counts = shared_table(statistics(text.select("_id", "text").join(told, "_id", "left").select("text", *TARGETS)), "counts")
+    frame = _frame(counts, words)
+    if frame is None:
+        return None
+    rows = shared_table(feature_rows(text, frame), "features")
     models, taken = {}, set()
     for target in TARGETS:
-        found = _fitted(sample.select("_id", "text", "_meta", F.col(target).alias("good")), words, rounds, confident, ridge)
+        found = cotrain(rows, known, target, frame, labelled, pool, rounds, confident, ridge)
         if found is not None:
-            models[target] = found[0]
-            taken |= found[1]
-    if not models:
-        return None
-    _set_limits(models, text, known, taken)
-    return models
-
+            models[target], fitted = found
+            taken |= fitted
+    if models:
+        _set_limits(models, rows, known, taken, frame)
+    dropped(counts, rows, known)
+    return Quality(frame, models) if models else None
 
-def _fitted(sample: DataFrame, words: int, rounds: int, confident: float, ridge: float) -> tuple[Model, set[int]] | None:
-    """A model of one target from `sample` (_id, text, _meta, good), and the ids it is fitted on; None without both classes."""
-    spark = sample.sparkSession
 
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tk.chunks(batches, "text"):
-            h, doc, _ = features(part)
-            pair = np.unique(np.stack([doc.astype(np.uint64), h]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
-            good = part.column("good").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[1].view(np.int64), pa.int64()), pa.array(good[pair[0].astype(np.int64)].astype(np.int32), pa.int32())], names=["word", "good"])
-
-    told = sample.where("good is not null")
-    sizes = {r["good"]: r["n"] for r in told.groupBy("good").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) < 2:
+def cotrain(rows: DataFrame, known: DataFrame, target: str, frame: Frame, labelled: int, pool: int, rounds: int, confident: float, ridge: float) -> tuple[Model, set[int]] | None:
+    """A model of `target`, and the ids of labels it is fitted on; None without both classes. `rows` are of feature_rows()."""
+    told = known.where(F.col(target).isNotNull()).select("_id", F.col(target).alias("y"))
+    rank = F.xxhash64("_id", F.lit(77))
+    ids = told.join(rows.select("_id"), "_id", "left_semi").orderBy(rank, "_id").limit(labelled)
+    got = rows.join(F.broadcast(ids), "_id").toArrow().sort_by("_id")  # `labelled` rows at most
+    y = got["y"].to_numpy().astype(float)
+    if len(set(y)) < 2:
         return None
-    a, b = F.sum("good"), F.sum(1 - F.col("good"))
-    counts = told.mapInArrow(seen, "word bigint, good int").groupBy("word").agg(a.alias("a"), b.alias("b")).where("a + b >= 3")
-    odds = lambda c, n: F.log((F.col(c) + 0.5) / (n - F.col(c) + 0.5))
-    z = F.abs(odds("a", sizes[1]) - odds("b", sizes[0])) / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    vocabulary = counts.select("word", z.alias("z")).where("z > 2").orderBy(F.desc("z"), "word").limit(words).select("word").toArrow()["word"].to_numpy().view(np.uint64)
-
-    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tk.chunks(batches, "text"):
-            s = features(part)[2]
-            yield pa.RecordBatch.from_arrays([pa.array(list(s), pa.list_(pa.float64()))], names=["shape"])
-
-    shape = np.array(sample.mapInArrow(shapes, "shape array<double>").toArrow()["shape"].to_pylist())
-    model = Model(vocabulary, np.quantile(shape, np.linspace(0.02, 0.98, 25), axis=0).T)
-    shared = spark.sparkContext.broadcast(pickle.dumps(model))
-
-    def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = pickle.loads(shared.value)
-        for part in tk.chunks(batches, "text"):
-            out = [part.column("_id"), part.column("good")]
-            for (row, col), width in ((m.text_columns(part), m.width), (m.meta_columns(part), m.META)):
-                x = np.zeros((part.num_rows, width), bool)
-                x[row, col] = True
-                out.append(pa.array([r.tobytes() for r in np.packbits(x, axis=1)], pa.binary()))
-            yield pa.RecordBatch.from_arrays(out, names=["_id", "good", "x0", "x1"])
-
-    got = sample.mapInArrow(matrix, "_id bigint, good int, x0 binary, x1 binary").toArrow().sort_by([("_id", "ascending"), ("x0", "ascending")])
-    x = [np.unpackbits(np.stack([np.frombuffer(v.as_py(), np.uint8) for v in got[c]]), axis=1)[:, :w].astype(np.float32) for c, w in (("x0", model.width), ("x1", model.META))]
-    good = got["good"].to_numpy(zero_copy_only=False).astype(float)
+    x = _unpacked(got, frame.widths)
     fold = tk.mix(got["_id"].to_numpy().view(np.uint64) + np.uint64(5)) % np.uint64(4) == 0
-    kept, fit, free = np.flatnonzero(~np.isnan(good) & fold), np.flatnonzero(~np.isnan(good) & ~fold), np.flatnonzero(np.isnan(good))
-    if min(len(set(good[kept])), len(set(good[fit]))) < 2:
-        kept = fit = np.flatnonzero(~np.isnan(good))
-    return cotrain(model, x, good, fit, kept, free, rounds, confident, ridge), set(got["_id"].to_numpy()[fit].tolist())
+    kept, fit = np.flatnonzero(fold), np.flatnonzero(~fold)
+    if min(len(set(y[kept])), len(set(y[fit]))) < 2:
+        kept = fit = np.arange(len(y))
+    free = rows.join(told.select("_id"), "_id", "left_anti")
+    pseudo = [(np.zeros((0, w), np.float32), np.zeros(0)) for w in frame.widths]  # for each view, from the other one
+    for turn in range(rounds + 1):
+        fitted = []
+        for v in (0, 1):
+            extra, label = pseudo[v]
+            w = np.r_[np.ones(len(fit)), np.full(len(label), 0.5)]
+            fitted.append(logistic(np.concatenate([x[v][fit], extra]), np.r_[y[fit], label], w, ridge))
+        raw = [x[v] @ fitted[v][0].astype(np.float32) + fitted[v][1] for v in (0, 1)]
+        scale = [_platt(raw[v][kept], y[kept]) for v in (0, 1)]
+        if turn < rounds:
+            pseudo = _pseudo_labelled(free, Model(fitted, scale, (np.zeros(2), 0.0)), frame, (turn + 1) * pool, confident)
+    both = np.stack([scale[v][0] * raw[v] + scale[v][1] for v in (0, 1)], axis=1)
+    return Model(fitted, scale, logistic(both[kept], y[kept], np.ones(len(kept)), 1e-4)), set(got["_id"].to_numpy()[fit].tolist())
 
 
-def _set_limits(models: dict[str, Model], text: DataFrame, known: DataFrame, taken: set[int]) -> None:
+def _pseudo_labelled(free: DataFrame, model: Model, frame: Frame, most: int, confident: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each view the features and labels of rows on which the other one is sure: of all `free` rows, `most` a class."""
+    shared = free.sparkSession.sparkContext.broadcast(pickle.dumps((model, frame.widths)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, widths = pickle.loads(shared.value)
+        for batch in batches:
+            p = m.of_rows(_unpacked(batch, widths)) if batch.num_rows else []
+            for v in range(len(p) and 2):
+                sure = np.flatnonzero((p[v] >= confident) | (p[v] <= 1 - confident))
+                columns = [batch.column("_id").take(pa.array(sure)), pa.array(np.full(len(sure), 1 - v), pa.int32()), pa.array((p[v][sure] > 0.5).astype(np.int32), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "view", "y"])
+
+    first = Window.partitionBy("view", "y").orderBy(F.xxhash64("_id", F.lit(78)), "_id")
+    sure = free.mapInArrow(run, "_id bigint, view int, y int").withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).drop("r")
+    sure = shared_table(sure, "sure")  # 4 * most rows, limited before the shuffle
+    got = free.join(F.broadcast(sure), "_id").toArrow().sort_by([("view", "ascending"), ("_id", "ascending")])
+    dropped(sure)
+    x = _unpacked(got, frame.widths)
+    view, y = got["view"].to_numpy(), got["y"].to_numpy().astype(float)
+    return [(x[v][view == v], y[view == v]) for v in (0, 1)]
+
+
+def _set_limits(models: dict[str, Model], rows: DataFrame, known: DataFrame, taken: set[int], frame: Frame) -> None:
     """Limits from all labelled rows that are not `taken` for a fit.
 
     Each class weighs the same, as in the fit, so neither is traded for the other. With under FEW rows
     of a class the limit is 0.5, which is that point of a calibrated score.
     """
-    spark = text.sparkSession
+    spark = rows.sparkSession
     used = F.broadcast(spark.createDataFrame([(i,) for i in sorted(taken)], "_id bigint"))
-    outside = known.join(used, "_id", "left_anti").select("_id", *TARGETS)
-    shared = spark.sparkContext.broadcast(pickle.dumps(models))
+    outside = rows.join(known, "_id").join(used, "_id", "left_anti")
+    shared = spark.sparkContext.broadcast(pickle.dumps((models, frame.widths)))
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: dict[str, Model] = pickle.loads(shared.value)
-        for part in tk.chunks(batches, "text"):
-            found = features(part)
-            at = [np.minimum(BINS - 1, m[t].scores(part, found)[2] * BINS).astype(np.int32) for t in m]
-            yield pa.RecordBatch.from_arrays([part.column("_id"), *map(pa.array, at)], names=["_id", *[f"at_{t}" for t in m]])
-
-    schema = "_id bigint, " + ", ".join(f"at_{t} int" for t in models)
-    if outside.limit(NARROW + 1).count() <= NARROW:
-        ids = F.broadcast(outside.select("_id"))
-        scored = text.join(ids, "_id", "left_semi").mapInArrow(bins, schema).join(F.broadcast(outside), "_id")
-    else:  # scores travel, texts don't
-        scored = text.where("_id is not null").mapInArrow(bins, schema).join(outside, "_id")
-    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"at_{t}").alias("at"), F.col(t).alias("label")) for t in models])).alias("x")
-    counts = scored.select(pairs).where("x.label is not null").groupBy("x.target", "x.label", "x.at").agg(F.count("*").alias("n")).collect()
+        m, widths = pickle.loads(shared.value)
+        for batch in batches:
+            if batch.num_rows:
+                x = _unpacked(batch, widths)
+                for t, one in m.items():
+                    at = np.minimum(BINS - 1, one.of_rows(x)[2] * BINS).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array([t] * len(at)), batch.column(t), pa.array(at)], names=["target", "label", "at"])
+
+    counts = outside.mapInArrow(bins, "target string, label int, at int").where("label is not null").groupBy("target", "label", "at").agg(F.count("*").alias("n")).collect()
     for target, model in models.items():
         n = np.zeros((2, BINS), np.int64)
         for r in counts:
@@ -321,64 +442,37 @@ def _limit(n: np.ndarray) -> float:
     return float(best[np.argmin(np.abs(best - BINS / 2))]) / BINS  # of equal ones the nearest to 0.5
 
 
-def cotrain(model: Model, x: list[np.ndarray], good: np.ndarray, fit: np.ndarray, kept: np.ndarray, free: np.ndarray, rounds: int, confident: float, ridge: float) -> Model:
-    """Rounds of pseudo-labels between the views, then calibration on `kept` rows."""
-    pseudo = [{}, {}]  # of each view's training set: row -> label, from the other view
-    for turn in range(rounds + 1):
-        fitted = []
-        for v in (0, 1):
-            own = np.array(sorted(pseudo[v]), np.int64)
-            rows = np.r_[fit, own]
-            y = np.r_[good[fit], np.array([pseudo[v][i] for i in own.tolist()])]
-            w = np.r_[np.ones(len(fit)), np.full(len(own), 0.5)]
-            fitted.append(logistic(x[v][rows], y, w, ridge))
-        raw = [x[v] @ fitted[v][0].astype(np.float32) + fitted[v][1] for v in (0, 1)]
-        scale = [_platt(raw[v][kept], good[kept]) for v in (0, 1)]
-        if turn == rounds or not len(free):
-            break
-        for v in (0, 1):
-            p = _prob(scale[v][0] * raw[v][free] + scale[v][1])
-            sure = (p >= confident) | (p <= 1 - confident)
-            # the more certain first, as many again each round
-            order = free[sure][np.argsort(-np.abs(p[sure] - 0.5), kind="stable")][: (turn + 1) * max(1, len(free) // (2 * rounds))]
-            at = {int(i): j for j, i in enumerate(free.tolist())}
-            pseudo[1 - v] = {int(i): float(p[at[int(i)]] > 0.5) for i in order}
-    both = np.stack([scale[v][0] * raw[v] + scale[v][1] for v in (0, 1)], axis=1)
-    b, c = logistic(both[kept], good[kept], np.ones(len(kept)), 1e-4)
-    model.fitted, model.scale, model.both = fitted, scale, (b, c)
-    return model
-
-
-def classify(docs: DataFrame, model: dict[str, Model] | None, text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang", "n_chars")) -> DataFrame:
+def classify(docs: DataFrame, model: Quality | None, text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang", "n_chars")) -> DataFrame:
     """`docs` with text_score, meta_score (calibrated, 0 to 1), quality_score, toxic_score and quality_keep.
 
     A document is kept if its quality reaches the limit and its freedom of toxicity (1 - toxic_score) the other limit.
     A null text counts as empty and null metadata as a value of its own. Without a model scores are 1, and toxic_score 0.
-    Nothing is shuffled.
+    Nothing is shuffled. Rows that repeat an id are scored each by itself. The new columns must not be columns of `docs`;
+    other names don't matter.
     """
     new = ["text_score", "meta_score", "quality_score", "toxic_score", "quality_keep"]
     if set(new) & set(docs.columns):
         raise ValueError("a column of the result exists already")
     spark = docs.sparkSession
     tune(spark)
-    meta_cols = [c for c in meta_cols if c in docs.columns]
     shared = spark.sparkContext.broadcast(pickle.dumps(model))
-    names = list(docs.columns)
-    inner = docs.select(*[F.col(f"`{c}`") for c in names], _meta(docs, meta_cols).alias("_meta"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index(text_col)]
+    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], _meta(docs, [c for c in meta_cols if c in docs.columns]).alias("meta"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: dict[str, Model] = pickle.loads(shared.value) or {}
-        for part in tk.chunks(batches, text_col):
+        m: Quality | None = pickle.loads(shared.value)
+        for part in tk.chunks(batches, text):
             n = part.num_rows
             keep, got = np.ones(n, bool), {t: [np.ones(n)] * 3 for t in TARGETS}
-            if m:
-                view = pa.RecordBatch.from_arrays([part.column(text_col), part.column("_meta")], names=["text", "_meta"])
-                found = features(view)
-                for t, one in m.items():
-                    got[t] = one.scores(view, found)
+            if m is not None:
+                found = m.frame.columns(pa.RecordBatch.from_arrays([part.column(text), part.column("meta")], names=["text", "meta"]))
+                for t, one in m.models.items():
+                    got[t] = one.of_columns(found, n)
                     keep &= got[t][2] >= one.limit
             cols = [*got["good"], 1 - got["clean"][2]]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(c, pa.float64()) for c in cols), pa.array(keep, pa.bool_())], names=[*names, *new])
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in new[:-1]), T.StructField(new[-1], T.BooleanType())])
-    return inner.mapInArrow(run, schema)
+    fields = [T.StructField(c, f.dataType, f.nullable) for c, f in zip(names, docs.schema.fields, strict=True)]
+    schema = T.StructType([*fields, *(T.StructField(c, T.DoubleType()) for c in new[:-1]), T.StructField(new[-1], T.BooleanType())])
+    return inner.mapInArrow(run, schema).toDF(*docs.columns, *new)
