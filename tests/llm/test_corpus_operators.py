@@ -255,10 +255,50 @@ def test_language_id(spark):
     assert language_id.predict(train.select("doc_id", "text"), None).first()["lang_pred"] == "und"
 
 
-def test_kernel_is_of_present_grams():
-    data = np.frombuffer("abab".encode() + "zz".encode(), np.uint8)
-    x = language_id.presence(data, np.array([0, 4, 4, 6]), 2, 12)
-    assert x.sum(axis=1).tolist() == [4, 0, 2]  # a b ab ba; nothing; z zz
+def brute_grams(text, order=4):
+    b = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in text.encode())
+    return {b[i : i + k] for k in range(1, order + 1) for i in range(len(b) - k + 1)}
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.text(alphabet="aBcé日 1\0", max_size=20), min_size=1, max_size=6))
+def test_kernel_by_brute_force(items):
+    raw = [t.encode() for t in items]
+    found, first = language_id.grams(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64), 4)
+    sets = [brute_grams(t) for t in items]
+    assert [b - a for a, b in zip(first[:-1], first[1:])] == [len(s) for s in sets]
+    k = language_id.Landmarks([found[a:b] for a, b in zip(first[:-1], first[1:])][:3]).kernel(found, first, step=2)
+    want = [[len(a & b) / np.sqrt(max(1, len(a)) * max(1, len(b))) for b in sets[:3]] for a in sets]
+    assert np.allclose(k, want, atol=1e-6)
+
+
+def test_language_scores_by_brute_force(spark):
+    """The whole sample as landmarks: Nystroem's map is the kernel itself, and scores are of plain kernel ridge regression."""
+    rng = np.random.default_rng(8)
+    letters = {"aa": "abcdef ", "bb": "defghi ", "cc": "éèabgh "}
+    rows = [(i, "".join(rng.choice(list(letters[lang]), 12)), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.train(df, "lang", "text", F.col("doc_id"), n_landmarks=36, ridge=0.5)
+    sets = [brute_grams(t) for _, t, _ in rows]
+    k = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    y = np.array([[1.0 if lang == name else -1.0 for name in sorted(letters)] for _, _, lang in rows])
+    mid = np.eye(36) - 1 / 36
+    want = y.mean(axis=0) + mid @ k @ mid @ np.linalg.solve(mid @ k @ mid + 0.5 * np.eye(36), y - y.mean(axis=0))
+    got = {r["doc_id"]: r for r in language_id.predict(df.withColumn("lang", F.lit("x")), model).collect()}
+    for i in range(36):
+        assert got[i]["lang_pred"] == sorted(letters)[want[i].argmax()] and got[i]["score"] == pytest.approx(np.clip((want[i].max() + 1) / 2, 0, 1), abs=1e-3)
+
+
+def test_language_sample_is_bounded(spark):
+    """Rows without id, rows that repeat and many languages; columns of clashing names."""
+    rows = [(None, f"text {i % 700}", "aa") for i in range(2000)] + [(5, "one", "bb")] * 500 + [(i, f"t{i}", f"l{i % 40}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = language_id.sample_rows(df, "lang", "text", F.xxhash64("doc_id"), 20, 200).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in got} == {"aa": 4, "bb": 1} | {f"l{i}": 4 for i in range(40)}
+    model = language_id.train(df, "lang", "text", F.xxhash64("doc_id"), sample=200)
+    wide = df.limit(3).withColumns({c: F.lit(c) for c in ("_letter", "letter", "c0", "rank")})
+    out = language_id.predict(wide, model)
+    assert out.columns == ["doc_id", "lang", "_letter", "letter", "c0", "rank", "lang_pred", "score"] and out.count() == 3
 
 
 # ---- op 6 and 7
