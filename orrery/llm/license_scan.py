@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import textkernel as tk
+from .licences import TEXTS
 from .shared import tune
 
 #: Phrases and the labels they give.
@@ -36,20 +37,6 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Openings of public licence notices, as label and text.
-NOTICES = [
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-]
-
-
 #: Share of a notice's words that a chain must cover for its label.
 MIN_COVER = 0.75
 
@@ -207,11 +194,12 @@ def scan(
     notice_spans array<struct<label, start, end, cover>> (word spans of the file, cover from 0 to 1).
 
     Null and empty texts have no words. Whole texts are read; nothing is shuffled. A notice's best chain
-    is returned whatever its cover; MIN_COVER is a fair limit.
+    is returned whatever its cover; MIN_COVER is a fair limit. Of chains that cover as much, the first in the file is. Rows that repeat
+    are scanned each by itself; the new columns must not be columns of `docs`, other names don't matter.
     """
     tune(docs.sparkSession)
     phrases = PHRASES if phrases is None else phrases
-    notices = NOTICES if notices is None else notices
+    notices = TEXTS if notices is None else notices
     key = repr((phrases, notices, min_match))
     place = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("start", T.LongType())]))
     span = T.ArrayType(

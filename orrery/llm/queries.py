@@ -34,14 +34,17 @@ def tokenised(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and bytes of every whole text. Null and empty texts have no ids; rows that repeat are encoded each by itself; an empty table gives none."""
     return tokenised(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of similar documents (four words, 0.85). Null and empty texts link with nothing; rows that repeat an id are one document."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and chains of licence texts in every whole text. Null and empty texts have no words; ties go to the chain that is first in the file."""
     found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     start, base = F.col("phrase_places.start"), F.array_sort(F.array_distinct("phrase_places.label"))
     chained = F.filter("notice_spans", lambda x: x["cover"] >= license_scan.MIN_COVER)["label"]
@@ -58,6 +61,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text by a model of the rows that are not held out. Null and empty texts are und; a null id is never held out."""
     docs = table(spark, sf_dir, "documents")
     crc = F.crc32(F.col("doc_id").cast("string"))
     held_out = F.coalesce(crc % 4 == 2, F.lit(False))
@@ -66,12 +70,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of encoded lengths and its suffix sums. Null and empty texts have length 0; an empty table gives no row."""
     path, pattern = _vocabulary()
     counted = bpe.count(table(spark, sf_dir, "documents").select("text"), path, pattern)
     return token_histogram.suffix_sums(token_histogram.histogram(counted.select("n_tokens")))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left of every whole text. Null counts as empty; rows without an id lose nothing; rows that repeat an id are one document."""
     cut = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), length=50)
     return cut.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
@@ -79,15 +85,18 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every whole text. Null has no words; rows without an id lose nothing; rows that repeat id and text are treated alike."""
     cut = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), window=20)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every row. Null counts as empty; null ids are the largest; of rows that repeat an id one is kept."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every whole text. Null has no words; null items count for nothing; rows that repeat have their own text's hits."""
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return found.select(
@@ -111,6 +120,7 @@ def judged(labels: DataFrame) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and decision on every whole text. Null counts as empty; rows that repeat are scored alike; without labels all are kept."""
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, judged(table(spark, sf_dir, "labels")))
     return quality.classify(docs, model).drop("text", "lang", "source", "n_chars")

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, components, decontaminate, exact_dedup, language_id, license_scan, ngram_join, quality, substring_dedup, suffix_dedup, token_histogram
+from orrery.llm import bpe, components, decontaminate, exact_dedup, language_id, licences, license_scan, ngram_join, quality, substring_dedup, suffix_dedup, token_histogram
 from orrery.llm import textkernel as tk
 
 P = pytest.importorskip("public_tokenizers")
@@ -89,6 +89,14 @@ def test_token_histogram(spark):
     assert none.count() == 0 and token_histogram.truncated_total(none, 5).first()["truncated_total"] == 0
 
 
+def test_tokens_of_no_rows_and_of_rows_that_repeat(docs, empty):
+    assert bpe.round_trip(empty, PATH, P.PATTERN).count() == bpe.count(empty, PATH, P.PATTERN).count() == 0
+    got = bpe.count(docs.select("doc_id", "text", "n", "token"), PATH, P.PATTERN)
+    assert got.columns == ["doc_id", "text", "n", "token", "n_tokens"] and got.where("doc_id = 2").distinct().count() == 1
+    hist = token_histogram.histogram(got.withColumn("n_docs", F.lit(7)))
+    assert hist.agg(F.sum("n_docs")).first()[0] == docs.count()
+
+
 # ---- op 2
 
 
@@ -211,16 +219,22 @@ def test_license_places(docs):
 
 
 def test_license_chain_and_phrases_within_notices(spark):
-    notice = dict((t, label) for label, t in license_scan.NOTICES)
-    cut = license_scan.NOTICES[1][1].replace("free of charge", "FREE -- and no charge")
-    rows = [(1, "foo " + license_scan.NOTICES[4][1] + " bar"), (2, cut), (3, "a gnu general public zoo"), (4, "released under the MIT License apache license version 2"), (5, "the the mit license")]
-    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    whole = [x for x in got[1]["notice_spans"] if x["label"] == notice[license_scan.NOTICES[4][1]]]
-    assert (whole[0]["start"], whole[0]["end"], whole[0]["cover"]) == (1, 13, 1.0)
-    assert 0.75 <= max(x["cover"] for x in got[2]["notice_spans"] if x["label"] == "mit") < 1
+    gpl = next(t for label, t in licences.TEXTS if t.startswith("This work is licensed under the GNU"))
+    mit = next(t for label, t in licences.TEXTS if label == "mit")
+    permission, warranty = mit.split("\n")[0], mit.split("\n")[-1]
+    cut = permission.replace("free of charge", "FREE -- and no charge").replace("furnished to do so", "given")
+    rows = [(1, "foo " + gpl + " bar"), (2, cut), (3, "a gnu general public zoo"), (4, "released under the MIT License apache license version 2"), (5, "the the mit license"), (6, "# " + warranty.replace("\n", "\n# ")), (7, mit + " x " + mit)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("label", F.lit("l"))
+    got = {r["doc_id"]: r for r in license_scan.scan(docs.unionByName(docs)).collect()}  # rows that repeat
+    whole = [x for x in got[1]["notice_spans"] if x["label"] == "gpl-3" and x["cover"] == 1.0]
+    assert (whole[0]["start"], whole[0]["end"]) == (1, 13)
+    assert got[2]["notice_spans"] and 0 < max(x["cover"] for x in got[2]["notice_spans"] if x["label"] == "mit")
     assert not [x for x in got[3]["notice_spans"] if x["cover"] >= license_scan.MIN_COVER]
     assert [(x["label"], x["start"]) for x in got[4]["phrase_places"]] == [("mit", 1), ("apache-2", 5)]
     assert not got[5]["phrase_places"]
+    assert max(x["cover"] for x in got[6]["notice_spans"] if x["label"] == "mit") == 1.0  # the body without the opening
+    assert [x["start"] for x in got[7]["notice_spans"] if x["label"] == "mit" and x["cover"] == 1.0][0] == 0
+    assert license_scan.scan(docs.limit(0)).count() == 0
 
 
 @settings(max_examples=100, deadline=None)
