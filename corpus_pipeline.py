@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table, which is written and
 read again as the next stage's `docs`. All but the last return the columns of
-`documents`.
+`documents`, and keep other columns whatever their names.
+
+Null texts count as empty: the classifier scores them by their metadata, exact dedup keeps
+one of them, they are near nothing and hold no benchmark item, and have no token. Rows that repeat id and
+text are one after exact dedup; rows that repeat an id with other texts are one
+document to the n-gram join. Rows without an id are never near copies. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm import decontaminate as contamination
 from orrery.llm import exact_dedup, ngram_join, quality, queries
-from orrery.llm.shared import shared_table
+from orrery.llm.shared import dropped, shared_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -51,12 +56,15 @@ STAGES = [
     ("byte-level bpe", token_ids),
 ]
 
-#: The quality classifier and the BPE have no SQL; tests hold the pipeline against brute force.
+#: The quality classifier and the BPE have no SQL; tests/llm/test_corpus_queries.py holds the pipeline against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = shared_table(stage(spark, docs, sf_dir), f"stage{i}")
+        if last is not None:
+            dropped(last)
+        last = docs
     return docs
