@@ -128,6 +128,15 @@ def _lists(values: np.ndarray, size: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32), pa.int32()), pa.array(values.view(np.int64), pa.int64()))
 
 
+def _signature(keys: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+    """128 bits of each document's set."""
+    out = []
+    for seed in (np.uint64(0x517CC1B727220A95), np.uint64(0xA0761D6478BD642F)):
+        s = np.r_[np.uint64(0), np.cumsum(tk.mix(keys ^ seed))]
+        out.append(pa.array((s[first[1:]] - s[first[:-1]]).view(np.int64), pa.int64()))
+    return out
+
+
 def prefixes(docs: DataFrame, n: int, percent: int, lower: bool, tokens: Order) -> DataFrame:
     """_id, n_shingles, sig_a, sig_b (of the set), prefix array<bigint>."""
 
@@ -135,18 +144,24 @@ def prefixes(docs: DataFrame, n: int, percent: int, lower: bool, tokens: Order)
         for part in _slices(batches):
             keys, docs_, first = shingles(part, n, lower)
             prefix, take = tokens.prefixes(keys, docs_, first, percent)
-            sig = []
-            for seed in (np.uint64(0x517CC1B727220A95), np.uint64(0xA0761D6478BD642F)):
-                s = np.r_[np.uint64(0), np.cumsum(tk.mix(keys ^ seed))]
-                sig.append(pa.array((s[first[1:]] - s[first[:-1]]).view(np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(np.diff(first), pa.int64()), *sig, _lists(prefix, take)], names=["_id", "n_shingles", "sig_a", "sig_b", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(np.diff(first), pa.int64()), *_signature(keys, first), _lists(prefix, take)], names=["_id", "n_shingles", "sig_a", "sig_b", "prefix"])
 
     return docs.mapInArrow(run, "_id bigint, n_shingles bigint, sig_a bigint, sig_b bigint, prefix array<bigint>")
 
 
+def _narrow(ids: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row: broadcast if it is small, else left to a shuffle."""
+    return F.broadcast(ids) if ids.count() <= IDS else ids
+
+
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of `docs` whose doc is in the written table `ids`: broadcast if it is small, else a shuffle."""
-    return docs.join(F.broadcast(ids) if ids.count() <= IDS else ids, "doc", "left_semi")
+    """Rows of `docs` whose doc is in the written table `ids`."""
+    return docs.join(_narrow(ids), "doc", "left_semi")
+
+
+def _but(docs: DataFrame, follow: DataFrame) -> DataFrame:
+    """Rows of `docs` but for those of a set that follows another id's."""
+    return docs.join(_narrow(follow), ["doc", "sig_a", "sig_b"], "left_anti")
 
 
 def _classes(n: np.ndarray, percent: int) -> np.ndarray:
@@ -180,7 +195,7 @@ def shared_tokens(own: DataFrame, percent: int, max_bits: int) -> sketch.Repeate
 
 
 def open_documents(docs: DataFrame, n: int, percent: int, lower: bool, tokens: Order, repeated: sketch.Repeated) -> DataFrame:
-    """doc, n, prefix, tokens (the set): of the rows of `docs`, those that may share enough prefix tokens with a set of a
+    """doc, n, sig_a, sig_b, prefix, tokens (the set): of the rows of `docs`, those that may share enough prefix tokens with a set of a
     near size, and of their prefix tokens those that such a set may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +210,10 @@ def open_documents(docs: DataFrame, n: int, percent: int, lower: bool, tokens: O
             stay = (count >= depth(-(-percent * size // 100), percent)) & (size > 0) & part.column("_id").is_valid().to_numpy(zero_copy_only=False)
             ids = part.column("_id").filter(pa.array(stay))
             lists = [_lists(prefix[some & stay[row]], count[stay]), _lists(keys[stay[docs_]], size[stay])]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size[stay], pa.int64()), *lists], names=["doc", "n", "prefix", "tokens"])
+            sig = [c.filter(pa.array(stay)) for c in _signature(keys, first)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size[stay], pa.int64()), *sig, *lists], names=["doc", "n", "sig_a", "sig_b", "prefix", "tokens"])
 
-    return docs.mapInArrow(run, "doc bigint, n bigint, prefix array<bigint>, tokens array<bigint>")
+    return docs.mapInArrow(run, "doc bigint, n bigint, sig_a bigint, sig_b bigint, prefix array<bigint>, tokens array<bigint>")
 
 
 def _sizes_fit(a: Column, low: Column, high: Column, percent: int) -> Column:
@@ -215,11 +231,16 @@ def _linked(a: Column, b: Column, percent: int) -> Column:
 
 
 def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (u, v), those of which the sets link."""
+    """Of the pairs (u, v), those of which the sets link. u should be of few documents: their sets go to the others'."""
     pairs = shared_table(pairs.distinct(), "pairs")
-    side = lambda c, name: _only(sets, shared_table(pairs.select(F.col(c).alias("doc")).distinct(), "ends")).select(F.col("doc").alias(c), F.col("tokens").alias(name))
-    found = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").where(_linked(F.col("a"), F.col("b"), percent))
-    return shared_table(found.select("u", "v"), "links")
+    ends = shared_table(pairs.select(F.col("u").alias("doc")).distinct(), "ends")
+    a = _only(sets, ends).select(F.col("doc").alias("u"), F.col("tokens").alias("a"))
+    b = sets.select(F.col("doc").alias("v"), F.col("tokens").alias("b")).join(_narrow(pairs), "v")
+    both = _shared(F.col("a"), F.col("b"))
+    found = b.join(a, "u").where(100 * both >= percent * (F.size("a") + F.size("b") - both))
+    found = shared_table(found.select("u", "v").distinct(), "links")
+    dropped(pairs, ends)
+    return found
 
 
 def _key(seed: int) -> Column:
@@ -227,30 +248,19 @@ def _key(seed: int) -> Column:
     return F.array_min(F.transform("prefix", lambda x: F.xxhash64(x, F.lit(seed))))
 
 
-def _centres(member: DataFrame, seed: int) -> DataFrame:
-    """key, doc, n, component of one member of each group of several."""
-    least = F.min(F.struct(F.xxhash64("doc", F.lit(seed)).alias("h"), "doc", "n", "component")).alias("c")
-    light = member.select("key", "doc", "n", "component").groupBy("key").agg(least, F.count("*").alias("size"))
-    return light.where("size > 1").select("key", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("doc", "n", "component")])
-
-
-def own_group_links(sets: DataFrame, percent: int, seed: int) -> DataFrame:
-    """Links (u, v) of the documents `sets` (doc, n, prefix, tokens) to one member of their group. Sets are shuffled once."""
-    member = sets.select("*", F.col("doc").alias("component"), _key(seed).alias("key"))
-    centre = member.join(_centres(member, seed), "key").where("doc = c_doc and n = c_n").select("key", "c_doc", "c_n", F.col("prefix").alias("p"), F.col("tokens").alias("t"))
-    fits = (F.col("doc") != F.col("c_doc")) & _sizes_fit(F.col("n"), F.col("c_n"), F.col("c_n"), percent)
-    enough = _shared(F.col("prefix"), F.col("p")) >= depth(F.least("n", "c_n"), percent)
-    found = member.join(centre, "key").where(fits & enough & _linked(F.col("tokens"), F.col("t"), percent))
-    return shared_table(found.select(F.col("c_doc").alias("u"), F.col("doc").alias("v")).distinct(), "links")
-
-
-def other_group_links(rows: DataFrame, sets: DataFrame, percent: int, seed: int) -> DataFrame:
-    """As own_group_links(), for another partition into groups: of `rows` (doc, n, prefix, component), only documents
-    whose component isn't that of their group's member."""
+def own_group_links(rows: DataFrame, sets: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Links (u, v) of the documents `rows` (doc, n, prefix, component) to one member of their group of similar ones, where that
+    is of another component."""
     member = rows.select("doc", "n", "prefix", "component", _key(seed).alias("key"))
-    fits = (F.col("component") != F.col("c_component")) & _sizes_fit(F.col("n"), F.col("c_n"), F.col("c_n"), percent)
-    pairs = member.join(_centres(member, seed), "key").where(fits)
-    return _exact(pairs.select(F.col("c_doc").alias("u"), F.col("doc").alias("v")), sets, percent)
+    least = F.min(F.struct(F.xxhash64("doc", F.lit(seed)).alias("h"), F.col("doc"), F.col("n"))).alias("c")
+    names = member.select("key", "doc", "n", "component").groupBy("key").agg(least, F.min("component").alias("c0"), F.max("component").alias("c1"))
+    names = shared_table(names.where("c0 <> c1").select("key", F.col("c.doc").alias("doc"), F.col("c.n").alias("n")), "centres")
+    centre = member.join(_narrow(names), ["key", "doc", "n"], "left_semi").select("key", F.col("doc").alias("u"), F.col("n").alias("m"), F.col("prefix").alias("p"), F.col("component").alias("c"))
+    fits = (F.col("component") != F.col("c")) & _sizes_fit(F.col("n"), F.col("m"), F.col("m"), percent)
+    enough = _shared(F.col("prefix"), F.col("p")) >= depth(F.least("n", "m"), percent)
+    found = _exact(member.join(centre, "key").where(fits & enough).select("u", F.col("doc").alias("v")), sets, percent)
+    dropped(names)
+    return found
 
 
 def still_open(rows: DataFrame, percent: int) -> DataFrame:
@@ -285,19 +295,26 @@ def met_groups(groups: DataFrame, percent: int) -> DataFrame:
 
 def matrix(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """(grp, column): the distinct tokens of each group's members, in order."""
-    tokens = groups.select("doc", "grp").distinct().join(sets.select("doc", "tokens"), "doc")
+    members = shared_table(groups.select("doc", "grp").distinct(), "members")
+    tokens = sets.select("doc", "tokens").join(_narrow(members), "doc")
     return tokens.groupBy("grp").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("column"))  # of a bounded group
 
 
-def opened(groups: DataFrame, met: DataFrame, columns: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def asked_groups(groups: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """(doc, n, prefix, component, grp, low): queries, with the groups of whose prefix tokens they share enough."""
+    every = groups.groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("prefix"))).alias("every"))  # of a bounded group
+    asked = groups.select(F.col("grp").alias("q_grp"), "doc", "n", "prefix", "component").join(met, "q_grp")
+    asked = asked.where((F.col("component") < F.col("c1")) & _sizes_fit(F.col("n"), F.col("low"), F.col("high"), percent)).join(every, "grp")
+    enough = _shared(F.col("prefix"), F.col("every")) >= depth(F.least("n", "low"), percent)
+    return asked.where(enough).select("doc", "n", "prefix", "component", "grp", "low")
+
+
+def opened(asked: DataFrame, columns: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(doc, n, prefix, component, grp): queries and the groups they open, where the bound of the overlap reaches
     what a link with the group's smallest member that is near in size takes."""
-    asked = groups.select(F.col("grp").alias("q_grp"), "doc", "n", "prefix", "component").join(met, "q_grp")
-    asked = asked.where((F.col("component") < F.col("c1")) & _sizes_fit(F.col("n"), F.col("low"), F.col("high"), percent))
-    asked = asked.select("doc", "n", "prefix", "component", "grp", "low")
     bound = _shared(F.col("tokens"), F.col("column"))
     least = percent * (F.col("n") + F.greatest("low", F.ceil(percent * F.col("n") / 100)))
-    held = asked.join(columns, "grp").join(sets.select("doc", "n", "tokens"), ["doc", "n"])
+    held = asked.join(sets.select("doc", "n", "tokens"), ["doc", "n"]).join(columns, "grp")
     return held.where((100 + percent) * bound >= least).select("doc", "n", "prefix", "component", "grp")
 
 
@@ -324,33 +341,35 @@ def jaccard_components(
     tokens = Order(frequent_tokens(rows, n, lower))
     table = shared_table(prefixes(rows, n, percent, lower, tokens), "prefixes")
     equal = shared_table(table.where("n_shingles > 0").groupBy("sig_a", "sig_b").agg(F.min("_id").alias("doc")), "sets")
-    lead = equal.where("doc is not null").select("doc").distinct()
-    own = shared_table(table.where("n_shingles > 0 and _id is not null").select(F.col("_id").alias("doc"), F.col("n_shingles").alias("n"), "prefix").join(lead, "doc", "left_semi"), "own")
-    repeated = shared_tokens(own, percent, max_bits)
-    sets = shared_table(open_documents(rows, n, percent, lower, tokens, repeated).join(lead, "doc", "left_semi"), "open")
-    dropped(own)
+    follow = table.select(F.col("_id").alias("id"), "sig_a", "sig_b").join(equal, ["sig_a", "sig_b"]).where("id <> doc").select(F.col("id").alias("doc"), "sig_a", "sig_b")
+    follow = shared_table(follow.distinct(), "copies")  # ids with a set that has a smaller id too
+    alone = lambda df: _but(df, follow)
+    own = alone(table.where("n_shingles > 0 and _id is not null").select(F.col("_id").alias("doc"), F.col("n_shingles").alias("n"), "prefix", "sig_a", "sig_b"))
+    repeated = shared_tokens(own.select("n", "prefix"), percent, max_bits)
+    sets = shared_table(alone(open_documents(rows, n, percent, lower, tokens, repeated)).select("doc", "n", "prefix", "tokens"), "open")
+    dropped(follow)
 
     # a group's own members, in two partitions
-    links = own_group_links(sets, percent, SEEDS[0])
-    comp = shared_table(components(links), "components")
     some = sets.drop("tokens")
-    more = other_group_links(_labelled(some, comp), sets, percent, SEEDS[1])
-    links = links.unionByName(more)
+    links = own_group_links(some.withColumn("component", F.col("doc")), sets, percent, SEEDS[0])
+    comp = shared_table(components(links), "components")
+    links = links.unionByName(own_group_links(_labelled(some, comp), sets, percent, SEEDS[1]))
     comp = shared_table(components(links), "components")
 
     # the matrix of what is open
     groups = shared_table(grouped(still_open(_labelled(some, comp), percent), percent, group), "groups")
-    held = shared_table(_only(sets.select("doc", "n", "tokens"), shared_table(groups.select("doc").distinct(), "asked")), "held")
     met = shared_table(met_groups(groups, percent), "met")
-    columns = shared_table(matrix(groups, held), "matrix")
-    query = opened(groups, met, columns, held, percent)
+    asked = shared_table(asked_groups(groups, met, percent), "asked")
+    several = shared_table(asked.select("grp").distinct(), "several")
+    columns = shared_table(matrix(groups.join(_narrow(several), "grp", "left_semi"), sets), "matrix")
+    query = opened(asked, columns, _only(sets, shared_table(asked.select("doc").distinct(), "queries")), percent)
     member = groups.select("grp", F.col("doc").alias("v"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("prefix").alias("p"))
     fits = (F.col("component") < F.col("c")) & _sizes_fit(F.col("n"), F.col("m"), F.col("m"), percent)
     enough = _shared(F.col("prefix"), F.col("p")) >= depth(F.least("n", "m"), percent)
     pairs = query.join(member, "grp").where(fits & enough).select(F.col("doc").alias("u"), "v")
-    found = _exact(pairs, held, percent)
+    found = _exact(pairs, sets, percent)
     comp = shared_table(components(links.unionByName(found).unionByName(_same_id(table, equal))), "components")
-    dropped(sets, groups, held, met, columns)
+    dropped(sets, groups, met, asked, several, columns)
 
     # copies of a set follow their node
     named = equal.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("sig_a", "sig_b", F.coalesce("component", "doc").alias("component"))

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,7 +86,7 @@ def _bins(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.stack([np.searchsorted(e, v, "right") + i * (len(e) + 1) for i, (e, v) in enumerate(zip(edges, values.T, strict=True))], axis=1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float, turns: int = 150) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float, turns: int = 200) -> tuple[np.ndarray, float]:
     """Weights and bias by accelerated gradient steps; each class weighs the same."""
     w = w * np.where(y > 0.5, 0.5 / max(1e-9, (w * (y > 0.5)).sum()), 0.5 / max(1e-9, (w * (y <= 0.5)).sum()))
     lip = 0.25 * float(w @ np.einsum("ij,ij->i", x, x)) + 0.25 + ridge
@@ -255,6 +255,13 @@ def _cell(v: np.ndarray) -> np.ndarray:
     return (np.maximum(v, 0).astype(np.float32).view(np.uint32) >> 16).astype(np.int64)
 
 
+def _likelihood(a: Column, b: Column, of_a: int, of_b: int) -> Column:
+    """Log likelihood ratio (G) of a word's presence in two classes against one share in both."""
+    share = (a + b) / (of_a + of_b)
+    part = lambda seen, want: F.when(seen > 0, seen * F.log(seen / want)).otherwise(F.lit(0.0))
+    return 2 * (part(a, of_a * share) + part(b, of_b * share) + part(of_a - a, of_a * (1 - share)) + part(of_b - b, of_b * (1 - share)))
+
+
 def _frame(counts: DataFrame, words: int) -> Frame | None:
     """The words with the surest odds of each target, and edges at even shares of all documents' shapes."""
     total = counts.where("kind = 2").first()
@@ -264,10 +271,8 @@ def _frame(counts: DataFrame, words: int) -> Frame | None:
     for a, b in (("n1", "n2"), ("n3", "n4")):
         if min(total[a], total[b]) == 0:
             continue
-        odds = lambda c: F.log((F.col(c) + 0.5) / (total[c] - F.col(c) + 0.5))  # noqa: E731, B023
-        z = F.abs(odds(a) - odds(b)) / F.sqrt(1 / (F.col(a) + 0.5) + 1 / (F.col(b) + 0.5))
-        tell = counts.where(f"kind = 0 and {a} + {b} >= 3").select("key", z.alias("z")).where("z > 2")
-        chosen.append(tell.orderBy(F.desc("z"), "key").limit(words).toArrow()["key"].to_numpy().view(np.uint64))
+        tell = counts.where(f"kind = 0 and {a} + {b} >= 3").select("key", _likelihood(F.col(a), F.col(b), total[a], total[b]).alias("g")).where("g > 11")
+        chosen.append(tell.orderBy(F.desc("g"), "key").limit(words).toArrow()["key"].to_numpy().view(np.uint64))
     shape = counts.where("kind = 1").select("key", "n1").toArrow().sort_by("key")  # at most 2**16 cells a feature
     key, n = shape["key"].to_numpy(), shape["n1"].to_numpy()
     edges = np.zeros((len(SHAPE), 25))
@@ -290,21 +295,22 @@ def _unpacked(batch: pa.RecordBatch | pa.Table, widths: tuple[int, int]) -> list
 
 
 def feature_rows(rows: DataFrame, frame: Frame) -> DataFrame:
-    """_id, x0, x1: the packed features of `rows` (_id, text, meta), one row an id; rows without one are left out."""
+    """_id, good, clean, x0, x1: labels and packed features of `rows` (_id, text, meta, good, clean), one row an id; rows
+    without one are left out."""
     shared = rows.sparkSession.sparkContext.broadcast(pickle.dumps(frame))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fr: Frame = pickle.loads(shared.value)
         for part in tk.chunks(batches, "text"):
-            out = [part.column("_id")]
+            out = [part.column(c) for c in ("_id", *TARGETS)]
             for (row, col), width in zip(fr.columns(part), fr.widths, strict=True):
                 x = np.zeros((part.num_rows, width), bool)
                 x[row, col] = True
                 out.append(pa.array([r.tobytes() for r in np.packbits(x, axis=1)], pa.binary()))
-            yield pa.RecordBatch.from_arrays(out, names=["_id", "x0", "x1"])
+            yield pa.RecordBatch.from_arrays(out, names=["_id", *TARGETS, "x0", "x1"])
 
-    made = rows.where("_id is not null").mapInArrow(run, "_id bigint, x0 binary, x1 binary")
-    return made.groupBy("_id").agg(F.min(F.struct("x0", "x1")).alias("x")).select("_id", "x.x0", "x.x1")
+    made = rows.where("_id is not null").mapInArrow(run, "_id bigint, good int, clean int, x0 binary, x1 binary")
+    return made.groupBy("_id").agg(F.min(F.struct(*TARGETS, "x0", "x1")).alias("x")).select("_id", "x.*")
 
 
 def train(
@@ -315,7 +321,7 @@ def train(
     meta_cols: tuple[str, ...] = ("source", "lang", "n_chars"),
     labelled: int = 5000,
     pool: int = 1000,
-    words: int = 1024,
+    words: int = 512,
     rounds: int = 2,
     confident: float = 0.97,
     ridge: float = 2e-4,
@@ -332,29 +338,29 @@ def train(
     text = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), _meta(docs, [c for c in meta_cols if c in docs.columns]).alias("meta")
     )
-    counts = shared_table(statistics(text.select("_id", "text").join(told, "_id", "left").select("text", *TARGETS)), "counts")
+    text = text.join(told, "_id", "left")
+    counts = shared_table(statistics(text.select("text", *TARGETS)), "counts")
     frame = _frame(counts, words)
     if frame is None:
         return None
     rows = shared_table(feature_rows(text, frame), "features")
     models, taken = {}, set()
     for target in TARGETS:
-        found = cotrain(rows, known, target, frame, labelled, pool, rounds, confident, ridge)
+        found = cotrain(rows, target, frame, labelled, pool, rounds, confident, ridge)
         if found is not None:
             models[target], fitted = found
             taken |= fitted
     if models:
-        _set_limits(models, rows, known, taken, frame)
+        _set_limits(models, rows, taken, frame)
     dropped(counts, rows, known)
     return Quality(frame, models) if models else None
 
 
-def cotrain(rows: DataFrame, known: DataFrame, target: str, frame: Frame, labelled: int, pool: int, rounds: int, confident: float, ridge: float) -> tuple[Model, set[int]] | None:
+def cotrain(rows: DataFrame, target: str, frame: Frame, labelled: int, pool: int, rounds: int, confident: float, ridge: float) -> tuple[Model, set[int]] | None:
     """A model of `target`, and the ids of labels it is fitted on; None without both classes. `rows` are of feature_rows()."""
-    told = known.where(F.col(target).isNotNull()).select("_id", F.col(target).alias("y"))
-    rank = F.xxhash64("_id", F.lit(77))
-    ids = told.join(rows.select("_id"), "_id", "left_semi").orderBy(rank, "_id").limit(labelled)
-    got = rows.join(F.broadcast(ids), "_id").toArrow().sort_by("_id")  # `labelled` rows at most
+    told = rows.where(F.col(target).isNotNull())
+    ids = told.select("_id", F.col(target).alias("y")).orderBy(F.xxhash64("_id", F.lit(77)), "_id").limit(labelled)
+    got = told.select("_id", "x0", "x1").join(F.broadcast(ids), "_id").toArrow().sort_by("_id")  # `labelled` rows at most
     y = got["y"].to_numpy().astype(float)
     if len(set(y)) < 2:
         return None
@@ -363,7 +369,7 @@ def cotrain(rows: DataFrame, known: DataFrame, target: str, frame: Frame, labell
     kept, fit = np.flatnonzero(fold), np.flatnonzero(~fold)
     if min(len(set(y[kept])), len(set(y[fit]))) < 2:
         kept = fit = np.arange(len(y))
-    free = rows.join(told.select("_id"), "_id", "left_anti")
+    free = rows.where(F.col(target).isNull()).select("_id", "x0", "x1")
     pseudo = [(np.zeros((0, w), np.float32), np.zeros(0)) for w in frame.widths]  # for each view, from the other one
     for turn in range(rounds + 1):
         fitted = []
@@ -392,17 +398,20 @@ def _pseudo_labelled(free: DataFrame, model: Model, frame: Frame, most: int, con
                 columns = [batch.column("_id").take(pa.array(sure)), pa.array(np.full(len(sure), 1 - v), pa.int32()), pa.array((p[v][sure] > 0.5).astype(np.int32), pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names=["_id", "view", "y"])
 
-    first = Window.partitionBy("view", "y").orderBy(F.xxhash64("_id", F.lit(78)), "_id")
-    sure = free.mapInArrow(run, "_id bigint, view int, y int").withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).drop("r")
-    sure = shared_table(sure, "sure")  # 4 * most rows, limited before the shuffle
-    got = free.join(F.broadcast(sure), "_id").toArrow().sort_by([("view", "ascending"), ("_id", "ascending")])
-    dropped(sure)
+    every = shared_table(free.mapInArrow(run, "_id bigint, view int, y int").withColumn("h", F.xxhash64("_id", F.lit(78))), "sure")
+    # hashes are even: about 2 * most rows of a class are below this share, and then the least are taken
+    size = every.groupBy("view", "y").agg(F.least(F.lit(1.0), F.lit(2.0 * most + 100) / F.count("*")).alias("share"))  # 4 rows
+    low = every.join(F.broadcast(size), ["view", "y"]).where(F.col("h") <= F.lit(-(2.0**63)) + F.col("share") * F.lit(2.0**64))
+    first = Window.partitionBy("view", "y").orderBy("h", "_id")
+    chosen = shared_table(low.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).select("_id", "view", "y"), "chosen")
+    got = free.join(F.broadcast(chosen), "_id").toArrow().sort_by([("view", "ascending"), ("_id", "ascending")])  # 4 * most rows at most
+    dropped(every, chosen)
     x = _unpacked(got, frame.widths)
     view, y = got["view"].to_numpy(), got["y"].to_numpy().astype(float)
     return [(x[v][view == v], y[view == v]) for v in (0, 1)]
 
 
-def _set_limits(models: dict[str, Model], rows: DataFrame, known: DataFrame, taken: set[int], frame: Frame) -> None:
+def _set_limits(models: dict[str, Model], rows: DataFrame, taken: set[int], frame: Frame) -> None:
     """Limits from all labelled rows that are not `taken` for a fit.
 
     Each class weighs the same, as in the fit, so neither is traded for the other. With under FEW rows
@@ -410,7 +419,7 @@ def _set_limits(models: dict[str, Model], rows: DataFrame, known: DataFrame, tak
     """
     spark = rows.sparkSession
     used = F.broadcast(spark.createDataFrame([(i,) for i in sorted(taken)], "_id bigint"))
-    outside = rows.join(known, "_id").join(used, "_id", "left_anti")
+    outside = rows.where(F.coalesce(*TARGETS).isNotNull()).join(used, "_id", "left_anti")
     shared = spark.sparkContext.broadcast(pickle.dumps((models, frame.widths)))
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

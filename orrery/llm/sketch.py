@@ -42,12 +42,14 @@ def cell(h: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 def pack_cells(cells: np.ndarray, block_bits: int) -> bytes:
-    """Sorted cells of a block, with repeats: each different one and its number."""
+    """Sorted cells of a block, with repeats: each different one and its number. Few cells are listed as they are."""
     fresh = np.r_[True, cells[1:] != cells[:-1]]
     at = np.flatnonzero(fresh)
     number = np.diff(np.r_[at, len(cells)])
     several = np.flatnonzero(number > 1).astype(np.uint32)
     cells = cells[at] & np.uint64((1 << block_bits) - 1)
+    if 3 * len(cells) < 1 << (block_bits - 8):
+        return pickle.dumps((cells.astype(np.uint32), None, several, np.minimum(number[several], 255).astype(np.uint8)), protocol=5)
     per = np.bincount((cells >> np.uint64(8)).astype(np.int64), minlength=1 << (block_bits - 8))
     per = per.astype(np.uint8 if per.max() < 256 else np.uint16)
     return pickle.dumps((cells.astype(np.uint8), per, several, np.minimum(number[several], 255).astype(np.uint8)), protocol=5)
@@ -56,7 +58,7 @@ def pack_cells(cells: np.ndarray, block_bits: int) -> bytes:
 def unpack_cells(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Different cells of a block and their numbers."""
     low, per, several, number = pickle.loads(blob)
-    cells = np.repeat(np.arange(len(per), dtype=np.int64) << 8, per) | low
+    cells = low.astype(np.int64) if per is None else np.repeat(np.arange(len(per), dtype=np.int64) << 8, per) | low
     count = np.ones(len(cells), np.uint16)
     count[several] = number
     return cells, count

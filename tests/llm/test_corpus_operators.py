@@ -176,7 +176,8 @@ def test_groups_are_skipped_by_the_bound_and_links_come_from_opened_ones(spark):
     open_ = ngram_join.still_open(tokens.drop("tokens").withColumn("component", F.col("doc")), 85)  # no group has been opened for its own members
     groups = ngram_join.shared_table(ngram_join.grouped(open_, 85, group=2), "groups")
     met = ngram_join.met_groups(groups, 85)
-    found = ngram_join.opened(groups, met, ngram_join.matrix(groups, tokens), tokens, 85).select("doc", "grp")
+    query = ngram_join.asked_groups(groups, met, 85)
+    found = ngram_join.opened(query, ngram_join.matrix(groups, tokens), tokens, 85).select("doc", "grp")
     asked = groups.select(F.col("grp").alias("q_grp"), "doc").join(met, "q_grp").select("doc", "grp").distinct()
     assert 0 < found.distinct().count() < asked.count()  # the bound leaves some closed
     member = groups.select("grp", F.col("doc").alias("v"))

@@ -88,7 +88,8 @@ def test_pseudo_labels_come_from_the_whole_pool(spark, mixed):
     docs, labels = mixed
     known = quality.shared_table(quality._known(labels.where("doc_id < 1000"), "doc_id"), "labels")
     text = docs.select(F.col("doc_id").alias("_id"), "text", quality._meta(docs, ["source", "lang"]).alias("meta"))
-    frame = quality._frame(quality.statistics(text.join(known, "_id", "left").select("text", "good", "clean")), 200)
+    text = text.join(known, "_id", "left")
+    frame = quality._frame(quality.statistics(text.select("text", "good", "clean")), 200)
     rows = quality.shared_table(quality.feature_rows(text.unionByName(text.limit(7)), frame), "features")
     assert rows.count() == 3000  # one row an id
     rng = np.random.default_rng(1)
