@@ -11,7 +11,7 @@ different sets.
    what no other set of a near size shares, and documents that are left with too few tokens.
 3. Similar documents are partitioned into groups by their least hashed prefix token that others share. A group is
    opened for its own members first, each against one of them, which takes a step a document however large
-   a group of near copies is. Two partitions, with two hashes; what links is joined into components.
+   a group of near copies is. There is a partition for each seed; what links is joined into components.
 4. The matrix: documents that still share tokens with other components are dealt into bounded groups of similar ones.
    The matrix has a column for each group, the union of its members' tokens, as large as that is. A document is a query of the
    groups of other components with which its own group shares l prefix tokens. The tokens it shares
@@ -39,7 +39,7 @@ GROUP, GROUP_TOKENS = 64, 2048
 FREQUENT = 1 << 20
 #: Ids that are broadcast at most; beyond, texts are shuffled to them.
 IDS = 1 << 20
-#: Seeds of the two partitions into groups of similar documents.
+#: Seeds of the partitions into groups of similar documents.
 SEEDS = (11, 12)
 
 
@@ -293,11 +293,21 @@ def met_groups(groups: DataFrame, percent: int) -> DataFrame:
     return met.where(F.col("c") >= depth(F.least("q_low", "low"), percent)).select("q_grp", "grp", "low", "high", "c1")
 
 
+def _short(tokens: Column) -> Column:
+    """The distinct values of 16 bits of tokens: what they lack of another set's, the set lacks too."""
+    return F.array_distinct(F.transform(tokens, lambda x: (x.bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("smallint")))
+
+
+def _lacks(a: Column, b: Column) -> Column:
+    """So many tokens of a, at least, aren't in b."""
+    return F.size(F.array_except(a, b)).cast("long")
+
+
 def matrix(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """(grp, column): the distinct tokens of each group's members, in order."""
+    """(grp, column): the union of each group's members' tokens, by 16 bits of each."""
     members = shared_table(groups.select("doc", "grp").distinct(), "members")
-    tokens = sets.select("doc", "tokens").join(_narrow(members), "doc")
-    return tokens.groupBy("grp").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("column"))  # of a bounded group
+    tokens = sets.select("doc", _short(F.col("tokens")).alias("short")).join(_narrow(members), "doc")
+    return tokens.groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("short"))).alias("column"))  # of a bounded group
 
 
 def asked_groups(groups: DataFrame, met: DataFrame, percent: int) -> DataFrame:
@@ -310,12 +320,25 @@ def asked_groups(groups: DataFrame, met: DataFrame, percent: int) -> DataFrame:
 
 
 def opened(asked: DataFrame, columns: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(doc, n, prefix, component, grp): queries and the groups they open, where the bound of the overlap reaches
+    """(doc, n, prefix, component, grp, short): queries and the groups they open, where the bound of the overlap reaches
     what a link with the group's smallest member that is near in size takes."""
-    bound = _shared(F.col("tokens"), F.col("column"))
+    bound = F.col("n") - _lacks(F.col("short"), F.col("column"))
     least = percent * (F.col("n") + F.greatest("low", F.ceil(percent * F.col("n") / 100)))
-    held = asked.join(sets.select("doc", "n", "tokens"), ["doc", "n"]).join(columns, "grp")
-    return held.where((100 + percent) * bound >= least).select("doc", "n", "prefix", "component", "grp")
+    held = asked.join(sets.select("doc", "n", _short(F.col("tokens")).alias("short")), ["doc", "n"]).join(columns, "grp")
+    return held.where((100 + percent) * bound >= least).select("doc", "n", "prefix", "component", "grp", "short")
+
+
+def candidates(query: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v, a, b, s): documents and members of opened groups that may link, their components, and how likely."""
+    members = groups.join(shared_table(query.select("grp").distinct(), "opened"), "grp", "left_semi")
+    members = shared_table(members.select("grp", "doc", "n", "component", "prefix"), "members")
+    short = _only(sets, shared_table(members.select("doc").distinct(), "ends")).select("doc", "n", _short(F.col("tokens")).alias("t"))
+    member = members.join(short, ["doc", "n"]).select("grp", F.col("doc").alias("v"), F.col("n").alias("m"), F.col("component").alias("b"), F.col("prefix").alias("p"), "t")
+    fits = (F.col("component") < F.col("b")) & _sizes_fit(F.col("n"), F.col("m"), F.col("m"), percent)
+    enough = _shared(F.col("prefix"), F.col("p")) >= depth(F.least("n", "m"), percent)
+    most = F.least(F.col("n") - _lacks(F.col("short"), F.col("t")), F.col("m") - _lacks(F.col("t"), F.col("short")))
+    pairs = query.join(member, "grp").where(fits & enough).withColumn("s", most).where(100 * F.col("s") >= percent * (F.col("n") + F.col("m") - F.col("s")))
+    return pairs.select(F.col("doc").alias("u"), "v", F.col("component").alias("a"), "b", "s").distinct()
 
 
 def jaccard_components(
@@ -349,12 +372,14 @@ def jaccard_components(
     sets = shared_table(alone(open_documents(rows, n, percent, lower, tokens, repeated)).select("doc", "n", "prefix", "tokens"), "open")
     dropped(follow)
 
-    # a group's own members, in two partitions
+    # a group's own members, in several partitions
     some = sets.drop("tokens")
     links = own_group_links(some.withColumn("component", F.col("doc")), sets, percent, SEEDS[0])
     comp = shared_table(components(links), "components")
-    links = links.unionByName(own_group_links(_labelled(some, comp), sets, percent, SEEDS[1]))
-    comp = shared_table(components(links), "components")
+    for seed in SEEDS[1:]:
+        links = links.unionByName(own_group_links(_labelled(some, comp), sets, percent, seed))
+        last, comp = comp, shared_table(components(links), "components")
+        dropped(last)
 
     # the matrix of what is open
     groups = shared_table(grouped(still_open(_labelled(some, comp), percent), percent, group), "groups")
@@ -362,13 +387,17 @@ def jaccard_components(
     asked = shared_table(asked_groups(groups, met, percent), "asked")
     several = shared_table(asked.select("grp").distinct(), "several")
     columns = shared_table(matrix(groups.join(_narrow(several), "grp", "left_semi"), sets), "matrix")
-    query = opened(asked, columns, _only(sets, shared_table(asked.select("doc").distinct(), "queries")), percent)
-    member = groups.select("grp", F.col("doc").alias("v"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("prefix").alias("p"))
-    fits = (F.col("component") < F.col("c")) & _sizes_fit(F.col("n"), F.col("m"), F.col("m"), percent)
-    enough = _shared(F.col("prefix"), F.col("p")) >= depth(F.least("n", "m"), percent)
-    pairs = query.join(member, "grp").where(fits & enough).select(F.col("doc").alias("u"), "v")
-    found = _exact(pairs, sets, percent)
+    query = shared_table(opened(asked, columns, _only(sets, shared_table(asked.select("doc").distinct(), "queries")), percent), "query")
+    pairs = shared_table(candidates(query, groups, sets, percent), "candidates")
+    # one pair of each two components first: where it links, the others needn't be compared
+    best = pairs.groupBy("a", "b").agg(F.max(F.struct("s", "u", "v")).alias("x")).select("x.u", "x.v")
+    found = _exact(best, sets, percent)
+    now = shared_table(components(found.select("u", "v").join(pairs, ["u", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))), "joined")
+    end = lambda c: now.select(F.col("node").alias(c), F.col("component").alias(f"{c}_now"))
+    rest = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left").where("coalesce(a_now, a) <> coalesce(b_now, b)")
+    found = found.unionByName(_exact(rest.join(best, ["u", "v"], "left_anti").select("u", "v"), sets, percent))
     comp = shared_table(components(links.unionByName(found).unionByName(_same_id(table, equal))), "components")
+    dropped(pairs, now, query)
     dropped(sets, groups, met, asked, several, columns)
 
     # copies of a set follow their node
