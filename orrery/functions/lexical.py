@@ -10,19 +10,18 @@ from . import vectors
 UNIGRAMS, BIGRAMS = 50, 15
 
 # The terms of the unigram places, in order ("set" has two places).
-VOCABULARY = """
-function class const let var return async await import export default module require
-if else for while switch case break continue try catch throw finally
-string number boolean array object null undefined true false map set list dict
-this self new constructor extends super static private public protected
-get set
-""".split()
+VOCABULARY = [
+    "function", "class", "const", "let", "var", "return", "async", "await", "import", "export", "default", "module", "require", "if", "else", "for",
+    "while", "switch", "case", "break", "continue", "try", "catch", "throw", "finally", "string", "number", "boolean", "array", "object", "null",
+    "undefined", "true", "false", "map", "set", "list", "dict", "this", "self", "new", "constructor", "extends", "super", "static", "private",
+    "public", "protected", "get", "set",
+]
 
 # The pairs of the bigram places, in order.
-BIGRAM_VOCABULARY = """
-async_await async_function await_promise try_catch catch_error throw_error throw_new
-if_else else_if for_loop while_loop return_value return_null return_false return_true
-""".split()
+BIGRAM_VOCABULARY = [
+    "async_await", "async_function", "await_promise", "try_catch", "catch_error", "throw_error", "throw_new", "if_else", "else_if", "for_loop",
+    "while_loop", "return_value", "return_null", "return_false", "return_true",
+]
 
 
 def tokens(text: Column) -> Column:

@@ -12,17 +12,29 @@ from . import vectors
 
 # The default domains, in order, and their keywords.
 DOMAINS = {
-    "auth": """login logout password token session auth authenticate authorize jwt credential user permission role
-        access security encrypt decrypt hash salt oauth sso 2fa mfa verify signin signup""".split(),
-    "db": """query select insert update delete database model schema table column row migration seed sql nosql mongo
-        postgres mysql redis orm repository entity transaction commit rollback index foreign primary constraint""".split(),
-    "api": """route router endpoint request response http rest graphql controller handler middleware get post put
-        patch delete api fetch axios cors header body param query status json webhook socket websocket""".split(),
-    "ui": """render component view style css scss click button form input modal dialog menu nav layout page screen
-        widget element dom html jsx tsx template props state hook effect ref context redux store""".split(),
-    "util": """helper util utils format parse convert transform validate sanitize escape encode decode serialize
-        deserialize stringify clone merge deep flatten chunk debounce throttle memoize cache logger log error
-        config constant enum""".split(),
+    "auth": [
+        "login", "logout", "password", "token", "session", "auth", "authenticate", "authorize", "jwt", "credential", "user", "permission", "role",
+        "access", "security", "encrypt", "decrypt", "hash", "salt", "oauth", "sso", "2fa", "mfa", "verify", "signin", "signup",
+    ],
+    "db": [
+        "query", "select", "insert", "update", "delete", "database", "model", "schema", "table", "column", "row", "migration", "seed", "sql",
+        "nosql", "mongo", "postgres", "mysql", "redis", "orm", "repository", "entity", "transaction", "commit", "rollback", "index", "foreign",
+        "primary", "constraint",
+    ],
+    "api": [
+        "route", "router", "endpoint", "request", "response", "http", "rest", "graphql", "controller", "handler", "middleware", "get", "post", "put",
+        "patch", "delete", "api", "fetch", "axios", "cors", "header", "body", "param", "query", "status", "json", "webhook", "socket", "websocket",
+    ],
+    "ui": [
+        "render", "component", "view", "style", "css", "scss", "click", "button", "form", "input", "modal", "dialog", "menu", "nav", "layout",
+        "page", "screen", "widget", "element", "dom", "html", "jsx", "tsx", "template", "props", "state", "hook", "effect", "ref", "context",
+        "redux", "store",
+    ],
+    "util": [
+        "helper", "util", "utils", "format", "parse", "convert", "transform", "validate", "sanitize", "escape", "encode", "decode", "serialize",
+        "deserialize", "stringify", "clone", "merge", "deep", "flatten", "chunk", "debounce", "throttle", "memoize", "cache", "logger", "log",
+        "error", "config", "constant", "enum",
+    ],
 }
 
 

@@ -9,11 +9,11 @@ from . import text as tx
 from . import vectors
 
 # Names of the places, in order.
-NAMES = """
-loc_normalized num_functions num_classes num_imports avg_indent comment_ratio cyclomatic_estimate export_count
-halstead_vocabulary halstead_volume halstead_difficulty halstead_effort halstead_bugs
-import_diversity export_ratio coupling_estimate
-""".split()
+NAMES = [
+    "loc_normalized", "num_functions", "num_classes", "num_imports", "avg_indent", "comment_ratio", "cyclomatic_estimate", "export_count",
+    "halstead_vocabulary", "halstead_volume", "halstead_difficulty", "halstead_effort", "halstead_bugs", "import_diversity", "export_ratio",
+    "coupling_estimate",
+]
 
 # The patterns that the counts are made of.
 FUNCTIONS = [
@@ -44,24 +44,19 @@ EXPORTED = [
     r"\bmodule\.exports\s*=",
     r"__all__\s*=",
 ]
-OPERATORS = r"""
-\+\+ -- \+ - \* / % \*\*
-=== !== == != >= <= > <
-&& \|\| !
-& \| \^ ~ << >>
-\+= -= \*= /= %= =
-\? : \. , ;
-\( \) \[ \] \{ \}
-\bif\b \belse\b \bfor\b \bwhile\b \breturn\b
-\bfunction\b \bdef\b \bclass\b \btry\b \bcatch\b
-\bthrow\b \braise\b \bimport\b \bfrom\b \bexport\b
-""".split()
-NOT_OPERANDS = """
-if else for while return function def class try catch throw raise import from export
-const let var in of and or not True False None true false null undefined
-""".split()
+# Patterns of operators, and words that are no operands.
+OPERATORS = [
+    r"\+\+", "--", r"\+", "-", r"\*", "/", "%", r"\*\*", "===", "!==", "==", "!=", ">=", "<=", ">", "<", "&&", r"\|\|", "!", "&", r"\|", r"\^", "~",
+    "<<", ">>", r"\+=", "-=", r"\*=", "/=", "%=", "=", r"\?", ":", r"\.", ",", ";", r"\(", r"\)", r"\[", r"\]", r"\{", r"\}", r"\bif\b", r"\belse\b",
+    r"\bfor\b", r"\bwhile\b", r"\breturn\b", r"\bfunction\b", r"\bdef\b", r"\bclass\b", r"\btry\b", r"\bcatch\b", r"\bthrow\b", r"\braise\b",
+    r"\bimport\b", r"\bfrom\b", r"\bexport\b",
+]
+NOT_OPERANDS = [
+    "if", "else", "for", "while", "return", "function", "def", "class", "try", "catch", "throw", "raise", "import", "from", "export", "const", "let",
+    "var", "in", "of", "and", "or", "not", "True", "False", "None", "true", "false", "null", "undefined",
+]
 IDENTIFIER, NUMBER = r"\b[a-zA-Z_][a-zA-Z0-9_]*\b", r"\b\d+\.?\d*\b"
-#: Comments and strings go in this order; strings leave their quotes.
+#: Comments and strings go in this order; strings leave their quotes.
 STRIPPED = [
     (r'"""[\s\S]*?"""', ""),
     (r"'''[\s\S]*?'''", ""),

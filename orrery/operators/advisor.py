@@ -19,15 +19,15 @@ FROM_SMELL = {
 }
 BRIDGE, TENSE, TENSIONS = 0.15, 0.25, 20
 
-#: Steps of each action; the wording is ours.
+#: How each action is carried out and how to see that it worked.
 STEPS = {
-    "split": ["Find the purposes it serves", "Group what belongs together", "Make a file of each group", "Update imports", "Run the tests"],
-    "decouple": ["Find what both sides need", "Move it to a module of its own", "Import it from there", "Remove the cycle"],
-    "move": ["See where it belongs", "Move it", "Update imports"],
-    "remove": ["Search for uses", "See whether it is an entry point", "Remove it"],
-    "stabilize": ["Write its interface down", "Test it", "Version it", "Move what changes often elsewhere"],
-    "merge": ["See what it does", "Find the most similar file", "Merge what overlaps"],
-    "extract": ["Find why paths lead through it", "Move what is shared elsewhere", "Spread its duties"],
+    "split": ["Cut along the groups of callers that use the same exports", "Done when no part is a god file or a hub any more"],
+    "decouple": ["Turn one of the two imports into a parameter", "Done when the pair is no cycle any more"],
+    "move": ["Rename it into the folder that most of its imports name", "Done when its nearest cluster is that folder's"],
+    "remove": ["Delete it in a commit of its own, which is easy to take back", "Done when no import fails to resolve"],
+    "stabilize": ["Export less: what nobody imports can go", "Done when its tension stays below the adaptive threshold for some commits"],
+    "merge": ["Append it to its most similar file", "Done when no cluster has a single file"],
+    "extract": ["Give the two sides that meet here a path of their own", "Done when its betweenness is below the limit"],
 }
 
 

@@ -149,72 +149,39 @@ def tension_statistics(tensions: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(all_))  # one row
 
 
-#: For each kind of change: likely causes, actions, steps for the caller and warnings. The wording is ours.
-CHANGE_KINDS = [
-    (
-        "structural",
-        "The structure of the code changed",
-        ["functions were added or removed", "signatures changed", "classes changed", "imports or exports changed", "complexity changed"],
-        ["compare callers with the signatures", "see whether new parameters have defaults", "see whether exports kept their names", "update type definitions", "run the tests"],
-        ["open the caller at its imports", "compare the signatures it uses", "look for type errors", "adapt its calls", "run the tests"],
-        ["parameters may differ", "return types may differ", "exports may be gone"],
-    ),
-    (
-        "lexical",
-        "Names and terms changed",
-        ["identifiers were renamed", "constants changed", "comments changed", "new terms came in", "naming rules changed"],
-        ["search dependents for old names", "update imports of renamed exports", "look for names in strings", "update the documentation", "replace across files"],
-        ["see which exports were renamed", "search the caller for old names", "update its imports", "update names in strings"],
-        ["names may differ", "constants may differ"],
-    ),
-    (
-        "semantic",
-        "The purpose of the code may have shifted",
-        ["the code serves another purpose", "another domain was added", "responsibilities moved", "domains were merged"],
-        ["see whether the file should be split", "see what dependents expect", "see whether it is the right dependency", "update the architecture notes", "see whether domains mix"],
-        ["look at the purpose of the dependency", "decide whether to depend on it", "look for a better module", "adapt the use"],
-        ["the purpose may have changed", "the architecture may be concerned"],
-    ),
-    (
-        "mixed",
-        "Several aspects of the code changed",
-        ["a rewrite", "a feature with new patterns", "another style"],
-        ["review all dependents", "migrate step by step", "run all tests", "write the changes down"],
-        [],
-        [],
-    ),
-]
+#: An axis with this share of a movement is named as one that made it.
+NOTABLE = 0.25
+#: What to look at, by axis.
+LOOK = {
+    "lexical": "Search its callers for terms that it no longer has",
+    "structural": "Hold its callers' calls against its present functions",
+    "semantic": "Compare its folder with the domain it is now nearest to",
+}
 
 
 def change_analysis(rows: DataFrame) -> DataFrame:
-    """Deltas with change_type, severity, description, likely_causes, suggested_actions, steps and warnings."""
+    """Deltas with change_type, severity, description, likely_causes, suggested_actions and warnings.
+
+    All are read off the delta: the axes' shares of its movement, and its size.
+    """
     m = F.col("movement_magnitude")
-    kind = F.when(F.col("dominant_change").isin("structural", "lexical", "semantic"), F.col("dominant_change")).otherwise(F.lit("mixed"))
-    size = F.when(kind == "structural", F.col("structural_change")).when(kind == "lexical", F.col("lexical_change")).when(kind == "semantic", F.col("semantic_change")).otherwise(m)
-    table = F.create_map(
-        *[
-            x
-            for name, said, *lists in CHANGE_KINDS
-            for x in (F.lit(name), F.struct(F.lit(said).alias("said"), *[_strings(items).alias(c) for items, c in zip(lists, ("causes", "actions", "steps", "warnings"), strict=True)]))
-        ]
-    )
-    info = table[kind]
+    kind = F.when(F.col("dominant_change").isin(*LOOK), F.col("dominant_change")).otherwise(F.lit("mixed"))
+    total = sum((F.col(f"{a}_change") for a in LOOK), F.lit(0.0))
+    share = {a: F.when(total > 0, F.col(f"{a}_change") / total).otherwise(F.lit(0.0)) for a in LOOK}
+    size = F.coalesce(*[F.when(kind == a, F.col(f"{a}_change")) for a in LOOK], m)
+    large = m > 1.0
+    made = F.array_compact(F.array(*[F.when(x >= NOTABLE, F.format_string("%s: %.2f of the movement", F.lit(a), x)) for a, x in share.items()]))
     return rows.select(
         "*",
         kind.alias("change_type"),
-        F.when(m > 1.0, F.lit("high")).when(m > 0.5, F.lit("medium")).otherwise(F.lit("low")).alias("severity"),
-        F.concat(info["said"], F.format_string(" (%.3f)", size)).alias("description"),
-        info["causes"].alias("likely_causes"),
-        info["actions"].alias("suggested_actions"),
-        info["steps"].alias("steps"),
-        info["warnings"].alias("warnings"),
+        F.when(large, F.lit("high")).when(m > 0.5, F.lit("medium")).otherwise(F.lit("low")).alias("severity"),
+        F.format_string("%s change of %.3f", kind, size).alias("description"),
+        made.alias("likely_causes"),
+        F.array_compact(F.array(F.when(large, F.lit("Index its callers again before judging their distances")), *[F.when(share[a] >= NOTABLE, F.lit(said)) for a, said in LOOK.items()])).alias("suggested_actions"),
+        F.array_compact(F.array(F.when(large, F.lit("It moved further than unrelated files are apart")), F.when(F.size(made) > 1, F.lit("More than one axis moved")))).alias("warnings"),
     )
 
 
-def _strings(items: list[str]) -> Column:
-    return F.array(*[F.lit(i) for i in items]) if items else F.expr("cast(array() as array<string>)")
-
-
 # Lines that are snippets, by kind; the first pattern that fits counts.
 SNIPPETS = {
     "imports": [r"^import\s+.+", r"^const\s+\w+\s*=\s*require\(.+\)", r"^from\s+\S+\s+import", r"^import\s+\w+"],
@@ -262,10 +229,15 @@ def fix_context(tensions: DataFrame, rows: DataFrame, contracts: DataFrame, poin
         latest = rows.groupBy("code_point_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("delta_id"))
         at = ends.where(F.col("callee_path") == file_path).join(latest.withColumnRenamed("code_point_id", "callee_id"), "callee_id", "left")
         at = at.select(F.lit(None).cast("string").alias("tension_id"), "contract_id", "delta_id", F.lit(None).cast("double").alias("tension_magnitude"), "caller_path", "callee_path", "baseline_distance")
-    advice = change_analysis(rows).select(F.col("id").alias("delta_id"), "change_type", "severity", "description", "likely_causes", "suggested_actions", "steps", "warnings")
+    advice = change_analysis(rows).select(F.col("id").alias("delta_id"), "change_type", "severity", "description", "likely_causes", "suggested_actions", "warnings")
     shown = snippets(files)
     caller = shown.select(F.col("file_path").alias("caller_path"), F.struct(*SNIPPETS, "content").alias("caller"))
     callee = shown.select(F.col("file_path").alias("callee_path"), F.struct(*SNIPPETS, "content").alias("callee"))
     out = at.join(advice, "delta_id", "left").join(caller, "caller_path", "left").join(callee, "callee_path", "left")
+    steps = F.array(
+        F.concat(F.lit("Open "), tx.base_name(F.col("caller_path")), F.lit(" beside "), tx.base_name(F.col("callee_path"))),
+        F.format_string("Follow its %d import lines to what the other one exports in %d", F.coalesce(F.size("caller.imports"), F.lit(0)), F.coalesce(F.size("callee.exports"), F.lit(0))),
+    )
+    out = out.withColumn("steps", steps)
     names = ["tension_id", "caller_path", "callee_path", "baseline_distance", "tension_magnitude", "change_type", "severity", "description", "likely_causes", "suggested_actions", "steps", "warnings", "caller", "callee"]
     return out.select(*names).orderBy("caller_path")

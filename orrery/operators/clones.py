@@ -10,7 +10,7 @@ from orrery.functions.vectors import let
 
 # Words of a fingerprint, hashes of a window, least similarity.
 GRAM, WINDOW, SIMILAR = 5, 4, 0.3
-#: Comments go, strings and numbers become a word, in this order.
+#: Comments go, strings and numbers become a word, in this order.
 NORMAL = [
     (r"(?m)//.*$", ""),
     (r"(?m)#.*$", ""),

@@ -266,7 +266,7 @@ def resolve_tension(spark, sf_dir):
 @query
 def change_analysis(spark, sf_dir):
     a = changes.change_analysis(fx.deltas(spark, sf_dir))
-    return a.groupBy("change_type", "severity").agg(F.count("*").alias("deltas"), F.max(F.size("likely_causes")).alias("causes"), F.max(F.size("suggested_actions")).alias("actions"))
+    return a.groupBy("change_type", "severity").agg(F.count("*").alias("deltas"), *[f(F.array_join(c, "; ")).alias(f"{n}_{c}") for c in ("likely_causes", "suggested_actions", "warnings") for n, f in (("first", F.min), ("last", F.max))])
 
 
 @query

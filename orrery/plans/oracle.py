@@ -175,11 +175,7 @@ contract AS (SELECT 'contract' AS drift_type, CASE WHEN a > 0.5 THEN 'high' WHEN
 temp AS (SELECT 'temporal' AS drift_type, 'medium' AS severity, c.caller_path AS file_a, c.callee_path AS file_b, b.days_since_change - a.days_since_change AS current_distance, 0::DOUBLE AS expected_distance, b.days_since_change - a.days_since_change AS drift_amount
   FROM contracts c JOIN temporal a ON a.file_path = c.caller_path JOIN temporal b ON b.file_path = c.callee_path WHERE b.days_since_change > 0.7::DOUBLE AND a.days_since_change < 0.3::DOUBLE)"""
 _DRIFT_COLUMNS = "drift_type, severity, file_a, file_b, round(current_distance, 6) AS current_distance, round(expected_distance, 6) AS expected_distance, round(drift_amount, 6) AS drift_amount"
-SMELLS = """node AS (
-  SELECT p.id, p.file_path, p.line_count, abs(p.structural[7]) * 4 AS complexity, d.in_degree, d.out_degree, r.pagerank, t.change_frequency, t.days_since_change, t.stability_score, regexp_extract(p.file_path, '[^/]+$') AS name,
-         regexp_extract(p.file_path, '([^/]+)/[^/]+$', 1) AS module
-  FROM points p JOIN deg d ON d.id = p.id JOIN ranks r ON r.id = p.id JOIN temporal t ON t.file_path = p.file_path),
-envy AS (SELECT caller_id, sum(k) AS total, max(k) AS k FROM (SELECT c.caller_id, n.module, count(*) AS k FROM contracts c JOIN node n ON n.id = c.callee_id GROUP BY ALL) GROUP BY caller_id),
+SMELL_RULES = """envy AS (SELECT caller_id, sum(k) AS total, max(k) AS k FROM (SELECT c.caller_id, n.module, count(*) AS k FROM contracts c JOIN node n ON n.id = c.callee_id GROUP BY ALL) GROUP BY caller_id),
 smells AS (
   SELECT 'god_file' AS smell_type, CASE WHEN in_degree > 12 THEN 'critical' ELSE 'high' END AS severity, file_path, name AS file_name FROM node WHERE in_degree >= 8 AND (complexity >= 0.6::DOUBLE OR line_count >= 500)
   UNION ALL SELECT 'orphan', 'medium', file_path, name FROM node WHERE in_degree = 0 AND out_degree = 0 AND NOT regexp_matches(name, 'index|main|app|server|__init__|mod')
@@ -189,6 +185,31 @@ smells AS (
   UNION ALL SELECT 'hub_overload', CASE WHEN out_degree > 20 THEN 'high' ELSE 'medium' END, file_path, name FROM node WHERE out_degree >= 15 AND NOT regexp_matches(name, 'index|barrel|exports|__init__')
   UNION ALL SELECT 'unstable_interface', 'high', file_path, name FROM node WHERE pagerank >= 0.1::DOUBLE AND change_frequency >= 0.5
   UNION ALL SELECT 'dead_code_candidate', 'low', file_path, name FROM node WHERE in_degree = 0 AND NOT regexp_matches(name, 'index|main|app|server|__init__|test|spec') AND days_since_change < 0.2::DOUBLE AND stability_score > 0.8::DOUBLE)"""
+SMELLS = """node AS (
+  SELECT p.id, p.file_path, p.line_count, abs(p.structural[7]) * 4 AS complexity, d.in_degree, d.out_degree, r.pagerank, t.change_frequency, t.days_since_change, t.stability_score, regexp_extract(p.file_path, '[^/]+$') AS name,
+         regexp_extract(p.file_path, '([^/]+)/[^/]+$', 1) AS module
+  FROM points p JOIN deg d ON d.id = p.id JOIN ranks r ON r.id = p.id JOIN temporal t ON t.file_path = p.file_path),
+""" + SMELL_RULES
+
+
+def _file_smells() -> str:
+    """Smells of the code files by their own imports, and by the history of the points of equal number."""
+    rules = SMELL_RULES
+    for word, by in (("contracts", "fcon"), ("FROM node", "FROM fnode"), ("JOIN node", "JOIN fnode"), ("envy AS", "fenvy AS"), ("FROM envy", "FROM fenvy"), ("smells AS", "fsmells AS")):
+        rules = rules.replace(word, by)
+    rank = PAGERANK.replace("contracts", "fcon").replace("points", "fpoints").replace("links", "flinks").replace("pr(", "fpr(").replace("FROM pr", "FROM fpr").replace("pr.", "fpr.").replace("ranks AS", "franks AS")
+    return (
+        """fcon AS (SELECT DISTINCT caller AS caller_id, callee AS callee_id FROM resolved WHERE caller <> callee), fpoints AS (SELECT file_path AS id FROM files),
+fpast AS (SELECT p.id AS k, floor((1706745600 - floor(epoch(max(c.ts)))) / 86400) AS since, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-02-01' - INTERVAL 90 DAYS) AS recent FROM commits c JOIN points p ON p.file_path = c.file_path GROUP BY p.id),
+fin AS (SELECT callee_id AS id, count(*) AS n FROM fcon GROUP BY ALL), fout AS (SELECT caller_id AS id, count(*) AS n FROM fcon GROUP BY ALL), """
+        + rank
+        + """, fnode AS (SELECT f.file_path AS id, f.file_path, s.line_count, s.v[7] AS complexity, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, r.pagerank,
+         coalesce(least(h.recent / 30.0::DOUBLE, 1), 0) AS change_frequency, coalesce(greatest(0, 1 - h.since / 90.0::DOUBLE), 0) AS days_since_change, coalesce(1 - least(h.recent / 30.0::DOUBLE, 1), 1) AS stability_score,
+         regexp_extract(f.file_path, '[^/]+$') AS name, regexp_extract(f.file_path, '([^/]+)/[^/]+$', 1) AS module
+  FROM files f JOIN struct s ON s.file_path = f.file_path JOIN franks r ON r.id = f.file_path LEFT JOIN fin i ON i.id = f.file_path LEFT JOIN fout o ON o.id = f.file_path LEFT JOIN fpast h ON h.k = f.k),
+"""
+        + rules
+    )
 
 
 def _wave(ids: str) -> str:
@@ -227,17 +248,18 @@ SELECT file_path, len(ln)::INTEGER AS total_lines, {kinds}, len(ln) <= 50 AS com
 
 def _debt() -> str:
     return (
-        f"WITH {CONTRACTS}, {DELTAS}, {COMMITS}, {TENSIONS}, {FILES}, {_structural()}, {_clones()}, {TENSE}, "
+        f"WITH RECURSIVE {CONTRACTS}, {DELTAS}, {COMMITS}, {TENSIONS}, {FILES}, {_structural()}, {_clones()}, {TENSE}, {_imports()}, {_file_smells()}, "
         + """h2 AS (SELECT p.id AS k, greatest(0, 1 - floor((1706745600 - floor(epoch(max(c.ts)))) / 86400) / 90.0::DOUBLE) AS fresh FROM points p JOIN commits c ON c.file_path = p.file_path GROUP BY p.id),
 cc AS (SELECT f AS file_path, count(*) AS n FROM (SELECT file_a AS f FROM found UNION ALL SELECT file_b FROM found) GROUP BY f),
-base AS (SELECT s.file_path, s.line_count AS lines, s.v, coalesce(cc.n, 0) AS nc, coalesce(t.n, 0) AS nt, coalesce(h2.fresh, 0)::DOUBLE AS fresh
-  FROM struct s JOIN files f ON f.file_path = s.file_path LEFT JOIN cc ON cc.file_path = s.file_path LEFT JOIN tense t ON t.id = f.k LEFT JOIN h2 ON h2.k = f.k),
-factors AS (SELECT file_path, lines, nc, nt, fresh, least((v[7] + v[11]) / 2 * 100, 100)::DOUBLE AS complexity, CASE WHEN lines > 500 THEN least(lines / 500.0::DOUBLE * 50, 100) ELSE lines / 500.0::DOUBLE * 20 END::DOUBLE AS size,
+cs AS (SELECT file_path, count(*) AS n FROM fsmells GROUP BY file_path),
+known AS (SELECT s.file_path, s.line_count AS lines, s.v, coalesce(cc.n, 0) AS nc, coalesce(t.n, 0) AS nt, coalesce(cs.n, 0) AS ns, coalesce(h2.fresh, 0)::DOUBLE AS fresh
+  FROM struct s JOIN files f ON f.file_path = s.file_path LEFT JOIN cs ON cs.file_path = s.file_path LEFT JOIN cc ON cc.file_path = s.file_path LEFT JOIN tense t ON t.id = f.k LEFT JOIN h2 ON h2.k = f.k),
+factors AS (SELECT file_path, lines, nc, nt, ns, fresh, least((v[7] + v[11]) / 2 * 100, 100)::DOUBLE AS complexity, CASE WHEN lines > 500 THEN least(lines / 500.0::DOUBLE * 50, 100) ELSE lines / 500.0::DOUBLE * 20 END::DOUBLE AS size,
   least((v[16] + v[14]) / 2 * 100, 100)::DOUBLE AS coupling, least(nc * 25.0::DOUBLE, 100)::DOUBLE AS duplication, CASE WHEN fresh < 0.2::DOUBLE THEN 60 ELSE (1 - fresh) * 30 END::DOUBLE AS staleness,
-  CASE WHEN v[6] < 0.1::DOUBLE THEN (1 - v[6] / 0.1::DOUBLE) * 50 ELSE 0 END::DOUBLE AS documentation, 0::DOUBLE AS smells, least(nt * 40.0::DOUBLE, 100)::DOUBLE AS tensions FROM base),
-scored AS (SELECT *, complexity * 0.20::DOUBLE + size * 0.10::DOUBLE + coupling * 0.15::DOUBLE + duplication * 0.15::DOUBLE + staleness * 0.10::DOUBLE + documentation * 0.05::DOUBLE + tensions * 0.10::DOUBLE AS score FROM factors),
+  CASE WHEN v[6] < 0.1::DOUBLE THEN (1 - v[6] / 0.1::DOUBLE) * 50 ELSE 0 END::DOUBLE AS documentation, least(ns * 30.0::DOUBLE, 100)::DOUBLE AS smells, least(nt * 40.0::DOUBLE, 100)::DOUBLE AS tensions FROM known),
+scored AS (SELECT *, complexity * 0.20::DOUBLE + size * 0.10::DOUBLE + coupling * 0.15::DOUBLE + duplication * 0.15::DOUBLE + staleness * 0.10::DOUBLE + documentation * 0.05::DOUBLE + smells * 0.15::DOUBLE + tensions * 0.10::DOUBLE AS score FROM factors),
 debts AS (SELECT *, CASE WHEN score <= 20 THEN 'A' WHEN score <= 40 THEN 'B' WHEN score <= 60 THEN 'C' WHEN score <= 80 THEN 'D' ELSE 'F' END AS grade,
-  least((complexity > 60)::INTEGER + (lines > 500)::INTEGER + (coupling > 60)::INTEGER + (nc > 0)::INTEGER + (fresh < 0.2::DOUBLE)::INTEGER + (documentation > 30)::INTEGER + (nt > 0)::INTEGER, 5)::INTEGER AS recommendations FROM scored)"""
+  least((complexity > 60)::INTEGER + (lines > 500)::INTEGER + (coupling > 60)::INTEGER + (nc > 0)::INTEGER + (fresh < 0.2::DOUBLE)::INTEGER + (documentation > 30)::INTEGER + (ns > 0)::INTEGER + (nt > 0)::INTEGER, 5)::INTEGER AS recommendations FROM scored)"""
     )
 
 
@@ -294,7 +316,9 @@ SELECT substr(md5(contract_id || ':' || delta_id), 1, 12) AS id, contract_id, de
         "latest_tensions": f"{t} SELECT id, caller_path, callee_path, round(tension_magnitude, 6) AS tension_magnitude, status FROM tensions ORDER BY created_at DESC, id DESC LIMIT 50",
         "tension_stats": f"{t} SELECT status, count(*) AS tensions, (SELECT round(coalesce(avg(tension_magnitude), 0), 6) FROM tensions WHERE status = 'detected') AS avg_detected, (SELECT round(coalesce(max(tension_magnitude), 0), 6) FROM tensions WHERE status = 'detected') AS max_detected FROM tensions GROUP BY status",
         "resolve_tension": f"{t}, u AS (SELECT CASE WHEN id = (SELECT min(id) FROM tensions) THEN 'resolved' ELSE status END AS status FROM tensions) SELECT status, count(*) AS tensions, count(*) FILTER (WHERE status = 'resolved') AS resolved FROM u GROUP BY status",
-        "change_analysis": f"{d} SELECT dominant_change AS change_type, CASE WHEN movement_magnitude > 1 THEN 'high' WHEN movement_magnitude > 0.5 THEN 'medium' ELSE 'low' END AS severity, count(*) AS deltas, (CASE dominant_change WHEN 'semantic' THEN 4 ELSE 5 END)::INTEGER AS causes, 5::INTEGER AS actions FROM deltas GROUP BY ALL",
+        "change_analysis": f"""{d}, x AS (SELECT *, CASE WHEN movement_magnitude > 1 THEN 'high' WHEN movement_magnitude > 0.5 THEN 'medium' ELSE 'low' END AS severity, dominant_change || ': 0.60 of the movement' AS causes,
+  CASE dominant_change WHEN 'lexical' THEN '{_q(changes.LOOK["lexical"])}' WHEN 'structural' THEN '{_q(changes.LOOK["structural"])}' ELSE '{_q(changes.LOOK["semantic"])}' END AS looks FROM deltas)
+SELECT dominant_change AS change_type, severity, count(*) AS deltas, min(causes) AS first_likely_causes, max(causes) AS last_likely_causes, min(looks) AS first_suggested_actions, max(looks) AS last_suggested_actions, '' AS first_warnings, '' AS last_warnings FROM x GROUP BY ALL""",
         "temporal_features": f"{h} SELECT file_path, round(file_age, 6) AS file_age, round(change_frequency, 6) AS change_frequency, round(author_diversity, 6) AS author_diversity, round(days_since_change, 6) AS days_since_change, round(stability_score, 6) AS stability_score FROM temporal",
         "get_temporal": f"{h} SELECT file_path, greatest((change_frequency > 0.5)::INTEGER + (days_since_change < 0.2::DOUBLE)::INTEGER + (author_diversity > 0.5)::INTEGER + (stability_score > 0.8::DOUBLE)::INTEGER, 1)::INTEGER AS notes FROM temporal",
         "hot_files": f"{h} SELECT file_path, round(change_frequency, 6) AS change_frequency FROM temporal WHERE change_frequency >= 0.5",
