@@ -204,7 +204,8 @@ fpast AS (SELECT p.id AS k, floor((1706745600 - floor(epoch(max(c.ts)))) / 86400
 fin AS (SELECT callee_id AS id, count(*) AS n FROM fcon GROUP BY ALL), fout AS (SELECT caller_id AS id, count(*) AS n FROM fcon GROUP BY ALL), """
         + rank
         + """, fnode AS (SELECT f.file_path AS id, f.file_path, s.line_count, s.v[7] AS complexity, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, r.pagerank,
-         coalesce(least(h.recent / 30.0::DOUBLE, 1), 0) AS change_frequency, coalesce(greatest(0, 1 - h.since / 90.0::DOUBLE), 0) AS days_since_change, coalesce(1 - least(h.recent / 30.0::DOUBLE, 1), 1) AS stability_score,
+         CASE WHEN h.k IS NULL THEN 0 ELSE least(h.recent / 30.0::DOUBLE, 1) END::DOUBLE AS change_frequency, CASE WHEN h.k IS NULL THEN 0 ELSE greatest(0, 1 - h.since / 90.0::DOUBLE) END::DOUBLE AS days_since_change,
+         CASE WHEN h.k IS NULL THEN 1 ELSE 1 - least(h.recent / 30.0::DOUBLE, 1) END::DOUBLE AS stability_score,
          regexp_extract(f.file_path, '[^/]+$') AS name, regexp_extract(f.file_path, '([^/]+)/[^/]+$', 1) AS module
   FROM files f JOIN struct s ON s.file_path = f.file_path JOIN franks r ON r.id = f.file_path LEFT JOIN fin i ON i.id = f.file_path LEFT JOIN fout o ON o.id = f.file_path LEFT JOIN fpast h ON h.k = f.k),
 """
