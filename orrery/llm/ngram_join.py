@@ -9,7 +9,7 @@ different sets.
    others by hash. Two sets that link share l tokens among the first n - ceil(t n) + l of
    each (prefix filter); l grows with the smaller set. A merged sketch of prefix tokens and sizes drops
    what no other set of a near size shares, and documents that are left with too few tokens.
-3. Similar documents are partitioned into groups by their least hashed prefix token that others share. A group is
+3. Similar documents are partitioned into groups by the least hash of their tokens. A group is
    opened for its own members first, each against one of them, which takes a step a document however large
    a group of near copies is. There is a partition for each seed; what links is joined into components.
 4. The matrix: documents that still share tokens with other components are dealt into bounded groups of similar ones.
@@ -34,13 +34,13 @@ from .components import components
 from .shared import dropped, shared_table, tune
 
 #: Documents and tokens of a group, about.
-GROUP, GROUP_TOKENS = 64, 2048
+GROUP, GROUP_TOKENS = 64, 4096
 #: Rows of the table of frequent tokens at most (16 MiB). It sets the order of tokens only.
 FREQUENT = 1 << 20
 #: Ids that are broadcast at most; beyond, texts are shuffled to them.
 IDS = 1 << 20
 #: Seeds of the partitions into groups of similar documents.
-SEEDS = (11, 12)
+SEEDS = (11, 12, 13)
 
 
 def shingles(part: pa.RecordBatch, n: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,7 +195,7 @@ def shared_tokens(own: DataFrame, percent: int, max_bits: int) -> sketch.Repeate
 
 
 def open_documents(docs: DataFrame, n: int, percent: int, lower: bool, tokens: Order, repeated: sketch.Repeated) -> DataFrame:
-    """doc, n, sig_a, sig_b, prefix, tokens (the set): of the rows of `docs`, those that may share enough prefix tokens with a set of a
+    """doc, n, sig_a, sig_b, keys (the least hash of the set by each seed), prefix, tokens (the set): of the rows of `docs`, those that may share enough prefix tokens with a set of a
     near size, and of their prefix tokens those that such a set may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,9 +211,12 @@ def open_documents(docs: DataFrame, n: int, percent: int, lower: bool, tokens: O
             ids = part.column("_id").filter(pa.array(stay))
             lists = [_lists(prefix[some & stay[row]], count[stay]), _lists(keys[stay[docs_]], size[stay])]
             sig = [c.filter(pa.array(stay)) for c in _signature(keys, first)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size[stay], pa.int64()), *sig, *lists], names=["doc", "n", "sig_a", "sig_b", "prefix", "tokens"])
+            some = np.flatnonzero(stay)
+            least = [np.minimum.reduceat(tk.mix(keys * np.uint64(2 * s + 1)), first[:-1][size > 0])[np.cumsum(size > 0)[some] - 1] if len(some) else np.zeros(0, np.uint64) for s in SEEDS]
+            groups = _lists(np.stack(least, axis=1).ravel(), np.full(len(some), len(SEEDS)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size[stay], pa.int64()), *sig, groups, *lists], names=["doc", "n", "sig_a", "sig_b", "keys", "prefix", "tokens"])
 
-    return docs.mapInArrow(run, "doc bigint, n bigint, sig_a bigint, sig_b bigint, prefix array<bigint>, tokens array<bigint>")
+    return docs.mapInArrow(run, "doc bigint, n bigint, sig_a bigint, sig_b bigint, keys array<bigint>, prefix array<bigint>, tokens array<bigint>")
 
 
 def _sizes_fit(a: Column, low: Column, high: Column, percent: int) -> Column:
@@ -243,17 +246,13 @@ def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found
 
 
-def _key(seed: int) -> Column:
-    """A document's group: its least hashed open token."""
-    return F.array_min(F.transform("prefix", lambda x: F.xxhash64(x, F.lit(seed))))
-
-
-def own_group_links(rows: DataFrame, sets: DataFrame, percent: int, seed: int) -> DataFrame:
-    """Links (u, v) of the documents `rows` (doc, n, prefix, component) to one member of their group of similar ones, where that
-    is of another component."""
-    member = rows.select("doc", "n", "prefix", "component", _key(seed).alias("key"))
-    least = F.min(F.struct(F.xxhash64("doc", F.lit(seed)).alias("h"), F.col("doc"), F.col("n"))).alias("c")
-    names = member.select("key", "doc", "n", "component").groupBy("key").agg(least, F.min("component").alias("c0"), F.max("component").alias("c1"))
+def own_group_links(rows: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Links (u, v) of the documents `rows` (doc, n, keys, prefix, component) to one member of their group of similar ones, where
+    that is of another component. Sets of similarity s are in one group with a chance of s. The member is one whose
+    prefix others share most: an original rather than a changed copy."""
+    member = rows.select("doc", "n", "prefix", "component", F.col("keys")[turn].alias("key"))
+    most = F.max(F.struct((F.size("prefix") * 1000 / F.col("n")).cast("int").alias("s"), F.xxhash64("doc", F.lit(turn)).alias("h"), F.col("doc"), F.col("n"))).alias("c")
+    names = member.select("key", "doc", "n", "component", "prefix").groupBy("key").agg(most, F.min("component").alias("c0"), F.max("component").alias("c1"))
     names = shared_table(names.where("c0 <> c1").select("key", F.col("c.doc").alias("doc"), F.col("c.n").alias("n")), "centres")
     centre = member.join(_narrow(names), ["key", "doc", "n"], "left_semi").select("key", F.col("doc").alias("u"), F.col("n").alias("m"), F.col("prefix").alias("p"), F.col("component").alias("c"))
     fits = (F.col("component") != F.col("c")) & _sizes_fit(F.col("n"), F.col("m"), F.col("m"), percent)
@@ -264,20 +263,19 @@ def own_group_links(rows: DataFrame, sets: DataFrame, percent: int, seed: int) -
 
 
 def still_open(rows: DataFrame, percent: int) -> DataFrame:
-    """Of `rows` (doc, n, prefix, component), those that share enough prefix tokens with other components; only such tokens stay."""
-    flat = rows.select("doc", "n", "component", F.explode("prefix").alias("token"))
+    """Of `rows` (doc, n, keys, prefix, component), those that share enough prefix tokens with other components; only such tokens stay."""
+    flat = rows.select("doc", "n", "component", F.col("keys")[0].alias("key"), F.explode("prefix").alias("token"))
     between = flat.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
-    kept = flat.join(between, "token").groupBy("doc", "n", "component").agg(F.collect_list("token").alias("prefix"))  # of one document
+    kept = flat.join(between, "token").groupBy("doc", "n", "component", "key").agg(F.collect_list("token").alias("prefix"))  # of one document
     return kept.where(F.size("prefix") >= depth(F.ceil(percent * F.col("n") / 100), percent))
 
 
 def grouped(rows: DataFrame, percent: int, group: int = GROUP) -> DataFrame:
-    """`rows` (doc, n, prefix, component) with grp: groups of about `group` documents and GROUP_TOKENS tokens. Members of a large
-    component are together; others by the least hash of their open tokens, and by size."""
+    """`rows` (doc, n, prefix, component, key) with grp: groups of about `group` documents and GROUP_TOKENS tokens. Members of a large
+    component are together, others by their key: the least hash of the set."""
     sized = rows.groupBy("component").agg(F.count("*").alias("size"))
-    alike = F.xxhash64(F.lit(1), F.array_min(F.transform("prefix", lambda x: F.xxhash64(x))), F.floor(F.log("n") / F.log(F.lit(100.0 / percent))) if percent < 100 else F.col("n"))
-    key = F.when(F.col("size") >= group, F.xxhash64(F.lit(0), "component")).otherwise(alike)
-    keyed = rows.join(sized, "component").select("doc", "n", "prefix", "component", key.alias("key"))
+    to = F.when(F.col("size") >= group, F.xxhash64(F.lit(0), "component")).otherwise(F.xxhash64(F.lit(1), "key"))
+    keyed = rows.join(sized, "component").select("doc", "n", "prefix", "component", to.alias("key"))
     many = keyed.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("k"))
     return keyed.join(many, "key").select("doc", "n", "prefix", "component", F.xxhash64("key", F.pmod(F.xxhash64("doc"), F.col("k"))).alias("grp"))
 
@@ -304,41 +302,45 @@ def _lacks(a: Column, b: Column) -> Column:
 
 
 def matrix(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """(grp, column): the union of each group's members' tokens, by 16 bits of each."""
-    members = shared_table(groups.select("doc", "grp").distinct(), "members")
-    tokens = sets.select("doc", _short(F.col("tokens")).alias("short")).join(_narrow(members), "doc")
-    return tokens.groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("short"))).alias("column"))  # of a bounded group
-
-
-def asked_groups(groups: DataFrame, met: DataFrame, percent: int) -> DataFrame:
-    """(doc, n, prefix, component, grp, low): queries, with the groups of whose prefix tokens they share enough."""
-    every = groups.groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("prefix"))).alias("every"))  # of a bounded group
-    asked = groups.select(F.col("grp").alias("q_grp"), "doc", "n", "prefix", "component").join(met, "q_grp")
-    asked = asked.where((F.col("component") < F.col("c1")) & _sizes_fit(F.col("n"), F.col("low"), F.col("high"), percent)).join(every, "grp")
-    enough = _shared(F.col("prefix"), F.col("every")) >= depth(F.least("n", "low"), percent)
-    return asked.where(enough).select("doc", "n", "prefix", "component", "grp", "low")
-
-
-def opened(asked: DataFrame, columns: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(doc, n, prefix, component, grp, short): queries and the groups they open, where the bound of the overlap reaches
-    what a link with the group's smallest member that is near in size takes."""
-    bound = F.col("n") - _lacks(F.col("short"), F.col("column"))
-    least = percent * (F.col("n") + F.greatest("low", F.ceil(percent * F.col("n") / 100)))
-    held = asked.join(sets.select("doc", "n", _short(F.col("tokens")).alias("short")), ["doc", "n"]).join(columns, "grp")
-    return held.where((100 + percent) * bound >= least).select("doc", "n", "prefix", "component", "grp", "short")
-
-
-def candidates(query: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v, a, b, s): documents and members of opened groups that may link, their components, and how likely."""
-    members = groups.join(shared_table(query.select("grp").distinct(), "opened"), "grp", "left_semi")
-    members = shared_table(members.select("grp", "doc", "n", "component", "prefix"), "members")
-    short = _only(sets, shared_table(members.select("doc").distinct(), "ends")).select("doc", "n", _short(F.col("tokens")).alias("t"))
-    member = members.join(short, ["doc", "n"]).select("grp", F.col("doc").alias("v"), F.col("n").alias("m"), F.col("component").alias("b"), F.col("prefix").alias("p"), "t")
-    fits = (F.col("component") < F.col("b")) & _sizes_fit(F.col("n"), F.col("m"), F.col("m"), percent)
-    enough = _shared(F.col("prefix"), F.col("p")) >= depth(F.least("n", "m"), percent)
-    most = F.least(F.col("n") - _lacks(F.col("short"), F.col("t")), F.col("m") - _lacks(F.col("t"), F.col("short")))
-    pairs = query.join(member, "grp").where(fits & enough).withColumn("s", most).where(100 * F.col("s") >= percent * (F.col("n") + F.col("m") - F.col("s")))
-    return pairs.select(F.col("doc").alias("u"), "v", F.col("component").alias("a"), "b", "s").distinct()
+    """(grp, column, members): the union of each group's members' tokens, by 16 bits of each, and the members
+    (doc, n, component, prefix, short)."""
+    ids = shared_table(groups.select("doc").distinct(), "members")
+    short = _only(sets, ids).select("doc", "n", _short(F.col("tokens")).alias("short"))
+    rows = groups.join(short, ["doc", "n"])
+    one = F.struct("doc", "n", "component", "prefix", "short")
+    return rows.groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("short"))).alias("column"), F.collect_list(one).alias("members"))  # of a bounded group
+
+
+def opened(met: DataFrame, columns: DataFrame, percent: int) -> DataFrame:
+    """(q_grp, grp, queries, members): of pairs of groups that met, the members of the one that open the other: those whose bound of the
+    overlap reaches what a link with the group's smallest member that is near in size takes. Closed groups are left out."""
+    q = columns.select(F.col("grp").alias("q_grp"), F.col("members").alias("asking"))
+    pairs = met.join(q, "q_grp").join(columns, "grp")
+
+    def opens(x: Column) -> Column:
+        bound = x["n"] - _lacks(x["short"], F.col("column"))
+        least = percent * (x["n"] + F.greatest(F.col("low"), F.ceil(percent * x["n"] / 100)))
+        return (x["component"] < F.col("c1")) & _sizes_fit(x["n"], F.col("low"), F.col("high"), percent) & ((100 + percent) * bound >= least)
+
+    return pairs.select("q_grp", "grp", F.filter("asking", opens).alias("queries"), "members").where(F.size("queries") > 0)
+
+
+def candidates(open_: DataFrame, percent: int) -> DataFrame:
+    """(u, v, a, b, s): queries and members of the groups they open that may link, their components, and how likely."""
+
+    def most(q: Column, x: Column) -> Column:
+        return F.least(q["n"] - _lacks(q["short"], x["short"]), x["n"] - _lacks(x["short"], q["short"]))
+
+    def may(q: Column, x: Column) -> Column:
+        fits = (q["component"] < x["component"]) & _sizes_fit(q["n"], x["n"], x["n"], percent)
+        enough = _shared(q["prefix"], x["prefix"]) >= depth(F.least(q["n"], x["n"]), percent)
+        return fits & enough & (100 * most(q, x) >= percent * (q["n"] + x["n"] - most(q, x)))
+
+    def pair(q: Column, x: Column) -> Column:
+        return F.struct(q["doc"].alias("u"), x["doc"].alias("v"), q["component"].alias("a"), x["component"].alias("b"), most(q, x).alias("s"))
+
+    found = F.flatten(F.transform("queries", lambda q: F.transform(F.filter("members", lambda x: may(q, x)), lambda x: pair(q, x))))
+    return open_.select(F.explode(found).alias("x")).select("x.*").distinct()
 
 
 def jaccard_components(
@@ -369,26 +371,23 @@ def jaccard_components(
     alone = lambda df: _but(df, follow)
     own = alone(table.where("n_shingles > 0 and _id is not null").select(F.col("_id").alias("doc"), F.col("n_shingles").alias("n"), "prefix", "sig_a", "sig_b"))
     repeated = shared_tokens(own.select("n", "prefix"), percent, max_bits)
-    sets = shared_table(alone(open_documents(rows, n, percent, lower, tokens, repeated)).select("doc", "n", "prefix", "tokens"), "open")
+    sets = shared_table(alone(open_documents(rows, n, percent, lower, tokens, repeated)).select("doc", "n", "keys", "prefix", "tokens"), "open")
     dropped(follow)
 
     # a group's own members, in several partitions
     some = sets.drop("tokens")
-    links = own_group_links(some.withColumn("component", F.col("doc")), sets, percent, SEEDS[0])
+    links = own_group_links(some.withColumn("component", F.col("doc")), sets, percent, 0)
     comp = shared_table(components(links), "components")
-    for seed in SEEDS[1:]:
-        links = links.unionByName(own_group_links(_labelled(some, comp), sets, percent, seed))
+    for turn in range(1, len(SEEDS)):
+        links = links.unionByName(own_group_links(_labelled(some, comp), sets, percent, turn))
         last, comp = comp, shared_table(components(links), "components")
         dropped(last)
 
     # the matrix of what is open
     groups = shared_table(grouped(still_open(_labelled(some, comp), percent), percent, group), "groups")
     met = shared_table(met_groups(groups, percent), "met")
-    asked = shared_table(asked_groups(groups, met, percent), "asked")
-    several = shared_table(asked.select("grp").distinct(), "several")
-    columns = shared_table(matrix(groups.join(_narrow(several), "grp", "left_semi"), sets), "matrix")
-    query = shared_table(opened(asked, columns, _only(sets, shared_table(asked.select("doc").distinct(), "queries")), percent), "query")
-    pairs = shared_table(candidates(query, groups, sets, percent), "candidates")
+    columns = shared_table(matrix(groups, sets), "matrix")
+    pairs = shared_table(candidates(opened(met, columns, percent), percent), "candidates")
     # one pair of each two components first: where it links, the others needn't be compared
     best = pairs.groupBy("a", "b").agg(F.max(F.struct("s", "u", "v")).alias("x")).select("x.u", "x.v")
     found = _exact(best, sets, percent)
@@ -397,8 +396,8 @@ def jaccard_components(
     rest = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left").where("coalesce(a_now, a) <> coalesce(b_now, b)")
     found = found.unionByName(_exact(rest.join(best, ["u", "v"], "left_anti").select("u", "v"), sets, percent))
     comp = shared_table(components(links.unionByName(found).unionByName(_same_id(table, equal))), "components")
-    dropped(pairs, now, query)
-    dropped(sets, groups, met, asked, several, columns)
+    dropped(pairs, now)
+    dropped(sets, groups, met, columns)
 
     # copies of a set follow their node
     named = equal.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("sig_a", "sig_b", F.coalesce("component", "doc").alias("component"))
