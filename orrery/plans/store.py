@@ -13,15 +13,20 @@ from pyspark.sql import DataFrame
 def kept(df: DataFrame, name: str = "table") -> DataFrame:
     """`df` as a written table: the lineage is cut, and a lost executor loses nothing.
 
-    The folder is spark.checkpoint.dir; one of our own is set only where there is none, as in tests.
+    The folder is spark.checkpoint.dir; one of our own is set only where there is none and one machine does all, as in
+    tests. On a cluster that is an error. The table goes at the application's end.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="orrery-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         root = f"file://{own}"
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/orrery-{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
