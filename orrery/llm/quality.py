@@ -284,16 +284,21 @@ def _frame(counts: DataFrame, words: int) -> Frame | None:
     return Frame(np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.uint64), edges)
 
 
-def _unpacked(batch: pa.RecordBatch | pa.Table, widths: tuple[int, int]) -> list[np.ndarray]:
-    """The rows' features in both views, as float32 matrices."""
+def _bits(batch: pa.RecordBatch | pa.Table, widths: tuple[int, int]) -> list[np.ndarray]:
+    """The rows' features in both views, a byte each."""
     out = []
     for name, width in zip(("x0", "x1"), widths, strict=True):
         rows = batch[name].to_pylist()
         packed = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -(-width // 8))
-        out.append(np.unpackbits(packed, axis=1)[:, :width].astype(np.float32))
+        out.append(np.unpackbits(packed, axis=1)[:, :width])
     return out
 
 
+def _unpacked(batch: pa.RecordBatch | pa.Table, widths: tuple[int, int]) -> list[np.ndarray]:
+    """The rows' features in both views, as float32 matrices."""
+    return [x.astype(np.float32) for x in _bits(batch, widths)]
+
+
 def feature_rows(rows: DataFrame, frame: Frame) -> DataFrame:
     """_id, good, clean, x0, x1: labels and packed features of `rows` (_id, text, meta, good, clean), one row an id; rows
     without one are left out."""
@@ -364,20 +369,21 @@ def cotrain(rows: DataFrame, target: str, frame: Frame, labelled: int, pool: int
     y = got["y"].to_numpy().astype(float)
     if len(set(y)) < 2:
         return None
-    x = _unpacked(got, frame.widths)
+    x = _bits(got, frame.widths)  # floats are made for each use, so that the driver holds those of one view at a time
     fold = tk.mix(got["_id"].to_numpy().view(np.uint64) + np.uint64(5)) % np.uint64(4) == 0
     kept, fit = np.flatnonzero(fold), np.flatnonzero(~fold)
     if min(len(set(y[kept])), len(set(y[fit]))) < 2:
         kept = fit = np.arange(len(y))
     free = rows.where(F.col(target).isNull()).select("_id", "x0", "x1")
-    pseudo = [(np.zeros((0, w), np.float32), np.zeros(0)) for w in frame.widths]  # for each view, from the other one
+    pseudo = [(p[:0], np.zeros(0)) for p in x]  # for each view, from the other one
     for turn in range(rounds + 1):
         fitted = []
         for v in (0, 1):
             extra, label = pseudo[v]
             w = np.r_[np.ones(len(fit)), np.full(len(label), 0.5)]
-            fitted.append(logistic(np.concatenate([x[v][fit], extra]), np.r_[y[fit], label], w, ridge))
-        raw = [x[v] @ fitted[v][0].astype(np.float32) + fitted[v][1] for v in (0, 1)]
+            fitted.append(logistic(np.concatenate([x[v][fit], extra], dtype=np.float32), np.r_[y[fit], label], w, ridge))
+        raw = [x[v].astype(np.float32) @ fitted[v][0].astype(np.float32) + fitted[v][1] for v in (0, 1)]
+        tk.released()
         scale = [_platt(raw[v][kept], y[kept]) for v in (0, 1)]
         if turn < rounds:
             pseudo = _pseudo_labelled(free, Model(fitted, scale, (np.zeros(2), 0.0)), frame, (turn + 1) * pool, confident)
@@ -406,7 +412,7 @@ def _pseudo_labelled(free: DataFrame, model: Model, frame: Frame, most: int, con
     chosen = shared_table(low.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).select("_id", "view", "y"), "chosen")
     got = free.join(F.broadcast(chosen), "_id").toArrow().sort_by([("view", "ascending"), ("_id", "ascending")])  # 4 * most rows at most
     dropped(every, chosen)
-    x = _unpacked(got, frame.widths)
+    x = _bits(got, frame.widths)
     view, y = got["view"].to_numpy(), got["y"].to_numpy().astype(float)
     return [(x[v][view == v], y[view == v]) for v in (0, 1)]
 
