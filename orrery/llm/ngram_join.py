@@ -109,6 +109,8 @@ class Order:
         token = rows["token"].to_numpy().view(np.uint64)
         order = np.argsort(token)
         self.shared = frequent.sparkSession.sparkContext.broadcast((token[order].tobytes(), rows["n"].to_numpy()[order].astype(np.uint32).tobytes()))
+        del rows, token, order
+        tk.released()
 
     def prefixes(self, keys: np.ndarray, docs: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of each document's prefix, and their number."""

@@ -358,6 +358,7 @@ def train(
     if models:
         _set_limits(models, rows, taken, frame)
     dropped(counts, rows, known)
+    tk.released()
     return Quality(frame, models) if models else None
 
 

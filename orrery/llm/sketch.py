@@ -127,6 +127,8 @@ class Repeated:
         for r in merged.toLocalIterator():  # a partition at a time
             table[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["cells"], np.uint8)
         self.table = merged.sparkSession.sparkContext.broadcast(table.tobytes())
+        del table
+        tk.released()
 
     def __getstate__(self):
         return {"bits": self.bits, "table": self.table}
