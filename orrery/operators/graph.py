@@ -28,103 +28,67 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(agg, "id", "left").select("id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("in_degree", "out_degree")])
 
 
-#: Edges and nodes that are iterated on the driver at most; larger graphs iterate in the cluster.
-SMALL = 100_000
+def _turns(state: DataFrame, links: DataFrame, turn: list[Column], n: int) -> DataFrame:
+    """`n` turns of (id, values): values go along `links` (id, to, ...), which have a link from each node to itself, and are
+    summed where they arrive. A turn refers to the last one once, so plans grow with n; one exchange a turn."""
+    for _ in range(n):
+        state = state.join(links, "id").groupBy(F.col("to").alias("id")).agg(*turn)
+    return state
 
 
-def _small(nodes: DataFrame, edges: DataFrame):
-    """ids, and source and target places of the edges, if the graph has at most SMALL edges and nodes; else None."""
-    import numpy as np
+def _with_loops(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """`links` (id, to, ...) between nodes, and one from each node to itself, on which the other columns are null."""
+    return kept(links.unionByName(nodes.select("id", F.col("id").alias("to")), allowMissingColumns=True), "links")
 
-    if nodes.limit(SMALL + 1).count() > SMALL or edges.limit(SMALL + 1).count() > SMALL:
-        return None
-    ids = [r[0] for r in nodes.select("id").orderBy("id").collect()]
-    place = {x: i for i, x in enumerate(ids)}
-    e = [(place[r[0]], place[r[1]]) for r in edges.select("src", "dst").collect()]
-    return ids, np.array([x for x, _ in e], np.int64), np.array([y for _, y in e], np.int64)
 
-
-def _table(nodes: DataFrame, ids: list, **columns) -> DataFrame:
-    kind = dict(nodes.dtypes)["id"]
-    rows = list(zip(ids, *[c.tolist() for c in columns.values()], strict=True))
-    return nodes.sparkSession.createDataFrame(rows, f"id {kind}, " + ", ".join(f"{c} double" for c in columns))
-
-
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: int = 100, tolerance: float = 1e-6, step: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: int = 100, tolerance: float = 1e-6, step: int = 10) -> DataFrame:
     """id, pagerank. Mass of nodes without successors isn't dealt out again; the ranks are scaled to 1 at the end.
 
-    Every `step` turns the ranks are written and the change is looked at.
+    Every `step` turns the ranks are written and the last turn's change is looked at. No node gives no row.
     """
     n = nodes.count()
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("pagerank"))
-    if small := _small(nodes, edges):
-        import numpy as np
-
-        ids, src, dst = small
-        w = 1.0 / np.maximum(1, np.bincount(src, minlength=n))[src]
-        r = np.full(n, 1.0 / n)
-        for _ in range(most):
-            new = (1 - damping) / n + damping * np.bincount(dst, weights=r[src] * w, minlength=n)
-            change, r = np.abs(new - r).sum(), new
-            if change < tolerance:
-                break
-        return _table(nodes, ids, pagerank=r / r.sum())
     out = edges.groupBy("src").agg(F.count("*").alias("k"))
-    links = kept(edges.join(out, "src").select("src", "dst", (F.lit(1.0) / F.col("k")).alias("w")), "links")
-    rank = kept(nodes.select("id", F.lit(1.0 / n).alias("r")), "rank")
-    for turn in range(1, most + 1):
-        got = links.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") * F.col("w")).alias("s"))
-        new = rank.join(got, "id", "left").select("id", F.col("r").alias("old"), (F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("r"))
-        if turn % step == 0 or turn == most:
-            new = kept(new, "rank")
-            change = new.agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0]
-            rank = new.select("id", "r")
-            if change < tolerance:
-                break
-        else:
-            rank = new.select("id", "r")
+    links = _with_loops(nodes, edges.join(out, "src").select(F.col("src").alias("id"), F.col("dst").alias("to"), (F.lit(1.0) / F.col("k")).alias("w")))
+    got = F.coalesce(F.sum(F.col("r") * F.col("w")), F.lit(0.0))
+    turn = [(F.lit((1 - damping) / n) + F.lit(damping) * got).alias("r"), F.max(F.when(F.col("w").isNull(), F.col("r"))).alias("old")]
+    rank, done = nodes.select("id", F.lit(1.0 / n).alias("r"), F.lit(None).cast("double").alias("old")), 0
+    while done < most:
+        now = min(step, most - done)
+        rank, done = kept(_turns(rank, links, turn, now), "rank"), done + now
+        change = rank.agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0]
+        if change < tolerance or change == 0:
+            break
     total = rank.agg(F.sum("r").alias("t"))
     return rank.crossJoin(F.broadcast(total)).select("id", (F.col("r") / F.col("t")).alias("pagerank"))  # one row
 
 
-def hits(nodes: DataFrame, edges: DataFrame, most: int = 100, tolerance: float = 1e-6, step: int = 5) -> DataFrame:
+def hits(nodes: DataFrame, edges: DataFrame, most: int = 100, tolerance: float = 1e-6, step: int = 10) -> DataFrame:
     """id, hub_score, authority_score: both are updated from the last turn's values and have unit length.
 
     Scaling a score scales all later ones alike, so lengths are set every `step` turns only, when the
     scores are written and the last turn's change is looked at.
     """
-    if small := _small(nodes, edges):
-        import numpy as np
-
-        ids, src, dst = small
-        h, a = np.ones(len(ids)), np.ones(len(ids))
-        for _ in range(most):
-            na, nh = np.bincount(dst, weights=h[src], minlength=len(ids)), np.bincount(src, weights=a[dst], minlength=len(ids))
-            na, nh = na / (np.linalg.norm(na) or 1.0), nh / (np.linalg.norm(nh) or 1.0)
-            change, h, a = np.abs(nh - h).sum() + np.abs(na - a).sum(), nh, na
-            if change < tolerance:
-                break
-        return _table(nodes, ids, hub_score=h, authority_score=a)
-    state = kept(nodes.select("id", F.lit(1.0).alias("h"), F.lit(1.0).alias("a")), "hits")
-    edges = kept(edges, "edges")
+    along = edges.select(F.col("src").alias("id"), F.col("dst").alias("to"), F.lit(True).alias("ahead"))
+    back = edges.select(F.col("dst").alias("id"), F.col("src").alias("to"), F.lit(False).alias("ahead"))
+    links = _with_loops(nodes, along.unionByName(back))
+    arrives = lambda c, ahead: F.coalesce(F.sum(F.when(F.col("ahead") == ahead, F.col(c))), F.lit(0.0))
+    stays = lambda c: F.max(F.when(F.col("ahead").isNull(), F.col(c)))
+    turn = [arrives("a", False).alias("h"), arrives("h", True).alias("a"), stays("h").alias("oh"), stays("a").alias("oa")]
     size = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
     unit = lambda c: F.when(F.col(f"n_{c}") > 0, F.col(c) / F.col(f"n_{c}")).otherwise(F.lit(0.0))
-    for turn in range(1, most + 1):
-        a = edges.join(state.select(F.col("id").alias("src"), "h"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("h").alias("na"))
-        h = edges.join(state.select(F.col("id").alias("dst"), "a"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("a").alias("nh"))
-        last = state.select("id", F.col("h").alias("oh"), F.col("a").alias("oa"))
-        new = last.join(a, "id", "left").join(h, "id", "left").select("id", "oh", "oa", F.coalesce("nh", F.lit(0.0)).alias("h"), F.coalesce("na", F.lit(0.0)).alias("a"))
-        state = new.select("id", "h", "a")
-        if turn % step == 0 or turn == most:
-            new = kept(new, "hits")
-            norms = new.agg(*[size(c).alias(f"n_{c}") for c in ("h", "a", "oh", "oa")])
-            scaled = new.crossJoin(F.broadcast(norms)).select("id", *[unit(c).alias(c) for c in ("h", "a", "oh", "oa")])  # one row
-            scaled = kept(scaled, "hits")
-            change = scaled.agg(F.sum(F.abs(F.col("h") - F.col("oh")) + F.abs(F.col("a") - F.col("oa")))).first()[0] or 0.0
-            state = scaled.select("id", "h", "a")
-            if change < tolerance:
-                break
+    names, done = ("h", "a", "oh", "oa"), 0
+    state = nodes.select("id", F.lit(1.0).alias("h"), F.lit(1.0).alias("a"))
+    while done < most:
+        now = min(step, most - done)
+        new, done = kept(_turns(state, links, turn, now), "hits"), done + now
+        norms = new.agg(*[size(c).alias(f"n_{c}") for c in names])
+        scaled = new.crossJoin(F.broadcast(norms)).select("id", *[unit(c).alias(c) for c in names])  # one row
+        change = scaled.agg(F.sum(F.abs(F.col("h") - F.col("oh")) + F.abs(F.col("a") - F.col("oa")))).first()[0] or 0.0
+        state = scaled.select("id", "h", "a")
+        if change < tolerance or change == 0:
+            break
     return state.select("id", F.col("h").alias("hub_score"), F.col("a").alias("authority_score"))
 
 

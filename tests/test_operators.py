@@ -70,11 +70,10 @@ def test_upsert_keeps_birth(spark):
     assert sum(r["line_count"] == 1 for r in rows) == 2
 
 
-@pytest.mark.parametrize("small", [100_000, 0])
-def test_pagerank_and_hits(spark, monkeypatch, small):
-    monkeypatch.setattr(graph, "SMALL", small)
+@pytest.mark.parametrize("step", [3, 10])
+def test_pagerank_and_hits(spark, step):
     n, e = nodes(spark, 4), edges(spark, [(1, 0), (2, 0), (3, 2), (0, 3)])
-    r = {x["id"]: x["pagerank"] for x in graph.pagerank(n, e, most=40).collect()}
+    r = {x["id"]: x["pagerank"] for x in graph.pagerank(n, e, most=40, step=step).collect()}
     rank = [0.25] * 4
     for _ in range(40):
         got = [0.0] * 4
@@ -83,9 +82,23 @@ def test_pagerank_and_hits(spark, monkeypatch, small):
         rank = [0.15 / 4 + 0.85 * g for g in got]
     assert sum(r.values()) == pytest.approx(1)
     assert [r[i] for i in range(4)] == pytest.approx([x / sum(rank) for x in rank], abs=1e-5)
-    h = {x["id"]: x for x in graph.hits(n, e, most=10).collect()}
-    assert sum(x["authority_score"] ** 2 for x in h.values()) == pytest.approx(1)
-    assert h[0]["authority_score"] == max(x["authority_score"] for x in h.values())
+    h = {x["id"]: x for x in graph.hits(n, e, most=10, tolerance=0.0, step=step).collect()}
+    hub, authority = [1.0] * 4, [1.0] * 4
+    for _ in range(10):
+        new_hub, new_authority = [0.0] * 4, [0.0] * 4
+        for s, d in [(1, 0), (2, 0), (3, 2), (0, 3)]:
+            new_hub[s] += authority[d]
+            new_authority[d] += hub[s]
+        hub, authority = ([x / sum(y * y for y in v) ** 0.5 for x in v] for v in (new_hub, new_authority))
+    assert [h[i]["hub_score"] for i in range(4)] == pytest.approx(hub)
+    assert [h[i]["authority_score"] for i in range(4)] == pytest.approx(authority)
+
+
+def test_pagerank_and_hits_without_nodes_or_edges(spark):
+    n, none = nodes(spark, 3), edges(spark, [(0, 1)]).limit(0)
+    assert [r["pagerank"] for r in graph.pagerank(n, none).collect()] == pytest.approx([1 / 3] * 3)
+    assert {(r["hub_score"], r["authority_score"]) for r in graph.hits(n, none).collect()} == {(0.0, 0.0)}
+    assert graph.pagerank(n.limit(0), none).count() == graph.hits(n.limit(0), none).count() == 0
 
 
 @pytest.mark.parametrize("most", [100, 0])
