@@ -72,6 +72,23 @@ SELECT w.id AS doc_id, len(w.t) AS n_words, coalesce(p.n_hit, 0)::BIGINT AS n_hi
 FROM w LEFT JOIN places p ON p.id = w.id LEFT JOIN items n ON n.id = w.id WHERE w.is_doc
 """
 
+RANKED = """
+WITH low AS (
+    SELECT doc_id AS id, true AS is_doc, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+    UNION ALL SELECT item_id, false, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+w AS (SELECT id, is_doc, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM low WHERE t IS NOT NULL),
+d AS (SELECT id, len(t) AS n, unnest(t) AS term FROM w WHERE is_doc),
+total AS (SELECT count(DISTINCT id) AS docs, count(*) AS terms FROM d),
+p AS (SELECT id, n, term, count(*) AS tf FROM d GROUP BY id, n, term),
+q AS (SELECT DISTINCT id, term FROM (SELECT id, unnest(t) AS term FROM w WHERE NOT is_doc)),
+k AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight FROM (SELECT term, count(*) AS df FROM p GROUP BY term), total),
+s AS (
+    SELECT q.id AS item_id, p.id AS doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+    FROM q JOIN k ON k.term = q.term JOIN p ON p.term = q.term, total GROUP BY q.id, p.id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -80,4 +97,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_substring_dedup": SUBSTRING,
         "op8_exact_dedup": EXACT,
         "op9_decontaminate": BENCHMARK,
+        "op11_ranked_search": RANKED,
     }

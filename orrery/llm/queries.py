@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, language_id, license_scan, ngram_join, quality, substring_dedup, suffix_dedup, token_histogram
+from . import alignment, bpe, decontaminate, exact_dedup, language_id, license_scan, ngram_join, quality, ranked_search, substring_dedup, suffix_dedup, token_histogram, trie_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,6 +126,30 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model).drop("text", "lang", "source", "n_chars")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents of the highest scores for each benchmark item, over all whole texts. Null texts have no terms; rows that repeat an id are documents by themselves; equal scores are by id."""
+    return ranked_search.search(ranked_search.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and text of every whole text. Null and empty texts have no ids; rows that repeat are encoded each by itself; an empty table gives none."""
+    import public_tokenizers
+
+    coded = trie_bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    n = (F.octet_length("packed_ids") / 4).cast("long")
+    return coded.select("doc_id", n.alias("n_tokens"), F.sha2("packed_ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers in every whole text, with corpus-wide counts. Null and empty texts have no tokens; rows that repeat are aligned each by itself."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned, counts = alignment.tables(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    found = alignment.weigh(aligned, counts)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -138,4 +162,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_decontaminate": op9_decontaminate,
         "op10_quality": op10_quality,
+        "op11_ranked_search": op11_ranked_search,
+        "op12_trie_bpe": op12_trie_bpe,
+        "op13_alignment": op13_alignment,
     }
