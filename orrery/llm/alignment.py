@@ -28,7 +28,7 @@ from .shared import shared_table, tune
 #: Pairs whose counts are broadcast at most, 12 bytes each.
 FREQUENT = 1 << 20
 #: Texts are aligned in chunks of so many bytes.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _SPACE = "▁"
 
 
@@ -39,7 +39,7 @@ class Pieces:
     letter to a space, so that the spaces before a word and the word are encoded by themselves. Else whole texts are.
     """
 
-    def __init__(self, path: str, remember: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, remember: int = 150_000, longest: int = 64):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)

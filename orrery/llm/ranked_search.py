@@ -6,10 +6,10 @@ first. Rows are partitioned by term, those of a term over several partitions. A
 1. The k highest impacts of each list give partial scores; the k-th highest partial score of a query is a lower bound of its k-th score.
 2. That bound, divided evenly by the number of the query's lists, is one threshold for all of them: every entry at or above it is
    fetched. A document that none of them has can't reach the bound. Partial sums rise, and so does the bound; what a
-   document can still get from lists where it wasn't fetched bounds its score from above.
+   document can still get from lists that weren't read to their end bounds its score from above.
 3. Documents whose upper bound reaches the new lower bound are candidates: their entries below the threshold are looked up.
 
-Entries travel packed, a row for each query, term and block.
+Entries that several queries ask for travel once, to a task for each block of documents and group of queries.
 """
 
 from __future__ import annotations
@@ -27,12 +27,12 @@ from . import textkernel as tk
 from .shared import dropped, partitions, shared_table, tune
 
 #: Bytes of text in a block of documents, and documents: places are 16-bit numbers.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 BLOCK_DOCS = 1 << 16
 #: A term's blocks are dealt to so many partitions.
 SPLIT = 64
-#: Queries whose thresholds for one term are a row.
-ASKS = 4096
+#: Queries in a group.
+ASKS = 1024
 
 _TERM_BYTES = bytes(int(tk.LOWER[c]) if tk.ALNUM[tk.LOWER[c]] else 0x20 for c in range(256))
 
@@ -44,7 +44,7 @@ def terms(text: str | None) -> list[bytes]:
 
 @dataclass
 class Index:
-    """postings: (term, block, n, top, places, impacts), where `top` is the highest impact; directory: (block, ids), the documents of a block."""
+    """postings: (term, block, top, bottom, places, impacts), with the highest and the lowest impact; directory: (block, ids), the documents of a block."""
 
     postings: DataFrame
     directory: DataFrame
@@ -91,6 +91,22 @@ def _lists(texts: list[str | None], n_docs: int, n_terms: int) -> tuple[list[byt
     return list(numbers), np.searchsorted(term, np.arange(len(numbers) + 1)), place[order], u[order]
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of up to BLOCK_BYTES of text and BLOCK_DOCS documents; a longer text is a block of its own."""
+    hold, size, rows = [], 0, 0
+    for part in tk.chunks(batches, "text", BLOCK_BYTES):
+        for at in range(0, part.num_rows, BLOCK_DOCS):
+            some = part.slice(at, BLOCK_DOCS)
+            more = int(tk.column(some, "text")[1][-1])
+            if hold and (size + more > BLOCK_BYTES or rows + some.num_rows > BLOCK_DOCS):
+                yield pa.concat_batches(hold)
+                hold, size, rows = [], 0, 0
+            hold.append(some)
+            size, rows = size + more, rows + some.num_rows
+    if hold:
+        yield pa.concat_batches(hold)
+
+
 def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     values = np.ascontiguousarray(values)
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
@@ -106,28 +122,21 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
     tune(spark)
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     n_docs, n_terms = _lengths(docs, "text")
-    schema = "term binary, block bigint, n int, top int, places binary, impacts binary, ids array<bigint>"
+    schema = "term binary, block bigint, top int, bottom int, places binary, impacts binary, ids array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId() << 32
-        for part in tk.chunks(batches, "text", BLOCK_BYTES):
-            for at in range(0, part.num_rows, BLOCK_DOCS):
-                some = part.slice(at, BLOCK_DOCS)
-                words, bounds, place, u = _lists(some.column("text").to_pylist(), n_docs, n_terms)
-                many, none = len(words), pa.nulls(1, pa.binary())
-                columns = [
-                    pa.concat_arrays([pa.array(words, pa.binary()), none]),
-                    pa.array(np.full(many + 1, block, np.int64)),
-                    pa.array(np.r_[np.diff(bounds), 0].astype(np.int32)),
-                    pa.array(np.r_[u[bounds[:-1]], 0].astype(np.int32)),
-                    pa.concat_arrays([_packed(place.astype(np.uint16), bounds), none]),
-                    pa.concat_arrays([_packed(u.astype(np.int32), bounds), none]),
-                    pa.concat_arrays([pa.nulls(many, pa.list_(pa.int64())), pa.array([some.column("id").to_pylist()], pa.list_(pa.int64()))]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["term", "block", "n", "top", "places", "impacts", "ids"])
-                block += 1
+        for number, part in enumerate(_blocks(batches)):
+            words, bounds, place, u = _lists(part.column("text").to_pylist(), n_docs, n_terms)
+            many, none = len(words), pa.nulls(1, pa.binary())
+            ends = [pa.array(np.r_[u[bounds[:-1]], 0].astype(np.int32)), pa.array(np.r_[u[bounds[1:] - 1], 0].astype(np.int32))]
+            places, impacts = pa.concat_arrays([_packed(place.astype(np.uint16), bounds), none]), pa.concat_arrays([_packed(u.astype(np.int32), bounds), none])
+            ids = pa.concat_arrays([pa.nulls(many, pa.list_(pa.int64())), pa.array([part.column("id").to_pylist()], pa.list_(pa.int64()))])
+            block = pa.array(np.full(many + 1, (TaskContext.get().partitionId() << 32) + number, np.int64))
+            out = pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(words, pa.binary()), none]), block, *ends, places, impacts, ids], names=["term", "block", "top", "bottom", "places", "impacts", "ids"])
+            for at in range(0, out.num_rows, 20_000):
+                yield out.slice(at, 20_000)
 
     rows = docs.mapInArrow(run, schema).repartition(partitions(spark), "term", F.expr(f"block % {SPLIT}"))
     table = shared_table(rows.sortWithinPartitions("term", "block"), "postings")
@@ -160,31 +169,52 @@ def _heads(k: int):
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries at or above each query's least impact: (item, block, seen, places, scores). seen: what the list counted for in the upper bound."""
+    """Of each list, the entries that any of the asking queries fetches."""
     for batch in batches:
-        out = []
-        for block, places, impacts, asks in zip(*(batch.column(c).to_pylist() for c in ("block", "places", "impacts", "asks")), strict=True):
-            u = np.frombuffer(impacts, np.int32).astype(np.int64)
-            for a in asks:
+        places, impacts, rows = [], [], []
+        for i, (p, u, asks) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("places", "impacts", "asks")), strict=True)):
+            values = np.frombuffer(u, np.int32)
+            n = len(values) - int(np.searchsorted(values[::-1], min(a["least"] for a in asks)))
+            if n:
+                rows.append(i)
+                places.append(p[: 2 * n])
+                impacts.append(u[: 4 * n])
+        keep = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("some", "block", "asks")]
+        yield pa.RecordBatch.from_arrays([*keep, pa.array(places, pa.binary()), pa.array(impacts, pa.binary())], names=["some", "block", "asks", "places", "impacts"])
+
+
+def _bounded(k: int):
+    """(item, block, place, low, high) of the documents of a block that may reach the query's bound, or what k others of the block have."""
+
+    def of_block(block: int, queries: list[dict], lists: list[dict]) -> Iterator[tuple[np.ndarray, ...]]:
+        asked = defaultdict(list)
+        for x in lists:
+            place, u = np.frombuffer(x["places"], np.uint16), np.frombuffer(x["impacts"], np.int32).astype(np.int64)
+            for a in x["asks"]:
                 n = len(u) - int(np.searchsorted(u[::-1], a["least"]))
                 if n:
-                    out.append((a["item"], block, a["room"], places[: 2 * n], (u[:n] * a["w"]).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["item", "block", "room", "places", "scores"])
+                    asked[a["item"]].append((place[:n], u[:n] * a["w"], np.full(n, a["room"])))
+        for q in queries:
+            if q["item"] not in asked:
+                continue
+            place, score, room = map(np.concatenate, zip(*asked.pop(q["item"]), strict=True))
+            low = np.bincount(place, score).astype(np.int64)
+            high = low + q["total"] - np.bincount(place, room).astype(np.int64)
+            bound = max(q["bound"], 1)
+            if len(low) > k:
+                bound = max(bound, int(np.partition(low, len(low) - k)[len(low) - k]))
+            at = np.flatnonzero((low > 0) & (high >= bound))
+            yield np.full(len(at), q["item"]), np.full(len(at), block), at, low[at], high[at]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, queries, lists = (batch.column(c)[i].as_py() for c in ("block", "queries", "lists"))
+                out = list(zip(*of_block(block, queries, lists), strict=True))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["item", "block", "place", "low", "high"])
 
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item, block, place, low, high) of the documents of a block that may reach the query's bound."""
-    for batch in batches:
-        out = []
-        for item, block, bound, total, lists in zip(*(batch.column(c).to_pylist() for c in ("item", "block", "bound", "total", "lists")), strict=True):
-            place = np.concatenate([np.frombuffer(x["places"], np.uint16) for x in lists]).astype(np.int64)
-            score = np.concatenate([np.frombuffer(x["scores"], np.int64) for x in lists])
-            room = np.repeat([x["room"] for x in lists], [len(x["places"]) // 2 for x in lists])
-            low, seen = np.bincount(place, score).astype(np.int64), np.bincount(place, room).astype(np.int64)
-            high = low + total - seen
-            at = np.flatnonzero((low > 0) & (high >= bound))
-            out.append((np.full(len(at), item), np.full(len(at), block), at, low[at], high[at]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64) if out else np.zeros(0, np.int64)) for c in (zip(*out, strict=True) if out else [[]] * 5)], names=["item", "block", "place", "low", "high"])
+    return run
 
 
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,10 +250,10 @@ def search(ix: Index, queries: DataFrame, k: int = 50, item_col: str = "item_id"
 
     asked = queries.select(F.col(item_col).cast("bigint").alias("item"), F.col(text_col).alias("text")).where("item is not null").mapInArrow(cut, "item bigint, term binary").distinct()
     asked = shared_table(asked, "asked")  # small, as its files' sizes tell: Spark broadcasts it then, and joins by shuffle else
-    lists = ix.postings.select("term", "n", "top").join(asked.select("term").distinct(), "term", "left_semi")
-    lists = lists.groupBy("term").agg(F.sum("n").alias("df"), F.max("top").cast("long").alias("top"))
+    lists = ix.postings.select("term", "top", "bottom", "places").join(asked.select("term").distinct(), "term", "left_semi")
+    lists = lists.groupBy("term").agg(F.sum(F.expr("octet_length(places) div 2")).alias("df"), F.max("top").cast("long").alias("top"), F.min("bottom").cast("long").alias("bottom"))
     weight = F.floor(1000 * F.log(F.lit(2.0 * ix.n_docs + 2) / (2 * F.col("df") + 1)))
-    weighed = shared_table(asked.join(lists, "term").select("item", "term", weight.cast("long").alias("w"), "top").where("w * top > 0"), "weighed")
+    weighed = shared_table(asked.join(lists, "term").select("item", "term", weight.cast("long").alias("w"), "top", "bottom").where("w * top > 0"), "weighed")
     wanted = weighed.select("term").distinct()
 
     # 1: heads of the lists
@@ -235,15 +265,17 @@ def search(ix: Index, queries: DataFrame, k: int = 50, item_col: str = "item_id"
     # 2: one threshold for all lists of a query
     n_lists = Window.partitionBy("item")
     least = weighed.join(first, "item").withColumn("_lists", F.count("*").over(n_lists)).withColumn("share", F.expr("(bound + _lists - 1) div _lists"))
-    room = F.least(F.col("w") * F.col("top"), F.greatest(F.col("share") - 1, F.lit(0)))
-    least = least.withColumn("room", room).withColumn("least", F.expr("(share + w - 1) div w")).withColumn("total", F.sum("room").over(n_lists))
+    least = least.withColumn("least", F.expr("(share + w - 1) div w"))
+    room = F.when(F.col("bottom") >= F.col("least"), 0).otherwise(F.least(F.col("w") * F.col("top"), F.greatest(F.col("share") - 1, F.lit(0))))
+    least = least.withColumn("room", room).withColumn("total", F.sum("room").over(n_lists))
     plan = shared_table(least.select("item", "term", "w", "top", "bound", "room", "least", "total"), "thresholds")
-    asks = plan.where("least <= top").groupBy("term", F.expr(f"pmod(hash(item), {1 + plan.count() // ASKS})").alias("_some")).agg(F.collect_list(F.struct("item", "w", "least", "room")).alias("asks"))
-    asks = shared_table(asks.select("term", "asks"), "asks")
-    fetched = ix.postings.join(asks, "term").select("block", "places", "impacts", "asks").mapInArrow(_fetched, "item bigint, block bigint, room bigint, places binary, scores binary")
-    packed = fetched.groupBy("item", "block").agg(F.collect_list(F.struct("room", "places", "scores")).alias("lists"))
-    packed = packed.join(plan.select("item", "bound", "total").distinct(), "item")
-    some = shared_table(packed.mapInArrow(_bounded, "item bigint, block bigint, place bigint, low bigint, high bigint"), "partial")
+    groups = 1 + plan.select("item").distinct().count() // ASKS
+    plan = plan.withColumn("some", F.expr(f"pmod(hash(item), {groups})"))
+    asks = shared_table(plan.where("least <= top").groupBy("some", "term").agg(F.collect_list(F.struct("item", "w", "least", "room")).alias("asks")), "asks")
+    members = shared_table(plan.select("some", "item", "bound", "total").distinct().groupBy("some").agg(F.collect_list(F.struct("item", "bound", "total")).alias("queries")), "members")
+    fetched = ix.postings.join(asks, "term").select("some", "block", "places", "impacts", "asks").mapInArrow(_fetched, "some int, block bigint, asks array<struct<item bigint, w bigint, least bigint, room bigint>>, places binary, impacts binary")
+    packed = fetched.groupBy("some", "block").agg(F.collect_list(F.struct("asks", "places", "impacts")).alias("lists")).join(members, "some")
+    some = shared_table(packed.select("block", "queries", "lists").mapInArrow(_bounded(k), "item bigint, block bigint, place bigint, low bigint, high bigint"), "partial")
 
     # 3: candidates and what is missing of them
     candidates = shared_table(some.join(_bound(some, k), "item").where("high >= bound").select("item", "block", "place", "low", "high"), "candidates")

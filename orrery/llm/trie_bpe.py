@@ -184,7 +184,7 @@ class Encoder:
     def judged(self, key: int, before: int, token: int) -> bool:
         """Whether `token` may follow `before`: both are what their joined bytes are encoded to."""
         v = self.vocabulary
-        if len(self.follows) > 2_000_000:
+        if len(self.follows) > 1_000_000:
             self.follows.clear()
         out = self.follows[key] = self.first(token) and v.apart(before, token)
         return out
