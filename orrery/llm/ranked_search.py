@@ -27,7 +27,7 @@ from . import textkernel as tk
 from .shared import dropped, partitions, shared_table, tune
 
 #: Bytes of text in a block of documents, and documents: places are 16-bit numbers.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 BLOCK_DOCS = 1 << 16
 #: A term's blocks are dealt to so many partitions.
 SPLIT = 64
@@ -282,7 +282,9 @@ def search(ix: Index, queries: DataFrame, k: int = 50, item_col: str = "item_id"
     open_ = candidates.where("high > low").groupBy("item", "block").agg(F.collect_list("place").alias("wanted"))
     looked = open_.join(plan.where("room > 0").select("item", "term", "w", "least"), "item").groupBy("term", "block").agg(F.collect_list(F.struct("item", "w", "least", "wanted")).alias("asks"))
     looked = shared_table(looked, "lookups")
-    more = ix.postings.join(looked, ["term", "block"]).select("block", "places", "impacts", "asks").mapInArrow(_looked_up, "item bigint, block bigint, place bigint, more bigint")
+    deepest = shared_table(plan.where("room > 0").groupBy("term").agg(F.max("least").alias("_least")), "open-terms")
+    tails = ix.postings.join(deepest, "term").where("bottom < _least")
+    more = tails.join(looked, ["term", "block"]).select("block", "places", "impacts", "asks").mapInArrow(_looked_up, "item bigint, block bigint, place bigint, more bigint")
     scored = candidates.select("item", "block", "place", F.col("low").alias("score")).unionByName(more.withColumnRenamed("more", "score"))
     scored = shared_table(scored.groupBy("item", "block", "place").agg(F.sum("score").alias("score")), "scored")
     named = ix.directory.join(scored, "block").select("item", "block", "place", "score", F.expr("ids[int(place)]").alias("doc_id"))
