@@ -184,7 +184,7 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bounded(k: int):
-    """(item, block, place, low, high) of the documents of a block that may reach the query's bound, or what k others of the block have."""
+    """A row for each query and block: the k highest lower bounds, and place, lower and upper bound of the documents that may reach the query's bound and the k-th of the block."""
 
     def of_block(block: int, queries: list[dict], lists: list[dict]) -> Iterator[tuple[np.ndarray, ...]]:
         asked = defaultdict(list)
@@ -204,7 +204,8 @@ def _bounded(k: int):
             if len(low) > k:
                 bound = max(bound, int(np.partition(low, len(low) - k)[len(low) - k]))
             at = np.flatnonzero((low > 0) & (high >= bound))
-            yield np.full(len(at), q["item"]), np.full(len(at), block), at, low[at], high[at]
+            best = low[at] if len(at) <= k else np.partition(low[at], len(at) - k)[len(at) - k :]
+            yield q["item"], block, best.tolist(), at.astype(np.uint16).tobytes(), low[at].tobytes(), high[at].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,11 +213,23 @@ def _bounded(k: int):
                 block, queries, lists = (batch.column(c)[i].as_py() for c in ("block", "queries", "lists"))
                 out = list(zip(*of_block(block, queries, lists), strict=True))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["item", "block", "place", "low", "high"])
+                    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(out, kinds, strict=True)], names=["item", "block", "leaders", "places", "lows", "highs"])
 
     return run
 
 
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, block, place, low, high) of the documents whose upper bound reaches the query's new lower bound."""
+    for batch in batches:
+        out = []
+        for item, block, bound, *packed in zip(*(batch.column(c).to_pylist() for c in ("item", "block", "bound", "places", "lows", "highs")), strict=True):
+            place, low, high = (np.frombuffer(x, t) for x, t in zip(packed, (np.uint16, np.int64, np.int64), strict=True))
+            at = high >= bound
+            out.append((np.full(int(at.sum()), item), np.full(int(at.sum()), block), place[at], low[at], high[at]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64) if out else np.zeros(0, np.int64)) for c in (zip(*out, strict=True) if out else [[]] * 5)], names=["item", "block", "place", "low", "high"])
+
+
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(item, block, place, more): entries of candidates below their query's least impact."""
     at = np.full(BLOCK_DOCS, -1, np.int64)
@@ -275,10 +288,12 @@ def search(ix: Index, queries: DataFrame, k: int = 50, item_col: str = "item_id"
     members = shared_table(plan.select("some", "item", "bound", "total").distinct().groupBy("some").agg(F.collect_list(F.struct("item", "bound", "total")).alias("queries")), "members")
     fetched = ix.postings.join(asks, "term").select("some", "block", "places", "impacts", "asks").mapInArrow(_fetched, "some int, block bigint, asks array<struct<item bigint, w bigint, least bigint, room bigint>>, places binary, impacts binary")
     packed = fetched.groupBy("some", "block").agg(F.collect_list(F.struct("asks", "places", "impacts")).alias("lists")).join(members, "some")
-    some = shared_table(packed.select("block", "queries", "lists").mapInArrow(_bounded(k), "item bigint, block bigint, place bigint, low bigint, high bigint"), "partial")
+    some = shared_table(packed.select("block", "queries", "lists").mapInArrow(_bounded(k), "item bigint, block bigint, leaders array<bigint>, places binary, lows binary, highs binary"), "partial")
 
     # 3: candidates and what is missing of them
-    candidates = shared_table(some.join(_bound(some, k), "item").where("high >= bound").select("item", "block", "place", "low", "high"), "candidates")
+    second = _bound(some.select("item", F.explode("leaders").alias("low")), k)
+    candidates = some.join(second, "item").select("item", "block", "bound", "places", "lows", "highs").mapInArrow(_candidates, "item bigint, block bigint, place bigint, low bigint, high bigint")
+    candidates = shared_table(candidates, "candidates")
     open_ = candidates.where("high > low").groupBy("item", "block").agg(F.collect_list("place").alias("wanted"))
     looked = open_.join(plan.where("room > 0").select("item", "term", "w", "least"), "item").groupBy("term", "block").agg(F.collect_list(F.struct("item", "w", "least", "wanted")).alias("asks"))
     looked = shared_table(looked, "lookups")
