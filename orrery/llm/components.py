@@ -7,7 +7,7 @@ logarithm of its size. The edges stay in the cluster; each turn is a written tab
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .shared import dropped, shared_table
@@ -24,9 +24,11 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        last, e = e, shared_table(small.select("x.u", "x.v").where("u <> v").distinct(), "edges")
+        seen = Observation()  # counted while the table is written: no second job a turn
+        turned = small.select("x.u", "x.v").where("u <> v").distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        last, e = e, shared_table(turned, "edges")
         dropped(last)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        now = (seen.get["n"], seen.get["h"])
         if now == state:
             break
         state = now

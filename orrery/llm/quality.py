@@ -181,7 +181,7 @@ class Quality:
 TARGETS = ["good", "clean"]
 #: Bins of a score from 0 to 1, for limits.
 BINS = 1 << 16
-#: Rows of a class from which a limit is set at least.
+#: Rows of each class by which the shares are smoothed.
 FEW = 100
 #: Labelled ids that are broadcast at most; beyond, texts are shuffled to them.
 NARROW = 1 << 20
@@ -421,8 +421,7 @@ def _pseudo_labelled(free: DataFrame, model: Model, frame: Frame, most: int, con
 def _set_limits(models: dict[str, Model], rows: DataFrame, taken: set[int], frame: Frame) -> None:
     """Limits from all labelled rows that are not `taken` for a fit.
 
-    Each class weighs the same, as in the fit, so neither is traded for the other. With under FEW rows
-    of a class the limit is 0.5, which is that point of a calibrated score.
+    Each class weighs the same, as in the fit, so neither is traded for the other.
     """
     spark = rows.sparkSession
     used = F.broadcast(spark.createDataFrame([(i,) for i in sorted(taken)], "_id bigint"))
@@ -448,12 +447,15 @@ def _set_limits(models: dict[str, Model], rows: DataFrame, taken: set[int], fram
 
 
 def _limit(n: np.ndarray) -> float:
-    """Limit from the numbers of wrong (row 0) and right rows in each bin of the score."""
-    total = n.sum(axis=1)
-    if total.min() < FEW:
-        return 0.5
-    below = np.c_[np.zeros((2, 1), np.int64), np.cumsum(n, axis=1)] / total[:, None]
-    errors = below[1] + 1 - below[0]
+    """Limit from the numbers of wrong (row 0) and right rows in each bin of the score.
+
+    The shares are smoothed by FEW rows of each class, wrong ones spread evenly below 0.5 and right ones above: few rows
+    leave the limit near 0.5, that point of a calibrated score, and many decide it. One rule at every size.
+    """
+    t = np.arange(BINS + 1) / BINS
+    below = np.c_[np.zeros((2, 1), np.int64), np.cumsum(n, axis=1)]
+    wrong = (n[0].sum() - below[0] + FEW * np.clip(1 - 2 * t, 0, 1)) / (n[0].sum() + FEW)
+    errors = wrong + (below[1] + FEW * np.clip(2 * t - 1, 0, 1)) / (n[1].sum() + FEW)
     best = np.flatnonzero(errors <= errors.min() + 1e-12)
     return float(best[np.argmin(np.abs(best - BINS / 2))]) / BINS  # of equal ones the nearest to 0.5
 

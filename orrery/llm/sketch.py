@@ -133,6 +133,10 @@ class Repeated:
     def __getstate__(self):
         return {"bits": self.bits, "table": self.table}
 
+    def drop(self) -> None:
+        """Free the bits in driver and executors, when all that reads them is written."""
+        self.table.destroy()
+
     def maybe(self, h: np.ndarray) -> np.ndarray:
         """Hashes whose estimated number reaches the limit: all that do, and some others."""
         table = np.frombuffer(self.table.value, np.uint8)

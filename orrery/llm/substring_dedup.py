@@ -4,7 +4,7 @@
    that an estimate is never below the true count.
 2. A second pass keeps the windows estimated repeated: none that repeats is lost.
    Of equal ones in a task only the first goes on; the others are known repeats.
-3. Owners of hash ranges group the windows by 128 bits of hash of their words and keep
+3. Owners of hash ranges group the windows by 128 bits, half of them from cryptographic digests of their words, and keep
    the first by (document, place); each other one is removed.
 4. Removed windows go back to their documents, where their words are cut.
 
@@ -98,7 +98,8 @@ def repeated_spans(docs: DataFrame, k: int, flush: int = FLUSH, max_bits: int =
                 some = repeated.maybe(keys) & valid[words.doc[at]]
                 p, keys = at[some], keys[some]
                 d = words.doc[p]
-                held.append((keys, tk.windows(words.hashes(seed=1), k, seed=1)[p], (d + docs_n).astype(np.int32), (p - words.first[d]).astype(np.uint32)))
+                check = tk.windows(words.digests(), k, seed=1)[p] if len(p) else keys
+                held.append((keys, check, (d + docs_n).astype(np.int32), (p - words.first[d]).astype(np.uint32)))
                 n += len(p)
             docs_n += part.num_rows
             if n >= flush:

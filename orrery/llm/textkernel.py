@@ -8,6 +8,8 @@ the bytes, so they agree between executors and between runs.
 from __future__ import annotations
 
 import ctypes
+import hashlib
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,6 +115,10 @@ def ids(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return arr.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ~arr.is_null().to_numpy(zero_copy_only=False)
 
 
+#: Digests of recent words of a worker process.
+_digests: dict[bytes, int] = {}
+
+
 class Words:
     """Word spans of a chunk. `first[d]:first[d+1]` are the words of document d."""
 
@@ -141,13 +147,29 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word's bytes; hashes of two seeds are independent."""
+        """A 64-bit hash of each word's bytes: each byte is mixed with its place in the word before the sum."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
-        s = prefix_sums(self.data, seed)
-        inv = powers(_BASE_INV, len(self.data) + 1)
-        h = (s[self.end] - s[self.start]) * inv[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64) * _A)
+        n = len(self.data)
+        at = np.zeros(n, np.int64)
+        at[self.start] = self.start
+        place = (np.arange(n) - np.maximum.accumulate(at)).astype(np.uint64)
+        s = np.empty(n + 1, np.uint64)
+        s[0] = 0
+        np.cumsum(mix((place << np.uint64(8) | self.data) + np.uint64((1 + seed) * int(_A) % 2**64)), out=s[1:])
+        return mix(s[self.end] - s[self.start] + (self.end - self.start).astype(np.uint64) * _B)
+
+    def digests(self) -> np.ndarray:
+        """64 bits of a cryptographic hash of each word: words of equal digests can't be made on purpose with less than 2**32 trials."""
+        raw = self.data.tobytes()
+        words = [raw[a:z] for a, z in zip(self.start.tolist(), self.end.tolist(), strict=True)]
+        if len(_digests) > 200_000:
+            _digests.clear()
+        new = set(words).difference(_digests)
+        fresh = {w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in new}
+        _digests.update((w, h) for w, h in fresh.items() if len(w) <= 64)
+        both = ChainMap(fresh, _digests) if any(len(w) > 64 for w in new) else _digests
+        return np.fromiter(map(both.__getitem__, words), np.uint64, len(words))
 
     def runs(self, k: int) -> np.ndarray:
         """Word indexes at which k consecutive words of one document start."""

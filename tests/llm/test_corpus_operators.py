@@ -569,3 +569,16 @@ def test_surroundings_are_told_apart_by_bytes(monkeypatch):
     same = np.zeros(60, np.uint8)
     order, lead = suffix_dedup._merge_equal(same.astype(np.uint64), rows, same, same, rng.integers(0, 9, 60))
     assert (rows[order] == rows[lead]).all()
+
+
+def test_words_made_to_collide(spark):
+    """A Thue-Morse word and its complement have equal sums under any polynomial hash modulo 2**64."""
+    from orrery.llm import ngram_join, substring_dedup
+
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    head = " ".join(f"w{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{head} {one}"), (2, f"{head} {two}")], "doc_id bigint, text string")
+    assert [r["n_removed"] for r in substring_dedup.substring_dedup(df, window=20).orderBy("doc_id").collect()] == [0, 0]
+    df = spark.createDataFrame([(1, f"x y z {one}"), (2, f"x y z {two}")], "doc_id bigint, text string")
+    assert [r["component_id"] for r in ngram_join.jaccard_components(df, n=4, percent=85).orderBy("doc_id").collect()] == [1, 2]

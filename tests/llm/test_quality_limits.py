@@ -51,7 +51,10 @@ def test_limit_weighs_both_classes_alike():
     n = np.zeros((2, quality.BINS), np.int64)
     n[0, 1000], n[0, 20000], n[1, 10000], n[1, 60000] = 90, 10, 100, 9900  # 1 % of right rows under 10 % of wrong ones
     assert 20000 / quality.BINS < quality._limit(n) <= 60000 / quality.BINS
-    assert quality._limit(n // 100) == 0.5
+    assert quality._limit(np.zeros_like(n)) == 0.5  # nothing is known
+    n[:] = 0
+    n[0, 40000], n[1, 50000] = 3, 3
+    assert 0.5 <= quality._limit(n) <= 50000 / quality.BINS  # few rows move it little
 
 
 def test_rejected_shares_of_the_labels(spark):
