@@ -71,14 +71,15 @@ def deviation(current: Column, baseline: Column) -> Column:
     return F.when(baseline > 0, d / baseline).otherwise(d)
 
 
-def detect_tensions(moved: DataFrame, history: DataFrame, contracts: DataFrame, points: DataFrame, now: Column, metric: str = "mixed") -> DataFrame:
+def detect_tensions(moved: DataFrame, history: DataFrame | None, contracts: DataFrame, points: DataFrame, now: Column, metric: str = "mixed", limits: DataFrame | None = None) -> DataFrame:
     """Tensions of the contracts whose callee is in `moved` (deltas). `points` are after the change; `history`
-    holds all deltas, those of `moved` too. Each point's threshold is computed once."""
+    holds all deltas, those of `moved` too. Each point's threshold is computed once, or given in `limits` (code_point_id, threshold)."""
     p = points.select("id", "file_path", position().alias("pos"))
     caller = p.select(F.col("id").alias("caller_id"), F.col("file_path").alias("caller_path"), F.col("pos").alias("_a"))
     callee = p.select(F.col("id").alias("callee_id"), F.col("file_path").alias("callee_path"), F.col("pos").alias("_b"))
     d = moved.select(F.col("id").alias("delta_id"), F.col("code_point_id").alias("callee_id"), "dominant_change")
-    limits = adaptive_thresholds(history).select(F.col("code_point_id").alias("callee_id"), "threshold")
+    limits = adaptive_thresholds(history) if limits is None else limits
+    limits = limits.select(F.col("code_point_id").alias("callee_id"), "threshold")
     rows = contracts.select(F.col("id").alias("contract_id"), "caller_id", "callee_id", "baseline_distance")
     rows = rows.join(d, "callee_id").join(caller, "caller_id").join(callee, "callee_id").join(limits, "callee_id", "left")
     current = v.distance(*v.aligned(F.col("_a"), F.col("_b")), "cosine" if metric == "mixed" else "euclidean")

@@ -11,7 +11,8 @@ from orrery.functions import lexical, semantic, structural, temporal
 from orrery.functions import vectors as v
 from orrery.operators import advisor, changes, clones, clustering, contracts, debt, drift, graph, index, search, smells, surface, views, waves
 from orrery.plans import fixtures as fx
-from orrery.plans.store import kept
+from orrery.plans.store import folder, kept
+from orrery.streaming.reindex import Store, threshold
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, Query] = {}
@@ -160,6 +161,62 @@ def reindex(spark, sf_dir):
     return rounded(d.select("code_point_id", "movement_magnitude", "lexical_change", "structural_change", "semantic_change", "dominant_change"))
 
 
+def _batches(spark, sf_dir, versions: int) -> Store:
+    """A store after so many batches of file versions."""
+    store = Store(spark, folder(spark, "store"), buckets=16)
+    files = fx.files(spark, sf_dir)
+    found = kept(contracts.detect(files, kept(index.code_points(files, fx.now()), "points"), fx.now()), "contracts")
+    for v in range(versions + 1):
+        store.apply(fx.versions(spark, sf_dir, v).drop("k"), v, found)
+    return store
+
+
+@query
+def reindex_deltas(spark, sf_dir):
+    """Movements of all files over batches of versions."""
+    store = _batches(spark, sf_dir, fx.VERSIONS)
+    d = store.read("deltas").join(store.read("points").select(F.col("id").alias("code_point_id"), "file_path"), "code_point_id")
+    hours = (F.unix_timestamp("created_at") - F.unix_timestamp(fx.now())) / 3600
+    return rounded(d.select("id", "file_path", hours.cast("long").alias("version"), "movement_magnitude", "lexical_change", "structural_change", "semantic_change", "dominant_change"))
+
+
+@query
+def reindex_points(spark, sf_dir):
+    """Points after batches of versions, of which the files that end with a 9 are gone, with their thresholds."""
+    store = _batches(spark, sf_dir, fx.VERSIONS)
+    store.prune(fx.files(spark, sf_dir).where("k % 10 <> 9"), fx.VERSIONS + 1)
+    hours = lambda c: ((F.unix_timestamp(c) - F.unix_timestamp(fx.now())) / 3600).cast("long")
+    p = store.read("points").select("id", "file_path", "content_hash", "line_count", hours("created_at").alias("created"), hours("updated_at").alias("updated"), F.size("recent").alias("samples"), threshold(F.col("recent")).alias("threshold"))
+    return rounded(p)
+
+
+@query
+def reindex_tensions(spark, sf_dir):
+    """Tensions found over batches of versions, with severity and advice."""
+    t = _batches(spark, sf_dir, fx.VERSIONS).read("tensions")
+    return rounded(t.select("contract_id", "delta_id", "caller_path", "callee_path", "baseline_distance", "current_distance", "tension_magnitude", "tension_percent", "severity", "status", "suggested_action"))
+
+
+@query
+def upsert_contracts(spark, sf_dir):
+    """Contracts after those of a third of the callers, and some new ones, were detected again."""
+    c = fx.contracts(spark, sf_dir)
+    again = c.where("caller_id % 3 = 0").withColumn("baseline_distance", F.col("baseline_distance") + 1)
+    fresh = again.where("callee_id % 2 = 0").withColumns({"caller_id": F.col("caller_id") + 1_000_000, "id": F.concat("id", F.lit("+"))})
+    later = again.unionByName(fresh).withColumn("created_at", fx.now())
+    after = index.upsert(c, later, ("caller_id", "callee_id"))
+    return rounded(after.select("id", "caller_id", "callee_id", "baseline_distance", (F.col("created_at") == fx.now()).alias("is_new")))
+
+
+@query
+def prune_points(spark, sf_dir):
+    """Points whose file is listed, and contracts of which both ends remain: how many of each domain."""
+    p, c = fx.points(spark, sf_dir), fx.contracts(spark, sf_dir)
+    kept_points, kept_contracts = index.prune(p, c, p.where("id % 10 <> 9").select("file_path"))
+    by = kept_contracts.groupBy(F.col("callee_id").alias("id")).agg(F.count("*").alias("n"))
+    return kept_points.join(by, "id", "left").groupBy("dominant_domain").agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("contracts"))
+
+
 @query
 def file_imports(spark, sf_dir):
     x = fx.files(spark, sf_dir).select("file_path", F.explode(contracts.imports(F.col("content"), F.col("file_path"))).alias("target"))

@@ -120,7 +120,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deltas on contracts of their callee that reach half a percent of the baseline."""
+    """Deltas on contracts of their callee that reach 15 percent of the baseline."""
     d = deltas(spark, sf_dir).select(F.col("id").alias("delta_id"), F.col("code_point_id").alias("callee_id"), F.col("movement_magnitude").alias("tension_magnitude"), "created_at")
     c = contracts(spark, sf_dir).select(F.col("id").alias("contract_id"), "callee_id", "baseline_distance")
     rows = d.join(c, "callee_id").where(F.col("tension_magnitude") / F.col("baseline_distance") >= 0.15)
@@ -136,3 +136,17 @@ def tensions(spark: SparkSession, sf_dir: str) -> DataFrame:
         at.alias("created_at"),
         F.when(status == "resolved", at).alias("resolved_at"),
     )
+
+
+#: What version v of a file has v times at its end, by the file's number modulo 3; the last hardly moves it.
+ADDED = ["\n// login token\nreturn query(table)\n", "\nclass Render: pass\nselect = insert + render\n", " "]
+#: Versions after the first.
+VERSIONS = 4
+
+
+def versions(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
+    """(k, file_path, content, updated_at): of version v the files whose number isn't a multiple of v + 1; of the first one all."""
+    f = files(spark, sf_dir)
+    if version:
+        f = f.where(F.col("k") % (version + 1) != 0).withColumn("content", F.concat("content", F.repeat(_pick(ADDED, F.col("k") % 3), F.lit(version))))
+    return f.withColumn("updated_at", now() + F.expr(f"INTERVAL {version} HOURS"))

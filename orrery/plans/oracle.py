@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from orrery.functions import lexical, semantic, structural
 from orrery.operators import changes, clones, contracts, surface
+from orrery.plans import fixtures
 
 POINTS = """points AS (
   SELECT id, '/src/' || dominant_domain || '/v' || id || ['.py', '.js', '.ts', '.go'][id % 4 + 1] AS file_path, p, p[1:48] AS lexical, p[49:60] AS structural,
@@ -123,6 +124,34 @@ local AS (SELECT caller, target, arg_min(f.file_path, rank) AS callee FROM base,
 resolved AS (SELECT * FROM dotted UNION ALL SELECT * FROM local)"""
 
 
+def _versions() -> str:
+    """Points and deltas after each batch of file versions: p0, d1, p1, ... and contracts of the first ones."""
+    added = ", ".join("'" + a.replace("\n", "' || chr(10) || '") + "'" for a in fixtures.ADDED)
+    vectors = f"""{_lexical()}, {_structural()}, {_semantic()} SELECT l.file_path, files.k, content, l.v AS l, s.v AS s, m.v AS m, l.v || s.v || m.v AS p
+    FROM lex l JOIN struct s ON s.file_path = l.file_path JOIN sem m ON m.file_path = l.file_path JOIN files ON files.file_path = l.file_path"""
+    out = [f"src AS MATERIALIZED (SELECT * FROM files), {_imports()}"]
+    for v in range(fixtures.VERSIONS + 1):
+        content = f"content || repeat([{added}][k % 3 + 1], {v})" if v else "content"
+        out.append(f"x{v} AS MATERIALIZED (SELECT * FROM (WITH files AS (SELECT k, file_path, {content} AS content FROM src{f' WHERE k % {v + 1} <> 0' if v else ''}), {vectors}))")
+        if not v:
+            out.append("p0 AS MATERIALIZED (SELECT *, 0 AS updated FROM x0)")
+            continue
+        out.append(f"""d{v} AS MATERIALIZED (SELECT x.file_path, {v} AS batch, list_distance(o.p, x.p) AS m, list_distance(o.l, x.l) AS lc, list_distance(o.s, x.s) AS sc, list_distance(o.m, x.m) AS mc
+  FROM x{v} x JOIN p{v - 1} o ON o.file_path = x.file_path WHERE list_distance(o.p, x.p) >= 0.01::DOUBLE),
+p{v} AS MATERIALIZED (SELECT o.* FROM p{v - 1} o ANTI JOIN d{v} d ON d.file_path = o.file_path UNION ALL SELECT x.*, {v} FROM x{v} x SEMI JOIN d{v} d ON d.file_path = x.file_path)""")
+    batches = range(1, fixtures.VERSIONS + 1)
+    out.append("deltas AS (" + " UNION ALL ".join(f"SELECT * FROM d{v}" for v in batches) + ")")
+    out.append("""moves AS (SELECT *, substr(md5(file_path), 1, 12) AS point, ['lexical', 'structural', 'semantic'][list_position([lc, sc, mc], list_max([lc, sc, mc]))] AS dominant_change,
+  substr(md5(substr(md5(file_path), 1, 12) || ':' || strftime(TIMESTAMP '2024-02-01' + to_hours(batch), '%Y-%m-%dT%H:%M:%S.%f')), 1, 12) AS id FROM deltas)""")
+    limit = "CASE WHEN count(*) < 3 THEN 0.15::DOUBLE ELSE greatest(0.05::DOUBLE, least(0.5::DOUBLE, avg(d.m) + 2 * stddev_samp(d.m))) END"
+    out.append(f"limits AS (SELECT m.file_path, m.batch, {limit} AS threshold FROM deltas m JOIN deltas d ON d.file_path = m.file_path AND d.batch <= m.batch GROUP BY m.file_path, m.batch)")
+    out.append("""links AS (SELECT substr(md5(substr(md5(caller), 1, 12) || ':' || substr(md5(callee), 1, 12)), 1, 12) AS id, caller, callee, list_distance(a.p, b.p) AS base
+  FROM (SELECT DISTINCT caller, callee FROM resolved WHERE caller <> callee) r JOIN p0 a ON a.file_path = r.caller JOIN p0 b ON b.file_path = r.callee)""")
+    ends = " UNION ALL ".join(f"SELECT {v} AS batch, l.*, 1 - list_cosine_similarity(a.p, b.p) AS cur FROM links l JOIN d{v} d ON d.file_path = l.callee JOIN p{v} a ON a.file_path = l.caller JOIN p{v} b ON b.file_path = l.callee" for v in batches)
+    out.append(f"now AS (SELECT *, abs(cur - base) AS size, CASE WHEN base > 0 THEN abs(cur - base) / base ELSE abs(cur - base) END AS pc FROM ({ends}))")
+    return ", ".join(out)
+
+
 def _clones() -> str:
     return f"""tk AS (SELECT file_path, regexp_extract_all(lower({_replaced("content", clones.NORMAL)}), '{_q(clones.TOKEN)}') AS t FROM files),
 gh AS (SELECT file_path, [('0x' || substr(md5(array_to_string(t[i:i + 4], ' ')), 1, 8))::BIGINT FOR i IN range(1, len(t) - 3)] AS h FROM tk),
@@ -294,6 +323,17 @@ SELECT file_a, file_b, round(1 - s, 6) AS total_distance, round(s, 6) AS similar
         "build_vocabulary": "WITH t AS (SELECT unnest(list_filter(string_split_regex(lower(replace(regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g'), '_', ' ')), '[^\\pL\\pN]+'), lambda x: regexp_full_match(x, '[a-z]{2,}'))) AS term FROM documents) SELECT term, count(*) AS n FROM t GROUP BY term ORDER BY n DESC, term LIMIT 65",
         "top_terms": f"{f}, {_lexical()}, x AS (SELECT file_path, unnest([{', '.join(repr(n) for n in lexical.VOCABULARY[:50])}]) AS term, unnest(v[1:50]) AS s FROM lex), u AS (SELECT file_path, term, max(s) AS s FROM x GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY s DESC, term) AS r FROM u) SELECT file_path, r::INTEGER AS place, term, round(s, 6) AS score FROM k WHERE r <= 5",
         "index_files": f"{f}, {_semantic()} SELECT substr(md5(f.file_path), 1, 12) AS id, f.file_path, substr(sha256(content), 1, 16) AS content_hash, len(string_split(content, chr(10)))::INTEGER AS line_count, dominant_domain FROM files f JOIN sem s ON s.file_path = f.file_path",
+        "reindex_deltas": f"{f}, {_versions()} SELECT id, file_path, batch::BIGINT AS version, round(m, 6) AS movement_magnitude, round(lc, 6) AS lexical_change, round(sc, 6) AS structural_change, round(mc, 6) AS semantic_change, dominant_change FROM moves",
+        "reindex_points": f"""{f}, {_versions()}, last AS (SELECT file_path, count(*) AS n, arg_max(threshold, batch) AS threshold FROM limits GROUP BY file_path)
+SELECT substr(md5(p.file_path), 1, 12) AS id, p.file_path, substr(sha256(content), 1, 16) AS content_hash, len(string_split(content, chr(10)))::INTEGER AS line_count, 0::BIGINT AS created, updated::BIGINT AS updated, coalesce(n, 0)::INTEGER AS samples, round(coalesce(threshold, 0.15::DOUBLE), 6) AS threshold FROM p{fixtures.VERSIONS} p LEFT JOIN last ON last.file_path = p.file_path WHERE k % 10 <> 9""",
+        "reindex_tensions": f"""{f}, {_versions()} SELECT n.id AS contract_id, m.id AS delta_id, caller AS caller_path, callee AS callee_path, round(base, 6) AS baseline_distance, round(cur, 6) AS current_distance, round(size, 6) AS tension_magnitude, round(pc, 6) AS tension_percent,
+  CASE WHEN pc > 0.25 THEN 'high' WHEN pc > 0.15::DOUBLE THEN 'medium' ELSE 'low' END AS severity, 'detected' AS status, 'Review ' || regexp_extract(caller, '[^/]+$') || ' after ' || regexp_extract(callee, '[^/]+$') || ': '
+  || CASE dominant_change WHEN 'structural' THEN 'its structure changed; compare signatures and exports' WHEN 'semantic' THEN 'its purpose changed; see whether it still fits its role' ELSE 'its terms changed; compare names' END || ' (+' || format('{{:.0f}}%', pc * 100) || ')' AS suggested_action
+FROM now n JOIN moves m ON m.file_path = n.callee AND m.batch = n.batch JOIN limits t ON t.file_path = n.callee AND t.batch = n.batch WHERE pc >= t.threshold""",
+        "upsert_contracts": f"""{c}, again AS (SELECT id, caller_id, callee_id, baseline_distance + 1 AS b FROM contracts WHERE caller_id % 3 = 0)
+SELECT id, caller_id, callee_id, round(baseline_distance, 6) AS baseline_distance, false AS is_new FROM contracts WHERE caller_id % 3 <> 0 UNION ALL SELECT id, caller_id, callee_id, round(b, 6), false FROM again
+UNION ALL SELECT id || '+', caller_id + 1000000, callee_id, round(b, 6), true FROM again WHERE callee_id % 2 = 0""",
+        "prune_points": f"{c}, k AS (SELECT * FROM points WHERE id % 10 <> 9), inc AS (SELECT callee_id AS id, count(*) AS n FROM contracts WHERE caller_id % 10 <> 9 AND callee_id % 10 <> 9 GROUP BY callee_id) SELECT dominant_domain, count(*) AS files, coalesce(sum(n), 0)::BIGINT AS contracts FROM k LEFT JOIN inc ON inc.id = k.id GROUP BY dominant_domain",
         "file_imports": f"{f}, {_imports()} SELECT file_path, target FROM imports",
         "resolve_imports": f"{f}, {_imports()} SELECT caller, target, callee FROM resolved",
         "detect_contracts": f"""{f}, {_imports()}, {_lexical()}, {_structural()}, {_semantic()}, pos AS (SELECT l.file_path, substr(md5(l.file_path), 1, 12) AS id, l.v || s.v || m.v AS p FROM lex l JOIN struct s ON s.file_path = l.file_path JOIN sem m ON m.file_path = l.file_path)

@@ -7,16 +7,15 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame, name: str = "table") -> DataFrame:
-    """`df` as a written table: the lineage is cut, and a lost executor loses nothing.
+def folder(spark: SparkSession, name: str) -> str:
+    """A path for one table or store in the folder that all executors share; it goes at the application's end.
 
     The folder is spark.checkpoint.dir; one of our own is set only where there is none and one machine does all, as in
-    tests. On a cluster that is an error. The table goes at the application's end.
+    tests. On a cluster that is an error.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if spark.sparkContext.master.partition("[")[0] != "local":
@@ -28,5 +27,11 @@ def kept(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{root.rstrip('/')}/orrery-{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def kept(df: DataFrame, name: str = "table") -> DataFrame:
+    """`df` as a written table in folder(): the lineage is cut, and a lost executor loses nothing."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
