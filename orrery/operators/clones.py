@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import text as tx
 from orrery.functions.vectors import let
+from orrery.plans.store import kept
 
 # Words of a fingerprint, hashes of a window, least similarity.
 GRAM, WINDOW, SIMILAR = 5, 4, 0.3
@@ -52,25 +53,22 @@ def winnowed(hashes: Column) -> Column:
 
 
 def fingerprints(files: DataFrame) -> DataFrame:
-    """(file_path, n, fp): a row for each distinct fingerprint, with their number.
-
-    Equal contents are hashed once.
-    """
-    texts = files.select("file_path", "content", F.xxhash64("content").alias("k"))
-    sets = texts.select("file_path", winnowed(gram_hashes(tokens(F.col("content")))).alias("fps"))
+    """(file_path, n, fp): a row for each distinct fingerprint, with their number."""
+    sets = files.select("file_path", winnowed(gram_hashes(tokens(F.col("content")))).alias("fps"))
     return sets.select("file_path", F.size("fps").alias("n"), F.explode("fps").alias("fp"))
 
 
-def clone_pairs(files: DataFrame, similar: float = SIMILAR, path: str | None = None) -> DataFrame:
-    """(file_a, file_b, similarity, clone_type, shared, total_a, total_b) with file_a < file_b.
+def fingerprint_sets(files: DataFrame) -> DataFrame:
+    """(file_path, n, fps, cls) of the files with a fingerprint: cls names the set. Written once: hashing is most of the work."""
+    sets = files.select("file_path", F.array_sort(winnowed(gram_hashes(tokens(F.col("content"))))).alias("fps")).where(F.size("fps") > 0)
+    return kept(sets.select("file_path", F.size("fps").alias("n"), "fps", F.md5(F.array_join("fps", ",")).alias("cls")), "fingerprints")
 
-    Files of equal fingerprint sets are one class: its members are joined to what the class
-    resembles, so that copies don't meet each other by their fingerprints. Classes meet by prefix
-    fingerprints, rare ones first, and by sizes; a pair that could reach `similar` is never passed over.
+
+def class_links(sets: DataFrame, similar: float) -> DataFrame:
+    """(ca, cb, shared, similarity) of the different sets that are so similar, ca < cb.
+
+    Classes meet by prefix fingerprints, rare ones first, and by sizes; a pair that could reach `similar` is never passed over.
     """
-    fps = fingerprints(files)
-    sets = fps.groupBy("file_path", "n").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-    sets = sets.withColumn("cls", F.md5(F.array_join("fps", ",")))
     classes = sets.groupBy("cls").agg(F.first("n").alias("n"), F.first("fps").alias("fps"))
     often = classes.select(F.explode("fps").alias("fp")).groupBy("fp").agg(F.count("*").alias("often")).where("often > 1")
     tokens_ = classes.select("cls", "n", F.explode("fps").alias("fp")).join(often, "fp", "left")
@@ -81,10 +79,14 @@ def clone_pairs(files: DataFrame, similar: float = SIMILAR, path: str | None = N
     near = (F.least("a.n", "b.n") >= F.lit(similar) * F.greatest("a.n", "b.n")) & (F.col("a.cls") < F.col("b.cls"))
     met = a.join(b, (F.col("a.fp") == F.col("b.fp")) & near).select(F.col("a.cls").alias("ca"), F.col("b.cls").alias("cb")).distinct()
     full = lambda x: classes.select(F.col("cls").alias(f"c{x}"), F.col("fps").alias(f"f{x}"))
-    both = F.size(F.array_intersect("fa", "fb"))
-    links = met.join(full("a"), "ca").join(full("b"), "cb").withColumn("shared", both)
-    links = links.withColumn("similarity", F.col("shared") / (F.size("fa") + F.size("fb") - F.col("shared"))).where(F.col("similarity") >= similar).select("ca", "cb", "shared", "similarity")
-    same = classes.select(F.col("cls").alias("ca"), F.col("cls").alias("cb"), F.col("n").alias("shared"), F.lit(1.0).alias("similarity"))
+    links = met.join(full("a"), "ca").join(full("b"), "cb").withColumn("shared", F.size(F.array_intersect("fa", "fb")))
+    links = links.withColumn("similarity", F.col("shared") / (F.size("fa") + F.size("fb") - F.col("shared")))
+    return links.where(F.col("similarity") >= similar).select("ca", "cb", "shared", "similarity")
+
+
+def member_pairs(sets: DataFrame, links: DataFrame, path: str | None = None) -> DataFrame:
+    """Pairs of files: of linked classes, and of one class. Of one file, where `path` is given."""
+    same = sets.groupBy("cls").agg(F.first("n").alias("shared")).select(F.col("cls").alias("ca"), F.col("cls").alias("cb"), "shared", F.lit(1.0).alias("similarity"))
     every = links.unionByName(links.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"), "shared", "similarity")).unionByName(same)
     left = sets.select(F.col("file_path").alias("p"), F.col("n").alias("np"), F.col("cls").alias("ca"))
     if path is not None:
@@ -104,6 +106,37 @@ def clone_pairs(files: DataFrame, similar: float = SIMILAR, path: str | None = N
     )
 
 
+def clone_pairs(files: DataFrame, similar: float = SIMILAR, path: str | None = None) -> DataFrame:
+    """(file_a, file_b, similarity, clone_type, shared, total_a, total_b) with file_a < file_b.
+
+    Files of equal fingerprint sets are one class: its members are joined to what the class
+    resembles, so that copies don't meet each other by their fingerprints.
+    """
+    sets = fingerprint_sets(files)
+    return member_pairs(sets, class_links(sets, similar), path)
+
+
+#: Similarities at which top_pairs() looks, one after the other, down to the least one asked for.
+TURNS = (1.0, 0.95, 0.9, 0.8, 0.7, 0.5)
+
+
+def top_pairs(files: DataFrame, k: int = 50, similar: float = SIMILAR) -> DataFrame:
+    """The k most similar pairs of clone_pairs(), by similarity, then paths: a top-k set-similarity join.
+
+    Prefixes are as short as the similarity that is looked for is high. It falls turn by turn until k pairs reach it, and those are
+    the k best. Of a class, only its k + 1 first files can be in them, so a large group of copies takes no more than a small one.
+    """
+    sets = fingerprint_sets(files)
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("file_path"))
+    first = kept(sets.withColumn("_place", place).where(F.col("_place") <= k + 1).drop("_place"), "firsts")
+    for at in [*(t for t in TURNS if t > similar), similar]:
+        links = class_links(first, at) if at < 1.0 else first.sparkSession.createDataFrame([], "ca string, cb string, shared int, similarity double")
+        best = kept(top(member_pairs(first, links), k), "best")
+        if best.count() >= k:
+            break
+    return best
+
+
 def clone_counts(pairs: DataFrame) -> DataFrame:
     """(file_path, clones): pairs that a file is in."""
     return pairs.select(F.explode(F.array("file_a", "file_b")).alias("file_path")).groupBy("file_path").agg(F.count("*").alias("clones"))
@@ -111,15 +144,13 @@ def clone_counts(pairs: DataFrame) -> DataFrame:
 
 def file_clone_counts(files: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(file_path, clones) as clone_counts() has it, from sizes of classes: pairs are never listed."""
-    sets = fingerprints(files).groupBy("file_path").agg(F.md5(F.array_join(F.array_sort(F.collect_list("fp")), ",")).alias("cls"))
-    size = sets.groupBy("cls").agg(F.count("*").alias("size"), F.min("file_path").alias("file_path"))
-    lead = files.join(size.select("file_path"), "file_path", "left_semi")
-    pairs = clone_pairs(lead, similar)
-    by_path = size.select("file_path", "size")
-    ends = pairs.select("file_a", "file_b").unionByName(pairs.select(F.col("file_b").alias("file_a"), F.col("file_a").alias("file_b")))
-    other = ends.join(by_path.withColumnRenamed("file_path", "file_b"), "file_b").groupBy("file_a").agg(F.sum("size").alias("others"))
-    per = size.join(other, size["file_path"] == other["file_a"], "left").select("cls", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("clones"))
-    return sets.join(per, "cls").where("clones > 0").select("file_path", "clones")
+    sets = fingerprint_sets(files)
+    size = sets.groupBy("cls").agg(F.count("*").alias("size"))
+    links = class_links(sets, similar).select("ca", "cb")
+    ends = links.unionByName(links.select(F.col("cb").alias("ca"), F.col("ca").alias("cb")))
+    other = ends.join(size.withColumnRenamed("cls", "cb"), "cb").groupBy(F.col("ca").alias("cls")).agg(F.sum("size").alias("others"))
+    per = size.join(other, "cls", "left").select("cls", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("clones"))
+    return sets.select("file_path", "cls").join(per, "cls").where("clones > 0").select("file_path", "clones")
 
 
 def summary(pairs: DataFrame) -> DataFrame:

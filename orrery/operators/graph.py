@@ -6,9 +6,7 @@ the shared folder (spark.checkpoint.dir), never by local checkpoints.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from orrery.plans.store import kept
@@ -92,79 +90,52 @@ def hits(nodes: DataFrame, edges: DataFrame, most: int = 100, tolerance: float =
     return state.select("id", F.col("h").alias("hub_score"), F.col("a").alias("authority_score"))
 
 
-#: Edges that are sent to each worker at most; a worker's adjacency takes about 100 bytes an edge.
-EDGES = 5_000_000
+#: Rows of (source, node) that a batch of sources may have at most.
+ROWS = 50_000_000
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, max_edges: int = EDGES) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, rows: int = ROWS) -> DataFrame:
     """id, betweenness: shares of shortest paths (directed, unweighted) by accumulation from each source.
 
-    Sources are dealt to tasks, each with all edges; their number is checked. Beyond `max_edges`, the
-    breadth-first levels of all sources are joined in the cluster.
+    Sources go in batches, so that no more than about `rows` pairs of a source and a node are written at once. The levels of
+    all sources of a batch are found together, by one join a level, and what their nodes owe goes back the same way.
     """
-    spark = nodes.sparkSession
-    n, m = nodes.count(), edges.count()
+    nodes, edges = kept(nodes.select("id"), "nodes"), kept(edges.select("src", "dst"), "edges")
+    n = nodes.count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    parts = _by_levels(nodes, edges) if m > max_edges else None
-    if parts is None:
-        table = edges.select("src", "dst").toArrow()  # at most max_edges
-        shared = spark.sparkContext.broadcast((table["src"].to_pylist(), table["dst"].to_pylist()))
-
-        def run(batches: Iterator) -> Iterator:
-            import pandas as pd
-
-            after: dict = {}
-            for s, d in zip(*shared.value, strict=True):
-                after.setdefault(s, []).append(d)
-            total: dict = {}
-            for batch in batches:
-                for source in batch["id"]:
-                    order, preds, paths, level = [], {source: []}, {source: 1.0}, {source: 0}
-                    queue = [source]
-                    for u in queue:
-                        order.append(u)
-                        for w in after.get(u, ()):
-                            if w not in level:
-                                level[w], paths[w], preds[w] = level[u] + 1, 0.0, []
-                                queue.append(w)
-                            if level[w] == level[u] + 1:
-                                paths[w] += paths[u]
-                                preds[w].append(u)
-                    owed = dict.fromkeys(order, 0.0)
-                    for w in reversed(order):
-                        for u in preds[w]:
-                            owed[u] += paths[u] / paths[w] * (1.0 + owed[w])
-                        if w != source:
-                            total[w] = total.get(w, 0.0) + owed[w]
-            yield pd.DataFrame({"id": pd.Series(list(total), dtype=kind), "b": pd.Series(list(total.values()), dtype="float64")})
-
-        kind = "object" if dict(nodes.dtypes)["id"] == "string" else "int64"
-        tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
-        parts = nodes.select("id").repartition(tasks, "id").mapInPandas(run, f"id {dict(nodes.dtypes)['id']}, b double")
-    sums = parts.groupBy("id").agg(F.sum("b").alias("b"))
-    return nodes.select("id").join(sums, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
-
-
-def _by_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, b) summed over all sources, by joins: a frontier of (source, node, paths) for each level, then back."""
-    seen = kept(nodes.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")), "level")
-    levels, visited = [seen], seen.select("s", "v")
-    while True:
+    batches, total = max(1, min(n, -(-n * n // rows))), None
+    for b in range(batches):
+        part = _from_sources(nodes.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == b), edges)
+        total = part if total is None else kept(total.unionByName(part).groupBy("id").agg(F.sum("b").alias("b")), "betweenness")
+    return nodes.join(total, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
+
+
+def _counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """A written table and its rows, counted while it is written."""
+    seen = Observation()
+    return kept(df.observe(seen, F.count("*").alias("n")), name), seen.get["n"]
+
+
+def _from_sources(sources: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, b) summed over `sources`: a frontier of (source, node, paths) for each level, then back from the last one."""
+    start, n = _counted(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")), "level")
+    levels, visited = [start], start.select("s", "v")
+    while n:
         nxt = levels[-1].join(edges, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
-        nxt = kept(nxt.join(visited, ["s", "v"], "left_anti"), "level")
-        if nxt.isEmpty():
-            break
+        nxt, n = _counted(nxt.join(visited, ["s", "v"], "left_anti"), "level")
         levels.append(nxt)
         visited = visited.unionByName(nxt.select("s", "v"))
-    owed = levels[-1].withColumn("owed", F.lit(0.0))
-    total = owed.where("s <> v").groupBy(F.col("v").alias("id")).agg(F.sum("owed").alias("b"))
-    for here in reversed(levels[:-1]):
-        w = owed.select("s", F.col("v").alias("w"), F.col("paths").alias("wp"), "owed")
-        back = here.join(edges, F.col("v") == F.col("src")).join(w, (F.col("dst") == F.col("w")) & (here["s"] == w["s"])).select(here["s"], "v", (F.col("paths") / F.col("wp") * (1.0 + F.col("owed"))).alias("o"))
-        back = back.groupBy("s", "v").agg(F.sum("o").alias("o"))
+    owed, total = None, None
+    for here in reversed(levels):
+        if owed is None:  # the last level is empty
+            owed = here.withColumn("owed", F.lit(0.0))
+            total = owed.select(F.col("v").alias("id"), F.col("owed").alias("b"))
+            continue
+        w = owed.select("s", F.col("v").alias("dst"), F.col("paths").alias("wp"), "owed")
+        back = here.join(edges, F.col("v") == F.col("src")).join(w, ["s", "dst"]).groupBy("s", "v").agg(F.sum(F.col("paths") / F.col("wp") * (1.0 + F.col("owed"))).alias("o"))
         owed = kept(here.join(back, ["s", "v"], "left").select("s", "v", "paths", F.coalesce("o", F.lit(0.0)).alias("owed")), "owed")
         total = total.unionByName(owed.where("s <> v").groupBy(F.col("v").alias("id")).agg(F.sum("owed").alias("b")))
-    return total
+    return kept(total.groupBy("id").agg(F.sum("b").alias("b")), "betweenness")
 
 
 def centralities(nodes: DataFrame, edges: DataFrame) -> DataFrame:

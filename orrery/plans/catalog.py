@@ -468,6 +468,11 @@ def detect_clones(spark, sf_dir):
     return rounded(clones.clone_pairs(fx.files(spark, sf_dir)).groupBy("clone_type").agg(F.count("*").alias("clones"), F.round(F.avg("similarity"), 6).alias("similarity"), F.sum("shared_fingerprints").alias("shared")))
 
 
+@query
+def clone_pairs_top(spark, sf_dir):
+    return rounded(clones.top_pairs(fx.files(spark, sf_dir), 50))
+
+
 @query
 def clones_for_file(spark, sf_dir):
     return rounded(clones.clone_pairs(fx.files(spark, sf_dir), path="/src/auth/f0.py"))

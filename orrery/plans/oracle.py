@@ -381,6 +381,7 @@ SELECT *, CASE risk_level WHEN 'high' THEN 'Split the change into smaller ones'
         "clone_fingerprints": f"{f}, {_clones()} SELECT file_path, len(f)::BIGINT AS n, list_sum(f)::BIGINT AS fp_sum FROM fps WHERE len(f) > 0",
         "detect_clones": f"{f}, {_clones()} SELECT CASE WHEN s > 0.95::DOUBLE THEN 'exact' WHEN s > 0.7::DOUBLE THEN 'parameterized' ELSE 'near-miss' END AS clone_type, count(*) AS clones, round(avg(s), 6) AS similarity, sum(shared)::BIGINT AS shared FROM found GROUP BY ALL",
         "clones_for_file": f"{f}, {_clones()} SELECT file_a, file_b, round(s, 6) AS similarity, CASE WHEN s > 0.95::DOUBLE THEN 'exact' WHEN s > 0.7::DOUBLE THEN 'parameterized' ELSE 'near-miss' END AS clone_type, shared::INTEGER AS shared_fingerprints, na::INTEGER AS total_fingerprints_a, nb::INTEGER AS total_fingerprints_b FROM found WHERE file_a = '/src/auth/f0.py' OR file_b = '/src/auth/f0.py'",
+        "clone_pairs_top": f"{f}, {_clones()} SELECT file_a, file_b, round(s, 6) AS similarity, CASE WHEN s > 0.95::DOUBLE THEN 'exact' WHEN s > 0.7::DOUBLE THEN 'parameterized' ELSE 'near-miss' END AS clone_type, shared::INTEGER AS shared_fingerprints, na::INTEGER AS total_fingerprints_a, nb::INTEGER AS total_fingerprints_b FROM found ORDER BY s DESC, file_a, file_b LIMIT 50",
         "clone_counts": f"{f}, {_clones()} SELECT f AS file_path, count(*) AS clones FROM (SELECT file_a AS f FROM found UNION ALL SELECT file_b FROM found) GROUP BY f",
         "semantic_drift": f"{c}, {COMMITS}, {TEMPORAL}, {DRIFTS} SELECT {_DRIFT_COLUMNS} FROM semantic",
         "contract_drift": f"{c}, {COMMITS}, {TEMPORAL}, {DRIFTS} SELECT {_DRIFT_COLUMNS} FROM contract",
