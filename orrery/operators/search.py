@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import text as tx
@@ -126,3 +126,12 @@ def export_3d(points: DataFrame) -> DataFrame:
     for i, name in enumerate("xyz"):
         cols.append((v.dot(shifted, F.array(*[F.lit(float(w)) for w in axes[i]])) if i < len(axes) else F.lit(0.0)).alias(name))
     return points.select("id", F.col("file_path").alias("path"), F.col("dominant_domain").alias("domain"), F.col("line_count").alias("lines"), *cols)
+
+
+def write_csv(positions: DataFrame, path: str) -> None:
+    """export_positions() as CSV with a header; a file for each partition. Replaces what is there."""
+    positions.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.option("header", True).option("escape", '"').schema(schema).csv(path)

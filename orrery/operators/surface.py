@@ -88,3 +88,8 @@ def summary(surface: DataFrame) -> DataFrame:
 
 def top(surface: DataFrame, limit: int = 10) -> DataFrame:
     return surface.orderBy(F.desc("surface_area"), "file_path").limit(limit)
+
+
+def of_module(surface: DataFrame, name: str) -> DataFrame:
+    """The module whose path ends with `name`; of several, the one of the least path."""
+    return surface.where(F.col("file_path").endswith(name)).orderBy("file_path").limit(1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import lexical, semantic, structural, temporal
 from orrery.functions import vectors as v
-from orrery.operators import advisor, changes, clones, clustering, contracts, debt, drift, graph, index, search, smells, surface, views, waves
+from orrery.operators import advisor, changes, clones, clustering, cochange, contracts, debt, drift, graph, index, search, smells, surface, views, waves
 from orrery.plans import fixtures as fx
 from orrery.plans.store import folder, kept
 from orrery.streaming.reindex import Store, threshold
@@ -646,6 +646,91 @@ def scatter_links(spark, sf_dir):
     return rounded(views.scatter_links(fx.points(spark, sf_dir), fx.contracts(spark, sf_dir), fx.tensions(spark, sf_dir)))
 
 
+# ---- selections, summaries and single rows
+
+
+@query
+def debt_of_file(spark, sf_dir):
+    """One file's debt with its advice."""
+    d = debt.of_file(_debts(spark, sf_dir), "/src/auth/f10.ts")
+    return rounded(d.withColumn("recommendations", F.array_join("recommendations", "; ")))
+
+
+@query
+def debt_top(spark, sf_dir):
+    return rounded(debt.top(_debts(spark, sf_dir), 10).select("file_path", "score", "grade", F.array_join("recommendations", "; ").alias("recommendations")))
+
+
+@query
+def surface_of_module(spark, sf_dir):
+    s = surface.of_module(_surface(spark, sf_dir), "f7.go")
+    return rounded(s.select("file_path", "file_name", "export_count", "import_count", "surface_area", "is_public", "stability_risk"))
+
+
+@query
+def surface_top(spark, sf_dir):
+    return rounded(surface.top(_surface(spark, sf_dir), 10).select("file_path", "export_count", "import_count", "surface_area", "stability_risk"))
+
+
+@query
+def drift_top(spark, sf_dir):
+    return rounded(drift.top(drift.detect(fx.contracts(spark, sf_dir), fx.points(spark, sf_dir), fx.commits(spark, sf_dir), fx.now()), 30))
+
+
+@query
+def impact_review(spark, sf_dir):
+    """The ten files to review first after a change of each of three files."""
+    w, _ = _wave(spark, sf_dir, [3, 7, 12])
+    return rounded(waves.review_order(w, 10).select("source", "priority", "id", "distance", "wave_intensity"))
+
+
+@query
+def select_smells(spark, sf_dir):
+    m, e = _measured(spark, sf_dir)
+    s = smells.select(smells.detect(m, e, fx.commits(spark, sf_dir), fx.now()), "high", None, 50)
+    return s.select("smell_type", "severity", "file_path", "file_name")
+
+
+@query
+def timeline_summary(spark, sf_dir):
+    t = views.timeline(fx.deltas(spark, sf_dir), fx.tensions(spark, sf_dir), fx.commits(spark, sf_dir), fx.contracts(spark, sf_dir), fx.points(spark, sf_dir))
+    return views.timeline_summary(t).select("event_type", "severity", "events")
+
+
+@query
+def heatmap_summary(spark, sf_dir):
+    return views.heatmap_summary(_heatmap(spark, sf_dir))
+
+
+@query
+def temporal_notes(spark, sf_dir):
+    t = temporal.with_features(fx.points(spark, sf_dir).select("file_path"), fx.commits(spark, sf_dir), fx.now())
+    return t.select("file_path", F.array_join(temporal.interpretation(), "; ").alias("notes"))
+
+
+@query
+def export_csv(spark, sf_dir):
+    """Positions written as CSV and read again."""
+    p, path = search.export_positions(fx.points(spark, sf_dir)), folder(spark, "csv")
+    search.write_csv(p, path)
+    return rounded(search.read_csv(spark, path, ", ".join(f"{c} {t}" for c, t in p.dtypes)))
+
+
+def _change_sets(spark, sf_dir) -> DataFrame:
+    """Commits of an author on a day are one change."""
+    return cochange.pairs(fx.commits(spark, sf_dir).withColumn("day", F.to_date("ts")), ["author", "day"])
+
+
+@query
+def cochange_pairs(spark, sf_dir):
+    return rounded(_change_sets(spark, sf_dir))
+
+
+@query
+def shotgun_surgery(spark, sf_dir):
+    return cochange.shotgun_surgery(_change_sets(spark, sf_dir), confidence=0.4)
+
+
 def queries() -> dict[str, Query]:
     return dict(_ALL)
 

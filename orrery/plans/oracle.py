@@ -293,6 +293,14 @@ debts AS (SELECT *, CASE WHEN score <= 20 THEN 'A' WHEN score <= 40 THEN 'B' WHE
     )
 
 
+ADVICE = """advised AS (SELECT *, array_to_string(list_filter([CASE WHEN complexity > 60 THEN 'Extract functions' END, CASE WHEN lines > 500 THEN 'Split the file: ' || lines || ' lines' END, CASE WHEN coupling > 60 THEN 'Depend on fewer files' END,
+  CASE WHEN nc > 0 THEN 'Share code of ' || nc || ' clones' END, CASE WHEN fresh < 0.2::DOUBLE THEN 'See whether the file is still needed' END, CASE WHEN documentation > 30 THEN 'Write comments' END,
+  CASE WHEN ns > 0 THEN 'Mend ' || ns || ' smells' END, CASE WHEN nt > 0 THEN 'Resolve ' || nt || ' tensions' END], lambda x: x IS NOT NULL)[1:5], '; ') AS advice FROM debts)"""
+COCHANGE = """items AS (SELECT DISTINCT file_path, author || '/' || ts::DATE AS s FROM commits), often AS (SELECT file_path, count(*) AS n FROM items GROUP BY file_path),
+cochanged AS (SELECT a.file_path AS file_a, b.file_path AS file_b, count(*) AS together, oa.n AS changes_a, ob.n AS changes_b FROM items a JOIN items b ON a.s = b.s AND a.file_path < b.file_path
+  JOIN often oa ON oa.file_path = a.file_path JOIN often ob ON ob.file_path = b.file_path GROUP BY ALL HAVING count(*) >= 3)"""
+
+
 def oracle_sql() -> dict[str, str]:
     p, c = f"WITH {POINTS}", f"WITH {CONTRACTS}"
     d, h = f"{p}, {DELTAS}", f"{p}, {COMMITS}, {TEMPORAL}"
@@ -390,6 +398,18 @@ SELECT *, CASE risk_level WHEN 'high' THEN 'Split the change into smaller ones'
         "get_debt": f"{_debt()} SELECT file_path, " + ", ".join(f"round({x}, 6) AS {x}" for x in ("complexity", "size", "coupling", "duplication", "staleness", "documentation", "smells", "tensions", "score")) + ", grade, recommendations FROM debts",
         "debt_summary": f"{_debt()} SELECT count(*) AS total_files, round(avg(score), 6) AS avg_score, round(max(score), 6) AS max_score, round(min(score), 6) AS min_score, " + ", ".join(f"count(*) FILTER (WHERE grade = '{g}') AS grade_{g.lower()}" for g in "ABCDF") + ", CASE WHEN avg(score) <= 20 THEN 'A' WHEN avg(score) <= 40 THEN 'B' WHEN avg(score) <= 60 THEN 'C' WHEN avg(score) <= 80 THEN 'D' ELSE 'F' END AS grade FROM debts",
         "analyze_surface": f"{f}, {_surface()} SELECT file_path, md5(array_to_string(x, ',')) AS exports_md5, e AS export_count, i AS import_count, by_ AS imported_by, round(area, 6) AS surface_area, e > 0 AS is_public, risk AS stability_risk FROM srf",
+        "debt_of_file": f"{_debt()}, {ADVICE} SELECT file_path, " + ", ".join(f"round({x}, 6) AS {x}" for x in ("complexity", "size", "coupling", "duplication", "staleness", "documentation", "smells", "tensions", "score")) + ", grade, advice AS recommendations FROM advised WHERE file_path = '/src/auth/f10.ts'",
+        "debt_top": f"{_debt()}, {ADVICE} SELECT file_path, round(score, 6) AS score, grade, advice AS recommendations FROM advised ORDER BY advised.score DESC, file_path LIMIT 10",
+        "surface_of_module": f"{f}, {_surface()} SELECT file_path, regexp_extract(file_path, '[^/]+$') AS file_name, e AS export_count, i AS import_count, round(area, 6) AS surface_area, e > 0 AS is_public, risk AS stability_risk FROM srf WHERE file_path LIKE '%f7.go' ORDER BY file_path LIMIT 1",
+        "surface_top": f"{f}, {_surface()} SELECT file_path, e AS export_count, i AS import_count, round(area, 6) AS surface_area, risk AS stability_risk FROM srf ORDER BY area DESC, file_path LIMIT 10",
+        "drift_top": f"{c}, {COMMITS}, {TEMPORAL}, {DRIFTS}, every AS (SELECT * FROM semantic UNION ALL SELECT * FROM contract UNION ALL SELECT * FROM temp) SELECT {_DRIFT_COLUMNS} FROM every ORDER BY {RANK}, drift_type, file_a, file_b LIMIT 30",
+        "impact_review": f"{c}, {w3}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY i DESC, distance, id)::INTEGER AS priority FROM wave) SELECT source, priority, id, distance::INTEGER AS distance, round(i, 6) AS wave_intensity FROM r WHERE priority <= 10",
+        "select_smells": f"WITH RECURSIVE {CONTRACTS}, {COMMITS}, {TEMPORAL}, {DEGREES}, {PAGERANK}, {SMELLS} SELECT * FROM smells WHERE severity IN ('critical', 'high') ORDER BY {RANK}, smell_type, file_path, file_name LIMIT 50",
+        "temporal_notes": f"{h} SELECT file_path, coalesce(nullif(concat_ws('; ', CASE WHEN change_frequency > 0.5 THEN 'Hot file: changes often' END, CASE WHEN days_since_change < 0.2::DOUBLE THEN 'Stale file: no recent change' END, CASE WHEN author_diversity > 0.5 THEN 'Shared file: many authors' END, CASE WHEN stability_score > 0.8::DOUBLE THEN 'Stable file: rarely changes' END), ''), 'Usual activity') AS notes FROM temporal",
+        "cochange_pairs": f"{p}, {COMMITS}, {COCHANGE} SELECT file_a, file_b, together, changes_a, changes_b, round(together / least(changes_a, changes_b)::DOUBLE, 6) AS confidence FROM cochanged",
+        "shotgun_surgery": f"""{p}, {COMMITS}, {COCHANGE}, ends AS (SELECT file_a AS file_path, together, together / changes_a::DOUBLE AS share FROM cochanged UNION ALL SELECT file_b, together, together / changes_b::DOUBLE FROM cochanged),
+g AS (SELECT file_path, count(*) AS partners, sum(together)::BIGINT AS together FROM ends WHERE share >= 0.4::DOUBLE GROUP BY file_path HAVING count(*) >= 3)
+SELECT 'shotgun_surgery' AS smell_type, CASE WHEN partners >= 12 THEN 'critical' WHEN partners >= 6 THEN 'high' ELSE 'medium' END AS severity, file_path, partners, together FROM g""",
         "surface_summary": f"{f}, {_surface()} SELECT count(*) AS total_modules, count(*) FILTER (WHERE e > 0) AS public_modules, count(*) FILTER (WHERE e = 0) AS private_modules, sum(e)::BIGINT AS total_exports, round(sum(e) / count(*)::DOUBLE, 1) AS avg_exports, count(*) FILTER (WHERE risk = 'high') AS high_risk_modules FROM srf",
         "generate_matrix": f"""{c}, x AS (SELECT a.id AS i, b.id AS j, a.file_path AS row_path, b.file_path AS col_path, 1 - list_cosine_similarity(a.p, b.p) AS d FROM points a, points b)
 SELECT row_path, col_path, round(CASE WHEN i = j THEN 0 WHEN f.id IS NOT NULL THEN f.baseline_distance WHEN g.id IS NOT NULL THEN 0 ELSE d END, 6) AS value, f.id IS NOT NULL AS is_dependency, f.id IS NOT NULL AND g.id IS NOT NULL AS is_bidirectional
@@ -407,4 +427,7 @@ k AS (SELECT 'commit', ts, substr(hash, 1, 7), file_path, 'low' FROM commits ORD
 u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM k)
 SELECT event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, title, file_path, severity FROM u ORDER BY u.ts DESC, event_type, title LIMIT 100""",
     }
+    out["export_csv"] = out["export_positions"]
+    out["timeline_summary"] = f"SELECT event_type, severity, count(*) AS events FROM ({out['generate_timeline']}) GROUP BY ALL"
+    out["heatmap_summary"] = f"SELECT count(*) AS files, count(*) FILTER (WHERE activity_score > 0.7::DOUBLE) AS hotspots, count(*) FILTER (WHERE debt_score > 0.6::DOUBLE) AS high_debt FROM ({out['generate_heatmap']})"
     return out
