@@ -4,7 +4,7 @@
    that an estimate is never below the true count.
 2. A second pass keeps the windows estimated repeated: none that repeats is lost.
    Of equal ones in a task only the first goes on; the others are known repeats.
-3. Owners of hash ranges group the windows by 128 bits, half of them from cryptographic digests of their words, and keep
+3. Owners of hash ranges group the windows by 112 bits, 64 of them from cryptographic digests of their words, and keep
    the first by (document, place); each other one is removed.
 4. Removed windows go back to their documents, where their words are cut.
 
@@ -79,7 +79,7 @@ def repeated_spans(docs: DataFrame, k: int, flush: int = FLUSH, max_bits: int =
                 used, index = np.unique(doc[own], return_inverse=True)
                 narrow = np.uint16 if len(used) < 65536 else np.uint32
                 place = pos[own].astype(np.uint16 if int(pos[own].max()) < 65536 else np.uint32)
-                hashes_ = (spans.pack_hashes(h[own]), h[own].astype(np.uint16), chk[own])
+                hashes_ = (spans.pack_hashes(h[own]), chk[own])
                 rows.append((r, pickle.dumps(("open", *hashes_, ids[used], ths[used], index.astype(narrow), place), protocol=5)))
         for r, blob in rows:
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([blob], pa.binary())], names=["owner", "windows"])
@@ -115,13 +115,13 @@ def repeated_spans(docs: DataFrame, k: int, flush: int = FLUSH, max_bits: int =
             if kind == "done":
                 yield spans.sent(x[0], x[1], x[2].astype(np.int64), x[3].astype(np.int64), x[4].astype(np.int64), n_ranges)
                 continue
-            h.append(spans.unpack_hashes(x[0]) << np.uint64(16) | x[1])
-            chk.append(x[2])
-            ids.append(x[3])
-            ths.append(x[4])
-            doc.append(x[5].astype(np.int32) + np.int32(base))
-            pos.append(x[6].astype(np.int32))
-            base += len(x[3])
+            h.append(spans.unpack_hashes(x[0]))
+            chk.append(x[1])
+            ids.append(x[2])
+            ths.append(x[3])
+            doc.append(x[4].astype(np.int32) + np.int32(base))
+            pos.append(x[5].astype(np.int32))
+            base += len(x[2])
         if not h:
             return
         h, chk, ids, ths, doc, pos = (np.concatenate(x) for x in (h, chk, ids, ths, doc, pos))
