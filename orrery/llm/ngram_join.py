@@ -47,7 +47,7 @@ def shingles(part: pa.RecordBatch, n: int, lower: bool = True) -> tuple[np.ndarr
     """Distinct shingles of a chunk's texts, sorted by document and hash; their documents; first of each document."""
     data, off = tk.column(part, "text")
     words = tk.Words(data, off, tk.NOT_SPACE, lower)
-    h = words.digests()
+    h = words.hashes()
     counts = words.counts()
     at = words.runs(n)
     keys, docs = (tk.windows(h, n)[at], words.doc[at]) if len(at) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
