@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.functions import text as tx
+
 NAMES = ["file_age", "change_frequency", "author_diversity", "days_since_change", "stability_score"]
 #: Of a file without history.
 NO_HISTORY = [0.0, 0.0, 0.0, 0.0, 1.0]
@@ -50,12 +52,11 @@ def stale_files(temporal: DataFrame, at_most: float = 0.2) -> DataFrame:
 
 
 def interpretation() -> Column:
-    lines = F.array_compact(
-        F.array(
-            F.when(F.col("change_frequency") > 0.5, F.lit("Hot file: changes often")),
-            F.when(F.col("days_since_change") < 0.2, F.lit("Stale file: no recent change")),
-            F.when(F.col("author_diversity") > 0.5, F.lit("Shared file: many authors")),
-            F.when(F.col("stability_score") > 0.8, F.lit("Stable file: rarely changes")),
-        )
-    )
-    return F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit("Usual activity")))
+    """The limits that a file's history passes."""
+    rules = [
+        tx.beyond("change_frequency", F.col("change_frequency"), over=0.5),
+        tx.beyond("days_since_change", F.col("days_since_change"), under=0.2),
+        tx.beyond("author_diversity", F.col("author_diversity"), over=0.5),
+        tx.beyond("stability_score", F.col("stability_score"), over=0.8),
+    ]
+    return tx.notes(rules, "no limit passed")

@@ -64,3 +64,16 @@ def parent_name(path: Column) -> Column:
 def percent(x: Column) -> Column:
     """As a whole percentage."""
     return F.format_string("%.0f%%", x * 100)
+
+
+def beyond(name: str, value: Column, over: float | None = None, under: float | None = None, whole: bool = False) -> Column:
+    """"name over limit" or "name under limit" where `value` passes that limit, with the number itself if it is whole; else null."""
+    said = lambda way, limit: F.concat(F.lit(f"{name} "), value.cast("string"), F.lit(f" {way} {limit:g}")) if whole else F.lit(f"{name} {way} {limit:g}")
+    out = F.when(value < under, said("under", under)) if under is not None else F.when(value > over, said("over", over))
+    return out if under is None or over is None else out.when(value > over, said("over", over))
+
+
+def notes(rules: Iterable[Column], none: str) -> Column:
+    """What applies of `rules`, in order; `none` alone where nothing does."""
+    found = F.array_compact(F.array(*rules))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(none)))

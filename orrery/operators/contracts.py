@@ -52,11 +52,29 @@ def resolved(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(kept, "/"))
 
 
+def by_ending(endings: DataFrame, paths: DataFrame) -> DataFrame:
+    """(suffix, callee): the smallest of `paths` (callee) that ends with each of `endings` (suffix, with a slash after its first part).
+
+    An ending's parts are whole but the first, which may begin within a part of the path. So paths are read as a trie of their
+    parts from the end: a node is (part, rest), and keeps its smallest path. Only nodes whose rest is asked for are kept, and only
+    first parts of the lengths that are asked for with that rest are compared: rows grow with paths times folders, not letters.
+    """
+    slash = F.instr("suffix", "/")
+    asked = endings.distinct().select("suffix", F.expr("left(suffix, instr(suffix, '/') - 1)").alias("first"), F.expr("substring(suffix, instr(suffix, '/'))").alias("rest")).where(slash > 0)
+    lengths = asked.groupBy("rest").agg(F.collect_set(F.length("first")).alias("lengths"))  # as many as a name is long at most
+    parts = F.split("callee", "/")
+    node = F.transform(F.sequence(F.lit(2), F.size("parts")), lambda i: F.struct(F.element_at("parts", i - 1).alias("part"), F.concat(F.lit("/"), F.array_join(F.slice("parts", i, F.size("parts")), "/")).alias("rest")))
+    nodes = paths.select("callee", parts.alias("parts")).where(F.size("parts") > 1).select("callee", F.explode(node).alias("n")).select("callee", "n.part", "n.rest")
+    met = nodes.join(lengths, "rest").groupBy("rest", "part").agg(F.min("callee").alias("callee"), F.any_value("lengths").alias("lengths"))
+    ends = met.select("rest", "part", "callee", F.explode(F.filter("lengths", lambda n: n <= F.length("part"))).alias("n"))
+    least = ends.groupBy("rest", F.right("part", "n").alias("first")).agg(F.min("callee").alias("callee"))
+    return asked.join(least, ["rest", "first"]).select("suffix", "callee")
+
+
 def resolve(found: DataFrame, files: DataFrame) -> DataFrame:
     """(caller, target, callee) for `found` (caller, target) that name one of `files` (file_path).
 
-    Dotted modules of Python files match the smallest path that ends with them; a file's endings are few,
-    so this is an equi-join on exploded suffixes. Relative and absolute paths take the first ending that exists.
+    Dotted modules of Python files match the smallest path that ends with them (by_ending()). Relative and absolute paths take the first ending that exists.
     """
     caller, target = F.col("caller"), F.col("target")
     dotted = (tx.extension(caller) == ".py") & target.contains(".") & ~target.startswith(".")
@@ -64,10 +82,7 @@ def resolve(found: DataFrame, files: DataFrame) -> DataFrame:
 
     module = F.translate(target, ".", "/")
     wanted = found.where(dotted).select("caller", "target", F.explode(F.array(F.concat(module, F.lit(".py")), F.concat(module, F.lit("/__init__.py")))).alias("suffix"))
-    # a module may begin within a path's part, so every suffix counts that ends like a module
-    parts = paths.where(F.col("callee").endswith(".py"))
-    suffixes = parts.select("callee", F.explode(F.transform(F.sequence(F.lit(1), F.length("callee")), lambda i: F.substring(F.col("callee"), i, F.length("callee")))).alias("suffix"))
-    modules = wanted.join(suffixes.join(wanted.select("suffix").distinct(), "suffix", "left_semi"), "suffix").groupBy("caller", "target").agg(F.min("callee").alias("callee"))
+    modules = wanted.join(by_ending(wanted.select("suffix"), paths.where(F.col("callee").endswith(".py"))), "suffix").groupBy("caller", "target").agg(F.min("callee").alias("callee"))
 
     base = F.when(target.startswith("."), F.concat_ws("/", tx.parent_path(caller), target)).otherwise(target)
     tried = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(e).alias("ending")) for i, e in enumerate(ENDINGS)])

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from orrery.functions import text as tx
 from orrery.plans.store import kept
 
 
@@ -173,19 +174,13 @@ def top(measured: DataFrame, n: int = 10) -> DataFrame:
 
 
 def interpretation() -> Column:
-    pr, hub, auth, btw, i, o = (F.col(c) for c in ("pagerank", "hub_score", "authority_score", "betweenness", "in_degree", "out_degree"))
-    lines = F.array_compact(
-        F.array(
-            F.when(pr > 0.1, F.lit("Critical: important files depend on it")).when(pr > 0.05, F.lit("Important: several files depend on it")),
-            F.when(hub > 0.3, F.lit("Hub: gathers many dependencies")),
-            F.when(auth > 0.3, F.lit("Authority: a core that others depend on")),
-            F.when(btw > 0.1, F.lit("Bridge: changes spread through it")),
-            F.when(i > 5, F.format_string("Depended on by %d files", i)),
-            F.when(o > 10, F.format_string("Depends on %d files", o)),
-            F.when((i == 0) & (o == 0), F.lit("Isolated: no dependencies")).when(i == 0, F.lit("Leaf: nothing depends on it")).when(o == 0, F.lit("Root: depends on nothing")),
-        )
-    )
-    return F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit("Usual connections")))
+    """The limits that a node's measures pass, with its numbers."""
+    rules = [
+        F.coalesce(tx.beyond("pagerank", F.col("pagerank"), over=0.1), tx.beyond("pagerank", F.col("pagerank"), over=0.05)),
+        *[tx.beyond(m, F.col(m), over=limit) for m, limit in (("hub_score", 0.3), ("authority_score", 0.3), ("betweenness", 0.1))],
+        *[tx.beyond(m, F.col(m), over=limit, under=1, whole=True) for m, limit in (("in_degree", 5), ("out_degree", 10))],
+    ]
+    return tx.notes(rules, "no limit passed")
 
 
 def simple_scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,14 +86,8 @@ def compare(points: DataFrame, path_a: str, path_b: str) -> DataFrame:
     d = F.array(*[F.col(f"{x}_distance") for x in AXES])
     names = F.array(*[F.lit(x) for x in AXES])
     at = lambda f: F.element_at(names, F.array_position(d, f(d)).cast("int"))
-    lex, struct, sem = (F.col(f"{x}_distance") for x in AXES)
-    insights = F.array_compact(
-        F.array(
-            F.when(lex < 0.5, F.lit("Much the same words")).when(lex > 1.5, F.lit("Quite other words")),
-            F.when(struct < 0.3, F.lit("Much the same structure")).when(struct > 0.8, F.lit("Another structure")),
-            F.when(sem < 0.2, F.lit("The same domain")).when(sem > 0.5, F.lit("Other domains")),
-        )
-    )
+    limits = {"lexical": (0.5, 1.5), "structural": (0.3, 0.8), "semantic": (0.2, 0.5)}
+    insights = F.array_compact(F.array(*[tx.beyond(f"{x} distance", F.col(f"{x}_distance"), under=low, over=high) for x, (low, high) in limits.items()]))
     return row.select("*", at(F.array_max).alias("most_different_axis"), at(F.array_min).alias("most_similar_axis"), insights.alias("insights"))
 
 
@@ -100,32 +98,55 @@ def export_positions(points: DataFrame, features: bool = False) -> DataFrame:
     return points.select("id", tx.base_name(F.col("file_path")).alias("name"), F.col("file_path").alias("path"), F.col("dominant_domain").alias("domain"), F.col("line_count").alias("lines"), *means, *rest)
 
 
+def moments(vectors: DataFrame, column: str) -> tuple[float, np.ndarray, np.ndarray]:
+    """Number, mean and covariance of a column of arrays, all as wide as the widest (zeros are appended).
+
+    Each task multiplies its Arrow batches as matrices, about one vector for all, and gives the rows of one small
+    matrix; the rows' sums are an ordinary aggregation, so the driver gets a row for each place of a vector, whatever the input's size.
+    """
+    wide = vectors.agg(F.max(F.size(column))).first()[0] or 0
+    origin = vectors.select(v.padded(F.col(column), F.lit(wide)).alias("p")).limit(1).first()
+    if origin is None or not wide:
+        return 0.0, np.zeros(0), np.zeros((0, 0))
+    origin = np.array(origin["p"])
+
+    def products(batches):
+        total = np.zeros((wide + 1, wide + 1))
+        for b in batches:
+            flat, starts = b.column(0).flatten().to_numpy(zero_copy_only=False), b.column(0).value_lengths().to_numpy(zero_copy_only=False)
+            ones = np.ones((len(starts), wide + 1))
+            inside = np.arange(wide) < starts[:, None]
+            ones[:, 1:] = 0.0
+            ones[:, 1:][inside] = flat
+            ones[:, 1:] -= origin
+            total += ones.T @ ones
+        yield pa.RecordBatch.from_pydict({"place": pa.array(range(wide + 1), pa.int32()), "row": pa.array(list(total))})
+
+    rows = vectors.select(column).where(F.col(column).isNotNull()).mapInArrow(products, "place int, row array<double>")
+    got = rows.groupBy("place").agg(Summarizer.sum(array_to_vector("row")).alias("s")).collect()  # a row for each place
+    g = np.zeros((wide + 1, wide + 1))
+    for r in got:
+        g[r["place"]] = r["s"].toArray()
+    n, shift = g[0, 0], g[0, 1:] / max(g[0, 0], 1.0)
+    return n, shift + origin, (g[1:, 1:] - n * np.outer(shift, shift)) / max(n - 1, 1.0)
+
+
 def export_3d(points: DataFrame) -> DataFrame:
     """x, y, z: the first three principal components of the centred positions.
 
     The moments are one aggregation; each axis' sign makes the largest loading positive. Axes that the
     points don't span are 0; so is a single point.
     """
-    import numpy as np
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Summarizer
-    from pyspark.mllib.linalg import Vectors as OldVectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    rows = points.select("id", "file_path", "dominant_domain", array_to_vector(position()).alias("p"))
-    n, mean = rows.agg(F.count("*"), Summarizer.mean(F.col("p"))).first()
+    placed = points.withColumn("_p", position())
+    n, mean, cov = moments(placed, "_p")
     axes = np.zeros((0, 0))
     if n > 1:
-        cov = RowMatrix(rows.select("p").rdd.map(lambda r: OldVectors.dense(r[0].toArray()))).computeCovariance().toArray()
         value, vector = np.linalg.eigh(cov)
-        top = [i for i in np.argsort(value)[::-1][:3] if value[i] > 1e-12]
-        axes = np.array([vector[:, i] * np.sign(vector[np.argmax(np.abs(vector[:, i])), i]) for i in top])
-    centre = F.array(*[F.lit(float(x)) for x in (mean.toArray() if n else [])])
-    shifted = F.zip_with(position(), centre, lambda x, m: x - m)
-    cols = []
-    for i, name in enumerate("xyz"):
-        cols.append((v.dot(shifted, F.array(*[F.lit(float(w)) for w in axes[i]])) if i < len(axes) else F.lit(0.0)).alias(name))
-    return points.select("id", F.col("file_path").alias("path"), F.col("dominant_domain").alias("domain"), F.col("line_count").alias("lines"), *cols)
+        best = [i for i in np.argsort(value)[::-1][:3] if value[i] > 1e-12]
+        axes = np.array([vector[:, i] * np.sign(vector[np.argmax(np.abs(vector[:, i])), i]) for i in best])
+    shifted = F.zip_with(v.padded(F.col("_p"), F.lit(len(mean))), F.lit(mean.tolist()).cast("array<double>"), lambda x, m: x - m)
+    cols = [(v.dot(shifted, F.lit(axes[i].tolist())) if i < len(axes) else F.lit(0.0)).alias(name) for i, name in enumerate("xyz")]
+    return placed.select("id", F.col("file_path").alias("path"), F.col("dominant_domain").alias("domain"), F.col("line_count").alias("lines"), *cols)
 
 
 def write_csv(positions: DataFrame, path: str) -> None:

@@ -48,6 +48,13 @@ FILES = """files AS (
 RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
 
 
+def _beyond(name: str, value: str | None = None, over: float | None = None, under: float | None = None, whole: bool = False) -> str:
+    value = value or name
+    number = f" ' || {value} || '" if whole else ""
+    cases = [f"WHEN {value} {sign} {limit}::DOUBLE THEN '{name}{number} {way} {limit:g}'" for limit, sign, way in ((under, "<", "under"), (over, ">", "over")) if limit is not None]
+    return f"CASE {' '.join(cases)} END"
+
+
 def _q(pattern: str) -> str:
     return pattern.replace("'", "''")
 
@@ -293,9 +300,24 @@ debts AS (SELECT *, CASE WHEN score <= 20 THEN 'A' WHEN score <= 40 THEN 'B' WHE
     )
 
 
-ADVICE = """advised AS (SELECT *, array_to_string(list_filter([CASE WHEN complexity > 60 THEN 'Extract functions' END, CASE WHEN lines > 500 THEN 'Split the file: ' || lines || ' lines' END, CASE WHEN coupling > 60 THEN 'Depend on fewer files' END,
-  CASE WHEN nc > 0 THEN 'Share code of ' || nc || ' clones' END, CASE WHEN fresh < 0.2::DOUBLE THEN 'See whether the file is still needed' END, CASE WHEN documentation > 30 THEN 'Write comments' END,
-  CASE WHEN ns > 0 THEN 'Mend ' || ns || ' smells' END, CASE WHEN nt > 0 THEN 'Resolve ' || nt || ' tensions' END], lambda x: x IS NOT NULL)[1:5], '; ') AS advice FROM debts)"""
+ADVICE = (
+    "advised AS (SELECT *, array_to_string(list_filter(["
+    + ", ".join(
+        [
+            _beyond("complexity", over=60),
+            _beyond("lines", over=500, whole=True),
+            _beyond("coupling", over=60),
+            _beyond("clones", "nc", over=0, whole=True),
+            _beyond("recency", "fresh", under=0.2),
+            _beyond("documentation", over=30),
+            _beyond("smells", "ns", over=0, whole=True),
+            _beyond("tensions", "nt", over=0, whole=True),
+        ]
+    )
+    + "], lambda x: x IS NOT NULL)[1:5], '; ') AS advice FROM debts)"
+)
+HISTORY = ", ".join([_beyond("change_frequency", over=0.5), _beyond("days_since_change", under=0.2), _beyond("author_diversity", over=0.5), _beyond("stability_score", over=0.8)])
+INSIGHTS = ", ".join(_beyond(f"{x} distance", c, under=low, over=high) for x, c, low, high in (("lexical", "l", 0.5, 1.5), ("structural", "t", 0.3, 0.8), ("semantic", "m", 0.2, 0.5)))
 COCHANGE = """items AS (SELECT DISTINCT file_path, author || '/' || ts::DATE AS s FROM commits), often AS (SELECT file_path, count(*) AS n FROM items GROUP BY file_path),
 cochanged AS (SELECT a.file_path AS file_a, b.file_path AS file_b, count(*) AS together, oa.n AS changes_a, ob.n AS changes_b FROM items a JOIN items b ON a.s = b.s AND a.file_path < b.file_path
   JOIN often oa ON oa.file_path = a.file_path JOIN often ob ON ob.file_path = b.file_path GROUP BY ALL HAVING count(*) >= 3)"""
@@ -321,7 +343,7 @@ def oracle_sql() -> dict[str, str]:
         "compare": f"""{p}, x AS (SELECT a.file_path AS file_a, b.file_path AS file_b, list_cosine_similarity(a.p, b.p) AS s, 1 - list_cosine_similarity(a.lexical, b.lexical) AS l, 1 - list_cosine_similarity(a.structural, b.structural) AS t, 1 - list_cosine_similarity(a.semantic, b.semantic) AS m FROM points a, points b WHERE a.id = 7 AND b.id = 12)
 SELECT file_a, file_b, round(1 - s, 6) AS total_distance, round(s, 6) AS similarity, round(l, 6) AS lexical_distance, round(t, 6) AS structural_distance, round(m, 6) AS semantic_distance,
   ['lexical', 'structural', 'semantic'][list_position([l, t, m], list_max([l, t, m]))] AS most_different_axis, ['lexical', 'structural', 'semantic'][list_position([l, t, m], list_min([l, t, m]))] AS most_similar_axis,
-  concat_ws('; ', CASE WHEN l < 0.5 THEN 'Much the same words' WHEN l > 1.5 THEN 'Quite other words' END, CASE WHEN t < 0.3 THEN 'Much the same structure' WHEN t > 0.8 THEN 'Another structure' END, CASE WHEN m < 0.2 THEN 'The same domain' WHEN m > 0.5 THEN 'Other domains' END) AS insights FROM x""",
+  concat_ws('; ', {INSIGHTS}) AS insights FROM x""",
         "get_stats": f"{p} SELECT dominant_domain, count(*) AS files, sum(line_count)::BIGINT AS lines, (SELECT count(*) FROM points) AS total_files, (SELECT sum(line_count)::BIGINT FROM points) AS total_lines FROM points GROUP BY dominant_domain",
         "export_positions": f"{p} SELECT id, regexp_extract(file_path, '[^/]+$') AS name, file_path AS path, dominant_domain AS domain, line_count AS lines, round(list_avg(lexical), 6) AS lexical_mean, round(list_avg(structural), 6) AS structural_mean, round(list_avg(semantic), 6) AS semantic_mean FROM points",
         "code_tokens": f"{f}, w AS (SELECT file_path, {TOKENS} AS t FROM files) SELECT file_path, len(t)::INTEGER AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5, md5(array_to_string({BIGRAMS}, ' ')) AS bigrams_md5 FROM w",
@@ -405,7 +427,7 @@ SELECT *, CASE risk_level WHEN 'high' THEN 'Split the change into smaller ones'
         "drift_top": f"{c}, {COMMITS}, {TEMPORAL}, {DRIFTS}, every AS (SELECT * FROM semantic UNION ALL SELECT * FROM contract UNION ALL SELECT * FROM temp) SELECT {_DRIFT_COLUMNS} FROM every ORDER BY {RANK}, drift_type, file_a, file_b LIMIT 30",
         "impact_review": f"{c}, {w3}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY i DESC, distance, id)::INTEGER AS priority FROM wave) SELECT source, priority, id, distance::INTEGER AS distance, round(i, 6) AS wave_intensity FROM r WHERE priority <= 10",
         "select_smells": f"WITH RECURSIVE {CONTRACTS}, {COMMITS}, {TEMPORAL}, {DEGREES}, {PAGERANK}, {SMELLS} SELECT * FROM smells WHERE severity IN ('critical', 'high') ORDER BY {RANK}, smell_type, file_path, file_name LIMIT 50",
-        "temporal_notes": f"{h} SELECT file_path, coalesce(nullif(concat_ws('; ', CASE WHEN change_frequency > 0.5 THEN 'Hot file: changes often' END, CASE WHEN days_since_change < 0.2::DOUBLE THEN 'Stale file: no recent change' END, CASE WHEN author_diversity > 0.5 THEN 'Shared file: many authors' END, CASE WHEN stability_score > 0.8::DOUBLE THEN 'Stable file: rarely changes' END), ''), 'Usual activity') AS notes FROM temporal",
+        "temporal_notes": f"{h} SELECT file_path, coalesce(nullif(concat_ws('; ', {HISTORY}), ''), 'no limit passed') AS notes FROM temporal",
         "cochange_pairs": f"{p}, {COMMITS}, {COCHANGE} SELECT file_a, file_b, together, changes_a, changes_b, round(together / least(changes_a, changes_b)::DOUBLE, 6) AS confidence FROM cochanged",
         "shotgun_surgery": f"""{p}, {COMMITS}, {COCHANGE}, ends AS (SELECT file_a AS file_path, together, together / changes_a::DOUBLE AS share FROM cochanged UNION ALL SELECT file_b, together, together / changes_b::DOUBLE FROM cochanged),
 g AS (SELECT file_path, count(*) AS partners, sum(together)::BIGINT AS together FROM ends WHERE share >= 0.4::DOUBLE GROUP BY file_path HAVING count(*) >= 3)

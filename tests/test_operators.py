@@ -1,5 +1,6 @@
 """Code-space operators on small hand-made inputs."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +224,27 @@ def test_searches(spark):
     assert search.export_3d(p.limit(1)).first()["x"] == 0
 
 
+def test_principal_axes_equal_singular_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 5)) * [3.0, 2.0, 1.0, 0.1, 0.1] + 100
+    rows = [(i, f"/f{i}", "api", r[:2].tolist(), r[2:].tolist(), [], 1) for i, r in enumerate(x)]
+    p = spark.createDataFrame(rows, "id bigint, file_path string, dominant_domain string, lexical array<double>, structural array<double>, semantic array<double>, line_count int").repartition(3)
+    got = np.array([[r["x"], r["y"], r["z"]] for r in search.export_3d(p).orderBy("id").collect()])
+    c = x - x.mean(0)
+    _, _, axes = np.linalg.svd(c, full_matrices=False)
+    axes = [a * np.sign(a[np.argmax(np.abs(a))]) for a in axes[:3]]
+    assert np.allclose(got, c @ np.array(axes).T, atol=1e-8)
+    assert search.export_3d(p.limit(0)).count() == 0
+
+
+def test_paths_by_ending(spark):
+    paths = ["/r/pkg/b.py", "/q/mypkg/b.py", "/z/pkg/sub/b.py", "/r/pkg/__init__.py", "b.py", "/a//b.py", "/r/ä/b.py"]
+    asked = ["pkg/b.py", "mypkg/b.py", "g/b.py", "pkg/sub/b.py", "r/pkg/__init__.py", "no/b.py", "xpkg/b.py", "ä/b.py", "/b.py", "pkg//b.py"]
+    got = contracts.by_ending(spark.createDataFrame([(a,) for a in asked * 2], "suffix string"), spark.createDataFrame([(x,) for x in paths], "callee string"))
+    want = {a: min(x for x in paths if x.endswith(a)) for a in asked if any(x.endswith(a) for x in paths)}
+    assert {r["suffix"]: r["callee"] for r in got.collect()} == want and got.count() == len(want)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "node_modules").mkdir()
