@@ -1,7 +1,7 @@
 """Clusters of code points: k-means over padded positions, and what the clusters say.
 
-Centroids are k vectors on the driver; points stay in the cluster. A turn is one aggregation,
-of which k means return.
+Centroids are k vectors on the driver; points stay in the cluster. A turn is one pass for all numbers of clusters that
+still move: tasks get the centroids as data, multiply Arrow batches and give a sum for each cluster, and the sums return.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -45,42 +46,104 @@ def assigned(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     return d.select("*", (F.array_position("distances", F.array_min("distances")) - 1).cast("int").alias("cluster"), F.array_min("distances").alias("distance"))
 
 
+def _vectors(batch: pa.RecordBatch, wide: int) -> np.ndarray:
+    return batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, wide)
+
+
+def _squares(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Squared distances of all points to all centroids."""
+    return np.stack([((x - c) ** 2).sum(axis=1) for c in centroids], axis=1)
+
+
 def farthest_first(rows: DataFrame, k: int) -> np.ndarray:
-    """Centres by turns: the point of the least id, then always the point farthest from those there are."""
+    """Centres by turns: the point of the least id, then always the point farthest from those there are (the least id of such).
+
+    Each task gives its own farthest point, so a turn is a pass and a choice among as many rows as there are tasks. The first
+    centres don't depend on `k`.
+    """
     first = rows.orderBy("id").limit(1).select("p").first()
     if first is None:
         return np.zeros((0, 0))
     centres = [np.array(first["p"])]
+    kind = dict(rows.dtypes)["id"]
     while len(centres) < k:
-        far = rows.orderBy(F.desc(F.array_min(_distances(np.array(centres), F.col("p")))), "id").limit(1).select("p").first()
+        there = np.array(centres)
+
+        def farthest(batches, there=there):
+            best = None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                d = _squares(_vectors(b, there.shape[1]), there).min(axis=1)
+                ids = b.column("id").to_pylist()
+                at = min(np.flatnonzero(d == d.max()), key=lambda i: ids[i])
+                if best is None or (-d[at], ids[at]) < best[0]:
+                    best = (-d[at], ids[at]), b.slice(at, 1), d[at]
+            if best is not None:
+                yield pa.RecordBatch.from_arrays([*best[1].columns, pa.array([best[2]])], ["id", "p", "d"])
+
+        far = rows.select("id", "p").mapInArrow(farthest, f"id {kind}, p array<double>, d double").orderBy(F.desc("d"), "id").limit(1).first()
         centres.append(np.array(far["p"]))
     return np.array(centres)
 
 
-def kmeans(rows: DataFrame, k: int, turns: int = TURNS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float]:
-    """Centroids and inertia. A cluster that loses all its points keeps its centroid."""
-    c = farthest_first(rows, k)
-    inertia = 0.0
+def turn(rows: DataFrame, sets: dict[int, np.ndarray]) -> DataFrame:
+    """(k, cluster, size, inertia, total) for each set of centroids: points by their first nearest one, in one pass over `rows`.
+
+    A cluster without points has no row. Tasks add up their batches, so what is shuffled is a row a task and centroid.
+    """
+
+    def sums(batches):
+        got = {k: [np.zeros(len(c)), np.zeros(len(c)), np.zeros_like(c)] for k, c in sets.items()}
+        for b in batches:
+            for k, c in sets.items():
+                x = _vectors(b, c.shape[1])
+                d = _squares(x, c)
+                near = d.argmin(axis=1)
+                n, s, t = got[k]
+                n += np.bincount(near, minlength=len(c))
+                s += np.bincount(near, d.min(axis=1), len(c))
+                np.add.at(t, near, x)
+        out = [(k, i, n[i], s[i], t[i]) for k, (n, s, t) in got.items() for i in range(len(n)) if n[i]]
+        kinds = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], ["k", "cluster", "n", "s", "t"])
+
+    part = rows.select("p").mapInArrow(sums, "k int, cluster int, n double, s double, t array<double>")
+    return part.groupBy("k", "cluster").agg(F.sum("n").cast("long").alias("size"), F.sum("s").alias("inertia"), Summarizer.sum(array_to_vector("t")).alias("total"))
+
+
+def kmeans_each(rows: DataFrame, ks: list[int], turns: int = TURNS, tolerance: float = TOLERANCE) -> dict[int, tuple[np.ndarray, float]]:
+    """Centroids and inertia for each number of clusters, all in the same turns. A cluster that loses all its points keeps its centroid."""
+    seeds = farthest_first(rows, max(ks))
+    now = {k: seeds[:k] for k in ks}
+    inertia, moving = dict.fromkeys(ks, 0.0), list(ks)
     for _ in range(turns):
-        a = assigned(rows, c)
-        got = a.groupBy("cluster").agg(Summarizer.mean(array_to_vector("p")).alias("m"), F.sum(F.col("distance") * F.col("distance")).alias("s")).collect()  # k rows
-        new = c.copy()
+        got = turn(rows, {k: now[k] for k in moving}).collect()  # a row a centroid
+        new = {k: now[k].copy() for k in moving}
         for r in got:
-            new[r["cluster"]] = r["m"].toArray()
-        inertia = float(sum(r["s"] for r in got))
-        moved = float(np.linalg.norm(new - c))
-        c = new
-        if moved < tolerance:
+            new[r["k"]][r["cluster"]] = r["total"].toArray() / r["size"]
+        for k in moving:
+            inertia[k] = float(sum(r["inertia"] for r in got if r["k"] == k))
+        still = [k for k in moving if np.linalg.norm(new[k] - now[k]) >= tolerance]
+        now.update(new)
+        moving = still
+        if not moving:
             break
-    return c, inertia
+    return {k: (now[k], inertia[k]) for k in ks}
+
+
+def kmeans(rows: DataFrame, k: int, turns: int = TURNS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float]:
+    """Centroids and inertia."""
+    return kmeans_each(rows, [k], turns, tolerance)[k]
 
 
 def elbow(rows: DataFrame, n: int, most: int = 10, turns: int = ELBOW_TURNS) -> int:
     """The number of clusters at the sharpest bend of the inertia."""
-    inertia = [kmeans(rows, k, turns)[1] for k in range(2, min(most, n - 1) + 1)]
-    if len(inertia) < 3:
+    ks = list(range(2, min(most, n - 1) + 1))
+    if len(ks) < 3:
         return 2
-    return int(np.argmax(np.abs(np.diff(inertia, 2)))) + 2
+    each = kmeans_each(rows, ks, turns)
+    return int(np.argmax(np.abs(np.diff([each[k][1] for k in ks], 2)))) + 2
 
 
 def cluster(points: DataFrame, k: int | None = None, most: int = 10) -> tuple[DataFrame, np.ndarray]:
@@ -165,3 +228,57 @@ def silhouette(rows: DataFrame, block: int = BLOCK, with_self: bool = True) -> D
     return ab.select("id", F.when(most > 0, (F.col("b") - F.col("a")) / most).otherwise(F.lit(0.0)).alias("silhouette"))
 
 
+def matched(overlap: list[list[int]]) -> list[int]:
+    """The column of each row in the matching of most overlap; of several such, the first in the order of columns.
+
+    Shortest augmenting paths over whole numbers; the order is a part of each weight too small to outweigh an overlap of one.
+    """
+    k = len(overlap)
+    unit = k**k
+    cost = [[j * k ** (k - 1 - i) - overlap[i][j] * unit for j in range(k)] for i in range(k)]
+    by_row, by_column, owner = [0] * k, [0] * k, [-1] * k
+    for row in range(k):
+        gap, before, seen = [None] * k, [-1] * k, set()
+        here, column = row, -1
+        while True:
+            for j in set(range(k)) - seen:
+                slack = cost[here][j] - by_row[here] - by_column[j]
+                if gap[j] is None or slack < gap[j]:
+                    gap[j], before[j] = slack, column
+            nearest = min(set(range(k)) - seen, key=lambda j: gap[j])
+            step = gap[nearest]
+            by_row[row] += step
+            for j in seen:
+                by_row[owner[j]] += step
+                by_column[j] -= step
+            for j in set(range(k)) - seen:
+                gap[j] -= step
+            seen.add(nearest)
+            column = nearest
+            if owner[nearest] < 0:
+                break
+            here = owner[nearest]
+        while column >= 0:
+            last = before[column]
+            owner[column] = owner[last] if last >= 0 else row
+            column = last
+    out = [0] * k
+    for j, i in enumerate(owner):
+        out[i] = j
+    return out
+
+
+def cluster_drift(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(id, was, now, expected, drifted) for the points in both clusterings (id, cluster).
+
+    Clusters of the two are matched by their common points; `expected` is the match of a point's old cluster, so a new numbering
+    alone is no drift. One join on id; the driver sees the table of overlaps, a row for each pair of clusters.
+    """
+    both = kept(before.select("id", F.col("cluster").alias("was")).join(after.select("id", F.col("cluster").alias("now")), "id"), "clusterings")
+    table = both.groupBy("was", "now").count().collect()
+    k = 1 + max([max(r["was"], r["now"]) for r in table], default=0)
+    overlap = [[0] * k for _ in range(k)]
+    for r in table:
+        overlap[r["was"]][r["now"]] = r["count"]
+    expected = F.get(F.lit(matched(overlap)).cast("array<int>"), F.col("was"))
+    return both.select("id", "was", "now", expected.alias("expected"), (expected != F.col("now")).alias("drifted"))

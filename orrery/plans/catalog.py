@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -591,6 +594,36 @@ def cluster_silhouette(spark, sf_dir):
     return rounded(clustering.silhouette(rows))
 
 
+def _domain_means(points: DataFrame) -> np.ndarray:
+    """The mean position of each domain, in their order: given centroids."""
+    means = points.groupBy("dominant_domain").agg(Summarizer.mean(array_to_vector(index.position())).alias("m")).collect()  # five domains
+    return np.array([r["m"].toArray() for r in sorted(means)])
+
+
+@query
+def cluster_turn(spark, sf_dir):
+    """One turn of k-means for k = 2..5 at once, from the first k domains' means."""
+    p = fx.points(spark, sf_dir)
+    c = _domain_means(p)
+    return rounded(clustering.turn(clustering.matrix(p), {k: c[:k] for k in range(2, len(c) + 1)}).select("k", "cluster", "size", "inertia"))
+
+
+@query
+def cluster_nearest(spark, sf_dir):
+    """Points with the nearest of the domains' means."""
+    p = fx.points(spark, sf_dir)
+    return rounded(clustering.assigned(clustering.matrix(p), _domain_means(p)).select("file_path", "dominant_domain", "cluster", "distance"))
+
+
+@query
+def cluster_drift(spark, sf_dir):
+    """Clusters about the means of the first and the second half's domains: which points changed theirs."""
+    p = fx.points(spark, sf_dir)
+    rows = clustering.matrix(p)
+    was, now = (clustering.assigned(rows, _domain_means(p.where(F.col("id") % 2 == half))[::turn]) for half, turn in ((0, 1), (1, -1)))
+    return clustering.cluster_drift(was, now)
+
+
 @query
 def get_suggestions(spark, sf_dir):
     m, e = _measured(spark, sf_dir)

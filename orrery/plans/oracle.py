@@ -323,6 +323,12 @@ cochanged AS (SELECT a.file_path AS file_a, b.file_path AS file_b, count(*) AS t
   JOIN often oa ON oa.file_path = a.file_path JOIN often ob ON ob.file_path = b.file_path GROUP BY ALL HAVING count(*) >= 3)"""
 
 
+def _means(name: str, where: str = "true", order: str = "d") -> str:
+    """A table of (c, m): numbers and mean positions of the domains."""
+    return f"""{name} AS (SELECT (row_number() OVER (ORDER BY {order}) - 1)::INTEGER AS c, m FROM (
+  SELECT d, list(x ORDER BY i) AS m FROM (SELECT d, i, avg(x) AS x FROM (SELECT dominant_domain AS d, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM points WHERE {where}) GROUP BY d, i) GROUP BY d))"""
+
+
 def oracle_sql() -> dict[str, str]:
     p, c = f"WITH {POINTS}", f"WITH {CONTRACTS}"
     d, h = f"{p}, {DELTAS}", f"{p}, {COMMITS}, {TEMPORAL}"
@@ -427,6 +433,15 @@ SELECT *, CASE risk_level WHEN 'high' THEN 'Split the change into smaller ones'
         "drift_top": f"{c}, {COMMITS}, {TEMPORAL}, {DRIFTS}, every AS (SELECT * FROM semantic UNION ALL SELECT * FROM contract UNION ALL SELECT * FROM temp) SELECT {_DRIFT_COLUMNS} FROM every ORDER BY {RANK}, drift_type, file_a, file_b LIMIT 30",
         "impact_review": f"{c}, {w3}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY i DESC, distance, id)::INTEGER AS priority FROM wave) SELECT source, priority, id, distance::INTEGER AS distance, round(i, 6) AS wave_intensity FROM r WHERE priority <= 10",
         "select_smells": f"WITH RECURSIVE {CONTRACTS}, {COMMITS}, {TEMPORAL}, {DEGREES}, {PAGERANK}, {SMELLS} SELECT * FROM smells WHERE severity IN ('critical', 'high') ORDER BY {RANK}, smell_type, file_path, file_name LIMIT 50",
+        "cluster_turn": f"""{p}, {_means('means')}, x AS (SELECT id, c, list_distance(p, m) AS d FROM points, means),
+n AS (SELECT k, id, arg_min(c, (d, c)) AS cluster, min(d) AS d FROM x, range(2, 6) r(k) WHERE c < k GROUP BY k, id) SELECT k::INTEGER AS k, cluster, count(*) AS size, round(sum(d * d), 6) AS inertia FROM n GROUP BY k, cluster""",
+        "cluster_nearest": f"{p}, {_means('means')} SELECT file_path, dominant_domain, arg_min(c, (list_distance(p, m), c)) AS cluster, round(min(list_distance(p, m)), 6) AS distance FROM points, means GROUP BY ALL",
+        "cluster_drift": f"""{p.replace('WITH', 'WITH RECURSIVE', 1)}, {_means('ma', 'id % 2 = 0')}, {_means('mb', 'id % 2 = 1', 'd DESC')},
+a AS (SELECT id, arg_min(c, (list_distance(p, m), c)) AS was FROM points, ma GROUP BY id), b AS (SELECT id, arg_min(c, (list_distance(p, m), c)) AS now FROM points, mb GROUP BY id),
+o AS (SELECT was, now, count(*) AS n FROM a JOIN b USING (id) GROUP BY ALL),
+way AS (SELECT 0 AS k, []::INTEGER[] AS cols, 0::BIGINT AS n UNION ALL SELECT k + 1, list_append(cols, j::INTEGER), w.n + coalesce(o.n, 0) FROM way w JOIN range(0, 5) r(j) ON NOT list_contains(cols, j::INTEGER) LEFT JOIN o ON o.was = w.k AND o.now = j WHERE k < 5),
+best AS (SELECT cols FROM way WHERE k = 5 ORDER BY n DESC, cols LIMIT 1)
+SELECT id, was, now, cols[was + 1] AS expected, cols[was + 1] <> now AS drifted FROM a JOIN b USING (id), best""",
         "temporal_notes": f"{h} SELECT file_path, coalesce(nullif(concat_ws('; ', {HISTORY}), ''), 'no limit passed') AS notes FROM temporal",
         "cochange_pairs": f"{p}, {COMMITS}, {COCHANGE} SELECT file_a, file_b, together, changes_a, changes_b, round(together / least(changes_a, changes_b)::DOUBLE, 6) AS confidence FROM cochanged",
         "shotgun_surgery": f"""{p}, {COMMITS}, {COCHANGE}, ends AS (SELECT file_a AS file_path, together, together / changes_a::DOUBLE AS share FROM cochanged UNION ALL SELECT file_b, together, together / changes_b::DOUBLE FROM cochanged),

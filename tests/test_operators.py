@@ -214,6 +214,49 @@ def test_clusters(spark):
     assert clustering.cluster(p.limit(2))[0].count() == 0
 
 
+def test_kmeans_equals_plain_turns(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 3)).round(3)
+    x[:5] = x[5]  # equal points
+    p = spark.createDataFrame([(i, f"/f{i}", "api", r.tolist(), [], []) for i, r in enumerate(x)], "id bigint, file_path string, dominant_domain string, lexical array<double>, structural array<double>, semantic array<double>").repartition(3)
+    rows = clustering.matrix(p)
+
+    def plain(k, turns):
+        c = x[:1]
+        while len(c) < k:
+            c = np.vstack([c, x[np.argmax(((x[:, None] - c) ** 2).sum(2).min(1))]])
+        for _ in range(turns):
+            d = ((x[:, None] - c) ** 2).sum(2)
+            near, new = d.argmin(1), c.copy()
+            for i in set(near):
+                new[i] = x[near == i].mean(0)
+            moved, c = np.linalg.norm(new - c), new
+            if moved < clustering.TOLERANCE:
+                break
+        return c, d.min(1).sum()
+
+    each = clustering.kmeans_each(rows, [2, 3, 5], 8)
+    for k, (c, inertia) in each.items():
+        want, sse = plain(k, 8)
+        assert np.allclose(c, want) and inertia == pytest.approx(sse)
+
+
+def test_matching_and_cluster_drift(spark):
+    from itertools import permutations
+
+    rng = np.random.default_rng(2)
+    assert clustering.matched([[0]]) == [0]
+    for k in (2, 3, 5):
+        for _ in range(20):
+            w = rng.integers(0, 4, (k, k)).tolist()
+            want = min(permutations(range(k)), key=lambda q: (-sum(w[i][j] for i, j in enumerate(q)), q))
+            assert clustering.matched(w) == list(want)
+    a = spark.createDataFrame([(i, i % 3) for i in range(30)], "id bigint, cluster int")
+    b = spark.createDataFrame([(i, (i + 1) % 3 if i else 0) for i in range(30)], "id bigint, cluster int")
+    assert [r["id"] for r in clustering.cluster_drift(a, b).where("drifted").collect()] == [0]
+    assert clustering.cluster_drift(a.limit(0), b).count() == 0
+
+
 def test_searches(spark):
     rows = [(i, f"/f{i}", "api", [float(i), 1.0], [1.0], [0.0], 10 * i) for i in range(6)]
     p = spark.createDataFrame(rows, "id bigint, file_path string, dominant_domain string, lexical array<double>, structural array<double>, semantic array<double>, line_count int")
