@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import temporal as tm
@@ -10,49 +13,142 @@ from orrery.functions import vectors as v
 from orrery.operators.changes import deviation
 from orrery.operators.contracts import with_paths, with_positions
 from orrery.operators.smells import rank
+from orrery.plans.store import kept
 
 #: Limits of the three kinds.
 SEMANTIC, CONTRACT, RECENT, STALE = 0.4, 0.3, 0.7, 0.3
-#: Points of a block of the pairwise product.
-BLOCK = 512
+#: Amounts above which drift within a domain is of the next severity.
+GRAVER = {"medium": 0.15, "high": 0.3}
+#: Points of a block of the pairwise product, pivots of a domain at most, and what bounds of angles are widened by.
+BLOCK, PIVOTS, SLACK = 512, 64, 1e-6
 
 
 def _rows(rows: DataFrame, kind: str, severity: Column, current: Column, expected: Column, amount: Column) -> DataFrame:
     return rows.select(F.lit(kind).alias("drift_type"), severity.alias("severity"), "file_a", "file_b", current.alias("current_distance"), expected.alias("expected_distance"), amount.alias("drift_amount"))
 
 
-def semantic_drift(points: DataFrame, limit: float = SEMANTIC, block: int = BLOCK) -> DataFrame:
-    """Pairs of one domain whose lexical and structural vectors are more than `limit` apart.
+def balls(points: DataFrame, block: int = BLOCK, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """Unit vectors in blocks about pivots, and the blocks' balls.
 
-    All pairs of a domain are the result's definition. Points are dealt to blocks of each domain and
-    two blocks at a time are multiplied as matrices, so no task holds a whole domain.
+    The first table has (dominant_domain, file_path, u, b), the second (dominant_domain, b, centre, radius, n). A domain's pivots
+    are `pivots` of its points, by a hash: what is broadcast has a bound. A point goes to its nearest pivot, and a pivot's points to
+    as many blocks of some `block` points as they need. Vectors of zeros have no direction: blocks of their own, without a centre.
     """
     import numpy as np
+
+    unit = points.select("dominant_domain", "file_path", v.normalised(F.concat("lexical", "structural")).alias("u"))
+    some = Window.partitionBy("dominant_domain").orderBy(F.xxhash64("file_path"), "file_path")
+    chosen = unit.where(v.norm(F.col("u")) > 0).withColumn("k", F.row_number().over(some)).where(F.col("k") <= pivots).collect()  # `pivots` a domain
+    centres: dict[str, list] = {}
+    for r in sorted(chosen, key=lambda r: r["k"]):
+        centres.setdefault(r["dominant_domain"], []).append(r["u"])
+
+    def nearest(frames):
+        for pdf in frames:
+            cell, angle = np.full(len(pdf), -1), np.zeros(len(pdf))
+            for domain, at in pdf.groupby("dominant_domain", dropna=False).indices.items():
+                if domain not in centres:
+                    continue
+                u = np.stack(pdf["u"].to_numpy()[at])
+                close = u @ np.array(centres[domain]).T
+                best = close.argmax(axis=1)
+                some = (u**2).sum(axis=1) > 0
+                cell[at[some]] = best[some]
+                angle[at] = np.arccos(np.clip(close[np.arange(len(at)), best], -1, 1))
+            yield pdf.assign(cell=cell.astype(np.int64), angle=angle)
+
+    placed = kept(unit.where("dominant_domain is not null").mapInPandas(nearest, "dominant_domain string, file_path string, u array<double>, cell long, angle double"), "cells")
+    size = placed.groupBy("dominant_domain", "cell").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    placed = placed.join(size, ["dominant_domain", "cell"]).withColumn("b", F.shiftleft("cell", 32) + F.pmod(F.xxhash64("file_path"), F.col("blocks")))
+    placed = kept(placed.select("dominant_domain", "file_path", "u", "cell", "angle", "b"), "blocks")
+    about = points.sparkSession.createDataFrame([(d, i, c) for d, cs in centres.items() for i, c in enumerate(cs)], "dominant_domain string, cell long, centre array<double>")
+    ball = placed.groupBy("dominant_domain", "cell", "b").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).join(F.broadcast(about), ["dominant_domain", "cell"], "left")
+    return placed.select("dominant_domain", "file_path", "u", "b"), kept(ball.select("dominant_domain", "b", "centre", "radius", "n"), "balls")
+
+
+def ball_pairs(ball: DataFrame) -> DataFrame:
+    """(dominant_domain, x, y, pairs, least, most): each two blocks of a domain, x <= y, their pairs of points and bounds of these' cosine distance.
+
+    Angles between unit vectors are a metric: two points are as far apart as the centres, give or take both radii. A vector of zeros is 1 from all.
+    """
+    salts = int(ball.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # one domain may have most blocks
+    a = ball.select("dominant_domain", F.col("b").alias("x"), F.col("centre").alias("cx"), F.col("radius").alias("rx"), F.col("n").alias("nx"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    b = ball.select("dominant_domain", F.col("b").alias("y"), F.col("centre").alias("cy"), F.col("radius").alias("ry"), F.col("n").alias("ny"), F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("salt"))
+    both = a.join(b, ["dominant_domain", "salt"]).where("x <= y")
+    apart = F.when(F.col("x") == F.col("y"), F.lit(0.0)).otherwise(F.acos(F.greatest(F.least(v.dot(F.col("cx"), F.col("cy")), F.lit(1.0)), F.lit(-1.0))))
+    wide = F.col("rx") + F.col("ry") + SLACK
+    known = F.col("cx").isNotNull() & F.col("cy").isNotNull()
+    bound = lambda angle: F.when(known, 1 - F.cos(F.greatest(F.least(angle, F.lit(math.pi)), F.lit(0.0)))).otherwise(F.lit(1.0))
+    pairs = F.when(F.col("x") == F.col("y"), F.expr("nx * (nx - 1) div 2")).otherwise(F.col("nx") * F.col("ny"))
+    return both.select("dominant_domain", "x", "y", pairs.alias("pairs"), bound(apart - wide).alias("least"), bound(apart + wide).alias("most"))
+
+
+def _opened(placed: DataFrame, pairs: DataFrame, work, schema: str) -> DataFrame:
+    """`work(left, right, distances, same)` for two blocks at a time: tasks hold two blocks, and only blocks in `pairs` move."""
+    import numpy as np
     import pandas as pd
 
-    pos = F.concat("lexical", "structural")
-    unit = points.select("dominant_domain", "file_path", v.normalised(pos).alias("u"))
-    size = unit.groupBy("dominant_domain").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = unit.join(F.broadcast(size), "dominant_domain").withColumn("b", F.pmod(F.xxhash64("file_path"), F.col("blocks")).cast("int"))
-    # a point goes to each pair of blocks that its own is in
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("b"), o).alias("x"), F.greatest(F.col("b"), o).alias("y")))
-    dealt = rows.select("dominant_domain", "file_path", "u", "b", F.explode(pair).alias("p")).select("dominant_domain", "file_path", "u", "b", "p.x", "p.y")
+    ends = pairs.select("dominant_domain", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
+    dealt = placed.join(ends, ["dominant_domain", "b"])
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
         left, right = pdf[pdf["b"] == x], pdf[pdf["b"] == y]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"file_a": [], "file_b": [], "d": []})
         d = 1.0 - np.stack(left["u"].to_numpy()) @ np.stack(right["u"].to_numpy()).T
-        i, j = np.nonzero(d > limit)
-        a, b = left["file_path"].to_numpy()[i], right["file_path"].to_numpy()[j]
-        keep = a < b if x == y else np.ones(len(a), bool)
-        low = np.where(a < b, a, b)
-        return pd.DataFrame({"file_a": low[keep], "file_b": np.where(a < b, b, a)[keep], "d": d[i, j][keep]})
+        return work(left["file_path"].to_numpy(), right["file_path"].to_numpy(), d, x == y)
+
+    return dealt.groupBy("dominant_domain", "x", "y").applyInPandas(product, schema)
+
+
+def _graveness(amount: Column) -> Column:
+    return F.when(amount > GRAVER["high"], F.lit("high")).when(amount > GRAVER["medium"], F.lit("medium")).otherwise(F.lit("low"))
+
+
+def semantic_drift(points: DataFrame, limit: float = SEMANTIC, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """Pairs of one domain whose lexical and structural vectors are more than `limit` apart.
+
+    Two blocks of points are multiplied as matrices unless their balls say that no pair of them is that far apart. Points
+    without a domain pair with none; paths are taken to be unique.
+    """
+    import numpy as np
+    import pandas as pd
+
+    placed, ball = balls(points, block, pivots)
 
-    found = dealt.groupBy("dominant_domain", "x", "y").applyInPandas(product, "file_a string, file_b string, d double")
+    def far(left, right, d, same):
+        i, j = np.nonzero(np.triu(d > limit, 1) if same else d > limit)
+        a, b = left[i], right[j]
+        return pd.DataFrame({"file_a": np.where(a < b, a, b), "file_b": np.where(a < b, b, a), "d": d[i, j]})
+
+    found = _opened(placed, ball_pairs(ball).where(F.col("most") > limit), far, "file_a string, file_b string, d double")
     amount = F.col("d") - limit
-    return _rows(found, "semantic", F.when(amount > 0.3, F.lit("high")).when(amount > 0.15, F.lit("medium")).otherwise(F.lit("low")), F.col("d"), F.lit(limit), amount)
+    return _rows(found, "semantic", _graveness(amount), F.col("d"), F.lit(limit), amount)
+
+
+def semantic_counts(points: DataFrame, limit: float = SEMANTIC, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """(drift_type, severity, drifts) of semantic_drift() without its pairs.
+
+    Two blocks whose bounds lie within one severity count as a product of sizes; the others are opened and counted in their task.
+    """
+    import numpy as np
+    import pandas as pd
+
+    placed, ball = balls(points, block, pivots)
+    pairs = kept(ball_pairs(ball).where(F.col("most") > limit), "pairs")
+    between = [limit, *(limit + a for a in GRAVER.values())]
+    open_ = reduce(lambda a, b: a | b, [(F.col("least") <= e + SLACK) & (F.col("most") > e - SLACK) for e in between])
+    whole = pairs.where(~open_).select(_graveness(F.col("least") - limit).alias("severity"), F.col("pairs").alias("drifts"))
+
+    def counted(left, right, d, same):
+        amount = d - limit
+        keep = np.triu(d > limit, 1) if same else d > limit
+        high, medium = amount > GRAVER["high"], amount > GRAVER["medium"]
+        n = [int((keep & high).sum()), int((keep & medium & ~high).sum()), int((keep & ~medium).sum())]
+        return pd.DataFrame({"severity": ["high", "medium", "low"], "drifts": np.array(n, np.int64)})
+
+    some = _opened(placed, pairs.where(open_), counted, "severity string, drifts long")
+    total = whole.unionByName(some).groupBy("severity").agg(F.sum("drifts").alias("drifts")).where("drifts > 0")
+    return total.select(F.lit("semantic").alias("drift_type"), "severity", "drifts")
 
 
 def contract_drift(contracts: DataFrame, points: DataFrame, limit: float = CONTRACT, metric: str = "mixed") -> DataFrame:
@@ -84,6 +180,12 @@ def top(drifts: DataFrame, limit: int = 30) -> DataFrame:
     return drifts.orderBy(rank(F.col("severity")), "drift_type", "file_a", "file_b").limit(limit)
 
 
+def counts(contracts: DataFrame, points: DataFrame, commits: DataFrame, now: Column) -> DataFrame:
+    """summary() of detect(), without listing the pairs of a domain."""
+    listed = contract_drift(contracts, points).unionByName(temporal_drift(contracts, points, commits, now))
+    return summary(listed).unionByName(semantic_counts(points))
+
+
 def summary(drifts: DataFrame) -> DataFrame:
     return drifts.groupBy("drift_type", "severity").agg(F.count("*").alias("drifts"))
 

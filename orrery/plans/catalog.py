@@ -503,7 +503,7 @@ def temporal_drift(spark, sf_dir):
 
 @query
 def detect_drift(spark, sf_dir):
-    return drift.summary(drift.detect(fx.contracts(spark, sf_dir), fx.points(spark, sf_dir), fx.commits(spark, sf_dir), fx.now()))
+    return drift.counts(fx.contracts(spark, sf_dir), fx.points(spark, sf_dir), fx.commits(spark, sf_dir), fx.now())
 
 
 def _imports(files: DataFrame) -> DataFrame:

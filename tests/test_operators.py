@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions import temporal
-from orrery.operators import changes, clones, clustering, contracts, debt, graph, index, search, smells, surface, views, waves
+from orrery.operators import changes, clones, clustering, contracts, debt, drift, graph, index, search, smells, surface, views, waves
 from orrery.sources import files as src
 
 def now():
@@ -257,6 +257,31 @@ def test_matching_and_cluster_drift(spark):
     assert clustering.cluster_drift(a.limit(0), b).count() == 0
 
 
+def test_far_pairs_skip_blocks_and_equal_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    directions = np.eye(6)[[0, 0, 1, 2]] + 0.15 * np.eye(6)[[3, 4, 5, 3]]
+    x = np.vstack([d + rng.normal(scale=0.02, size=(25, 6)) for d in directions] + [np.zeros((3, 6))])
+    rows = [(i, f"/f{i}", "api" if i % 5 else "db", r[:4].tolist(), r[4:].tolist()) for i, r in enumerate(x)]
+    p = spark.createDataFrame(rows, "id bigint, file_path string, dominant_domain string, lexical array<double>, structural array<double>")
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    u = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    d = 1 - u @ u.T
+    want = {tuple(sorted((f"/f{i}", f"/f{j}"))): d[i, j] for i in range(len(x)) for j in range(i) if rows[i][2] == rows[j][2] and d[i, j] > drift.SEMANTIC}
+    for block in (4, 512):
+        got = drift.semantic_drift(p, block=block, pivots=12).collect()
+        assert {(r["file_a"], r["file_b"]) for r in got} == set(want) and len(got) == len(want)
+        assert all(r["current_distance"] == pytest.approx(want[r["file_a"], r["file_b"]]) for r in got)
+        counts = {r["severity"]: r["drifts"] for r in drift.semantic_counts(p, block=block, pivots=12).collect()}
+        assert counts == {s: sum(r["severity"] == s for r in got) for s in {r["severity"] for r in got}}
+    placed, ball = drift.balls(p, 4, 12)
+    pairs = drift.ball_pairs(ball).collect()
+    assert sum(r["pairs"] for r in pairs) == sum(n * (n - 1) // 2 for n in (sum(r[2] == k for r in rows) for k in ("api", "db")))
+    skipped = sum(r["most"] <= drift.SEMANTIC for r in pairs)
+    surely = sum(r["least"] > drift.SEMANTIC + 0.3 for r in pairs)
+    assert skipped > len(pairs) / 10 and surely > len(pairs) / 10
+    assert drift.semantic_drift(p.limit(0)).count() == 0 and drift.semantic_counts(p.limit(0)).count() == 0
+
+
 def test_searches(spark):
     rows = [(i, f"/f{i}", "api", [float(i), 1.0], [1.0], [0.0], 10 * i) for i in range(6)]
     p = spark.createDataFrame(rows, "id bigint, file_path string, dominant_domain string, lexical array<double>, structural array<double>, semantic array<double>, line_count int")
