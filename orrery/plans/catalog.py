@@ -15,6 +15,7 @@ from orrery.functions import vectors as v
 from orrery.operators import advisor, changes, clones, clustering, cochange, contracts, debt, drift, graph, index, search, smells, surface, views, waves
 from orrery.plans import fixtures as fx
 from orrery.plans.store import folder, kept
+from orrery.sources import history
 from orrery.streaming.reindex import Store, threshold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -764,6 +765,11 @@ def shotgun_surgery(spark, sf_dir):
     return cochange.shotgun_surgery(_change_sets(spark, sf_dir), confidence=0.4)
 
 
+@query
+def history_followed(spark, sf_dir):
+    return history.followed(fx.renamings(spark, sf_dir)).select("seq", "file_path", "now_path")
+
+
 def queries() -> dict[str, Query]:
     return dict(_ALL)
 

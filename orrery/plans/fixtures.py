@@ -150,3 +150,11 @@ def versions(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
     if version:
         f = f.where(F.col("k") % (version + 1) != 0).withColumn("content", F.concat("content", F.repeat(_pick(ADDED, F.col("k") % 3), F.lit(version))))
     return f.withColumn("updated_at", now() + F.expr(f"INTERVAL {version} HOURS"))
+
+
+def renamings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, old_path, file_path): each event is a change of one of 197 names; one in eleven gives the file another name."""
+    e = read(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("seq"), F.col("user_id").cast("long").alias("u"))
+    name = lambda n: F.concat(F.lit("/h/f"), (n % 197).cast("string"))
+    moved = F.col("seq") % 11 == 0
+    return e.select("seq", F.when(moved, name(F.col("u"))).alias("old_path"), F.when(moved, name(F.col("u") * 7 + F.col("seq"))).otherwise(name(F.col("u"))).alias("file_path"))

@@ -442,6 +442,11 @@ o AS (SELECT was, now, count(*) AS n FROM a JOIN b USING (id) GROUP BY ALL),
 way AS (SELECT 0 AS k, []::INTEGER[] AS cols, 0::BIGINT AS n UNION ALL SELECT k + 1, list_append(cols, j::INTEGER), w.n + coalesce(o.n, 0) FROM way w JOIN range(0, 5) r(j) ON NOT list_contains(cols, j::INTEGER) LEFT JOIN o ON o.was = w.k AND o.now = j WHERE k < 5),
 best AS (SELECT cols FROM way WHERE k = 5 ORDER BY n DESC, cols LIMIT 1)
 SELECT id, was, now, cols[was + 1] AS expected, cols[was + 1] <> now AS drifted FROM a JOIN b USING (id), best""",
+        "history_followed": """WITH RECURSIVE e AS (SELECT event_id::BIGINT AS seq, user_id::BIGINT AS u FROM events),
+ch AS (SELECT seq, CASE WHEN seq % 11 = 0 THEN '/h/f' || u % 197 END AS old_path, '/h/f' || (CASE WHEN seq % 11 = 0 THEN (u * 7 + seq) % 197 ELSE u % 197 END) AS file_path FROM e),
+r AS (SELECT old_path AS o, seq AS s, file_path AS n, coalesce(lag(seq) OVER (PARTITION BY old_path ORDER BY seq), -1) AS since FROM ch WHERE old_path <> file_path),
+walk AS (SELECT seq, file_path, file_path AS here, seq AS t FROM ch UNION ALL SELECT w.seq, w.file_path, r.n, r.s FROM walk w JOIN r ON r.o = w.here AND w.t >= r.since AND w.t < r.s)
+SELECT seq, file_path, arg_max(here, t) AS now_path FROM walk GROUP BY seq, file_path""",
         "temporal_notes": f"{h} SELECT file_path, coalesce(nullif(concat_ws('; ', {HISTORY}), ''), 'no limit passed') AS notes FROM temporal",
         "cochange_pairs": f"{p}, {COMMITS}, {COCHANGE} SELECT file_a, file_b, together, changes_a, changes_b, round(together / least(changes_a, changes_b)::DOUBLE, 6) AS confidence FROM cochanged",
         "shotgun_surgery": f"""{p}, {COMMITS}, {COCHANGE}, ends AS (SELECT file_a AS file_path, together, together / changes_a::DOUBLE AS share FROM cochanged UNION ALL SELECT file_b, together, together / changes_b::DOUBLE FROM cochanged),
