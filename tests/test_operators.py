@@ -241,6 +241,20 @@ def test_kmeans_equals_plain_turns(spark):
         assert np.allclose(c, want) and inertia == pytest.approx(sse)
 
 
+def test_outliers_and_misclassified(spark):
+    xs = [1.0] * 9 + [10.0, 100.0, 101.0]
+    p = spark.createDataFrame([(i, f"/d/f{i}", "api", [x], [], []) for i, x in enumerate(xs)], "id bigint, file_path string, dominant_domain string, lexical array<double>, structural array<double>, semantic array<double>")
+    rows = clustering.assigned(clustering.matrix(p), np.array([[0.0], [100.0]]))
+    assert {r["id"]: r["cluster"] for r in rows.collect()} == {**{i: 0 for i in range(10)}, 10: 1, 11: 1}
+    far = clustering.outliers(rows).collect()
+    near = np.array(xs[:10])
+    assert [(r["id"], r["name"], r["cluster"]) for r in far] == [(9, "f9", 0)] and far[0]["threshold"] == pytest.approx(near.mean() + 2 * near.std())
+    assert clustering.misclassified(rows).count() == 0  # every point is at its nearest centroid
+    wrong = rows.withColumn("cluster", F.when(F.col("id") == 10, 0).otherwise(F.col("cluster"))).withColumn("distance", F.element_at("distances", F.col("cluster") + 1))
+    hit = clustering.misclassified(wrong).collect()
+    assert [(r["id"], r["current_cluster"], r["suggested_cluster"], r["current_distance"], r["suggested_distance"]) for r in hit] == [(10, 0, 1, 100.0, 0.0)]
+
+
 def test_matching_and_cluster_drift(spark):
     from itertools import permutations
 
