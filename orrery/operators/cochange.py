@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators import overlaps
 from orrery.plans.store import kept
 
 #: Change sets that two files share at least; share of a file's change sets that the other one is in; partners of a smell.
@@ -16,17 +19,25 @@ def pairs(commits: DataFrame, by: list[str], support: int = SUPPORT) -> DataFram
 
     A change set is the commits (file_path, ...) that agree in the columns `by`; nulls make none. Files of fewer
     change sets are dropped before pairs are made, and so are change sets that hold one file then. confidence is the share of the rarer file's change sets
-    that hold both.
+    that hold both. Files are multiplied in blocks (overlaps.products()): what two files share is counted where they meet, no
+    row is made of a change set and a pair.
     """
     items = commits.select("file_path", F.sha2(F.to_json(F.struct(*by)), 256).alias("_set")).where(" and ".join(["file_path is not null", *(f"`{c}` is not null" for c in by)])).distinct()
     items = kept(items, "items")
     often = items.groupBy("file_path").agg(F.count("*").alias("changes")).where(F.col("changes") >= support)
     left = kept(items.join(often, "file_path"), "frequent")
-    several = left.groupBy("_set").agg(F.count("*").alias("n")).where("n > 1").select("_set")
-    left = left.join(several, "_set", "left_semi")
-    a = left.select("_set", F.col("file_path").alias("file_a"), F.col("changes").alias("changes_a"))
-    b = left.select("_set", F.col("file_path").alias("file_b"), F.col("changes").alias("changes_b"))
-    met = a.join(b, "_set").where("file_a < file_b").groupBy("file_a", "file_b", "changes_a", "changes_b").agg(F.count("*").alias("together")).where(F.col("together") >= support)
+    several = left.groupBy("_set").agg(F.count("*").alias("n")).where("n > 1")
+    several = kept(several.withColumn("item", F.monotonically_increasing_id()), "several")  # a number for each set, for good once it is written
+    sets = left.join(several, "_set").groupBy("file_path", "changes").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("o"))  # a file's change sets, rare ones first
+    sets = sets.select(F.col("file_path").alias("key"), "changes", F.col("o.item").alias("items"), (F.size("o") - support + 1).alias("keep"))
+
+    def together(a: pd.DataFrame, b: pd.DataFrame, both: np.ndarray, same: bool) -> pd.DataFrame:
+        i, j = np.nonzero(np.triu(both >= support, 1) if same else both >= support)
+        pa, pb, na, nb = a["key"].to_numpy()[i], b["key"].to_numpy()[j], a["changes"].to_numpy()[i], b["changes"].to_numpy()[j]
+        low = pa < pb
+        return pd.DataFrame({"file_a": np.where(low, pa, pb), "file_b": np.where(low, pb, pa), "together": both[i, j], "changes_a": np.where(low, na, nb), "changes_b": np.where(low, nb, na)})
+
+    met = overlaps.products(sets, together, "file_a string, file_b string, together long, changes_a long, changes_b long")
     return met.select("file_a", "file_b", "together", "changes_a", "changes_b", (F.col("together") / F.least("changes_a", "changes_b")).alias("confidence"))
 
 
