@@ -190,33 +190,41 @@ def misclassified(rows: DataFrame, share: float = 0.8) -> DataFrame:
     return hit.select("id", "file_path", F.col("cluster").alias("current_cluster"), F.col("o.i").alias("suggested_cluster"), F.col("distance").alias("current_distance"), F.col("o.d").alias("suggested_distance"))
 
 
-def silhouette(rows: DataFrame, block: int = BLOCK, with_self: bool = True) -> DataFrame:
+#: Points of a block of the silhouette, and rows of it that are multiplied at once.
+WIDE = 4096
+
+
+def silhouette(rows: DataFrame, block: int = WIDE, with_self: bool = True) -> DataFrame:
     """(id, silhouette) by mean euclidean distances to each cluster; one's own mean counts oneself too unless told not to.
 
-    Points are dealt to blocks and two blocks at a time are multiplied; no task holds all points.
+    Points are dealt to blocks; each two blocks meet once, for the sums of both, and are multiplied by BLOCK rows. A block goes to
+    as many tasks as there are blocks, so what is shuffled falls with their size; no task holds all points.
     """
     import pandas as pd
 
-    n = rows.count()
-    blocks = max(1, -(-n // block))
-    dealt = rows.select("id", "cluster", "p", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-    left = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")).select("id", "cluster", "p", F.col("b").alias("x"), F.col("o").alias("y"), F.lit(True).alias("asks"))
-    right = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")).select("id", "cluster", "p", F.col("o").alias("x"), F.col("b").alias("y"), F.lit(False).alias("asks"))
+    blocks = max(1, -(-rows.count() // block))
+    dealt = rows.select("id", "cluster", "p", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
+    dealt = dealt.select("id", "cluster", "p", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
     kind = dict(rows.dtypes)["id"]
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
+        a, b = pdf[pdf["b"] == x], pdf[pdf["b"] == y]
         if not len(a) or not len(b):
-            return pd.DataFrame({"id": a["id"].iloc[:0], "other": np.zeros(0, np.int32), "s": np.zeros(0)})
+            return pd.DataFrame({"id": pdf["id"].iloc[:0], "other": np.zeros(0, np.int32), "s": np.zeros(0)})
         pa_, pb = np.stack(a["p"].to_numpy()), np.stack(b["p"].to_numpy())
-        out = []
-        for c in np.unique(b["cluster"]):
-            q = pb[(b["cluster"] == c).to_numpy()]
-            d2 = (pa_**2).sum(1)[:, None] + (q**2).sum(1)[None, :] - 2 * pa_ @ q.T
-            out.append(pd.DataFrame({"id": a["id"].to_numpy(), "other": np.int32(c), "s": np.sqrt(np.maximum(d2, 0)).sum(1)}))
-        return pd.concat(out)
-
-    got = left.unionByName(right).groupBy("x", "y").applyInPandas(sums, f"id {kind}, other int, s double")
+        (ka, ca), (kb, cb) = (np.unique(t["cluster"], return_inverse=True) for t in (a, b))
+        to_b, to_a = np.zeros((len(a), len(kb))), np.zeros((len(b), len(ka)))
+        in_a, in_b = np.eye(len(ka))[ca], np.eye(len(kb))[cb]
+        for i in range(0, len(a), BLOCK):
+            q = pa_[i : i + BLOCK]
+            d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (pb**2).sum(1)[None, :] - 2 * q @ pb.T, 0))
+            to_b[i : i + BLOCK] = d @ in_b
+            to_a += d.T @ in_a[i : i + BLOCK]
+        found = [(a, kb, to_b)] if x == y else [(a, kb, to_b), (b, ka, to_a)]
+        return pd.concat([pd.DataFrame({"id": np.repeat(t["id"].to_numpy(), len(k)), "other": np.tile(k, len(t)).astype(np.int32), "s": s.ravel()}) for t, k, s in found])
+
+    got = dealt.groupBy("x", "y").applyInPandas(sums, f"id {kind}, other int, s double")
     got = got.groupBy("id", "other").agg(F.sum("s").alias("s"))
     size = rows.groupBy("cluster").agg(F.count("*").alias("k"))
     means = got.join(F.broadcast(size), F.col("other") == F.col("cluster")).select("id", "other", "s", "k").join(rows.select("id", "cluster"), "id")

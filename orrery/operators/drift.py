@@ -31,14 +31,16 @@ def balls(points: DataFrame, block: int = BLOCK, pivots: int = PIVOTS) -> tuple[
     """Unit vectors in blocks about pivots, and the blocks' balls.
 
     The first table has (dominant_domain, file_path, u, b), the second (dominant_domain, b, centre, radius, n). A domain's pivots
-    are `pivots` of its points, by a hash: what is broadcast has a bound. A point goes to its nearest pivot, and a pivot's points to
+    are `pivots` of its points, by a hash, or as many as it fills blocks, if fewer: what is broadcast has a bound, and blocks aren't all but empty. A point goes to its nearest pivot, and a pivot's points to
     as many blocks of some `block` points as they need. Vectors of zeros have no direction: blocks of their own, without a centre.
     """
     import numpy as np
 
     unit = points.select("dominant_domain", "file_path", v.normalised(F.concat("lexical", "structural")).alias("u"))
     some = Window.partitionBy("dominant_domain").orderBy(F.xxhash64("file_path"), "file_path")
-    chosen = unit.where(v.norm(F.col("u")) > 0).withColumn("k", F.row_number().over(some)).where(F.col("k") <= pivots).collect()  # `pivots` a domain
+    full = points.groupBy("dominant_domain").agg(F.ceil(F.count("*") / block).alias("full"))
+    chosen = unit.where(v.norm(F.col("u")) > 0).withColumn("k", F.row_number().over(some)).where(F.col("k") <= pivots)  # `pivots` a domain
+    chosen = chosen.join(full, "dominant_domain").where(F.col("k") <= F.col("full")).select("dominant_domain", "file_path", "u", "k").collect()
     centres: dict[str, list] = {}
     for r in sorted(chosen, key=lambda r: r["k"]):
         centres.setdefault(r["dominant_domain"], []).append(r["u"])
