@@ -91,23 +91,27 @@ def hits(nodes: DataFrame, edges: DataFrame, most: int = 100, tolerance: float =
     return state.select("id", F.col("h").alias("hub_score"), F.col("a").alias("authority_score"))
 
 
-#: Rows of (source, node) that a batch of sources may have at most.
-ROWS = 50_000_000
+#: Rows of (source, node) that a batch of sources may have at most; places of sources by their hash; growth of a batch at most.
+ROWS, PLACES, GROWTH = 50_000_000, 1 << 40, 32
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame, rows: int = ROWS) -> DataFrame:
     """id, betweenness: shares of shortest paths (directed, unweighted) by accumulation from each source.
 
-    Sources go in batches, so that no more than about `rows` pairs of a source and a node are written at once. The levels of
+    Sources go in batches, so that no more than about `rows` pairs of a source and a node are written at once: the first one as if each
+    source reached all nodes, the next ones by twice what the sources of the last one did reach. The levels of
     all sources of a batch are found together, by one join a level, and what their nodes owe goes back the same way.
     """
     nodes, edges = kept(nodes.select("id"), "nodes"), kept(edges.select("src", "dst"), "edges")
-    n = nodes.count()
+    n, total = nodes.count(), None
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    batches, total = max(1, min(n, -(-n * n // rows))), None
-    for b in range(batches):
-        part = _from_sources(nodes.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == b), edges)
+    place, done, span = F.pmod(F.xxhash64("id"), F.lit(PLACES)), 0, max(1, min(PLACES, PLACES * rows // max(1, n * n)))
+    while done < PLACES:
+        part, sources, reached = _from_sources(nodes.where((place >= done) & (place < done + span)), edges)
         total = part if total is None else kept(total.unionByName(part).groupBy("id").agg(F.sum("b").alias("b")), "betweenness")
+        done += span
+        fits = PLACES * rows * sources // (2 * reached * n) if reached else span
+        span = max(1, min(fits, span * GROWTH))
     return nodes.join(total, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
 
 
@@ -117,14 +121,15 @@ def _counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return kept(df.observe(seen, F.count("*").alias("n")), name), seen.get["n"]
 
 
-def _from_sources(sources: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, b) summed over `sources`: a frontier of (source, node, paths) for each level, then back from the last one."""
+def _from_sources(sources: DataFrame, edges: DataFrame) -> tuple[DataFrame, int, int]:
+    """(id, b) summed over `sources`, their number, and that of the pairs of them and what they reach: a frontier of (source, node, paths) for each level, then back from the last one."""
     start, n = _counted(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")), "level")
-    levels, visited = [start], start.select("s", "v")
+    levels, visited, many, reached = [start], start.select("s", "v"), n, n
     while n:
         nxt = levels[-1].join(edges, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
         nxt, n = _counted(nxt.join(visited, ["s", "v"], "left_anti"), "level")
         levels.append(nxt)
+        reached += n
         visited = visited.unionByName(nxt.select("s", "v"))
     owed, total = None, None
     for here in reversed(levels):
@@ -136,7 +141,7 @@ def _from_sources(sources: DataFrame, edges: DataFrame) -> DataFrame:
         back = here.join(edges, F.col("v") == F.col("src")).join(w, ["s", "dst"]).groupBy("s", "v").agg(F.sum(F.col("paths") / F.col("wp") * (1.0 + F.col("owed"))).alias("o"))
         owed = kept(here.join(back, ["s", "v"], "left").select("s", "v", "paths", F.coalesce("o", F.lit(0.0)).alias("owed")), "owed")
         total = total.unionByName(owed.where("s <> v").groupBy(F.col("v").alias("id")).agg(F.sum("owed").alias("b")))
-    return kept(total.groupBy("id").agg(F.sum("b").alias("b")), "betweenness")
+    return kept(total.groupBy("id").agg(F.sum("b").alias("b")), "betweenness"), many, reached
 
 
 def centralities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
