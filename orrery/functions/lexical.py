@@ -44,10 +44,11 @@ def _fitted(terms: list[str] | None, default: list[str], width: int, filler: str
 
 
 def _frequencies(items: Column, vocabulary: list[str]) -> Column:
-    """The share of each term; items is computed once for all terms."""
+    """The share of each term; items is computed once for all terms, which are counted among those that are terms at all."""
     terms = F.array(*[F.lit(t) for t in vocabulary])
-    share = lambda x, t: F.size(F.filter(x, lambda w: w == t)) / F.greatest(F.size(x), F.lit(1))
-    return vectors.let(items, lambda x: F.transform(terms, lambda t: share(x, t)))
+    share = lambda known, n, t: F.size(F.filter(known, lambda w: w == t)) / n
+    known = lambda x: F.filter(x, lambda w: w.isin(vocabulary))
+    return vectors.let(items, lambda x: vectors.let(known(x), lambda k: F.transform(terms, lambda t: share(k, F.greatest(F.size(x), F.lit(1)), t))))
 
 
 def features(text: Column, vocabulary: list[str] | None = None, bigram_vocabulary: list[str] | None = None) -> Column:

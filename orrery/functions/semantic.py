@@ -47,7 +47,17 @@ def features(text: Column, domains: dict[str, list[str]] | None = None) -> Colum
     """A distribution over the domains; even if no keyword occurs."""
     domains = DOMAINS if domains is None else domains
     low = F.lower(text)
-    scores = F.array(*[tx.count(low, keyword_pattern(words)).cast("double") if words else F.lit(0.0) for words in domains.values()])
+    plain = {d: [w.lower() for w in words] for d, words in domains.items() if all(re.fullmatch(r"[a-z0-9_]+", w.lower()) for w in words)}
+    every = sorted({w for words in plain.values() for w in words})
+
+    def score(d: str, found: Column) -> Column:
+        if not domains[d]:
+            return F.lit(0.0)
+        n = F.size(F.filter(found, lambda x: x.isin(plain[d]))) if d in plain else tx.count(low, keyword_pattern(domains[d]))
+        return n.cast("double")
+
+    known = F.filter(tx.extract(low, tx.WORD, 0), lambda x: x.isin(every)) if every else F.array()
+    scores = vectors.let(known, lambda found: F.array(*[score(d, found) for d in domains]))
     even = F.array(*[F.lit(1.0 / len(domains)) for _ in domains])
     shares = lambda s, t: F.when(t > 0, F.transform(s, lambda x: x / t)).otherwise(even)
     return vectors.let(scores, lambda s: vectors.let(vectors.total(s), lambda t: shares(s, t)))

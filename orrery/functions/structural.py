@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +57,8 @@ NOT_OPERANDS = [
     "if", "else", "for", "while", "return", "function", "def", "class", "try", "catch", "throw", "raise", "import", "from", "export", "const", "let",
     "var", "in", "of", "and", "or", "not", "True", "False", "None", "true", "false", "null", "undefined",
 ]
+#: What a line that isn't blank begins with, and what is in no sign of OPERATORS.
+INDENT, NO_SIGNS = r"(?m)^([^\S\n]*)\S", r"[^-+*/%=!<>&|^~?:.,;()\[\]{}]+"
 IDENTIFIER, NUMBER = r"\b[a-zA-Z_][a-zA-Z0-9_]*\b", r"\b\d+\.?\d*\b"
 #: Comments and strings go in this order; strings leave their quotes.
 STRIPPED = [
@@ -75,15 +79,18 @@ def _capped(x: Column, most: float) -> Column:
 
 def average_indent(text: Column) -> Column:
     """Mean indent of lines that aren't blank, by four spaces and four levels."""
-    full = F.filter(tx.lines(text), lambda x: x.rlike(r"\S"))
-    widths = F.aggregate(full, F.lit(0.0), lambda s, x: s + F.length(F.regexp_extract(x, r"^\s*", 0)) / 4.0)
-    return F.when(F.size(full) > 0, F.least(widths / F.greatest(F.size(full), F.lit(1)) / 4.0, F.lit(1.0))).otherwise(F.lit(0.0))
+
+    def mean(indents: Column) -> Column:
+        n = F.size(indents)
+        return F.when(n > 0, F.least(tx.length_of(indents) / 4.0 / F.greatest(n, F.lit(1)) / 4.0, F.lit(1.0))).otherwise(F.lit(0.0))
+
+    return vectors.let(tx.extract(text, INDENT, 1), mean)
 
 
 def comment_ratio(text: Column) -> Column:
     found = None
     for p in COMMENTS:
-        n = F.aggregate(tx.extract(text, p, 0), F.lit(0), lambda s, x: s + F.length(x))
+        n = tx.length_of(tx.extract(text, p, 0))
         found = n if found is None else found + n
     return F.least(found / F.greatest(F.length(text), F.lit(1)), F.lit(1.0))
 
@@ -92,9 +99,21 @@ def stripped(text: Column) -> Column:
     return tx.replace_all(text, STRIPPED)
 
 
-def operands(text: Column) -> Column:
-    words = F.filter(tx.extract(text, IDENTIFIER, 0), lambda x: ~x.isin(NOT_OPERANDS))
-    return F.concat(words, tx.extract(text, NUMBER, 0))
+def operands(text: Column, words: Column) -> Column:
+    """Of a text and its identifiers."""
+    return F.concat(F.filter(words, lambda x: ~x.isin(NOT_OPERANDS)), tx.extract(text, NUMBER, 0))
+
+
+def decisions(text: Column) -> Column:
+    """Matches of all DECISIONS: keywords are counted among the text's words."""
+    words, others = _keywords(DECISIONS)
+    return F.size(F.filter(tx.extract(text, tx.WORD, 0), lambda x: x.isin(words))) + tx.counts(text, others)
+
+
+def _keywords(patterns: list[str]) -> tuple[list[str], list[str]]:
+    """The keywords w of patterns `\\bw\\b`, and the other patterns."""
+    found = [re.fullmatch(r"\\b(\w+)\\b", p) for p in patterns]
+    return [m[1] for m in found if m], [p for p, m in zip(patterns, found, strict=True) if not m]
 
 
 def halstead(n1: Column, n2: Column, big1: Column, big2: Column) -> list[Column]:
@@ -123,13 +142,17 @@ def coupling(text: Column) -> list[Column]:
 
 
 def _halstead_of(clean: Column) -> Column:
-    counts = F.array(*[tx.count(clean, p) for p in OPERATORS])
+    words, signs = _keywords(OPERATORS)  # signs are plain texts
+    bare = F.regexp_replace(clean, NO_SIGNS, " ")
 
-    def measures(c: Column, used: Column) -> Column:
-        n1, big1 = F.size(F.filter(c, lambda x: x > 0)), F.aggregate(c, F.lit(0), lambda s, x: s + x)
-        return F.array(*halstead(n1, F.size(F.array_distinct(used)), big1, F.size(used)))
+    def measures(c: Column, named: Column) -> Column:
+        known, used = F.filter(named, lambda x: x.isin(words)), operands(clean, named)
+        n1 = F.size(F.filter(c, lambda x: x > 0)) + F.size(F.array_distinct(known))
+        big1 = F.aggregate(c, F.lit(0), lambda s, x: s + x) + F.size(known)
+        return vectors.let(used, lambda u: F.array(*halstead(n1, F.size(F.array_distinct(u)), big1, F.size(u))))
 
-    return vectors.let(counts, lambda c: vectors.let(operands(clean), lambda used: measures(c, used)))
+    counts = vectors.let(bare, lambda b: F.array(*[tx.occurrences(b, re.sub(r"\\(.)", r"\1", p)) for p in signs]))
+    return vectors.let(counts, lambda c: vectors.let(tx.extract(clean, IDENTIFIER, 0), lambda named: measures(c, named)))
 
 
 def features(text: Column) -> Column:
@@ -142,7 +165,7 @@ def features(text: Column) -> Column:
         _capped(tx.counts(text, IMPORTS), 30.0),
         average_indent(text),
         comment_ratio(text),
-        F.least(tx.counts(text, DECISIONS) / F.greatest(loc, F.lit(1)) * 5.0, F.lit(1.0)),
+        F.least(decisions(text) / F.greatest(loc, F.lit(1)) * 5.0, F.lit(1.0)),
         _capped(tx.counts(text, EXPORTS), 15.0),
     )
     return F.concat(basic, vectors.let(stripped(text), _halstead_of), F.array(*coupling(text)))

@@ -5,19 +5,65 @@ Patterns are written once, in a dialect that Java and RE2 share; `(?m)` is alway
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import vectors
+
+#: A piece of a pattern: a class or place, an escaped character, a set, a bracket, a repetition, another sign, a plain character.
+PIECE = re.compile(r"\\(?P<kind>[A-Za-z0-9])|\\(?P<escaped>.)|(?P<set>\[\^?\]?(?:\\.|[^\]\\])*\])|(?P<bracket>[()])|(?P<often>[*+?]|\{[^}]*\})|(?P<sign>[.^$|])|(?P<plain>.)", re.S)
+#: A word as `\b` sees it: a keyword `\bw\b` occurs as often as `w` is one of these.
+WORD = r"\b[a-zA-Z0-9_]+\b"
+
 
 def java(pattern: str) -> str:
     """As Spark needs it: with (?d), a line ends at a line feed only."""
     return pattern.replace("(?m)", "(?md)", 1) if pattern.startswith("(?m)") else "(?d)" + pattern
 
 
+def literal(pattern: str) -> str:
+    """The longest plain text that is in all matches; empty where the pattern has none."""
+    runs, depth = [""], 0
+    for m in PIECE.finditer(pattern):
+        kind, at = m.lastgroup, m.group()
+        if kind == "bracket":
+            depth += 1 if at == "(" else -1
+        elif depth:
+            continue
+        elif at == "|":
+            return ""
+        elif kind in ("plain", "escaped"):
+            runs[-1] += m.group(kind)
+            continue
+        elif at == "\\b":
+            continue
+        elif kind == "often" and at != "+":
+            runs[-1] = runs[-1][:-1]
+        runs.append("")
+    return max(runs, key=len)
+
+
+def _lacks(text: Column, pattern: str) -> Column | None:
+    """Whether `text` can't match, as it lacks the pattern's literal(); looking for that is far cheaper than matching. Null of null."""
+    sign = literal(pattern)
+    return ~text.contains(F.lit(sign)) if sign else None
+
+
+def _unless(lacks: Column | None, none: Column, found: Column) -> Column:
+    return found if lacks is None else F.when(lacks, none).otherwise(found)
+
+
 def count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(java(pattern)))
+    return _unless(_lacks(text, pattern), F.lit(0), F.regexp_count(text, F.lit(java(pattern))))
+
+
+def occurrences(text: Column, plain: str) -> Column:
+    """How often a plain text occurs, counted from left to right like the matches of a pattern."""
+    left = F.octet_length(F.replace(text, F.lit(plain), F.lit("")))
+    return ((F.octet_length(text) - left) / len(plain.encode())).cast("int")
 
 
 def counts(text: Column, patterns: Iterable[str]) -> Column:
@@ -30,16 +76,22 @@ def counts(text: Column, patterns: Iterable[str]) -> Column:
 
 
 def extract(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(text, F.lit(java(pattern)), group)
+    none = F.expr("cast(array() as array<string>)")
+    return _unless(_lacks(text, pattern), none, F.regexp_extract_all(text, F.lit(java(pattern)), group))
 
 
 def replace_all(text: Column, steps: Iterable[tuple[str, str]]) -> Column:
     """The replacements one after the other."""
     for pattern, by in steps:
-        text = F.regexp_replace(text, java(pattern), by)
+        text = vectors.let(text, lambda t, pattern=pattern, by=by: _unless(_lacks(t, pattern), t, F.regexp_replace(t, java(pattern), by)))
     return text
 
 
+def length_of(parts: Column) -> Column:
+    """Characters of all texts of an array."""
+    return F.length(F.array_join(parts, ""))
+
+
 def lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
