@@ -16,22 +16,27 @@ LATEST, LEAST, DEFAULT, DEVIATIONS, LOW, HIGH = 20, 3, 0.15, 2.0, 0.05, 0.50
 STATUSES = ("detected", "reviewed", "resolved", "ignored")
 
 
+AXES = ("lexical", "structural", "semantic")
+
+
+def movement(old: str, new: str) -> dict[str, Column]:
+    """A delta's positions, magnitude, changes of axes and the axis of the largest one, of a row with the axes of both points: their names begin with `old` and `new`."""
+    a, b = ([F.col(f"{p}{x}") for x in AXES] for p in (old, new))
+    was, now = F.concat(*a), F.concat(*b)
+    changes = {f"{x}_change": v.euclidean(*v.aligned(p, q)) for x, p, q in zip(AXES, a, b, strict=True)}
+    return {"old_position": was, "new_position": now, "movement_magnitude": v.euclidean(*v.aligned(was, now)), **changes}
+
+
+def dominant() -> Column:
+    """The first axis of the largest change."""
+    return v.argmax_name(list(AXES), F.array(*[F.col(f"{x}_change") for x in AXES]))
+
+
 def deltas(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """A delta for each point of both snapshots: how far it moved, in all and by axis."""
-    axes = ("lexical", "structural", "semantic")
-    a = old.select("id", position().alias("old_position"), *[F.col(x).alias(f"_{x}") for x in axes])
-    b = new.select("id", position().alias("new_position"), *axes)
-    moved = {x: v.euclidean(*v.aligned(F.col(f"_{x}"), F.col(x))) for x in axes}
-    rows = a.join(b, "id").select(
-        F.col("id").alias("code_point_id"),
-        "old_position",
-        "new_position",
-        v.euclidean(*v.aligned(F.col("old_position"), F.col("new_position"))).alias("movement_magnitude"),
-        *[m.alias(f"{x}_change") for x, m in moved.items()],
-        now.alias("created_at"),
-    )
-    dominant = v.argmax_name(list(axes), F.array(*[F.col(f"{x}_change") for x in axes]))
-    return rows.select(pair_id(F.col("code_point_id"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("id"), "*", dominant.alias("dominant_change"))
+    a = old.select("id", *[F.col(x).alias(f"_{x}") for x in AXES])
+    rows = a.join(new.select("id", *AXES), "id").select(F.col("id").alias("code_point_id"), *[c.alias(n) for n, c in movement("_", "").items()], now.alias("created_at"))
+    return rows.select(pair_id(F.col("code_point_id"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("id"), "*", dominant().alias("dominant_change"))
 
 
 def changed(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orrery.functions import text as tx
 from orrery.functions import vectors as v
 from orrery.operators.index import pair_id, position
+from orrery.plans.store import kept
 
 # Languages of extensions, import patterns, and endings that are tried, in order.
 LANGUAGES = {
@@ -94,7 +95,7 @@ def resolve(found: DataFrame, files: DataFrame) -> DataFrame:
 
 def detect(files: DataFrame, points: DataFrame, now: Column) -> DataFrame:
     """Contracts of `files` (file_path, content) between `points`; the baseline is the euclidean distance."""
-    found = files.select(F.col("file_path").alias("caller"), F.explode(imports(F.col("content"), F.col("file_path"))).alias("target"))
+    found = kept(files.select(F.col("file_path").alias("caller"), F.explode(imports(F.col("content"), F.col("file_path"))).alias("target")), "imports")
     edges = resolve(found, files).where("caller <> callee").select("caller", "callee").distinct()
     p = points.select("file_path", "id", position().alias("pos"))
     a = p.select(F.col("file_path").alias("caller"), F.col("id").alias("caller_id"), F.col("pos").alias("_a"))

@@ -32,11 +32,11 @@ def position(p: str = "") -> Column:
     return F.concat(c("lexical"), c("structural"), c("semantic"))
 
 
-def code_points(files: DataFrame, now: Column, domains: dict[str, list[str]] | None = None) -> DataFrame:
-    """Points of `files` (file_path, content): one projection, no shuffle."""
+def code_points(files: DataFrame, now: Column, domains: dict[str, list[str]] | None = None, id_: Column | None = None) -> DataFrame:
+    """Points of `files` (file_path, content): one projection, no shuffle. `now` may be of their columns, and so may `id_`, where they have the point's id."""
     content = F.col("content")
     vectors = files.select(
-        point_id(F.col("file_path")).alias("id"),
+        (point_id(F.col("file_path")) if id_ is None else id_).alias("id"),
         "file_path",
         F.lit(None).cast("string").alias("function_name"),
         lexical.features(content).alias("lexical"),
@@ -44,8 +44,10 @@ def code_points(files: DataFrame, now: Column, domains: dict[str, list[str]] | N
         semantic.features(content, domains).alias("semantic"),
         content_hash(content).alias("content_hash"),
         F.size(tx.lines(content)).alias("line_count"),
+        now.alias("created_at"),
     )
-    return vectors.withColumns({"dominant_domain": semantic.dominant_domain(F.col("semantic"), domains), "created_at": now, "updated_at": now})
+    dominant = semantic.dominant_domain(F.col("semantic"), domains).alias("dominant_domain")
+    return vectors.select(*[c for c in vectors.columns if c != "created_at"], dominant, "created_at", F.col("created_at").alias("updated_at"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("file_path",)) -> DataFrame:

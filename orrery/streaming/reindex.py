@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from orrery.operators import changes, index
-from orrery.plans.store import kept
+from orrery.plans.store import dealt, kept
 
 EMPTY = {
     "points": "id string, file_path string, function_name string, lexical array<double>, structural array<double>, semantic array<double>, content_hash string, line_count int, dominant_domain string, created_at timestamp, updated_at timestamp, recent array<double>",
@@ -24,9 +24,10 @@ EMPTY = {
 
 
 def latest(files: DataFrame) -> DataFrame:
-    """Of several versions of a file (file_path, content, updated_at), the latest."""
-    last = Window.partitionBy("file_path").orderBy(F.desc("updated_at"), F.desc("content"))
-    return files.where("file_path is not null").withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
+    """Of several versions of a file (file_path, content, updated_at), the latest. They are dealt by `id`, the point's, to all cores: their texts are worked on next."""
+    last = Window.partitionBy("id", "file_path").orderBy(F.desc("updated_at"), F.desc("content"))
+    named = dealt(files.where("file_path is not null").withColumn("id", index.point_id(F.col("file_path"))), "id")
+    return named.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
 
 
 def threshold(recent: Column) -> Column:
@@ -38,16 +39,15 @@ def threshold(recent: Column) -> Column:
 
 
 def movements(files: DataFrame, points: DataFrame, domains: dict[str, list[str]] | None = None) -> DataFrame:
-    """The points of `files` (one version each) with `known` (a point of `points` has the id), and for those the delta's columns.
+    """The points of `files` (from latest()) with `known` (a point of `points` has the id), and for those the delta's columns.
 
     What is new has no delta. `recent` holds the magnitudes up to and with this one. Points that moved less than 0.01 are left out: they stay as they were, and so does their content hash.
     """
-    stamps = files.select("file_path", F.col("updated_at").cast("timestamp").alias("_at"))
-    new = index.code_points(files, F.lit(None).cast("timestamp"), domains).join(stamps, "file_path")
-    new = new.withColumns({"created_at": F.col("_at"), "updated_at": F.col("_at")}).drop("_at")
-    born = points.select("id", F.col("created_at").alias("_born"), F.col("recent").alias("_recent"))
-    moved = changes.deltas(points, new, F.lit(None).cast("timestamp")).drop("id", "created_at").withColumnRenamed("code_point_id", "id")
-    rows = new.join(born, "id", "left").join(moved, "id", "left").withColumn("known", F.col("_born").isNotNull())
+    new = index.code_points(files, F.col("updated_at").cast("timestamp"), domains, F.col("id"))
+    old = points.select("id", F.col("created_at").alias("_born"), F.col("recent").alias("_recent"), *[F.col(x).alias(f"_{x}") for x in changes.AXES])
+    rows = new.join(old, "id", "left").withColumn("known", F.col("_born").isNotNull())
+    rows = rows.withColumns({n: F.when(F.col("known"), c) for n, c in changes.movement("_", "").items()})
+    rows = rows.withColumn("dominant_change", F.when(F.col("known"), changes.dominant())).drop("new_position", *[f"_{x}" for x in changes.AXES])  # it is in the axes
     rows = rows.where(~F.col("known") | (F.col("movement_magnitude") >= changes.UNCHANGED))
     grown = F.concat(F.col("_recent"), F.array("movement_magnitude"))
     recent = F.when(F.col("known"), F.slice(grown, F.greatest(F.lit(1), F.size(grown) - changes.LATEST + 1), F.lit(changes.LATEST))).otherwise(F.array().cast("array<double>"))
@@ -57,7 +57,7 @@ def movements(files: DataFrame, points: DataFrame, domains: dict[str, list[str]]
 def deltas_of(moved: DataFrame) -> DataFrame:
     """Delta rows of movements()."""
     stamp = F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    names = ["old_position", "new_position", "movement_magnitude", "lexical_change", "structural_change", "semantic_change"]
+    names = ["old_position", index.position().alias("new_position"), "movement_magnitude", "lexical_change", "structural_change", "semantic_change"]
     return moved.where("known").select(index.pair_id(F.col("id"), stamp).alias("id"), F.col("id").alias("code_point_id"), *names, F.col("updated_at").alias("created_at"), "dominant_change")
 
 
@@ -110,15 +110,17 @@ class Store:
     def _buckets_of(self, ids: DataFrame) -> set[int]:
         return {r[0] for r in ids.select(self.bucket(F.col("id"))).distinct().collect()}  # at most `buckets` numbers
 
-    def _rewrite(self, batch: int, gone: DataFrame, rows: DataFrame) -> None:
-        """New content of the buckets of `gone` and `rows`: without the points `gone` (id), with `rows`."""
-        touched = self._buckets_of(gone.unionByName(rows.select("id")))
+    def _rewrite(self, batch: int, gone: DataFrame | None, rows: DataFrame | None) -> None:
+        """New content of buckets: those of `gone` (id) without these points, or those of `rows` with these in place of what had their ids."""
+        ids = gone if rows is None else rows.select("id")
+        touched = self._buckets_of(ids)
         if touched:
             names = self.spark.createDataFrame([], EMPTY["points"]).columns
-            after = self.points(batch, touched).join(gone.unionByName(rows.select("id")), "id", "left_anti").select(*names).unionByName(rows.select(*names))
+            after = self.points(batch, touched).join(ids, "id", "left_anti").select(*names)
+            empty = touched - self._buckets_of(after) if rows is None else set()  # where a point is put, a bucket has it
+            after = after if rows is None else after.unionByName(rows.select(*names))
             placed = after.withColumns({"bucket": self.bucket(F.col("id")), "batch": F.lit(batch)})
-            empty = touched - self._buckets_of(after)
-            self._write("points", placed.repartition("bucket"), ["bucket", "batch"])
+            self._write("points", placed.repartition(4 * self.buckets, "bucket"), ["bucket", "batch"])  # so many that few tasks have two buckets
             for b in empty:  # all of its points went: an empty partition says so
                 self.spark.createDataFrame([], EMPTY["points"]).write.mode("overwrite").parquet(f"{self.root}/points/bucket={b}/batch={batch}")
 
@@ -129,7 +131,7 @@ class Store:
         tensions are looked for, and its point is replaced. Null paths count for nothing.
         """
         new = latest(files)
-        ids = new.select(index.point_id(F.col("file_path")).alias("id"))
+        ids = files.where("file_path is not null").select(index.point_id(F.col("file_path")).alias("id"))
         moved = kept(movements(new, self.points(batch, self._buckets_of(ids)), domains), "moved")
         self._write("deltas", deltas_of(moved).withColumn("batch", F.lit(batch)), ["batch"])
         known = moved.where("known").select(F.col("id").alias("callee_id"))
@@ -138,12 +140,12 @@ class Store:
         around = self.points(batch, self._buckets_of(callers)).join(callers, "id", "left_semi").join(moved.select("id"), "id", "left_anti")
         after = around.unionByName(moved.select(*around.columns))
         self._write("tensions", tensions_of(moved, asked, after).withColumn("batch", F.lit(batch)), ["batch"])
-        self._rewrite(batch, moved.select("id").limit(0), moved)
+        self._rewrite(batch, None, moved)
 
     def prune(self, present: DataFrame, batch: int) -> DataFrame:
         """Drop the points whose file isn't in `present` (file_path); returns their ids. Only their buckets are written."""
         gone = kept(index.stale(self.points(batch), present).select("id"), "gone")
-        self._rewrite(batch, gone, self.spark.createDataFrame([], EMPTY["points"]))
+        self._rewrite(batch, gone, None)
         return gone
 
     def vacuum(self, keep: int = 2) -> int:
