@@ -9,9 +9,9 @@ their first `length` bytes with a suffix of another document are.
 2. An anchor that may repeat is sent, with the bytes around it, to the owner of its hash. Of equal surroundings, byte
    by byte, in a task only that of the smallest id goes on; the others are known repeats in whole.
 3. The owner sorts the suffixes that begin at each place of its surroundings. Their initial buckets are by
-   their first 8 bytes. A bucket of several suffixes is refined by sorting on the bucket pointers of the suffixes that begin 8
-   bytes later. Places are taken from the last one to the first, so those pointers are refined already, and a
-   sort on them sorts by all bytes that follow. A bucket of one suffix is finished.
+   their first byte. A bucket is refined by the bucket pointers of the suffixes that begin one
+   byte later. Places are taken from the last one to the first, so those pointers are refined already, and suffixes that are
+   dealt to their buckets in the order of these pointers are sorted by all bytes that follow: one stable pass refines all buckets of a place.
 4. Neighbours in this order that share their first `length` bytes, compared byte by byte, are equal strings. One that starts
    in a document of a larger id than another one is removed.
 """
@@ -32,10 +32,12 @@ from .shared import partitions, tune
 
 #: Bytes of an anchor, and anchors that a task holds before it sends them.
 Q, FLUSH = 20, 200_000
+#: Bytes of text whose anchors are looked for at once: their hashes stay in a core's cache.
+SLICE = 1 << 17
 #: Surroundings that are refined at once; more are split by the anchor's hash. One anchor's are together: some 200 bytes each.
-REFINED = 100_000
-#: Bytes of the initial buckets.
-FIRST = 8
+REFINED = 20_000
+#: Least length of strings.
+LEAST = Q + 8
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,54 +70,30 @@ def surroundings(data: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
 _VEC = tk.powers(0x2545F4914F6CDD1D, 4096)
 
 
+def _words(rows: np.ndarray) -> np.ndarray:
+    """The rows' bytes, eight at a time, filled up with zeros."""
+    return np.ascontiguousarray(np.pad(rows, ((0, 0), (0, -rows.shape[1] % 8)))).view("<u8")
+
+
 def _row_hash(rows: np.ndarray) -> np.ndarray:
     """64-bit hash of each row of bytes."""
-    n = rows.shape[1]
-    fill = -n % 8
-    wide = np.ascontiguousarray(np.pad(rows, ((0, 0), (0, fill)))).view("<u8")
+    wide = _words(rows)
     out = np.zeros(len(rows), np.uint64)
     for i in range(wide.shape[1]):
         out = tk.mix((out ^ wide[:, i]) * _VEC[1] + np.uint64(i))
     return out
 
 
-def _buckets(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the keys, and in that order a mask of each bucket's first."""
-    order = np.argsort(key, kind="stable")
-    s = key[order]
-    return order, np.r_[True, s[1:] != s[:-1]]
-
-
 def refine(rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """For each place, from the last to the first, the order of the suffixes that begin there, by all bytes to the row's end.
 
-    rows: surroundings of equal width. A suffix's bucket pointer is the last place of its bucket in that order.
+    rows: surroundings of equal width. The order of a place holds its suffixes by their pointers; dealt in this order, stably, to the
+    buckets of the place before, by one byte each, they are refined there.
     """
-    m, width = rows.shape
-    last = width - FIRST
-    pointers: dict[int, np.ndarray] = {}
-    for c in range(last, -1, -1):
-        gram = np.ascontiguousarray(rows[:, c : c + FIRST]).view(">u8").ravel().astype(np.uint64)
-        order, fresh = _buckets(gram)
-        start = np.flatnonzero(fresh)
-        size = np.diff(np.r_[start, m])
-        bucket = np.repeat(np.arange(len(start)), size)
-        later = pointers.get(min(c + FIRST, last))
-        if later is not None:  # refine the buckets of several suffixes
-            several = np.flatnonzero((size > 1)[bucket])
-            if len(several):
-                here = order[several]
-                by = np.argsort(bucket[several].astype(np.int64) * m + later[here], kind="stable")
-                order[several] = here[by]
-                tail = later[order]
-                fresh |= np.r_[True, tail[1:] != tail[:-1]]
-                start = np.flatnonzero(fresh)
-                size = np.diff(np.r_[start, m])
-        pointer = np.empty(m, np.int64)
-        pointer[order] = np.repeat(start + size - 1, size)
-        pointers[c] = pointer  # used at once by the places before
-        if c + FIRST < last:
-            pointers.pop(c + FIRST, None)
+    letters = np.ascontiguousarray(rows.T)
+    order = np.arange(len(rows))
+    for c in range(len(letters) - 1, -1, -1):
+        order = order[np.argsort(letters[c][order], kind="stable")]  # of bytes: a radix sort, linear
         yield c, order
 
 
@@ -126,7 +104,8 @@ def _merge_equal(anchor: np.ndarray, rows: np.ndarray, left: np.ndarray, right:
     s = h[order]
     fresh = np.r_[True, s[1:] != s[:-1]]
     lead = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-    same = (anchor[order] == anchor[lead]) & (rows[order] == rows[lead]).all(axis=1) & (left[order] == left[lead]) & (right[order] == right[lead])
+    wide = _words(rows)
+    same = (anchor[order] == anchor[lead]) & (wide[order] == wide[lead]).all(axis=1) & (left[order] == left[lead]) & (right[order] == right[lead])
     return order, np.where(same, lead, order)  # hashes that collide lead themselves
 
 
@@ -135,7 +114,7 @@ def repeated_spans(docs: DataFrame, length: int, max_bits: int = sketch.MAX_BITS
     reach = length - Q
     n_ranges = partitions(docs.sparkSession)
     bits = sketch.bits_for(sketch.text_bytes(docs, "text") * 2 // (reach + 2), load=0.5, max_bits=max_bits)
-    slices = lambda batches: tk.chunks(batches, "text")
+    slices = lambda batches: tk.chunks(batches, "text", SLICE)
 
     def hashes(part: pa.RecordBatch) -> np.ndarray:
         data, off = tk.column(part, "text")
@@ -223,8 +202,8 @@ def repeated_spans(docs: DataFrame, length: int, max_bits: int = sketch.MAX_BITS
             out[order, c] = inside & (ids[order] > least[np.cumsum(fresh) - 1])
         return out
 
-    def solve(h, rows, left, right, doc, pos, ids, ths) -> Iterator[pa.RecordBatch]:
-        """Anchors of some q-grams' hashes, with all of each hash."""
+    def solve(h, rows, left, right, doc, pos, ids) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Starts, ends and documents of the spans of anchors of some q-grams' hashes, with all of each hash."""
         order = np.argsort(h, kind="stable")
         s, d = h[order], ids[doc[order]]
         fresh = np.r_[True, s[1:] != s[:-1]]
@@ -239,7 +218,7 @@ def repeated_spans(docs: DataFrame, length: int, max_bits: int = sketch.MAX_BITS
         rest = order[after]
         if len(rest):
             start, end = whole(pos[rest], left[rest].astype(np.int64), right[rest].astype(np.int64))
-            yield spans.sent(ids, ths, doc[rest], start, end, n_ranges)
+            yield tk.merged(start, end, doc[rest])
         # what is left: one surrounding of each kind, and places in the leader's own document
         own = np.unique(lead)
         mark = resolve(rows[own], left[own], right[own], ids[doc[own]])
@@ -250,7 +229,7 @@ def repeated_spans(docs: DataFrame, length: int, max_bits: int = sketch.MAX_BITS
         r, c = np.nonzero(m)
         if len(r):
             start = pos[mine[r]] - reach + c
-            yield spans.sent(ids, ths, doc[mine[r]], start, start + length, n_ranges)
+            yield tk.merged(start, start + length, doc[mine[r]])
 
     def group(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         cols: list[list[np.ndarray]] = [[] for _ in range(8)]
@@ -270,11 +249,19 @@ def repeated_spans(docs: DataFrame, length: int, max_bits: int = sketch.MAX_BITS
             return
         h, rows, left, right, doc, pos, ids, ths = (np.concatenate(c) for c in cols)
         parts = -(-len(h) // refined)
-        lot = tk.mix(h.astype(np.uint64)) % np.uint64(parts)
-        for p in range(parts):
-            i = np.flatnonzero(lot == p)
-            if len(i):
-                yield from solve(h[i], rows[i], left[i], right[i], doc[i], pos[i], ids, ths)
+        lot = (tk.mix(h.astype(np.uint64)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+        order = np.argsort(lot, kind="stable")
+        cuts = np.searchsorted(lot[order], np.arange(parts + 1))
+        found, size = [], 0
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            i = order[a:z]
+            for runs in solve(h[i], rows[i], left[i], right[i], doc[i], pos[i], ids) if len(i) else ():
+                found.append(runs)
+                size += len(runs[0])
+            if found and (size >= FLUSH or z == len(order)):
+                start, end, row = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield spans.sent(ids, ths, row, start, end, n_ranges)
+                found, size = [], 0
 
     def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
@@ -300,8 +287,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lose nothing and make no other row lose anything; rows that repeat an id are one document's.
     Other columns of `docs` aren't read.
     """
-    if length < Q + FIRST:
-        raise ValueError(f"length must be {Q + FIRST} or more")
+    if length < LEAST:
+        raise ValueError(f"length must be {LEAST} or more")
     tune(docs.sparkSession)
     rows = spans.keyed(docs, id_col, text_col)
     full = spans.gathered(rows, repeated_spans(rows, length, max_bits, flush, refined))
