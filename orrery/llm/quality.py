@@ -86,28 +86,71 @@ def _bins(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.stack([np.searchsorted(e, v, "right") + i * (len(e) + 1) for i, (e, v) in enumerate(zip(edges, values.T, strict=True))], axis=1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float, turns: int = 200) -> tuple[np.ndarray, float]:
+class Ones:
+    """A matrix of 0 and 1 by the places of its ones: the driver's samples take some bytes for each feature that a row has."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, shape: tuple[int, int]):
+        self.row, self.col, self.shape = row, col, shape
+
+    @classmethod
+    def of(cls, rows: list[bytes], width: int) -> Ones:
+        """Of packed rows, a few at a time."""
+        found = [np.zeros((2, 0), np.int32)]
+        for at in range(0, len(rows), 256):
+            packed = np.frombuffer(b"".join(rows[at : at + 256]), np.uint8).reshape(-1, -(-width // 8))
+            found.append(np.stack(np.nonzero(np.unpackbits(packed, axis=1)[:, :width])).astype(np.int32) + np.array([[at], [0]], np.int32))
+        return cls(*np.concatenate(found, axis=1), (len(rows), width))
+
+    def take(self, rows: np.ndarray) -> Ones:
+        """Different rows, in their order here."""
+        place = np.full(self.shape[0], -1, np.int32)
+        place[rows] = np.arange(len(rows))
+        row = place[self.row]
+        return Ones(row[row >= 0], self.col[row >= 0], (len(rows), self.shape[1]))
+
+    def above(self, other: Ones) -> Ones:
+        return Ones(np.r_[self.row, other.row + np.int32(self.shape[0])], np.r_[self.col, other.col], (self.shape[0] + other.shape[0], self.shape[1]))
+
+    @property
+    def T(self) -> Ones:
+        return Ones(self.col, self.row, self.shape[::-1])
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=v[self.col], minlength=self.shape[0])
+
+    def astype(self, kind: type) -> np.ndarray:
+        """The whole matrix."""
+        out = np.zeros(self.shape, kind)
+        out[self.row, self.col] = 1
+        return out
+
+    def squares(self) -> np.ndarray:
+        """The sum of squares of each row."""
+        return np.bincount(self.row, minlength=self.shape[0]).astype(float)
+
+
+def logistic(x: np.ndarray | Ones, y: np.ndarray, w: np.ndarray, ridge: float, turns: int = 200) -> tuple[np.ndarray, float]:
     """Weights and bias by accelerated gradient steps; each class weighs the same."""
     w = w * np.where(y > 0.5, 0.5 / max(1e-9, (w * (y > 0.5)).sum()), 0.5 / max(1e-9, (w * (y <= 0.5)).sum()))
-    lip = 0.25 * float(w @ np.einsum("ij,ij->i", x, x)) + 0.25 + ridge
+    lip = 0.25 * float(w @ (x.squares() if isinstance(x, Ones) else np.einsum("ij,ij->i", x, x))) + 0.25 + ridge
     step = 1 / min(lip, 0.25 * _top(x, w) + 0.25 + ridge)
     b, c, pb, pc, t = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0, 1.0
     for _ in range(turns):
-        p = 1 / (1 + np.exp(-np.clip(x @ pb.astype(x.dtype) + pc, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ pb + pc, -30, 30)))
         g = w * (p - y)
-        nb, nc = pb - step * (x.T @ g.astype(x.dtype) + ridge * pb), pc - step * g.sum()
+        nb, nc = pb - step * (x.T @ g + ridge * pb), pc - step * g.sum()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         pb, pc = nb + (t - 1) / nt * (nb - b), nc + (t - 1) / nt * (nc - c)
         b, c, t = nb, nc, nt
     return b, float(c)
 
 
-def _top(x: np.ndarray, w: np.ndarray) -> float:
+def _top(x: np.ndarray | Ones, w: np.ndarray) -> float:
     """Largest eigenvalue of x' diag(w) x, a little over."""
-    v = np.ones(x.shape[1], x.dtype) / np.sqrt(max(1, x.shape[1]))
+    v = np.ones(x.shape[1]) / np.sqrt(max(1, x.shape[1]))
     top = 1.0
     for _ in range(30):
-        u = x.T @ (w.astype(x.dtype) * (x @ v))
+        u = x.T @ (w * (x @ v))
         top = float(np.linalg.norm(u)) or 1.0
         v = u / top
     return 1.1 * top + 1e-6
@@ -284,21 +327,21 @@ def _frame(counts: DataFrame, words: int) -> Frame | None:
     return Frame(np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.uint64), edges)
 
 
-def _bits(batch: pa.RecordBatch | pa.Table, widths: tuple[int, int]) -> list[np.ndarray]:
-    """The rows' features in both views, a byte each."""
+def _ones(table: pa.Table, widths: tuple[int, int]) -> list[Ones]:
+    """The rows' features in both views."""
+    return [Ones.of(table[name].to_pylist(), width) for name, width in zip(("x0", "x1"), widths, strict=True)]
+
+
+def _unpacked(batch: pa.RecordBatch, widths: tuple[int, int]) -> list[np.ndarray]:
+    """The rows' features in both views, as float32 matrices."""
     out = []
     for name, width in zip(("x0", "x1"), widths, strict=True):
         rows = batch[name].to_pylist()
         packed = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -(-width // 8))
-        out.append(np.unpackbits(packed, axis=1)[:, :width])
+        out.append(np.unpackbits(packed, axis=1)[:, :width].astype(np.float32))
     return out
 
 
-def _unpacked(batch: pa.RecordBatch | pa.Table, widths: tuple[int, int]) -> list[np.ndarray]:
-    """The rows' features in both views, as float32 matrices."""
-    return [x.astype(np.float32) for x in _bits(batch, widths)]
-
-
 def feature_rows(rows: DataFrame, frame: Frame) -> DataFrame:
     """_id, good, clean, x0, x1: labels and packed features of `rows` (_id, text, meta, good, clean), one row an id; rows
     without one are left out."""
@@ -370,21 +413,20 @@ def cotrain(rows: DataFrame, target: str, frame: Frame, labelled: int, pool: int
     y = got["y"].to_numpy().astype(float)
     if len(set(y)) < 2:
         return None
-    x = _bits(got, frame.widths)  # floats are made for each use, so that the driver holds those of one view at a time
+    x = _ones(got, frame.widths)
     fold = tk.mix(got["_id"].to_numpy().view(np.uint64) + np.uint64(5)) % np.uint64(4) == 0
     kept, fit = np.flatnonzero(fold), np.flatnonzero(~fold)
     if min(len(set(y[kept])), len(set(y[fit]))) < 2:
         kept = fit = np.arange(len(y))
     free = rows.where(F.col(target).isNull()).select("_id", "x0", "x1")
-    pseudo = [(p[:0], np.zeros(0)) for p in x]  # for each view, from the other one
+    pseudo = [(p.take(fit[:0]), np.zeros(0)) for p in x]  # for each view, from the other one
     for turn in range(rounds + 1):
         fitted = []
         for v in (0, 1):
             extra, label = pseudo[v]
             w = np.r_[np.ones(len(fit)), np.full(len(label), 0.5)]
-            fitted.append(logistic(np.concatenate([x[v][fit], extra], dtype=np.float32), np.r_[y[fit], label], w, ridge))
-        raw = [x[v].astype(np.float32) @ fitted[v][0].astype(np.float32) + fitted[v][1] for v in (0, 1)]
-        tk.released()
+            fitted.append(logistic(x[v].take(fit).above(extra), np.r_[y[fit], label], w, ridge))
+        raw = [x[v] @ fitted[v][0] + fitted[v][1] for v in (0, 1)]
         scale = [_platt(raw[v][kept], y[kept]) for v in (0, 1)]
         if turn < rounds:
             pseudo = _pseudo_labelled(free, Model(fitted, scale, (np.zeros(2), 0.0)), frame, (turn + 1) * pool, confident)
@@ -392,7 +434,7 @@ def cotrain(rows: DataFrame, target: str, frame: Frame, labelled: int, pool: int
     return Model(fitted, scale, logistic(both[kept], y[kept], np.ones(len(kept)), 1e-4)), set(got["_id"].to_numpy()[fit].tolist())
 
 
-def _pseudo_labelled(free: DataFrame, model: Model, frame: Frame, most: int, confident: float) -> list[tuple[np.ndarray, np.ndarray]]:
+def _pseudo_labelled(free: DataFrame, model: Model, frame: Frame, most: int, confident: float) -> list[tuple[Ones, np.ndarray]]:
     """For each view the features and labels of rows on which the other one is sure: of all `free` rows, `most` a class."""
     shared = free.sparkSession.sparkContext.broadcast(pickle.dumps((model, frame.widths)))
 
@@ -413,9 +455,9 @@ def _pseudo_labelled(free: DataFrame, model: Model, frame: Frame, most: int, con
     chosen = shared_table(low.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).select("_id", "view", "y"), "chosen")
     got = free.join(F.broadcast(chosen), "_id").toArrow().sort_by([("view", "ascending"), ("_id", "ascending")])  # 4 * most rows at most
     dropped(every, chosen)
-    x = _bits(got, frame.widths)
+    x = _ones(got, frame.widths)
     view, y = got["view"].to_numpy(), got["y"].to_numpy().astype(float)
-    return [(x[v][view == v], y[view == v]) for v in (0, 1)]
+    return [(x[v].take(np.flatnonzero(view == v)), y[view == v]) for v in (0, 1)]
 
 
 def _set_limits(models: dict[str, Model], rows: DataFrame, taken: set[int], frame: Frame) -> None:
@@ -437,12 +479,13 @@ def _set_limits(models: dict[str, Model], rows: DataFrame, taken: set[int], fram
                     at = np.minimum(BINS - 1, one.of_rows(x)[2] * BINS).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array([t] * len(at)), batch.column(t), pa.array(at)], names=["target", "label", "at"])
 
-    counts = outside.mapInArrow(bins, "target string, label int, at int").where("label is not null").groupBy("target", "label", "at").agg(F.count("*").alias("n")).collect()
+    counts = outside.mapInArrow(bins, "target string, label int, at int").where("label is not null").groupBy("target", "label", "at").agg(F.count("*").alias("n")).toArrow()
+    of = np.array(counts["target"].to_pylist(), object)
+    label, at, number = (counts[c].to_numpy() for c in ("label", "at", "n"))
     for target, model in models.items():
         n = np.zeros((2, BINS), np.int64)
-        for r in counts:
-            if r["target"] == target:
-                n[r["label"], r["at"]] = r["n"]
+        mine = of == target
+        n[label[mine], at[mine]] = number[mine]
         model.limit = _limit(n)
 
 
