@@ -115,7 +115,45 @@ class Encoder:
             extend(get(match) or piece(match))
 
 
+def merged_length(piece: bytes, ranks: dict[bytes, int]) -> int:
+    """How many ids merge() gives, for short pieces: the pairs' ranks are in a list whose least one, the leftmost, is looked for anew after each merge."""
+    get, n = ranks.get, len(piece)
+    cuts = list(range(n + 1))  # a token is piece[cuts[i]:cuts[i + 1]]
+    pairs = [get(piece[i : i + 2], _NONE) for i in range(n - 1)]
+    while pairs and (least := min(pairs)) < _NONE:
+        i = pairs.index(least)
+        del cuts[i + 1], pairs[i]
+        if i:
+            pairs[i - 1] = get(piece[cuts[i - 1] : cuts[i + 1]], _NONE)
+        if i < len(pairs):
+            pairs[i] = get(piece[cuts[i] : cuts[i + 2]], _NONE)
+    return len(cuts) - 1
+
+
+class Lengths(dict):
+    """Numbers of ids of matches, kept for recent ones. No ids are made, and short matches need no tree."""
+
+    def __init__(self, path: str, pattern: str, remember: int = 500_000, longest: int = 64):
+        import regex
+
+        super().__init__()
+        self.ranks, self.split, self.remember, self.longest = load_ranks(path), regex.compile(pattern).findall, remember, longest
+
+    def __missing__(self, match: str) -> int:
+        raw = match.encode()
+        n = 1 if raw in self.ranks else merged_length(raw, self.ranks) if len(raw) <= self.longest else len(merge(raw, self.ranks))
+        if len(match) <= self.longest:
+            self[match] = n
+        return n
+
+    def of(self, text: str) -> int:
+        if len(self) >= self.remember:
+            self.clear()
+        return sum(map(self.__getitem__, self.split(text)))
+
+
 _encoders: dict[tuple[str, str], Encoder] = {}
+_lengths: dict[tuple[str, str], Lengths] = {}
 
 
 def encoder(path: str, pattern: str) -> Encoder:
@@ -126,6 +164,14 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _encoders[key]
 
 
+def lengths(path: str, pattern: str) -> Lengths:
+    """One table of lengths for each worker process."""
+    key = (path, pattern)
+    if key not in _lengths:
+        _lengths[key] = Lengths(path, pattern)
+    return _lengths[key]
+
+
 def _appended(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
@@ -213,14 +259,9 @@ def count(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        of = lengths(path, pattern).of
         for part in tk.chunks(batches, text_col):
-            n = []
-            for text in part.column(text_col).to_pylist():
-                ids = array("i")
-                if text:
-                    enc.encode(text, ids)
-                n.append(len(ids))
+            n = [of(text) if text else 0 for text in part.column(text_col).to_pylist()]
             yield _appended(part, out_col, pa.array(n, pa.int64()))
 
     return docs.mapInArrow(run, _with(docs, out_col, T.LongType()))
