@@ -13,7 +13,9 @@ looked up in a broadcast table; links of the other pairs meet their counts in a
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +32,18 @@ FREQUENT = 1 << 20
 #: Texts are aligned in chunks of so many bytes.
 CHUNK_BYTES = 1 << 20
 _SPACE = "▁"
+#: Finds a space after another white space and before one, or at the end: there a segment's end may be within a match of A's pattern.
+_RUN = re.compile(r"[^\S ] (?!\S)").search
 
 
 class Pieces:
-    """Encodes by a sentencepiece model and keeps the ids of recent segments.
+    """Encodes by a sentencepiece model.
 
     Where the model leaves texts as they are and no piece has a space after another letter, no merge crosses from a
     letter to a space, so that the spaces before a word and the word are encoded by themselves. Else whole texts are.
     """
 
-    def __init__(self, path: str, remember: int = 150_000, longest: int = 64):
+    def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -52,29 +56,69 @@ class Pieces:
         apart = all(_SPACE not in p.lstrip(_SPACE) for p in pieces) and self.model.encode("  ÄＡ  b ", out_type=str)[0].startswith(_SPACE)
         plain = self.model.decode(self.model.encode("  ÄＡ  b ")) == "  ÄＡ  b "
         self.split = re.compile(" +[^ ]*").findall if apart and plain else None
-        self.remember, self.longest = remember, longest
-        self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, packed; the model adds a space before it."""
-        if self.split is None:
-            return [np.array(x, np.uint32).tobytes() for x in self.model.encode(texts, num_threads=1)]
-        cut, words = [], set()
-        for text in texts:
-            parts = self.split(" " + text) if text else []
-            words.update(parts)
-            cut.append(parts)
-        known = self.known
-        if len(known) > self.remember:
-            known.clear()
-        new = [w for w in words if w not in known]
-        for w, ids in zip(new, self.model.encode([w[1:] for w in new], num_threads=1), strict=True):
-            known[w] = np.array(ids or [self.space], np.uint32).tobytes()
-        out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
-        for w in new:
-            if len(w) > self.longest:
-                del known[w]
-        return out
+    def encode(self, segments: list[str]) -> list[bytes]:
+        """Ids of each segment, packed; its first space is the one that the model adds."""
+        return [array("I", ids or [self.space]).tobytes() for ids in self.model.encode([x[1:] for x in segments], num_threads=1)]
+
+
+class Segments:
+    """Cuts texts into segments at which both tokenizers' tokens end, and keeps both sides' ids of recent segments.
+
+    A segment is a run of spaces and what follows up to the next one, or a whole text where side B needs it or a run of other white space meets spaces.
+    """
+
+    def __init__(self, a: trie_bpe.Encoder, b: Pieces, remember: int = 150_000, longest: int = 64):
+        self.a, self.b, self.remember, self.longest = a, b, remember, longest
+        # the number of A's ids, A's ids and B's ids; two generations: what the older one is asked for moves to the younger
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def cut(self, texts: list[str]) -> list[list[str]]:
+        """The segments of each text, with a space before it."""
+        split = self.b.split
+        return [[] if not t else [f" {t}"] if split is None or _RUN(t) else split(" " + t) for t in texts]
+
+    def learn(self, segments: set[str]) -> None:
+        """Encode the segments that aren't known, each once."""
+        if len(self.known) >= self.remember:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = segments - known.keys()
+        for x in new & older.keys():
+            known[x] = older[x]
+        new = list(new - older.keys())
+        long = [x for x in new if len(x) > self.longest]
+        short = [x for x in new if len(x) <= self.longest] if long else new
+        if self.a.newer("".join(short)):
+            long, short = new, []
+        words = list(map(self.a.split, short))
+        self.a.learn(set().union(*words))
+        get = self.a.known.__getitem__
+        packed = [b"".join(map(get, w)) for w in words] + self.a.encode(long)
+        new = short + long
+        for x, a, b in zip(new, packed, self.b.encode(new), strict=True):
+            known[x] = (len(a) // 4).to_bytes(4, "little") + a + b
+
+    def encode(self, cut: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of both sides, one text after the other, and the texts' numbers of ids."""
+        distinct = set().union(*cut)
+        self.learn(distinct)
+        packed = list(map(self.known.__getitem__, distinct))
+        for x in [x for x in distinct if len(x) > self.longest]:  # a long segment is as a rule met once
+            del self.known[x]
+        flat = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
+        first = _starts(np.fromiter(map(len, packed), np.int64, len(packed)) // 4)
+        n_a = flat[first[:-1]]
+        number = dict(zip(distinct, range(len(distinct)), strict=True))
+        bounds = _starts(np.array(list(map(len, cut)), np.int64))
+        at = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64, int(bounds[-1]))
+        ids, counts = [], []
+        for start, size in ((first[:-1] + 1, n_a), (first[:-1] + 1 + n_a, np.diff(first) - 1 - n_a)):
+            n = size[at]
+            ids.append(flat[ranges(start[at], n)])
+            counts.append(np.diff(_starts(n)[bounds]))
+        return ids, counts
 
 
 class Cuts:
@@ -129,7 +173,8 @@ class Aligner:
     """Aligns chunks of texts; one for each worker process."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b, self.decoder = trie_bpe.encoder(path_a, special=False), Pieces(path_b), trie_bpe.Decoder(path_a)
+        self.b, self.decoder = Pieces(path_b), trie_bpe.Decoder(path_a)
+        self.segments = Segments(trie_bpe.Encoder(path_a, special=False, remember=100_000), self.b)
         names = [[str(i).encode() for i in range(n)] for n in (self.decoder.width, len(self.b.lengths))]
         #: Decimal ids with what follows them in a group: A's "," or "|", B's "," or ";".
         self.names = pa.array([n + end for side, ends in zip(names, ((b",", b"|"), (b",", b";")), strict=True) for end in ends for n in side], pa.binary())
@@ -138,10 +183,9 @@ class Aligner:
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """Ids of both sides, tokens of each text, and bytes of each: none for texts that aren't given back."""
         want = [f" {t}".encode() if t else b"" for t in texts]
-        packed = [self.a.encode([f" {t}" if t else None for t in texts]), self.b.encode(texts)]
+        cut = self.segments.cut(texts)
         while True:
-            ids = [np.frombuffer(b"".join(p), np.uint32).astype(np.int64) for p in packed]
-            counts = [np.array([len(x) // 4 for x in p], np.int64) for p in packed]
+            ids, counts = self.segments.encode(cut)
             joined = [_joined(t, i) for t, i in zip((self.decoder.table, self.b.table), ids, strict=True)]
             lengths = [t[i] for t, i in zip((self.decoder.lengths, self.b.lengths), ids, strict=True)]
             bounds = [_starts(x)[_starts(c)] for x, c in zip(lengths, counts, strict=True)]
@@ -150,7 +194,7 @@ class Aligner:
                 return *ids, *counts, *lengths, off
             bad = [i for i, w in enumerate(want) if any(j[x[i] : x[i + 1]].tobytes() != w for j, x in zip(joined, bounds, strict=True))]
             for i in bad:
-                want[i] = packed[0][i] = packed[1][i] = b""
+                want[i], cut[i] = b"", []
 
     def align(self, texts: list[str]) -> dict[str, np.ndarray | list]:
         a, b, n_a, n_b, len_a, len_b, off = self.tokens(texts)
