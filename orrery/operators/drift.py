@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import temporal as tm
 from orrery.functions import vectors as v
+from orrery.operators import blocks
 from orrery.operators.changes import deviation
 from orrery.operators.contracts import with_paths, with_positions
 from orrery.operators.smells import rank
@@ -86,20 +87,20 @@ def ball_pairs(ball: DataFrame) -> DataFrame:
 
 
 def _opened(placed: DataFrame, pairs: DataFrame, work, schema: str) -> DataFrame:
-    """`work(left, right, distances, same)` for two blocks at a time: tasks hold two blocks, and only blocks in `pairs` move."""
-    import numpy as np
-    import pandas as pd
-
-    ends = pairs.select("dominant_domain", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
-    dealt = placed.join(ends, ["dominant_domain", "b"])
+    """`work(left, right, distances, same)` for the paths of two blocks of `pairs` at a time: blocks meet as a product, and no point is copied through a shuffle."""
+    whole = blocks.gathered(placed, "dominant_domain", "b")
+    partners = pairs.groupBy("dominant_domain", F.col("x").alias("b")).agg(F.collect_list("y").alias("ys"))
+    left = whole.join(partners, ["dominant_domain", "b"]).select(F.col("dominant_domain").alias("dx"), F.col("b").alias("x"), "ys", F.col("rows").alias("l"))
+    right = whole.select(F.col("dominant_domain").alias("dy"), F.col("b").alias("y"), F.col("rows").alias("r"))
+    both = blocks.met(left, right, (F.xxhash64("dx", "x"), F.xxhash64("dy", "y")), whole.count(), (F.col("dx") == F.col("dy")) & F.array_contains("ys", F.col("y")))
 
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
-        left, right = pdf[pdf["b"] == x], pdf[pdf["b"] == y]
-        d = 1.0 - np.stack(left["u"].to_numpy()) @ np.stack(right["u"].to_numpy()).T
-        return work(left["file_path"].to_numpy(), right["file_path"].to_numpy(), d, x == y)
+    def product(batches):
+        for batch in batches:
+            for x, y, left, right in zip(batch["x"], batch["y"], batch["l"], batch["r"], strict=True):
+                a, b = blocks.columns(left), blocks.columns(right)
+                yield work(a["file_path"], b["file_path"], 1.0 - blocks.vectors(a["u"]) @ blocks.vectors(b["u"]).T, x == y)
 
-    return dealt.groupBy("dominant_domain", "x", "y").applyInPandas(product, schema)
+    return both.select("x", "y", "l", "r").mapInArrow(product, schema)
 
 
 def _graveness(amount: Column) -> Column:
@@ -113,14 +114,19 @@ def semantic_drift(points: DataFrame, limit: float = SEMANTIC, block: int = BLOC
     without a domain pair with none; paths are taken to be unique.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     placed, ball = balls(points, block, pivots)
 
     def far(left, right, d, same):
         i, j = np.nonzero(np.triu(d > limit, 1) if same else d > limit)
-        a, b = left[i], right[j]
-        return pd.DataFrame({"file_a": np.where(a < b, a, b), "file_b": np.where(a < b, b, a), "d": d[i, j]})
+        paths = pa.concat_arrays([left, right])
+        rank = np.empty(len(paths), np.int64)
+        rank[np.argsort(paths.to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(paths))
+        at = np.stack([i, len(left) + j])
+        swap = rank[at[0]] > rank[at[1]]
+        a, b = (paths.take(pa.array(np.where(swap, *ends))) for ends in (at[::-1], at))
+        return pa.RecordBatch.from_arrays([a, b, pa.array(d[i, j])], ["file_a", "file_b", "d"])
 
     found = _opened(placed, ball_pairs(ball).where(F.col("most") > limit), far, "file_a string, file_b string, d double")
     amount = F.col("d") - limit
@@ -133,7 +139,7 @@ def semantic_counts(points: DataFrame, limit: float = SEMANTIC, block: int = BLO
     Two blocks whose bounds lie within one severity count as a product of sizes; the others are opened and counted in their task.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     placed, ball = balls(points, block, pivots)
     pairs = kept(ball_pairs(ball).where(F.col("most") > limit), "pairs")
@@ -146,7 +152,7 @@ def semantic_counts(points: DataFrame, limit: float = SEMANTIC, block: int = BLO
         keep = np.triu(d > limit, 1) if same else d > limit
         high, medium = amount > GRAVER["high"], amount > GRAVER["medium"]
         n = [int((keep & high).sum()), int((keep & medium & ~high).sum()), int((keep & ~medium).sum())]
-        return pd.DataFrame({"severity": ["high", "medium", "low"], "drifts": np.array(n, np.int64)})
+        return pa.RecordBatch.from_pydict({"severity": ["high", "medium", "low"], "drifts": n})
 
     some = _opened(placed, pairs.where(open_), counted, "severity string, drifts long")
     total = whole.unionByName(some).groupBy("severity").agg(F.sum("drifts").alias("drifts")).where("drifts > 0")
